@@ -2,12 +2,17 @@
 
 from __future__ import annotations
 
-from finscan.llm import pivot_topk
+from finscan.llm import pivot_topk, style_tree, tiff, warc
 
 
 def queries() -> dict:
-    return {"op1_pivot_topk": pivot_topk.op1_pivot_topk}
+    return {
+        "op1_pivot_topk": pivot_topk.op1_pivot_topk,
+        "op2_warc_roundtrip": warc.op2_warc_roundtrip,
+        "op5_tiff_pages": tiff.op5_tiff_pages,
+        "op6_style_tree": style_tree.op6_style_tree,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": pivot_topk.OP1_SQL}
+    return {"op1_pivot_topk": pivot_topk.OP1_SQL, "op2_warc_roundtrip": warc.OP2_SQL}
