@@ -2,15 +2,17 @@
 
 from __future__ import annotations
 
-from finscan.llm import pivot_topk, style_tree, tiff, warc
+from finscan.llm import language_id, pivot_topk, sentencepiece_bpe, style_tree, tiff, warc
 
 
 def queries() -> dict:
     return {
         "op1_pivot_topk": pivot_topk.op1_pivot_topk,
         "op2_warc_roundtrip": warc.op2_warc_roundtrip,
+        "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
         "op5_tiff_pages": tiff.op5_tiff_pages,
         "op6_style_tree": style_tree.op6_style_tree,
+        "op10_language_id": language_id.op10_language_id,
     }
 
 

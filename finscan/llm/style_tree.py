@@ -28,6 +28,7 @@ import html as htmllib
 import re
 from collections import Counter
 from collections.abc import Iterator
+from functools import lru_cache
 
 import pyarrow as pa
 import xxhash
@@ -73,10 +74,10 @@ def _hash(text: str) -> int:
 
 
 class _Node:
-    __slots__ = ("tag", "path", "noise", "main", "children", "depth")
+    __slots__ = ("tag", "path", "noise", "main", "children")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool, depth: int):
-        self.tag, self.path, self.noise, self.main, self.depth = tag, path, noise, main, depth
+    def __init__(self, tag: str, path: str, noise: bool, main: bool):
+        self.tag, self.path, self.noise, self.main = tag, path, noise, main
         self.children: list[str] = []
 
 
@@ -84,18 +85,26 @@ def _attributes(raw: str) -> dict[str, str]:
     return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
-def _opened(tag: str, raw: str, parent: _Node) -> _Node:
-    attributes = _attributes(raw) if "=" in raw or "hidden" in raw else {}
+TELLING = re.compile(r"class|id|role|hidden", re.I)
+
+
+@lru_cache(maxsize=65536)
+def _kind(tag: str, raw: str, path: str, noise: bool, main: bool) -> tuple[str, bool, bool]:
+    """Path, noise and main of an element, from its attributes and those of its parent."""
+    attributes = _attributes(raw)
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = {w.lower() for w in WORDS.findall(named)} | set(named.lower().split())
     role = attributes.get("role", "").lower()
-    noise = parent.noise or tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
+    noise = noise or tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
     if tag not in ("html", "body"):
         noise = noise or bool(words & NOISE_WORDS)
-        noise = noise or not parent.main and (tag == "header" or bool(words & HEADER_WORDS))
-    main = parent.main or not noise and (tag in MAIN_TAGS or role == "main")
-    key = ".".join([tag, *sorted(attributes.get("class", "").lower().split())])
-    return _Node(tag, f"{parent.path}/{key}", noise, main, parent.depth + 1)
+        noise = noise or not main and (tag == "header" or bool(words & HEADER_WORDS))
+    main = main or not noise and (tag in MAIN_TAGS or role == "main")
+    return f"{path}/{'.'.join([tag, *sorted(attributes.get('class', '').lower().split())])}", noise, main
+
+
+def _opened(tag: str, raw: str, parent: _Node) -> _Node:
+    return _Node(tag, *_kind(tag, raw if raw and TELLING.search(raw) else "", parent.path, parent.noise, parent.main))
 
 
 class Page:
@@ -108,7 +117,7 @@ class Page:
         self._parse(html or "")
 
     def _parse(self, html: str) -> None:
-        root = _Node("", "", False, False, 0)
+        root = _Node("", "", False, False)
         stack, text, at = [root], [], 0
         chain: list[_Node] = []
 
@@ -128,13 +137,11 @@ class Page:
                     chain[:] = stack
                 text.append(htmllib.unescape(raw) if "&" in raw else raw)
 
-        n, find = len(html), TOKEN.search
-        while at < n:
-            m = find(html, at)
-            if m is None:
-                add(html[at:])
-                break
-            add(html[at : m.start()])
+        tokens = TOKEN.finditer(html)
+        while (m := next(tokens, None)) is not None:
+            start = m.start()
+            if start > at:
+                add(html[at:start])
             at = m.end()
             tag = m[2]
             if tag is None:
@@ -166,11 +173,14 @@ class Page:
             node = _opened(tag, m[3], parent)
             if tag in RAW:
                 end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else n
+                at = end.end() if end else len(html)
+                tokens = TOKEN.finditer(html, at)
                 continue
             self.nodes.append(node)
             if not m[3].rstrip().endswith("/") or tag in BLOCK:
                 stack.append(node)
+        if at < len(html):
+            add(html[at:])
         flush()
 
     @staticmethod
