@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finscan.llm import language_id, pivot_topk, sentencepiece_bpe, style_tree, tiff, warc
+from finscan.llm import language_id, license_scan, pfair_mix, pivot_topk, sentencepiece_bpe, style_tree, tiff, warc
 
 
 def queries() -> dict:
@@ -12,9 +12,16 @@ def queries() -> dict:
         "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
         "op5_tiff_pages": tiff.op5_tiff_pages,
         "op6_style_tree": style_tree.op6_style_tree,
+        "op7_license_scan": license_scan.op7_license_scan,
+        "op8_pfair_mix": pfair_mix.op8_pfair_mix,
         "op10_language_id": language_id.op10_language_id,
     }
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_pivot_topk": pivot_topk.OP1_SQL, "op2_warc_roundtrip": warc.OP2_SQL}
+    return {
+        "op1_pivot_topk": pivot_topk.OP1_SQL,
+        "op2_warc_roundtrip": warc.OP2_SQL,
+        "op7_license_scan": license_scan.OP7_SQL,
+        "op8_pfair_mix": pfair_mix.OP8_SQL,
+    }

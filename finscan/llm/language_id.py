@@ -177,12 +177,16 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     """
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
     rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    languages = rows.select("lang").distinct().limit(sample + 1).count()
-    if languages > sample:
-        raise ValueError(f"more languages than the {sample} rows of the sample")
+    languages = rows.select("lang").distinct().limit(sample // 4 + 1).count()
+    if languages > sample // 4:
+        raise ValueError(f"more than {sample // 4} languages")
     each = max(1, sample // max(1, languages))
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("id"), "id")
-    chosen = rows.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id").distinct()
+    # A uniform draw by hash first, so that no language's rows meet in one task to be ranked.
+    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
+    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (1.2 * each + 20) / n)))), F.col("lang")) if sizes else F.lit(1.0)
+    order = Window.partitionBy("lang").orderBy(draw, "id")
+    chosen = rows.where(draw <= share).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id").distinct()
     texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
     texts = texts.join(F.broadcast(chosen), "id").select("lang", "text")
 
