@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finscan.llm import language_id, license_scan, pfair_mix, pivot_topk, sentencepiece_bpe, style_tree, tiff, warc
+from finscan.llm import language_id, license_scan, pfair_mix, pivot_topk, sentencepiece_bpe, style_tree, suffix_dedup, tiff, warc
 
 
 def queries() -> dict:
@@ -10,6 +10,7 @@ def queries() -> dict:
         "op1_pivot_topk": pivot_topk.op1_pivot_topk,
         "op2_warc_roundtrip": warc.op2_warc_roundtrip,
         "op3_sentencepiece": sentencepiece_bpe.op3_sentencepiece,
+        "op4_suffix_dedup": suffix_dedup.op4_suffix_dedup,
         "op5_tiff_pages": tiff.op5_tiff_pages,
         "op6_style_tree": style_tree.op6_style_tree,
         "op7_license_scan": license_scan.op7_license_scan,
