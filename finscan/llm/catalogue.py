@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from finscan.llm import language_id, license_scan, pfair_mix, pivot_topk, sentencepiece_bpe, style_tree, suffix_dedup, tiff, warc
+from finscan.llm import chosen_path, language_id, license_scan, pfair_mix, pivot_topk, sentencepiece_bpe, style_tree, suffix_dedup, tiff, warc
 
 
 def queries() -> dict:
@@ -15,6 +15,7 @@ def queries() -> dict:
         "op6_style_tree": style_tree.op6_style_tree,
         "op7_license_scan": license_scan.op7_license_scan,
         "op8_pfair_mix": pfair_mix.op8_pfair_mix,
+        "op9_chosen_path_join": chosen_path.op9_chosen_path_join,
         "op10_language_id": language_id.op10_language_id,
     }
 
