@@ -1,7 +1,7 @@
 """N-gram Jaccard join by chosen paths.
 
-A document is the set of hashes of its word n-grams (lower case, split at white space; a text of
-fewer words is one gram). Documents with equal sets form a class; the join runs over classes.
+A document is the set of hashes of its word n-grams (lower case, words of letters and digits, or what
+white space parts where there are none; a text of fewer words is one gram). Documents with equal sets form a class; the join runs over classes.
 
 1. In each of several runs a set x follows the grams whose hash, at this step of the run, falls
    below branch / (threshold |x|): sets that share most grams follow mostly the same ones. Sets on
@@ -25,6 +25,7 @@ links; so do rows of a null id; repeated rows are copies of each other; other co
 from __future__ import annotations
 
 import math
+import re
 from collections.abc import Iterator
 
 import numpy as np
@@ -44,6 +45,7 @@ SKETCH_BLOCK = 4096
 EXACT_BLOCK = 1024
 BINS = 64
 U = np.uint64
+WORD = re.compile(r"\w+")
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -56,7 +58,8 @@ def _mix(x: np.ndarray) -> np.ndarray:
 
 def grams(text: str | None, words: int = WORDS) -> np.ndarray:
     """Sorted distinct hashes of a text's word n-grams."""
-    parts = (text or "").lower().split()
+    lower = (text or "").lower()
+    parts = WORD.findall(lower) or lower.split()
     if not parts:
         return np.zeros(0, np.uint64)
     h = np.fromiter(map(xxhash.xxh3_64_intdigest, parts), np.uint64, len(parts))
