@@ -31,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from finscan.llm.shared import partitions, settled, table
@@ -121,8 +121,8 @@ def _describe(words: int, runs: int, threshold: float, branch: float):
                 inner = pa.ListArray.from_arrays(pa.array(next_offsets, pa.int32()), pa.array(_long(nexts)))
                 structs = pa.StructArray.from_arrays([pa.array(_long(keys)), inner], ["key", "next"])
                 node = [None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sigs]
-                columns = [ids.slice(first, 512), pa.array(sigs, pa.binary()), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs).cast(kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "sig", "node", "n", "sketch", "paths"])
+                columns = [ids.slice(first, 512), batch.column("text_hash").slice(first, 512), pa.array(sigs, pa.binary()), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs).cast(kind)]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "sig", "node", "n", "sketch", "paths"])
 
     return run
 
@@ -369,17 +369,17 @@ def join(
     branch: float = BRANCH,
     small: int = SMALL,
 ) -> DataFrame:
-    """(id, class_id, copy_of, n_copies, n_links) of each row.
+    """(id, class_id, copy_of, n_copies, n_links, text_hash) of each row.
 
     class_id is the smallest id of the row's component of links, copy_of the smallest id with the
     same gram set, n_copies the rows with that set, n_links the rows of other sets (any id) whose
-    similarity reaches the threshold, plus the other copies.
+    similarity reaches the threshold, plus the other copies; text_hash is Spark's xxhash64 of the text.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    rows = docs.select(F.col(id_col).alias("id"), F.col(text_col).cast("string").alias("text"))
+    rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    base = settled(rows.mapInArrow(_describe(words, runs_for(recall, branch), threshold, branch), f"id {kind}, {DESCRIBED}"), "grams")
+    base = settled(rows.mapInArrow(_describe(words, runs_for(recall, branch), threshold, branch), f"id {kind}, text_hash long, {DESCRIBED}"), "grams")
     narrow = base.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("copy_of"), F.count("*").alias("size"), F.any_value("node").alias("node"))
     classes = settled(narrow, "classes")
     # One row stands for each set: the first any task meets, without a shuffle of sketches for copies.
@@ -408,16 +408,31 @@ def join(
     smallest = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     named = named.join(smallest, "label").join(links, "node", "left")
     named = named.select("sig", "class_id", "copy_of", "size", F.coalesce("links", F.lit(0)).alias("links"))
-    out = base.select("id", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
+    out = base.select("id", "text_hash", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
     return out.select(
         F.col("id").alias(id_col),
         F.coalesce("class_id", "id").alias("class_id"),
         F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("size", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"),
+        "text_hash",
     )
 
 
+def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
+    """The rows of docs that stay if one row of each class does: that of the smallest id.
+
+    Rows without words stay all; of rows of one id and one text one stays; rows of a null id stay.
+    """
+    found = join(docs, id_col=id_col, text_col=text_col, **options)
+    alone = F.when(F.col("n_links") == 0, F.col("text_hash"))
+    kept = found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col("class_id").alias("__id"), alone.alias("__alone")).agg(F.min("text_hash").alias("__hash"))
+    kept = kept.select("__id", "__hash").distinct()
+    rows = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(F.col(text_col))}).join(kept, ["__id", "__hash"])
+    once = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))).where("__place = 1")
+    return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
+
+
 def _with_blocks(tokens: DataFrame, members: DataFrame, parts: int) -> DataFrame:
     sizes = members.groupBy("cluster").agg(F.count("*").alias("__rows"))
     rows = tokens.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("__rows") / EXACT_BLOCK).cast("int"))
@@ -429,4 +444,4 @@ def _with_blocks(tokens: DataFrame, members: DataFrame, parts: int) -> DataFrame
 
 def op9_chosen_path_join(spark, sf_dir: str) -> DataFrame:
     """Near copies among all documents: the class of each one and its number of links."""
-    return join(table(spark, sf_dir, "documents"))
+    return join(table(spark, sf_dir, "documents")).drop("text_hash")

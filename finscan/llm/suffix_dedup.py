@@ -39,6 +39,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finscan.llm.shared import partitions, table
 
@@ -483,6 +484,7 @@ def _remover(length: int, want: bool):
         for d, a, b in zip(doc.tolist(), low.tolist(), high.tolist(), strict=True):
             spans.setdefault((d, a >> SUB), []).append((a & part, (a & part) + b - a))
         docs, subs, sizes, cuts, kept = [], [], [], [], []
+        carried = [c for c in left.column_names if c not in ("bucket", "doc", "sub", "text")]
         for (d, s), text in _texts_of(left).items():
             mine = spans.get((d, s), [])
             raw = text.as_buffer()
@@ -493,51 +495,65 @@ def _remover(length: int, want: bool):
             subs.append(s)
             sizes.append(len(data))
             cuts.append([{"start": a, "end": b} for a, b in mine])
-            kept.append(rest if want else hashlib.sha256(rest).digest())
+            kept.append(rest.decode("utf-8", "ignore").encode() if want else hashlib.sha256(rest).digest())
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64())]))
-        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(subs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.binary())], ["doc", "sub", "n_bytes", "spans", "kept"])
+        return pa.Table.from_arrays([pa.array(docs, pa.int64()), pa.array(subs, pa.int64()), pa.array(sizes, pa.int64()), pa.array(cuts, kind), pa.array(kept, pa.binary()), *(left.column(c) for c in carried)], ["doc", "sub", "n_bytes", "spans", "kept", *carried])
 
     return run
 
 
-def _numbered(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """(doc long, sub long, text binary): sub tells rows of one id apart."""
+def _numbered(docs: DataFrame, id_col: str, text_col: str, carry: list[str]) -> DataFrame:
+    """(doc long, sub long, text binary, c0, c1, ...): sub tells rows of one id apart, c0 ... are the carried columns."""
     doc = F.coalesce(F.col(id_col).cast("long"), F.lit(-(1 << 63)))
     text = F.coalesce(F.col(text_col).cast("binary"), F.lit(b""))
-    rows = docs.select(doc.alias("doc"), text.alias("text"))
+    more = [F.col(c).alias(f"c{i}") for i, c in enumerate(carry)]
+    rows = docs.select(doc.alias("doc"), text.alias("text"), *more)
+    names = [f"c{i}" for i in range(len(carry))]
     repeated = docs.select(doc.alias("doc")).groupBy("doc").count().where("count > 1").limit(1).count()
     if not repeated:
-        return rows.select("doc", F.lit(0).cast("long").alias("sub"), "text")
+        return rows.select("doc", F.lit(0).cast("long").alias("sub"), "text", *names)
     order = Window.partitionBy("doc").orderBy(F.xxhash64("text"), "text")
-    return rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("sub"), "text")
+    return rows.select("doc", (F.row_number().over(order) - 1).cast("long").alias("sub"), "text", *names)
 
 
-def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kept: bool = False) -> DataFrame:
-    """(doc, sub, n_bytes, spans, kept) of each row: the maximal removed runs [start, end) in bytes, and what is left.
+def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", length: int = LENGTH, kept: bool = False, carry: list[str] = ()) -> DataFrame:
+    """(doc, sub, n_bytes, spans, kept, c0, ...) of each row: the maximal removed runs [start, end) in bytes, and what is left.
 
-    kept is the SHA-256 of the bytes left, or with kept=True those bytes.
+    kept is the SHA-256 of the bytes left, or with kept=True those of its bytes that are whole characters;
+    c0, c1, ... are the columns named by carry.
     """
     spark = docs.sparkSession
     parts = partitions(spark)
     buckets, text_buckets = BUCKETS * parts, TEXT_BUCKETS * parts
-    texts = _numbered(docs, id_col, text_col)
-    found = texts.mapInArrow(_finder(length, buckets, text_buckets), ROW)
+    texts = _numbered(docs, id_col, text_col, list(carry))
+    found = texts.select("doc", "sub", "text").mapInArrow(_finder(length, buckets, text_buckets), ROW)
     settled_ = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settler(text_buckets), ROW)
-    by_text = texts.mapInArrow(_bucketed(text_buckets), "bucket int, doc long, sub long, text binary")
+    by_text = texts.mapInArrow(_bucketed(text_buckets), T.StructType([T.StructField("bucket", T.IntegerType()), *texts.schema.fields]))
     contexts = by_text.groupBy("bucket").cogroup(settled_.groupBy("bucket")).applyInArrow(_cutter(length, buckets), ROW)
     scanned = contexts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_scanner(length, text_buckets), ROW)
-    return by_text.groupBy("bucket").cogroup(scanned.groupBy("bucket")).applyInArrow(_remover(length, kept), RESULT)
+    return by_text.groupBy("bucket").cogroup(scanned.groupBy("bucket")).applyInArrow(_remover(length, kept), T.StructType([*T._parse_datatype_string(RESULT).fields, *texts.schema.fields[3:]]))
 
 
 def _bucketed(text_buckets: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             bucket = _text_bucket(b.column("doc").to_numpy(), text_buckets)
-            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *b.columns], ["bucket", "doc", "sub", "text"])
+            yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *b.columns], ["bucket", *b.schema.names])
 
     return run
 
 
+def cleaned(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", size_col: str | None = "n_chars", length: int = LENGTH) -> DataFrame:
+    """docs with repeated strings removed from their texts (null: empty); size_col, if there, counts the characters left."""
+    carry = [c for c in docs.columns if c != text_col]
+    found = removed_spans(docs, id_col=id_col, text_col=text_col, length=length, kept=True, carry=carry)
+    text = F.col("kept").cast("string")
+    columns = {c: F.col(f"c{i}") for i, c in enumerate(carry)} | {text_col: text}
+    if size_col in carry:
+        columns[size_col] = F.length(text).cast(docs.schema[size_col].dataType)
+    return found.select(*(columns[c].alias(c) for c in docs.columns))
+
+
 def op4_suffix_dedup(spark, sf_dir: str) -> DataFrame:
     """What is left of every whole text once repeated strings of 100 bytes are gone."""
     found = removed_spans(table(spark, sf_dir, "documents"))
