@@ -47,7 +47,7 @@ LENGTH = 100
 CHUNK = 1 << 17
 BATCH_BYTES = 16 << 20
 SUB = 40
-BUCKETS, TEXT_BUCKETS = 16, 8
+BUCKETS, TEXT_BUCKETS = 4, 4
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
