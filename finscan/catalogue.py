@@ -1,11 +1,475 @@
-"""All queries of the library's own operators, and the SQL that checks them."""
+"""All queries of the library's own operators, and the SQL that checks them.
+
+Every entry is a query over whole tables and the DuckDB statement for the same rows. Computed
+doubles are rounded on both sides, as sums and recursions differ in their last bits.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from finscan.functions import fields as C
+from finscan.functions import frames, stories
+from finscan.functions.fields import q
+from finscan.operators import bars as B
+from finscan.operators import events_calendar, feeds
+from finscan.operators import indicators as I
+from finscan.operators.screen import ScanEngine
+from finscan.plans.spec import Filter
+from finscan.sources import views as V
+from finscan.streaming import live
+
+Query = Callable[[SparkSession, str], DataFrame]
+_QUERIES: dict[str, Query] = {}
+_SQL: dict[str, str] = {}
+
+
+def _add(name: str, query: Query, sql: str | None = None, *ctes: str) -> None:
+    _QUERIES[name] = query
+    if sql is not None:
+        _SQL[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
+
+
+def _issuers(fn: Callable[[ScanEngine], DataFrame]) -> Query:
+    return lambda spark, d: fn(ScanEngine(V.issuers(spark, d)))
+
+
+def _quoted(names) -> str:
+    return ", ".join(f'"{n}"' for n in names)
+
+
+# --- scans -------------------------------------------------------------------------------------
+SCAN = ["name", "close", "change", "volume", "market_cap_basic"]
+
+
+def _screen(name: str, filters: list[Filter], where: str, market: str = "america", sort_by: str | None = "market_cap_basic", order: str = "desc", limit: int = 50, start: int = 0) -> None:
+    by = f'"{sort_by}" {order} NULLS LAST, symbol' if sort_by else "symbol"
+    scope = "TRUE" if market == "global" else f"market = '{market}'"
+    _add(
+        name,
+        _issuers(lambda e: e.screen(market, filters, SCAN, sort_by, order, limit, start).rows),
+        f"SELECT symbol, {_quoted(SCAN)} FROM issuers WHERE {scope} AND ({where}) ORDER BY {by} LIMIT {limit} OFFSET {start}",
+        V.ISSUERS_SQL,
+    )
+
+
+_screen("screen_basic", [Filter("close", "greater", 100), Filter("volume", "egreater", 5)], '"close" > 100 AND volume >= 5', limit=20)
+_screen("screen_ops_numeric", [Filter("close", "less", 9000), Filter("volume", "eless", 20), Filter("change", "nequal", 0), Filter("high", "above", {"field": "open"}), Filter("low", "below", {"field": "open"})], '"close" < 9000 AND volume <= 20 AND change <> 0 AND high > "open" AND low < "open"', limit=100)
+_screen("screen_equal", [Filter("volume", "equal", 10)], "volume = 10", "global", "close", "asc", 200)
+_screen("screen_ops_categorical", [Filter("sector", "has", ["BUILDING", "MACHINERY"]), Filter("exchange", "has_none_of", ["NATION_1", "NATION_2"])], "sector IN ('BUILDING', 'MACHINERY') AND exchange NOT IN ('NATION_1', 'NATION_2')", "global", "close", "desc", 100)
+_screen("screen_in_range", [Filter("close", "in_range", [50, 2000])], '"close" BETWEEN 50 AND 2000', "europe", "close", "asc", 150)
+_screen("screen_not_in_range", [Filter("close", "not_in_range", [0, 5000])], '"close" NOT BETWEEN 0 AND 5000', "asia", "close", "desc", 150)
+_screen("screen_nempty", [Filter("market_cap_basic", "nempty"), Filter("name", "nempty")], "market_cap_basic IS NOT NULL AND name IS NOT NULL AND name <> ''", "africa", "market_cap_basic", "asc", 150)
+_screen("screen_unsorted", [], "TRUE", "middle east", None, "desc", 50)
+_screen("screen_page_2", [], "TRUE", "america", "volume", "desc", 50, 50)
+_screen("screen_two_fields", [Filter(("open", "high"), "in_range", [100000, 200000])], '"open" BETWEEN 100000 AND 200000 OR high BETWEEN 100000 AND 200000', "global", "high", "desc", 200)
+_add(
+    "screen_total_count",
+    _issuers(lambda e: (lambda r: r.unlimited.agg(F.count("*").alias("total_count")).crossJoin(r.rows.agg(F.count("*").alias("total"))))(e.screen("america", [Filter("close", "greater", 0)], SCAN, "close"))),
+    "SELECT count(*) AS total_count, least(count(*), 50) AS total FROM issuers WHERE market = 'america' AND \"close\" > 0",
+    V.ISSUERS_SQL,
+)
+
+
+def _movers(name: str, market: str, category: str, where: str, by: str, order: str) -> None:
+    columns = ["name", "close", "change", "volume", "market_cap_basic", "description"]
+    scope = C.MOVER_MARKETS[market]
+    scope_sql = f"market = '{scope}'" if scope else "TRUE"
+    _add(name, _issuers(lambda e: e.movers(market, category, columns).rows), f"SELECT symbol, {_quoted(columns)} FROM issuers WHERE {scope_sql} AND {where} ORDER BY {by} {order} NULLS LAST, symbol LIMIT 50", V.ISSUERS_SQL)
+
+
+_movers("movers_gainers", "stocks-usa", "gainers", "change > 0", "change", "desc")
+_movers("movers_losers", "stocks-usa", "losers", "change < 0", "change", "asc")
+_movers("movers_most_active", "stocks-usa", "most-active", "TRUE", "volume", "desc")
+_movers("movers_penny", "stocks-usa", "penny-stocks", '"close" < 5', "volume", "desc")
+_movers("movers_pre_market_gainers", "stocks-usa", "pre-market-gainers", "change > 0", "change", "desc")
+_movers("movers_after_hours_losers", "stocks-usa", "after-hours-losers", "change < 0", "change", "asc")
+_movers("movers_crypto_any", "crypto", "anything", "TRUE", "change", "desc")
+
+
+def _top(by: str, column: str) -> None:
+    columns = ["name", "close", "change", "volume", "market_cap_basic", "sector"]
+    _add(f"top_by_{by}", _issuers(lambda e: e.top_stocks("america", by, columns).rows), f"SELECT symbol, {_quoted(columns)} FROM issuers WHERE market = 'america' AND type = 'stock' AND market_cap_basic IS NOT NULL ORDER BY \"{column}\" DESC NULLS LAST, symbol LIMIT 50", V.ISSUERS_SQL)
+
+
+for _by, _column in C.SORT_ALIASES.items():
+    _top(_by, _column)
+
+_add(
+    "symbol_markets_match",
+    lambda spark, d: ScanEngine(V.instruments(spark, d)).symbol_markets("lue", ["name", "close", "exchange", "type", "currency"]).rows,
+    "SELECT symbol, name, \"close\", exchange, type, currency FROM instruments WHERE contains(upper(name), 'LUE') ORDER BY symbol LIMIT 150",
+    V.INSTRUMENTS_SQL,
+)
+SYMBOL, OTHER = "NATION_3:", "symbol LIKE 'NATION_3:%'"
+
+
+def _snapshot(name: str, fields: list[str]) -> None:
+    """All symbols of one exchange, so that the query finds rows at any size of the tables."""
+    own = {"name", "description", "type", "exchange", "country", "sector", "close", "change", "change_abs", "high", "low", "open", "volume", "market_cap_basic", "Volatility.D", "total_revenue", "net_income"}
+    columns = ", ".join(f'"{f}"' if f in own else f"CAST(NULL AS {'VARCHAR' if f in C.TEXT_FIELDS else 'DOUBLE'}) AS \"{f}\"" for f in fields)
+    _add(name, lambda spark, d: (lambda e: e._projected(e.table.where(q("exchange") == "NATION_3"), fields))(ScanEngine(V.issuers(spark, d))), f"SELECT symbol, {columns} FROM issuers WHERE exchange = 'NATION_3'", V.ISSUERS_SQL)
+
+
+for _view, _fields in C.OVERVIEW_VIEWS.items():
+    _snapshot(f"overview_{_view}", _fields)
+_snapshot("overview_all", C.OVERVIEW_ALL)
+for _group, _fields in C.FUNDAMENTALS.items():
+    _snapshot(f"fundamentals_{_group}", _fields)
+
+
+def _pair(spark: SparkSession, d: str) -> list[str]:
+    """The two symbols of smallest customer key."""
+    return [f"{r['n_name']}:{r['c_custkey']}" for r in V.read(spark, d, "customer").join(V.read(spark, d, "nation"), F.col("c_nationkey") == F.col("n_nationkey")).orderBy("c_custkey").limit(2).select("n_name", "c_custkey").collect()]
+
+
+PAIR_SQL = "two AS (SELECT n_name || ':' || CAST(c_custkey AS VARCHAR) AS symbol, row_number() OVER (ORDER BY c_custkey) AS i FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 2)"
+COMPARED = ["total_revenue", "net_income", "market_cap_basic", "close"]
+_LONG = "SELECT field, symbol, value FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, symbol, CAST(\"{f}\" AS DOUBLE) AS value FROM issuers SEMI JOIN two USING (symbol)" for f in COMPARED) + ")"
+_add("fundamentals_compare_long", lambda spark, d: ScanEngine(V.issuers(spark, d)).compare(_pair(spark, d), COMPARED), _LONG, V.ISSUERS_SQL, PAIR_SQL)
+_add(
+    "fundamentals_compare_pivot",
+    lambda spark, d: (lambda p: ScanEngine(V.issuers(spark, d)).compare_wide(p, COMPARED).select("field", q(p[0]).alias("first"), q(p[1]).alias("second")))(_pair(spark, d)),
+    f"SELECT field, max(value) FILTER (i = 1) AS \"first\", max(value) FILTER (i = 2) AS \"second\" FROM ({_LONG}) JOIN two USING (symbol) GROUP BY field",
+    V.ISSUERS_SQL,
+    PAIR_SQL,
+)
+_add(
+    "symbols_missing",
+    lambda spark, d: ScanEngine(V.instruments(spark, d)).missing(V.read(spark, d, "supplier").select(F.concat(F.lit(" Brand#12:"), F.col("s_suppkey").cast("string")).alias("symbol"))),
+    "SELECT 'BRAND#12:' || CAST(s_suppkey AS VARCHAR) AS symbol FROM supplier WHERE 'BRAND#12:' || CAST(s_suppkey AS VARCHAR) NOT IN (SELECT symbol FROM instruments)",
+    V.INSTRUMENTS_SQL,
+)
+
+# --- calendars ---------------------------------------------------------------------------------
+_A, _B = 820454400, 825638399
+_add(
+    "calendar_dividends",
+    lambda spark, d: events_calendar.calendar(V.calendar_events(spark, d), "dividends", _A, _B, values=["dividend_ex_date_recent", "dividend_ex_date_upcoming", "dividend_amount_recent", "dividends_yield", "name"]),
+    f"SELECT full_symbol, recent AS dividend_ex_date_recent, upcoming AS dividend_ex_date_upcoming, amount AS dividend_amount_recent, yield AS dividends_yield, name FROM calendar WHERE recent BETWEEN {_A} AND {_B} OR upcoming BETWEEN {_A} AND {_B}",
+    V.CALENDAR_SQL,
+)
+_add(
+    "calendar_earnings",
+    lambda spark, d: events_calendar.calendar(V.calendar_events(spark, d), "earnings", _A, _B, ["o", "f"], ["earnings_release_date", "earnings_release_next_date", "revenue_fq", "market"]),
+    f"SELECT full_symbol, recent AS earnings_release_date, upcoming AS earnings_release_next_date, amount AS revenue_fq, market FROM calendar WHERE (recent BETWEEN {_A} AND {_B} OR upcoming BETWEEN {_A} AND {_B}) AND market IN ('o', 'f')",
+    V.CALENDAR_SQL,
+)
+_add(
+    "calendar_falsy_dropped",
+    lambda spark, d: events_calendar.calendar(V.calendar_events(spark, d), "dividends", _A, _B, compat_drop_falsy=True).select("full_symbol", "dividends_yield"),
+    f"SELECT full_symbol, nullif(yield, 0) AS dividends_yield FROM calendar WHERE recent BETWEEN {_A} AND {_B} OR upcoming BETWEEN {_A} AND {_B}",
+    V.CALENDAR_SQL,
+)
+
+# --- bars --------------------------------------------------------------------------------------
+_STEP = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "2h": "2 hours", "4h": "4 hours", "1d": "1 day"}
+
+
+def _bars_sql(timeframe: str, source: str = "ticks", name: str = "b") -> str:
+    start = {"1w": "date_trunc('week', ts)", "1M": "date_trunc('month', ts)"}.get(timeframe) or f"time_bucket(INTERVAL '{_STEP[timeframe]}', ts)"
+    return f"""{name} AS (SELECT symbol, CAST({start} AS TIMESTAMP) AS bar_start, first(price ORDER BY ts, seq) AS "open", max(price) AS high, min(price) AS low, last(price ORDER BY ts, seq) AS "close", sum(qty) AS volume, count(*) AS n
+  FROM {source} GROUP BY 1, 2)"""
+
+
+OHLC = '"open", high, low, "close", volume'
+for _tf in ("1m", "5m", "15m", "30m", "1h", "2h", "4h", "1d"):
+    _add(f"ohlcv_{_tf}", lambda spark, d, tf=_tf: B.bars(V.ticks(spark, d), tf), "SELECT * FROM b", V.TICKS_SQL, _bars_sql(_tf))
+_add("ohlcv_1w", lambda spark, d: B.bars(V.trades(spark, d), "1w"), "SELECT * FROM b", V.TRADES_SQL, _bars_sql("1w", "trades"))
+_add("ohlcv_1M", lambda spark, d: B.bars(V.trades(spark, d), "1M"), "SELECT * FROM b", V.TRADES_SQL, _bars_sql("1M", "trades"))
+_add(
+    "last_n_candles",
+    lambda spark, d: B.last_bars(B.bars(V.ticks(spark, d), "4h"), 10),
+    'SELECT * EXCLUDE (r), CAST(row_number() OVER (PARTITION BY symbol ORDER BY bar_start) - 1 AS INTEGER) AS "index" FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start DESC) AS r FROM b) WHERE r <= 10',
+    V.TICKS_SQL,
+    _bars_sql("4h"),
+)
+_add(
+    "bars_gap_filled",
+    lambda spark, d: B.gap_filled(B.bars(V.ticks(spark, d), "15m"), "15m"),
+    """SELECT symbol, bar_start, coalesce("open", c) AS "open", coalesce(high, c) AS high, coalesce(low, c) AS low, c AS "close", coalesce(volume, 0) AS volume
+FROM (SELECT g.symbol, g.bar_start, "open", high, low, volume, last_value("close" IGNORE NULLS) OVER (PARTITION BY g.symbol ORDER BY g.bar_start) AS c
+      FROM (SELECT symbol, unnest(generate_series(min(bar_start), max(bar_start), INTERVAL 15 MINUTE)) AS bar_start FROM b GROUP BY symbol) g LEFT JOIN b USING (symbol, bar_start))""",
+    V.TICKS_SQL,
+    _bars_sql("15m"),
+)
+_add(
+    "asof_quote_bar",
+    lambda spark, d: B.as_of(B.bars(V.ticks(spark, d), "1h").select("symbol", F.col("bar_start").alias("ts"), "close"), V.ticks(spark, d).select("symbol", "ts", "price")),
+    'SELECT l.symbol, l.bar_start AS ts, l."close", r.price AS as_of_price FROM b l ASOF LEFT JOIN ticks r ON l.symbol = r.symbol AND l.bar_start >= r.ts',
+    V.TICKS_SQL,
+    _bars_sql("1h"),
+)
+
+# --- indicators over windows -------------------------------------------------------------------
+BARS4 = (V.TICKS_SQL, _bars_sql("4h"))
+
+
+def _bars4(spark: SparkSession, d: str) -> DataFrame:
+    return B.bars(V.ticks(spark, d), "4h")
+
+
+#: Keeps exact halves of the last digit, which the engines round differently, from being halves.
+NUDGE = 1e-09
+
+
+def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
+    return df.select("symbol", "bar_start", *((F.round(q(n) + NUDGE, digits) + F.lit(0.0)).alias(n) for n in names))
+
+
+def _indicator(name: str, names: list[str], fn: Callable[[DataFrame], DataFrame], sql: str, source=_bars4, ctes=BARS4) -> None:
+    """sql: a SELECT of symbol, bar_start and the names, not rounded."""
+    out = ", ".join(f'round("{n}" + {NUDGE!r}::DOUBLE, 6) + 0.0::DOUBLE AS "{n}"' for n in names)
+    _add(name, lambda spark, d: _rounded(fn(source(spark, d)), names), f"SELECT symbol, bar_start, {out} FROM ({sql})", *ctes)
+
+
+_W = "PARTITION BY symbol ORDER BY bar_start"
+
+
+def _frame(n: int) -> str:
+    return f"({_W} ROWS BETWEEN {n - 1} PRECEDING AND CURRENT ROW)"
+
+
+def _sma_sql(c: str, n: int) -> str:
+    return f"CASE WHEN count(*) OVER {_frame(n)} = {n} THEN avg({c}) OVER {_frame(n)} END"
+
+
+def _hl_sql(n: int) -> tuple[str, str]:
+    return f"CASE WHEN count(*) OVER {_frame(n)} = {n} THEN max(high) OVER {_frame(n)} END", f"CASE WHEN count(*) OVER {_frame(n)} = {n} THEN min(low) OVER {_frame(n)} END"
+
+
+def _lag_sql(c: str, n: int) -> str:
+    return f"lag({c}, {n}) OVER ({_W})"
+
+
+_AVERAGES = [f"SMA{n}" for n in (10, 20, 30, 50, 100, 200)]
+_indicator("ind_sma_all", _AVERAGES, I.averages, "SELECT symbol, bar_start, " + ", ".join(f'{_sma_sql(chr(34) + "close" + chr(34), int(n[3:]))} AS "{n}"' for n in _AVERAGES) + " FROM b")
+_HH, _LL = _hl_sql(14)
+_indicator(
+    "ind_stoch",
+    ["Stoch.K", "Stoch.D", "Stoch.K[1]", "Stoch.D[1]"],
+    I.stochastic,
+    f"""SELECT symbol, bar_start, k AS "Stoch.K", dd AS "Stoch.D", {_lag_sql('k', 1)} AS "Stoch.K[1]", {_lag_sql('dd', 1)} AS "Stoch.D[1]" FROM (
+SELECT *, CASE WHEN count(k) OVER {_frame(3)} = 3 THEN avg(k) OVER {_frame(3)} END AS dd FROM (
+SELECT *, CASE WHEN count(r) OVER {_frame(3)} = 3 THEN avg(r) OVER {_frame(3)} END AS k FROM (
+SELECT *, CASE WHEN hh <> ll THEN 100 * ("close" - ll) / (hh - ll) END AS r FROM (SELECT *, {_HH} AS hh, {_LL} AS ll FROM b))))""",
+)
+_indicator(
+    "ind_cci20",
+    ["CCI20", "CCI20[1]"],
+    I.cci,
+    f"""SELECT symbol, bar_start, c AS "CCI20", {_lag_sql('c', 1)} AS "CCI20[1]" FROM (
+SELECT symbol, bar_start, CASE WHEN dev <> 0 THEN (tp - m) / (0.015::DOUBLE * dev) END AS c FROM (
+SELECT *, list_avg(list_transform(l, lambda x: abs(x - m))) AS dev FROM (
+SELECT *, {_sma_sql('tp', 20)} AS m, list(tp) OVER {_frame(20)} AS l FROM (SELECT *, (high + low + "close") / 3.0::DOUBLE AS tp FROM b))))""",
+)
+_indicator("ind_ao", ["AO", "AO[1]", "AO[2]"], I.awesome, f"""SELECT symbol, bar_start, ao AS "AO", {_lag_sql('ao', 1)} AS "AO[1]", {_lag_sql('ao', 2)} AS "AO[2]" FROM (SELECT *, {_sma_sql('mid', 5)} - {_sma_sql('mid', 34)} AS ao FROM (SELECT *, (high + low) / 2.0::DOUBLE AS mid FROM b))""")
+_indicator("ind_mom", ["Mom", "Mom[1]"], I.momentum, f"""SELECT symbol, bar_start, m AS "Mom", {_lag_sql('m', 1)} AS "Mom[1]" FROM (SELECT *, "close" - {_lag_sql('"close"', 10)} AS m FROM b)""")
+_indicator("ind_wr", ["W.R"], I.williams, f"""SELECT symbol, bar_start, CASE WHEN hh <> ll THEN 100 * ("close" - hh) / (hh - ll) END AS "W.R" FROM (SELECT *, {_HH} AS hh, {_LL} AS ll FROM b)""")
+_UO = " + ".join(f"{w} * sum(bp) OVER {_frame(n)} / nullif(sum(tr) OVER {_frame(n)}, 0)" for w, n in ((4, 7), (2, 14), (1, 28)))
+_indicator(
+    "ind_uo",
+    ["UO"],
+    I.ultimate,
+    f"""SELECT symbol, bar_start, CASE WHEN rn > 28 THEN 100 * ({_UO}) / 7.0::DOUBLE END AS "UO" FROM (
+SELECT *, "close" - least(low, p) AS bp, greatest(high, p) - least(low, p) AS tr FROM (SELECT *, {_lag_sql('"close"', 1)} AS p, row_number() OVER ({_W}) AS rn FROM b))""",
+)
+_H26, _L26 = _hl_sql(26)
+_indicator("ind_ichimoku", ["Ichimoku.BLine"], I.ichimoku, f'SELECT symbol, bar_start, ({_H26} + {_L26}) / 2.0::DOUBLE AS "Ichimoku.BLine" FROM b')
+_indicator("ind_vwma", ["VWMA"], I.volume_weighted, f'SELECT symbol, bar_start, CASE WHEN count(*) OVER {_frame(20)} = 20 THEN sum("close" * volume) OVER {_frame(20)} / nullif(sum(volume) OVER {_frame(20)}, 0) END AS "VWMA" FROM b')
+_indicator("volume_ma20", ["VolumeMA20"], I.volume_average, f'SELECT symbol, bar_start, {_sma_sql("volume", 20)} AS "VolumeMA20" FROM b')
+
+
+def _wma_sql(c: str, n: int) -> str:
+    return "(" + " + ".join(f"{_lag_sql(c, i)} * {n - i}.0::DOUBLE" for i in range(n)) + f") / {n * (n + 1) // 2}.0::DOUBLE"
+
+
+_C = '"close"'
+_indicator("ind_hullma9", ["HullMA9"], I.hull, f'SELECT symbol, bar_start, {_wma_sql("h", 3)} AS "HullMA9" FROM (SELECT *, 2.0::DOUBLE * {_wma_sql(_C, 4)} - {_wma_sql(_C, 9)} AS h FROM b)')
+
+
+def _crossed(spark: SparkSession, d: str, operation: str) -> DataFrame:
+    from finscan.functions.predicates import apply_filters
+
+    rows = I.averages(_bars4(spark, d), (10,))
+    return apply_filters(rows, (Filter("close", operation, {"field": "SMA10"}),), order="bar_start").select("symbol", "bar_start", "close")
+
+
+_CROSS = {"crosses_above": "p <= 0 AND x > 0", "crosses_below": "p >= 0 AND x < 0"}
+_CROSS["crosses"] = f"({_CROSS['crosses_above']}) OR ({_CROSS['crosses_below']})"
+for _op, _where in _CROSS.items():
+    _add(
+        f"screen_{_op}",
+        lambda spark, d, op=_op: _crossed(spark, d, op),
+        f"SELECT symbol, bar_start, \"close\" FROM (SELECT *, {_lag_sql('x', 1)} AS p FROM (SELECT *, \"close\" - {_sma_sql(_C, 10)} AS x FROM b)) WHERE {_where}",
+        *BARS4,
+    )
+
+# --- recursive indicators ----------------------------------------------------------------------
+_EMAS = {f"e{n}": 2 / (n + 1) for n in (10, 12, 13, 20, 26, 30, 50, 100, 200)}
+_STATE = ", ".join(f"r.{e} + {a!r}::DOUBLE * (s.c - r.{e}) AS {e}" for e, a in _EMAS.items())
+_M = " + ".join  # noqa: E305
+_MACD_NOW = f"((r.e12 + {_EMAS['e12']!r}::DOUBLE * (s.c - r.e12)) - (r.e26 + {_EMAS['e26']!r}::DOUBLE * (s.c - r.e26)))"
+
+
+def _wilder(name: str, x: str) -> str:
+    return f"CASE WHEN r.{name} IS NULL THEN {x} ELSE r.{name} + ({x} - r.{name}) / 14.0::DOUBLE END AS {name}"
+
+
+RECURSION = (
+    *BARS4,
+    f"""s AS (SELECT symbol, bar_start, "close" AS c, high, low, row_number() OVER ({_W}) AS rn,
+  greatest("close" - pc, 0) AS gain, greatest(pc - "close", 0) AS loss, greatest(high - low, abs(high - pc), abs(low - pc)) AS tr,
+  CASE WHEN high - ph > pl - low AND high - ph > 0 THEN high - ph ELSE 0 END AS pdm, CASE WHEN pl - low > high - ph AND pl - low > 0 THEN pl - low ELSE 0 END AS mdm
+  FROM (SELECT *, {_lag_sql(_C, 1)} AS pc, {_lag_sql('high', 1)} AS ph, {_lag_sql('low', 1)} AS pl FROM b))""",
+    f"""r AS (SELECT symbol, bar_start, rn, c, high, low, {', '.join(f'c AS {e}' for e in _EMAS)}, 0.0::DOUBLE AS sig,
+  CAST(NULL AS DOUBLE) AS g, CAST(NULL AS DOUBLE) AS l, CAST(NULL AS DOUBLE) AS atr, CAST(NULL AS DOUBLE) AS pdm, CAST(NULL AS DOUBLE) AS mdm FROM s WHERE rn = 1
+  UNION ALL
+  SELECT s.symbol, s.bar_start, s.rn, s.c, s.high, s.low, {_STATE}, r.sig + 0.2::DOUBLE * ({_MACD_NOW} - r.sig) AS sig,
+  {_wilder('g', 's.gain')}, {_wilder('l', 's.loss')}, {_wilder('atr', 's.tr')}, {_wilder('pdm', 's.pdm')}, {_wilder('mdm', 's.mdm')}
+  FROM r JOIN s ON s.symbol = r.symbol AND s.rn = r.rn + 1)""",
+    f"""t AS (SELECT symbol, bar_start, rn, {', '.join(f'e{n} AS "EMA{n}"' for n in (10, 20, 30, 50, 100, 200))}, CASE WHEN rn >= 15 THEN 100 * g / nullif(g + l, 0) END AS "RSI",
+  e12 - e26 AS "MACD.macd", sig AS "MACD.signal", (high - e13) + (low - e13) AS "BBPower", CASE WHEN rn >= 15 THEN atr END AS "ATR",
+  CASE WHEN rn >= 15 THEN 100 * pdm / nullif(atr, 0) END AS "ADX+DI", CASE WHEN rn >= 15 THEN 100 * mdm / nullif(atr, 0) END AS "ADX-DI",
+  CASE WHEN rn >= 2 THEN coalesce(100 * abs(pdm - mdm) / nullif(pdm + mdm, 0), 0) END AS dx FROM r)""",
+    """a AS (SELECT symbol, rn, dx AS x FROM t WHERE rn = 2 UNION ALL SELECT t.symbol, t.rn, a.x + (t.dx - a.x) / 14.0::DOUBLE FROM a JOIN t ON t.symbol = a.symbol AND t.rn = a.rn + 1)""",
+)
+
+
+def _recursive(name: str, names: list[str], sql: str | None = None, fn: Callable[[DataFrame], DataFrame] = I.exponential) -> None:
+    _indicator(name, names, fn, sql or f"SELECT symbol, bar_start, {_quoted(names)} FROM t", ctes=RECURSION)
+    _SQL[name] = _SQL[name].replace("WITH ", "WITH RECURSIVE ", 1)
+
+
+_recursive("ind_ema_all", [f"EMA{n}" for n in (10, 20, 30, 50, 100, 200)])
+_recursive("ind_rsi", ["RSI", "RSI[1]"], f'SELECT symbol, bar_start, "RSI", {_lag_sql(chr(34) + "RSI" + chr(34), 1)} AS "RSI[1]" FROM t', lambda b: I.exponential(b).withColumn("RSI[1]", I.lagged("RSI", 1)))
+_recursive("ind_macd", ["MACD.macd", "MACD.signal"])
+_recursive("ind_adx", ["ADX", "ADX+DI", "ADX-DI"], 'SELECT symbol, bar_start, CASE WHEN rn >= 28 THEN a.x END AS "ADX", "ADX+DI", "ADX-DI" FROM t LEFT JOIN a USING (symbol, rn)')
+_recursive("ind_atr", ["ATR"])
+_recursive("ind_bbpower", ["BBPower"])
+_recursive(
+    "ind_stoch_rsi",
+    ["Stoch.RSI.K"],
+    f"""SELECT symbol, bar_start, CASE WHEN count(x) OVER {_frame(3)} = 3 THEN avg(x) OVER {_frame(3)} END AS "Stoch.RSI.K" FROM (
+SELECT *, CASE WHEN n = 14 AND hi <> lo THEN 100 * ("RSI" - lo) / (hi - lo) END AS x FROM (SELECT *, count("RSI") OVER {_frame(14)} AS n, max("RSI") OVER {_frame(14)} AS hi, min("RSI") OVER {_frame(14)} AS lo FROM t))""",
+    lambda b: I.stochastic_rsi(I.exponential(b)),
+)
+_add(
+    "ohlc_join_indicator",
+    lambda spark, d: (lambda b: B.join_indicator(b, _rounded(I.exponential(b), ["EMA10"])))(_bars4(spark, d)),
+    'SELECT b.*, round("EMA10" + 1e-09::DOUBLE, 6) + 0.0::DOUBLE AS "EMA10" FROM b JOIN t USING (symbol, bar_start)',
+    *RECURSION,
+)
+_SQL["ohlc_join_indicator"] = _SQL["ohlc_join_indicator"].replace("WITH ", "WITH RECURSIVE ", 1)
+_add("ind_recommend", lambda spark, d: _rounded(I.all_indicators(_bars4(spark, d)), C.RATINGS))
+_add("ind_latest_all", lambda spark, d: _rounded(I.latest(I.all_indicators(_bars4(spark, d))), [n for n in C.INDICATORS if not n.startswith("Pivot.")]))
+
+# --- pivots, performance -----------------------------------------------------------------------
+MONTHS = (V.TRADES_SQL, _bars_sql("1M", "trades"), f'm AS (SELECT symbol, bar_start, {_lag_sql(chr(34) + "open" + chr(34), 1)} AS o, {_lag_sql("high", 1)} AS h, {_lag_sql("low", 1)} AS l, {_lag_sql(_C, 1)} AS c FROM b)')
+
+
+def _months(spark: SparkSession, d: str) -> DataFrame:
+    return B.bars(V.trades(spark, d), "1M")
+
+
+_LEVELS = {
+    "Classic": ("(h + l + c) / 3.0::DOUBLE", {"S3": "p - 2 * (h - l)", "S2": "p - (h - l)", "S1": "2 * p - h", "Middle": "p", "R1": "2 * p - l", "R2": "p + (h - l)", "R3": "p + 2 * (h - l)"}),
+    "Fibonacci": ("(h + l + c) / 3.0::DOUBLE", {"S3": "p - (h - l)", "S2": "p - 0.618::DOUBLE * (h - l)", "S1": "p - 0.382::DOUBLE * (h - l)", "Middle": "p", "R1": "p + 0.382::DOUBLE * (h - l)", "R2": "p + 0.618::DOUBLE * (h - l)", "R3": "p + (h - l)"}),
+    "Camarilla": ("(h + l + c) / 3.0::DOUBLE", {"Middle": "p"} | {f"{s}{i}": f"c {o} 1.1::DOUBLE * (h - l) / {n}" for s, o in (("S", "-"), ("R", "+")) for i, n in ((1, 12), (2, 6), (3, 4))}),
+    "Woodie": ("(h + l + 2 * c) / 4.0::DOUBLE", {"S3": "l - 2 * (h - p)", "S2": "p - (h - l)", "S1": "2 * p - h", "Middle": "p", "R1": "2 * p - l", "R2": "p + (h - l)", "R3": "h + 2 * (p - l)"}),
+    "Demark": ("CASE WHEN c < o THEN h + 2 * l + c WHEN c > o THEN 2 * h + l + c ELSE h + l + 2 * c END", {"S1": "p / 2.0::DOUBLE - h", "Middle": "p / 4.0::DOUBLE", "R1": "p / 2.0::DOUBLE - l"}),
+}
+for _kind, (_p, _levels) in _LEVELS.items():
+    _names = [f"Pivot.M.{_kind}.{k}" for k in _levels]
+    _sql = "SELECT symbol, bar_start, " + ", ".join(f'{v} AS "Pivot.M.{_kind}.{k}"' for k, v in _levels.items()) + f" FROM (SELECT *, {_p} AS p FROM m) WHERE TRUE"
+    if _kind == "Demark":
+        _sql = _sql.replace("FROM m)", "FROM m WHERE h IS NOT NULL)") + f' UNION ALL SELECT symbol, bar_start, NULL, NULL, NULL FROM m WHERE h IS NULL'
+    _indicator(f"ind_pivot_{_kind.lower()}", _names, lambda m, k=_kind: I.pivots(m, k), _sql, _months, MONTHS)
+
+DAYS = (V.TRADES_SQL, _bars_sql("1d", "trades"))
+_PERF = {"Perf.W": 7, "Perf.1M": 30, "Perf.3M": 91, "Perf.6M": 182, "Perf.Y": 365}
+_PERF_SQL = ", ".join(f'100 * ("close" - a{n}) / a{n} AS "{k}"' for k, n in _PERF.items())
+_ANCHORS = ", ".join(f'last("close") OVER ({_W} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {n} DAYS PRECEDING) AS a{n}' for n in _PERF.values())
+_PERF_NAMES = ["change", "change_abs", "change_from_open", "price_52_week_high", "price_52_week_low", *_PERF, "Volatility.D", "Volatility.W", "Volatility.M"]
+_indicator(
+    "performance_daily",
+    _PERF_NAMES,
+    I.performance,
+    f"""SELECT symbol, bar_start, change, change_abs, change_from_open, price_52_week_high, price_52_week_low, {_PERF_SQL}, "Volatility.D",
+CASE WHEN count(change) OVER {_frame(5)} = 5 THEN stddev_samp(change) OVER {_frame(5)} END AS "Volatility.W", CASE WHEN count(change) OVER {_frame(21)} = 21 THEN stddev_samp(change) OVER {_frame(21)} END AS "Volatility.M"
+FROM (SELECT *, "close" - p AS change_abs, 100 * ("close" - p) / p AS change, 100 * ("close" - "open") / "open" AS change_from_open, 100 * (high - low) / low AS "Volatility.D",
+max(high) OVER ({_W} RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW) AS price_52_week_high, min(low) OVER ({_W} RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW) AS price_52_week_low, {_ANCHORS}
+FROM (SELECT *, {_lag_sql(_C, 1)} AS p FROM b))""",
+    lambda spark, d: B.bars(V.trades(spark, d), "1d"),
+    DAYS,
+)
+
+# --- feeds -------------------------------------------------------------------------------------
+for _sort, (_key, _down) in feeds.NEWS_SORTS.items():
+    _add(f"headlines_{_sort}", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d), sort=s).limit(100), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id LIMIT 100", V.HEADLINES_SQL)
+_add("headlines_filtered", lambda spark, d: feeds.headlines(V.headlines(spark, d), provider="src3", language="en", area=2), "SELECT * FROM headlines WHERE provider = 'src3' AND language = 'en' AND area_no = 2", V.HEADLINES_SQL)
+_add("story_extract", lambda spark, d: stories.stories(V.read(spark, d, "pages")).select("page_id", q("story")["title"].alias("title"), F.size(q("story")["body"]).alias("blocks")))
+_add("ideas_pages", lambda spark, d: feeds.ideas(V.posts(spark, d), start=2, end=3), "SELECT * FROM posts ORDER BY total_likes DESC, uid LIMIT 40 OFFSET 20", V.POSTS_SQL)
+_add("minds_recent", lambda spark, d: feeds.minds(V.posts(spark, d)), "SELECT *, created AS sort_key FROM posts ORDER BY sort_key DESC, uid LIMIT 50", V.POSTS_SQL)
+_add("minds_popular", lambda spark, d: feeds.minds(V.posts(spark, d), "nasdaq:c3", sort="popular", limit=200), "SELECT *, total_likes + total_comments AS sort_key FROM posts WHERE symbol = 'NASDAQ:C3' ORDER BY sort_key DESC, uid LIMIT 200", V.POSTS_SQL)
+_add(
+    "minds_page_2",
+    lambda spark, d: (lambda p: (lambda last: feeds.minds(p, sort="popular", after=(last["sort_key"], last["uid"])))(feeds.minds(p, sort="popular").collect()[-1]))(V.posts(spark, d)),
+    "SELECT *, total_likes + total_comments AS sort_key FROM posts ORDER BY sort_key DESC, uid LIMIT 50 OFFSET 50",
+    V.POSTS_SQL,
+)
+_add("minds_engagement", lambda spark, d: V.posts(spark, d).groupBy("symbol").agg(F.sum("total_likes").alias("likes"), F.sum("total_comments").alias("comments")), "SELECT symbol, CAST(sum(total_likes) AS BIGINT) AS likes, CAST(sum(total_comments) AS BIGINT) AS comments FROM posts GROUP BY symbol", V.POSTS_SQL)
+_add("indicator_search", lambda spark, d: feeds.search_indicators(V.read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("author")), "BRAND#1"), "SELECT p_partkey, p_name AS name, p_brand AS author FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1')")
+
+# --- frames and quotes -------------------------------------------------------------------------
+
+
+def _quote_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a framed quote packet that carries one field; every tenth message is a heartbeat."""
+    e = V.read(spark, d, "events")
+    field = F.when(F.col("event_id") % 3 == 0, "lp").when(F.col("event_id") % 3 == 1, "ch").otherwise("volume")
+    body = F.concat(F.lit('{"m":"qsd","p":["qs_1",{"n":"'), "event_type", F.lit('","s":"ok","v":{"'), field, F.lit('":"'), F.col("event_id").cast("string"), F.lit('"}}]}'))
+    text = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("~m~4~m~~h~"), (F.col("event_id") % 10).cast("string"))).otherwise(frames.frame(body))
+    return e.select(F.col("event_id").alias("seq"), text.alias("message"))
+
+
+_FIELD = "CASE event_id % 3 WHEN 0 THEN 'lp' WHEN 1 THEN 'ch' ELSE 'volume' END"
+_add(
+    "frames_decode",
+    lambda spark, d: frames.quotes(frames.decode(_quote_messages(spark, d))),
+    f"SELECT event_id AS seq, event_type AS symbol, {_FIELD} AS field, CAST(event_id AS VARCHAR) AS value FROM events WHERE event_id % 10 <> 9",
+)
+_add(
+    "quote_last_state",
+    lambda spark, d: frames.quote_state(frames.quotes(frames.decode(_quote_messages(spark, d)))),
+    f"SELECT event_type AS symbol, {_FIELD} AS field, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 10 <> 9 GROUP BY 1, 2",
+)
+
+
+def _stream_bars(spark: SparkSession, d: str) -> DataFrame:
+    """4h bars through a stream that has taken all files there are."""
+    import uuid
+
+    name = f"bars_{uuid.uuid4().hex}"
+    return live.run_once(live.live_bars(live.tick_stream(spark, d), "4h"), name).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+
+
+_add("stream_bars_4h", _stream_bars, "SELECT * FROM b", *BARS4)
+_add(
+    "tick_sessions",
+    lambda spark, d: live.sessions(V.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp")), "20 minutes").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("start", "end")}),
+    """SELECT symbol, min(ts) AS "start", max(ts) + INTERVAL 20 MINUTE AS "end", count(*) AS n FROM (
+SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM (SELECT *, CASE WHEN ts - lag(ts) OVER (PARTITION BY symbol ORDER BY ts) < INTERVAL 20 MINUTE THEN 0 ELSE 1 END AS new FROM ticks)) GROUP BY symbol, g""",
+    V.TICKS_SQL,
+)
+
 
-def queries() -> dict:
-    return {}
+def queries() -> dict[str, Query]:
+    return dict(_QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_SQL)
