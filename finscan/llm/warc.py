@@ -193,7 +193,7 @@ def members(chunks: Iterator[bytes]) -> Iterator[bytes]:
             if z.eof:
                 yield b"".join(parts)
                 z, parts = zlib.decompressobj(31), []
-    if any(parts):
+    if parts:
         raise ValueError("the archive ends inside a record")
 
 
