@@ -88,3 +88,20 @@ def positional(replies: DataFrame, columns: list[str], kinds: dict[str, str] | N
     rows = replies.withColumn("__d", values).where(F.size("__d") > 0)
     get = lambda i, c: F.get("__d", F.lit(i)).try_cast((kinds or {}).get(c, "string")).alias(c)
     return rows.select(F.col("s").alias("symbol"), *(get(i, c) for i, c in enumerate(columns)))
+
+
+def bounded(packets: DataFrame, candles_wanted: int, most: int = 17, order: str = "seq") -> DataFrame:
+    """Packets up to the one that completes the wanted number of candles, and at most ``most`` messages.
+
+    The cut is the sequence number of the first chart packet with enough candles, found by a minimum.
+    """
+    enough = candles(packets, order).where(F.col("m") == "timescale_update").groupBy(order).agg(F.count("*").alias("n")).where(F.col("n") >= candles_wanted)
+    cut = enough.agg(F.min(order).alias("__last"))
+    first = packets.agg(F.min(order).alias("__first"))
+    limits = cut.crossJoin(first).select(F.least(F.coalesce("__last", F.col("__first") + most - 1), F.col("__first") + most - 1).alias("__limit"))
+    return packets.crossJoin(F.broadcast(limits)).where(F.col(order) <= F.col("__limit")).drop("__limit")
+
+
+def missing_studies(requested: DataFrame, received: DataFrame) -> DataFrame:
+    """Requested indicators (column indicator) of which nothing has come."""
+    return requested.join(received.select("indicator").distinct(), "indicator", "left_anti")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -86,3 +87,71 @@ def stories(pages: DataFrame, html: str = "html") -> DataFrame:
         return pd.DataFrame([story(h) for h in column], columns=["title", "published", "breadcrumbs", "body", "tags", "related"])
 
     return pages.withColumn("story", parse(html))
+
+
+CARD = "title string, paragraph string, preview_image string, author string, comments_count int, boosts_count int, published string, is_updated boolean, strategy string"
+
+
+class _Card(HTMLParser):
+    """An idea card: its parts are told by the beginning of their class names."""
+
+    TEXTS = {"title-": "title", "paragraph-": "paragraph", "card-author-": "author", "ellipsisContainer": "comments", "publication-date-": "shown"}
+
+    def __init__(self):
+        super().__init__(convert_charrefs=True)
+        self.found: dict[str, str] = {}
+        self.open: list[tuple[str, str]] = []
+
+    def handle_starttag(self, tag, attrs):
+        a = {k: v or "" for k, v in attrs}
+        names = a.get("class", "").split()
+        part = next((p for n in names for start, p in self.TEXTS.items() if n.startswith(start)), None)
+        if part and part not in self.found:
+            self.found[part] = ""
+            self.open.append((tag, part))
+        if tag == "img" and "image" not in self.found:
+            self.found["image"] = a.get("src", "")
+        if tag == "time" and part == "shown":
+            self.found["published"] = a.get("datetime", "")
+        if any(n.startswith("boostButton-") for n in names):
+            self.found["boosts"] = a.get("aria-label", "")
+        if any(n.startswith("idea-strategy-icon-") for n in names):
+            self.found["strategy"] = a.get("title", "")
+
+    def handle_endtag(self, tag):
+        if self.open and self.open[-1][0] == tag:
+            self.open.pop()
+
+    def handle_data(self, data):
+        for _, part in self.open:
+            self.found[part] += data
+
+
+def card(html: str | None) -> dict:
+    """The fields of a card; missing ones are null, missing counts 0."""
+    parser = _Card()
+    parser.feed(html or "")
+    f = {k: " ".join(v.split()) for k, v in parser.found.items()}
+    count = lambda text: int(m[0]) if (m := re.match(r"\d+", text)) else 0
+    author = f.get("author")
+    return {
+        "title": f.get("title"),
+        "paragraph": f.get("paragraph"),
+        "preview_image": f.get("image"),
+        "author": author.removeprefix("by").strip() if author else None,
+        "comments_count": count(f.get("comments", "")),
+        "boosts_count": count(f.get("boosts", "")),
+        "published": f.get("published"),
+        "is_updated": bool(f.get("shown")),
+        "strategy": f.get("strategy"),
+    }
+
+
+def cards(pages: DataFrame, html: str = "html") -> DataFrame:
+    """pages with a struct column card."""
+
+    @F.pandas_udf(CARD)
+    def parse(column: pd.Series) -> pd.DataFrame:
+        return pd.DataFrame([card(h) for h in column], columns=[x.split()[0] for x in CARD.split(", ")])
+
+    return pages.withColumn("card", parse(html))

@@ -12,6 +12,25 @@ POST_SORTS = ("recent", "popular", "trending")
 IDEA_SORTS = ("popular", "recent")
 
 
+NEWS_SECTIONS = ("all", "esg", "financial_statement", "press_release")
+
+
+def check_request(*, symbol: str | None = None, exchange: str | None = None, provider: str | None = None, area: str | None = None, section: str = "all", sort: str = "latest", language: str = "en", exchanges=None) -> dict:
+    """A news request whose parts are all supported; exchanges are those of the instrument table, if given."""
+    if not exchange:
+        raise ValueError("an exchange is needed, with or without a symbol")
+    if exchanges is not None:
+        C.checked(exchange, exchanges, "exchange")
+    if provider:
+        C.checked(provider, C.PROVIDERS, "provider")
+    if area:
+        C.checked(area, C.AREAS, "area")
+    C.checked(section, NEWS_SECTIONS, "section")
+    C.checked(sort, NEWS_SORTS, "sort")
+    C.checked(language, C.LANGUAGES, "language")
+    return {"symbol": symbol, "exchange": exchange, "provider": provider, "area": C.AREAS.get(area), "section": section, "sort": sort, "language": language}
+
+
 def headlines(news: DataFrame, *, sort: str = "latest", provider: str | None = None, language: str | None = None, area: int | None = None, ordinal: str = "id") -> DataFrame:
     """Headlines of a provider, language and area, sorted; ties keep the feed's order."""
     key, down = NEWS_SORTS[C.checked(sort, NEWS_SORTS, "sort")]

@@ -103,3 +103,24 @@ def test_exports(spark, tmp_path):
         export.export(df, str(tmp_path / "x"), "xml")
     with pytest.raises(ValueError):
         export.export_array(df.unionAll(df), str(tmp_path / "b.json"), limit=1)
+
+
+def test_idea_cards(spark):
+    html = '<article><a class="title-x1">A title</a><a class="paragraph-y">Some text</a><picture><img src="p.png"></picture><span class="card-author-z">by someone</span><span class="ellipsisContainer-q">12</span><button class="boostButton-a" aria-label="7 boosts"></button><time class="publication-date-b" datetime="2025-01-02">Jan 2</time><span class="idea-strategy-icon-c" title="Long"></span></article>'
+    df = spark.createDataFrame([(1, html), (2, None)], "id int, html string")
+    one, none = (r.card for r in stories.cards(df).orderBy("id").collect())
+    assert tuple(one) == ("A title", "Some text", "p.png", "someone", 12, 7, "2025-01-02", True, "Long")
+    assert tuple(none) == (None, None, None, None, 0, 0, None, False, None)
+
+
+def test_requests_and_snapshots(spark):
+    assert feeds.check_request(exchange="NASDAQ", area="asia")["area"] == "ASI"
+    for bad in ({}, {"symbol": "A"}, {"exchange": "X", "exchanges": ["Y"]}, {"exchange": "X", "provider": "p"}, {"exchange": "X", "area": "moon"}, {"exchange": "X", "section": "s"}, {"exchange": "X", "sort": "s"}, {"exchange": "X", "language": "xx"}):
+        with pytest.raises(ValueError):
+            feeds.check_request(**bad)
+    points = lambda n: {"sds_1": {"s": [{"i": i, "v": [1.0] * 6} for i in range(n)]}}
+    rows = [(i, packet("timescale_update", points(i))) for i in range(1, 30)]
+    packets = frames.decode(spark.createDataFrame(rows, "seq long, message string"))
+    assert frames.bounded(packets, 5).count() == 5 and frames.bounded(packets, 99).count() == 17
+    asked = spark.createDataFrame([("RSI",), ("CCI",)], "indicator string")
+    assert [r.indicator for r in frames.missing_studies(asked, asked.where("indicator = 'RSI'")).collect()] == ["CCI"]
