@@ -115,15 +115,17 @@ class Model:
     limits: np.ndarray
 
     def vectors(self, tallies: np.ndarray) -> np.ndarray:
-        v = np.log1p(tallies) * self.idf
-        norm = np.sqrt((v * v).sum(1, keepdims=True))
-        return v / np.where(norm > 0, norm, 1)
-
-    def cosines(self, tallies: np.ndarray) -> np.ndarray:
-        """The best cosine of each row with each language's centroids."""
+        v = np.log1p(tallies, dtype=np.float32)
+        v *= self.idf
+        norm = np.sqrt(np.einsum("ij,ij->i", v, v))[:, None]
+        v /= np.where(norm > 0, norm, 1)
+        return v
+
+    def cosines(self, vectors: np.ndarray) -> np.ndarray:
+        """The best cosine of each unit vector with each language's centroids."""
         if not self.languages:
-            return np.zeros((len(tallies), 0))
-        c = self.vectors(tallies) @ self.centroids.T
+            return np.zeros((len(vectors), 0))
+        c = vectors @ self.centroids.T
         return np.stack([c[:, self.owner == j].max(1) for j in range(len(self.languages))], 1)
 
 
@@ -152,17 +154,19 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
 def fit_arrays(labels: list[str], tallies: np.ndarray, letters: np.ndarray, *, centroids: int = CENTROIDS, slack: float = SLACK, least_letters: int = LEAST_LETTERS) -> Model:
     size = tallies.shape[1] if tallies.ndim == 2 else DIMENSIONS
     kept = letters > 0
-    labels, tallies, letters = [x for x, k in zip(labels, kept, strict=True) if k], tallies[kept], letters[kept]
+    if not kept.all():
+        labels, tallies, letters = [x for x, k in zip(labels, kept, strict=True) if k], tallies[kept], letters[kept]
     languages = tuple(sorted(set(labels)))
-    idf = np.log((1 + len(labels)) / (1 + (tallies > 0).sum(0))) + 1 if len(labels) else np.ones(size)
-    model = Model(languages, idf, np.zeros((0, size)), np.zeros(0, np.int64), np.zeros(0))
+    idf = np.log((1 + len(labels)) / (1 + np.count_nonzero(tallies, axis=0))) + 1 if len(labels) else np.ones(size)
+    idf = idf.astype(np.float32)
+    model = Model(languages, idf, np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(0))
     if not languages:
         return model
     v, own = model.vectors(tallies), np.array([languages.index(x) for x in labels])
     parts = [_kmeans(v[own == j], centroids) for j in range(len(languages))]
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
     model = Model(languages, idf, np.concatenate(parts), owner, np.zeros(len(languages)))
-    best = model.cosines(tallies)
+    best = model.cosines(v)
     limits = []
     for j in range(len(languages)):
         seen = best[(own == j) & (letters >= least_letters), j]
@@ -197,14 +201,14 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
                 yield pa.RecordBatch.from_arrays([b.column("lang").slice(first, len(raw)), pa.array(raw, pa.binary()), pa.array(letters, pa.int64())], ["lang", "tally", "letters"])
 
     got = texts.mapInArrow(run, "lang string, tally binary, letters long").toArrow().sort_by([("lang", "ascending"), ("tally", "ascending")])
-    tallies = np.array([np.frombuffer(x, np.float32) for x in got.column("tally").to_pylist()], np.float64).reshape(-1, dimensions)
+    tallies = np.frombuffer(b"".join(x.as_buffer() for x in got.column("tally")), np.float32).reshape(-1, dimensions)
     return fit_arrays(got.column("lang").to_pylist(), tallies, np.array(got.column("letters").to_pylist(), np.int64), **options)
 
 
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
     names, scores, rejected = [], [], []
     for _, tally, letters in counts(texts, len(model.idf)):
-        best = model.cosines(tally)
+        best = model.cosines(model.vectors(tally))
         for row, n in zip(best, letters, strict=True):
             if n == 0 or not len(row):
                 names.append(UNDETERMINED)
