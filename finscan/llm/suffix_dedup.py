@@ -20,9 +20,9 @@ smallest hash. And all starts that share an anchor lie side by side. So
    but the first occurrence are covered;
 4. the covered starts of each document are joined with its text.
 
-Buckets are as many as grow with the number of shuffle partitions; equal contexts are folded in
-each batch before any shuffle, so copies of a passage do not pile up in its bucket, whatever their
-number. What is left of a hot anchor are the contexts at the passage's ends that differ.
+There is one bucket for each shuffle partition, numbered so that each partition gets one; equal
+contexts are folded in each batch before any shuffle, so copies of a passage do not pile up in its
+bucket, whatever their number. What is left of a hot anchor are the contexts at the passage's ends that differ.
 
 Defined results: a null text is an empty one; texts shorter than ``length`` lose nothing; repeated
 rows of one id are documents of their own, in the order of a hash of their texts; a null id counts
@@ -47,7 +47,7 @@ LENGTH = 100
 CHUNK = 1 << 17
 BATCH_BYTES = 16 << 20
 SUB = 40
-BUCKETS, TEXT_BUCKETS = 4, 4
+HELD = 1 << 20
 U = np.uint64
 BASE = 0x9E3779B97F4A7C15 | 1
 MASK = (1 << 64) - 1
@@ -183,11 +183,31 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
-def _text_bucket(docs: np.ndarray, n: int) -> np.ndarray:
-    return (_mix(docs.astype(np.uint64)) % U(n)).astype(np.int64)
+def placed(parts: int) -> np.ndarray:
+    """For each of parts partitions the smallest number that Spark's hash (Murmur3, seed 42) deals to it."""
+    out = np.full(parts, -1, np.int64)
+    low, step = 0, 16 * parts
+    u = np.uint32
+    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
+    while (out < 0).any():
+        n = np.arange(low, low + step, dtype=np.int64)
+        h = u(42) ^ turn(n.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
+        h = (turn(h, 13) * u(5) + u(0xE6546B64)) ^ u(4)
+        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
+        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
+        h ^= h >> u(16)
+        at, first = np.unique(h.view(np.int32).astype(np.int64) % parts, return_index=True)
+        new = out[at] < 0
+        out[at[new]] = n[first[new]]
+        low += step
+    return out
+
+
+def _bucket(values: np.ndarray, buckets: np.ndarray) -> np.ndarray:
+    return buckets[(_mix(values.astype(np.uint64)) % U(len(buckets))).astype(np.int64)]
 
 
-def _finder(length: int, buckets: int, text_buckets: int):
+def _finder(length: int, buckets: np.ndarray):
     """Step 1: anchors of a task's texts, and the spans its own batches settle."""
 
     def batch_rows(texts: list[bytes], docs: np.ndarray, subs: np.ndarray) -> Iterator[tuple[int, int, bytes]]:
@@ -207,9 +227,9 @@ def _finder(length: int, buckets: int, text_buckets: int):
         at = at + (subs[number] << SUB)
         doc = docs[number]
         old = ~new
-        for b, p in _dealt(_text_bucket(doc[old], text_buckets), doc[old], at[old], n[old]):
-            yield b % buckets, SPANS, b.to_bytes(4, "little") + p
-        for b, p in _dealt((h[new] % U(buckets)).astype(np.int64), h[new], c[new], doc[new], at[new], n[new]):
+        if old.any():
+            yield int(_bucket(doc[old][:1], buckets)[0]), SPANS, _packed(doc[old], at[old], n[old])
+        for b, p in _dealt(_bucket(h[new], buckets), h[new], c[new], doc[new], at[new], n[new]):
             yield b, ANCHORS, p
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,12 +272,36 @@ def _place(at: np.ndarray) -> np.ndarray:
     return at.astype(np.int64)
 
 
-def _settler(text_buckets: int):
+class _Outbox:
+    """Rows of columns by kind, dealt by text bucket once enough are held: a task sends few, large payloads."""
+
+    def __init__(self, buckets: np.ndarray):
+        self.buckets, self.held, self.columns = buckets, 0, {}
+
+    def add(self, kind: int, doc_at: int, *columns: np.ndarray) -> None:
+        if len(columns[0]):
+            self.columns.setdefault((kind, doc_at), []).append(columns)
+            self.held += len(columns[0])
+
+    def rows(self, *, all_: bool = False) -> Iterator[pa.RecordBatch]:
+        if self.held < HELD and not all_:
+            return
+        out = []
+        for (kind, doc_at), parts in self.columns.items():
+            columns = [np.concatenate([p[j] for p in parts]) for j in range(len(parts[0]))]
+            out += [(b, kind, p) for b, p in _dealt(_bucket(columns[doc_at], self.buckets), *columns)]
+        self.columns, self.held = {}, 0
+        if out:
+            yield _rows(out)
+
+
+def _settler(text_buckets: np.ndarray):
     """Step 2: spans of repeated contexts, and the contexts that must be looked at, dealt by text."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = _Outbox(text_buckets)
         for _, rows in _by_bucket(batches):
-            out = [(int.from_bytes(p[:4], "little"), SPANS, p[4:]) for kind, p in rows if kind == SPANS]
+            box.add(SPANS, 0, *_joined([p for kind, p in rows if kind == SPANS], 3))
             h, c, doc, at, n = _joined([p for kind, p in rows if kind == ANCHORS], 5)
             if len(h):
                 order = np.lexsort((_place(at), _place(doc), c, h))
@@ -267,10 +311,10 @@ def _settler(text_buckets: int):
                 group = np.cumsum(new_h) - 1
                 open_ = new & (np.bincount(group, weights=new)[group] > 1)
                 old = ~new
-                out += [(b, SPANS, p) for b, p in _dealt(_text_bucket(doc[old], text_buckets), doc[old], at[old], n[old])]
-                out += [(b, CONTEXTS, p) for b, p in _dealt(_text_bucket(doc[open_], text_buckets), h[open_], doc[open_], at[open_], n[open_])]
-            if out:
-                yield _rows(out)
+                box.add(SPANS, 0, doc[old], at[old], n[old])
+                box.add(CONTEXTS, 1, h[open_], doc[open_], at[open_], n[open_])
+            yield from box.rows()
+        yield from box.rows(all_=True)
 
     return run
 
@@ -296,7 +340,7 @@ def _texts_of(left: pa.Table) -> dict[tuple[int, int], pa.Scalar]:
     return {(d, s): t for d, s, t in zip(left.column("doc").to_pylist(), left.column("sub").to_pylist(), left.column("text"), strict=True)}
 
 
-def _cutter(length: int, buckets: int):
+def _cutter(length: int, buckets: np.ndarray):
     """Step 3a: the bytes of contexts, dealt by anchor; the spans so far, united."""
 
     def run(left: pa.Table, right: pa.Table) -> pa.Table:
@@ -304,12 +348,11 @@ def _cutter(length: int, buckets: int):
         kinds, payloads = right.column("kind").to_pylist(), right.column("payload").to_pylist()
         doc, at, n = map(_place, _joined([p for k, p in zip(kinds, payloads, strict=True) if k == SPANS], 3))
         if len(doc):
-            bucket = right.column("bucket")[0].as_py()
             d, low, high = _united(doc, at, at + n)
-            rows.append((bucket % buckets, SPANS, bucket.to_bytes(4, "little") + _packed(d, low, high - low)))
+            rows.append((int(_bucket(d[:1], buckets)[0]), SPANS, _packed(d, low, high - low)))
         h, doc, at, n = _joined([p for k, p in zip(kinds, payloads, strict=True) if k == CONTEXTS], 4)
         if len(h):
-            bucket = (h % U(buckets)).astype(np.int64)
+            bucket = _bucket(h, buckets)
             order = np.lexsort((_place(at), _place(doc), bucket))
             h, doc, at, n, bucket = h[order], _place(doc)[order], _place(at)[order], _place(n)[order], bucket[order]
             texts, pieces, before = _texts_of(left), [], []
@@ -410,12 +453,13 @@ def later(order: np.ndarray, lcp: np.ndarray, least: int) -> np.ndarray:
     return np.unique(members[members != np.minimum.reduceat(members, begin)[owner]])
 
 
-def _scanner(length: int, text_buckets: int):
+def _scanner(length: int, text_buckets: np.ndarray):
     """Step 3b: covered starts from the intervals of each bucket's enhanced suffix array."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        box = _Outbox(text_buckets)
         for _, rows in _by_bucket(batches):
-            out = [(int.from_bytes(p[:4], "little"), SPANS, p[4:]) for kind, p in rows if kind == SPANS]
+            box.add(SPANS, 0, *_joined([p for kind, p in rows if kind == SPANS], 3))
             heads, data = [], []
             for kind, p in rows:
                 if kind != CONTEXTS:
@@ -428,9 +472,9 @@ def _scanner(length: int, text_buckets: int):
                 h, doc, at, n = (np.concatenate([x[j] for x in heads]) for j in range(4))
                 doc, low = covered(h, _place(doc), _place(at), _place(n), np.frombuffer(b"".join(data), np.uint8), length)
                 d, low, high = _united(doc, low, low + 1)
-                out += [(b, SPANS, p) for b, p in _dealt(_text_bucket(d, text_buckets), d, low, high - low)]
-            if out:
-                yield _rows(out)
+                box.add(SPANS, 0, d.view(np.uint64), low.view(np.uint64), (high - low).view(np.uint64))
+            yield from box.rows()
+        yield from box.rows(all_=True)
 
     return run
 
@@ -524,20 +568,20 @@ def removed_spans(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "t
     """
     spark = docs.sparkSession
     parts = partitions(spark)
-    buckets, text_buckets = BUCKETS * parts, TEXT_BUCKETS * parts
+    buckets = placed(parts)
     texts = _numbered(docs, id_col, text_col, list(carry))
-    found = texts.select("doc", "sub", "text").mapInArrow(_finder(length, buckets, text_buckets), ROW)
-    settled_ = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settler(text_buckets), ROW)
-    by_text = texts.mapInArrow(_bucketed(text_buckets), T.StructType([T.StructField("bucket", T.IntegerType()), *texts.schema.fields]))
+    found = texts.select("doc", "sub", "text").mapInArrow(_finder(length, buckets), ROW)
+    settled_ = found.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_settler(buckets), ROW)
+    by_text = texts.mapInArrow(_bucketed(buckets), T.StructType([T.StructField("bucket", T.IntegerType()), *texts.schema.fields]))
     contexts = by_text.groupBy("bucket").cogroup(settled_.groupBy("bucket")).applyInArrow(_cutter(length, buckets), ROW)
-    scanned = contexts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_scanner(length, text_buckets), ROW)
+    scanned = contexts.repartition(parts, "bucket").sortWithinPartitions("bucket").mapInArrow(_scanner(length, buckets), ROW)
     return by_text.groupBy("bucket").cogroup(scanned.groupBy("bucket")).applyInArrow(_remover(length, kept), T.StructType([*T._parse_datatype_string(RESULT).fields, *texts.schema.fields[3:]]))
 
 
-def _bucketed(text_buckets: int):
+def _bucketed(buckets: np.ndarray):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            bucket = _text_bucket(b.column("doc").to_numpy(), text_buckets)
+            bucket = _bucket(b.column("doc").to_numpy(), buckets)
             yield pa.RecordBatch.from_arrays([pa.array(bucket, pa.int32()), *b.columns], ["bucket", *b.schema.names])
 
     return run

@@ -93,3 +93,10 @@ def test_suffix_array_intervals_and_maximal_repeats():
             if len(at) > 1 and (len(lefts) > 1 or None in lefts) and (len(rights) > 1 or None in rights):
                 maximal.add((len(s), at))
         assert got == maximal
+
+
+def test_buckets_are_dealt_one_to_a_partition(spark):
+    for parts in (1, 7, 211):
+        keys = S.placed(parts)
+        df = spark.createDataFrame([(int(k),) for k in keys], "k int")
+        assert [r[0] for r in df.select(F.pmod(F.hash("k"), F.lit(parts))).collect()] == list(range(parts))
