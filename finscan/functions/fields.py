@@ -61,7 +61,8 @@ TEXT_FIELDS = frozenset("name description type subtype exchange country sector i
 TIMEFRAMES = {"1m": "1", "5m": "5", "15m": "15", "30m": "30", "1h": "60", "2h": "120", "4h": "240", "1d": "", "1w": "1W", "1M": "1M"}
 WIDTHS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "2h": "2 hours", "4h": "4 hours", "1d": "1 day"}
 AREAS = {"world": "WLD", "americas": "AME", "europe": "EUR", "asia": "ASI", "oceania": "OCN", "africa": "AFR"}
-PROVIDERS = "the_block cointelegraph beincrypto newsbtc dow-jones cryptonews coindesk cryptoglobe tradingview zycrypto todayq cryptopotato u_today cryptobriefing coindar bitcoin_com".split()
+#: The feed's own house provider comes besides, as a parameter (feeds.check_request(house=...)).
+PROVIDERS = "the_block cointelegraph beincrypto newsbtc dow-jones cryptonews coindesk cryptoglobe zycrypto todayq cryptopotato u_today cryptobriefing coindar bitcoin_com".split()
 LANGUAGES = "en de fr es it pt ru ja ko ar hi sv tr th vi id fa ch ms el he".split()
 QUOTE_FIELDS = "ch chp current_session description local_description language exchange fractional is_tradable lp lp_time minmov minmove2 original_name pricescale pro_name short_name type update_mode volume currency_code rchp rtc".split()
 

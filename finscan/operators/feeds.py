@@ -15,14 +15,14 @@ IDEA_SORTS = ("popular", "recent")
 NEWS_SECTIONS = ("all", "esg", "financial_statement", "press_release")
 
 
-def check_request(*, symbol: str | None = None, exchange: str | None = None, provider: str | None = None, area: str | None = None, section: str = "all", sort: str = "latest", language: str = "en", exchanges=None) -> dict:
-    """A news request whose parts are all supported; exchanges are those of the instrument table, if given."""
+def check_request(*, symbol: str | None = None, exchange: str | None = None, provider: str | None = None, area: str | None = None, section: str = "all", sort: str = "latest", language: str = "en", exchanges=None, house: str | None = None) -> dict:
+    """A news request whose parts are all supported; exchanges are those of the instrument table, if given; house names the feed's own provider."""
     if not exchange:
         raise ValueError("an exchange is needed, with or without a symbol")
     if exchanges is not None:
         C.checked(exchange, exchanges, "exchange")
     if provider:
-        C.checked(provider, C.PROVIDERS, "provider")
+        C.checked(provider, [*C.PROVIDERS, house], "provider")
     if area:
         C.checked(area, C.AREAS, "area")
     C.checked(section, NEWS_SECTIONS, "section")

@@ -150,8 +150,8 @@ def posts(spark: SparkSession, folder: str) -> DataFrame:
         F.col("role").alias("username"),
         F.concat(F.lit("NASDAQ:C"), (F.col("conv_id") % 20).cast("string")).alias("symbol"),
         (F.col("conv_id") * 1000 + F.col("turn")).alias("created"),
-        (F.length("text") % 50).alias("total_likes"),
-        (F.length("text") % 7).alias("total_comments"),
+        (F.length("text") % 50).cast("long").alias("total_likes"),
+        (F.length("text") % 7).cast("long").alias("total_comments"),
     )
 
 

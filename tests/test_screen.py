@@ -129,7 +129,7 @@ def test_comparison_and_snapshots(table):
 
 def test_catalogue_sizes():
     assert (len(C.OVERVIEW_ALL), len(C.FUNDAMENTALS_ALL), len(C.INDICATORS), len(C.QUOTE_FIELDS), len(C.EARNINGS_CALENDAR)) == (66, 60, 81, 23, 22)
-    assert len(set(C.INDICATORS)) == 81 and len(C.TIMEFRAMES) == 10 and len(C.LANGUAGES) == 21 and len(C.PROVIDERS) == 16
+    assert len(set(C.INDICATORS)) == 81 and len(C.TIMEFRAMES) == 10 and len(C.LANGUAGES) == 21 and len(C.PROVIDERS) == 15
     assert not C.all_known([], C.AREAS) and C.all_known(["asia"], C.AREAS) and not C.all_known(["asia", "x"], C.AREAS)
 
 
