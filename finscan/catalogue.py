@@ -222,10 +222,12 @@ def _rounded(df: DataFrame, names: list[str], digits: int = 6) -> DataFrame:
 
 def _indicator(name: str, names: list[str], fn: Callable[[DataFrame], DataFrame], sql: str, source=_bars4, ctes=BARS4) -> None:
     """sql: a SELECT of symbol, bar_start and the names, not rounded."""
+    _INNER[name] = sql
     out = ", ".join(f'round("{n}" + {NUDGE!r}::DOUBLE, 6) + 0.0::DOUBLE AS "{n}"' for n in names)
     _add(name, lambda spark, d: _rounded(fn(source(spark, d)), names), f"SELECT symbol, bar_start, {out} FROM ({sql})", *ctes)
 
 
+_INNER: dict[str, str] = {}
 _W = "PARTITION BY symbol ORDER BY bar_start"
 
 
@@ -364,7 +366,43 @@ _add(
     *RECURSION,
 )
 _SQL["ohlc_join_indicator"] = _SQL["ohlc_join_indicator"].replace("WITH ", "WITH RECURSIVE ", 1)
-_add("ind_recommend", lambda spark, d: _rounded(I.all_indicators(_bars4(spark, d)), C.RATINGS))
+
+
+def _ratings_sql() -> str:
+    """Votes over the other indicators' statements, joined by bar."""
+    parts = ["ind_sma_all", "ind_stoch", "ind_cci20", "ind_ao", "ind_mom", "ind_wr", "ind_uo", "ind_ichimoku", "ind_vwma", "ind_hullma9", "ind_ema_all", "ind_rsi", "ind_macd", "ind_adx", "ind_bbpower", "ind_stoch_rsi"]
+    joined = "b " + " ".join(f"JOIN ({_INNER[n]}) USING (symbol, bar_start)" for n in parts)
+
+    def vote(good: str, bad: str) -> str:
+        return f"CASE WHEN {good} THEN 1 WHEN {bad} THEN -1 WHEN ({good}) IS NOT NULL AND ({bad}) IS NOT NULL THEN 0 END"
+
+    def mean(votes: list[str]) -> str:
+        return f"({' + '.join(f'coalesce({v}, 0)' for v in votes)}) / nullif(CAST({' + '.join(f'CASE WHEN ({v}) IS NULL THEN 0 ELSE 1 END' for v in votes)} AS DOUBLE), 0)"
+
+    def around(name: str, low: float, high: float, sign: int = 1) -> str:
+        below, above = f'"{name}" < {low}', f'"{name}" > {high}'
+        return vote(below, above) if sign > 0 else vote(above, below)
+
+    above = lambda n: vote(f'"close" > "{n}"', f'"close" < "{n}"')
+    turned = lambda n, low, high: vote(f'"{n}" < {low} AND "{n}" > "{n}[1]"', f'"{n}" > {high} AND "{n}" < "{n}[1]"')
+    trend = [above(f"{k}{n}") for n in (10, 20, 30, 50, 100, 200) for k in ("EMA", "SMA")] + [above(n) for n in ("Ichimoku.BLine", "VWMA", "HullMA9")]
+    other = [
+        turned("RSI", 30, 70),
+        vote('"Stoch.K" < 20 AND "Stoch.K" > "Stoch.D"', '"Stoch.K" > 80 AND "Stoch.K" < "Stoch.D"'),
+        turned("CCI20", -100, 100),
+        vote('"ADX" > 20 AND "ADX+DI" > "ADX-DI"', '"ADX" > 20 AND "ADX+DI" < "ADX-DI"'),
+        vote('"AO" > 0 AND "AO" > "AO[1]"', '"AO" < 0 AND "AO" < "AO[1]"'),
+        vote('"Mom" > "Mom[1]"', '"Mom" < "Mom[1]"'),
+        vote('"MACD.macd" > "MACD.signal"', '"MACD.macd" < "MACD.signal"'),
+        around("Stoch.RSI.K", 20, 80),
+        around("W.R", -80, -20),
+        around("BBPower", 0, 0, -1),
+        around("UO", 30, 70, -1),
+    ]
+    return f'SELECT symbol, bar_start, o AS "Recommend.Other", (o + m) / 2.0::DOUBLE AS "Recommend.All", m AS "Recommend.MA" FROM (SELECT symbol, bar_start, {mean(trend)} AS m, {mean(other)} AS o FROM {joined})'
+
+
+_recursive("ind_recommend", C.RATINGS, _ratings_sql(), I.all_indicators)
 _add("ind_latest_all", lambda spark, d: _rounded(I.latest(I.all_indicators(_bars4(spark, d))), [n for n in C.INDICATORS if not n.startswith("Pivot.")]))
 
 # --- pivots, performance -----------------------------------------------------------------------
