@@ -130,8 +130,18 @@ def _describe(words: int, runs: int, threshold: float, branch: float):
 DESCRIBED = "sig binary, node long, n int, sketch binary, paths array<struct<key:long,next:array<long>>>"
 
 
+STRIP = 256
+
+
 def _alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
-    """Which pairs may reach the threshold, by sizes and sketches."""
+    """Which pairs may reach the threshold, by sizes and sketches; strip by strip, so that only the answer is of full size."""
+    out = np.zeros((len(a), len(b)), bool)
+    for at in range(0, len(a), STRIP):
+        out[at : at + STRIP] = _alike_strip(a[at : at + STRIP], na[at : at + STRIP], b, nb, threshold)
+    return out
+
+
+def _alike_strip(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
     equal = np.zeros((len(a), len(b)), np.uint8)
     empty = np.zeros((len(a), len(b)), np.uint8)
     for j in range(BINS):
@@ -149,10 +159,10 @@ def _alike(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, thresho
 def _forest(linked: np.ndarray) -> np.ndarray:
     """The smallest member of each row's component, for a symmetric matrix."""
     n = len(linked)
-    label = np.arange(n)
+    label = np.arange(n, dtype=np.int32)
     while True:
-        new = np.where(linked, label[None, :], n).min(1, initial=n)
-        new = np.minimum(label, new)
+        near = [np.where(linked[at : at + STRIP], label[None, :], np.int32(n)).min(1, initial=n) for at in range(0, n, STRIP)]
+        new = np.minimum(label, np.concatenate(near).astype(np.int32)) if near else label
         new = new[new]
         if (new == label).all():
             return label
