@@ -7,7 +7,7 @@ token ids), and is written to the shared folder and read again before the next o
     near copies keeps the document of smallest id of each group of near copies
     passages    removes every byte of a 100-byte string that also starts earlier
     mixing      puts the documents in the order of the Pfair schedule of the target weights
-    tokens      encodes each text with the SentencePiece model
+    tokens      encodes each text with the SentencePiece model, and returns slot and place in the mix
 
 Rows of equal ids and texts are copies of each other, of which one stays. An empty table gives an
 empty table at every stage.
@@ -40,14 +40,20 @@ def passages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The documents in the order of the mix."""
+    """The documents in the order of the mix, which files do not keep: tokens() names each row's slot and place."""
     return pfair_mix.mix(docs)
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of each text, and whether they decode to it."""
-    found = sentencepiece_bpe.encode(docs.select("doc_id", "source", "lang", "text"), decode=True)
-    return found.select("doc_id", "source", "lang", "n_tokens", "token_ids", F.col("decoded").eqNullSafe(F.col("text")).alias("round_trip"))
+    """Token ids of each text, whether they decode to it, and the row's slot and place in the mix of docs.
+
+    The schedule reads its rows several times, so the encoded ones are written first.
+    """
+    tied = docs.select("doc_id", "source", "lang", "text", pfair_mix.tie(docs).alias("__mix_tie"))
+    found = sentencepiece_bpe.encode(tied, decode=True).withColumn("round_trip", F.col("decoded").eqNullSafe(F.col("text")))
+    names = ["doc_id", "source", "lang", "n_tokens", "token_ids", "round_trip"]
+    planned = pfair_mix.schedule(settled(found.select(*names, "__mix_tie"), "tokens"), tied_by=F.col("__mix_tie"))
+    return planned.select(*names, "slot", "place")
 
 
 STAGES = [("languages", languages), ("near copies", near_copies), ("passages", passages), ("mixing", mixing), ("tokens", tokens)]

@@ -66,8 +66,16 @@ def _by_stream(stream: Column, values: dict[str, Column]) -> Column:
     return out
 
 
-def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, prefix: str = "") -> DataFrame:
-    """docs with stream string, block long, place int (in the block) and slot long."""
+def tie(docs: DataFrame) -> Column:
+    """The hash that orders rows of equal ids."""
+    return F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
+
+
+def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, prefix: str = "", tied_by: Column | None = None) -> DataFrame:
+    """docs with stream string, block long, place int (in the block) and slot long.
+
+    Rows of equal ids are ordered by tied_by, or else by a hash of the row.
+    """
     weights = dict(weights or WEIGHTS)
     weights.setdefault(OTHERS, 1)
     own, total = _slots(weights), sum(weights.values())
@@ -83,7 +91,7 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col:
     counts = rows.groupBy(*group).agg(F.count("*").alias(tmp("n")))
     before = Window.partitionBy(n("stream")).orderBy(tmp("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*group, F.coalesce(F.sum(tmp("n")).over(before), F.lit(0)).alias(tmp("start")))
-    inside = Window.partitionBy(*group).orderBy(tmp("key"), id_col, F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t)))
+    inside = Window.partitionBy(*group).orderBy(tmp("key"), id_col, tie(docs) if tied_by is None else tied_by)
     rows = rows.withColumn(tmp("place"), F.row_number().over(inside))
     rows = rows.join(starts, group)
     at = F.col(tmp("start")) + F.col(tmp("place")) - 1

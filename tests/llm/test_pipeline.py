@@ -68,3 +68,25 @@ def test_run_and_odd_tables(spark, tmp_path):
     spark.createDataFrame([], "doc_id long, text string, lang string, source string, n_chars long").write.parquet(str(empty / "documents.parquet"))
     assert P.run(spark, str(empty)).count() == 0
     assert suffix_dedup.LENGTH == 100
+
+
+def test_run_returns_the_mix(spark):
+    """Slot and place in run()'s own output, against the schedule in plain code."""
+    got = P.run(spark, DATA).collect()
+    assert len({(r.slot, r.place) for r in got}) == len(got)
+    own, total = pfair_mix._slots(pfair_mix.WEIGHTS), sum(pfair_mix.WEIGHTS.values())
+    streams = {}
+    for r in got:
+        streams.setdefault(r.source if r.source in own else pfair_mix.OTHERS, []).append(r)
+    for s, rows in streams.items():
+        rows.sort(key=lambda r: (hashlib.md5(str(r.doc_id).encode()).hexdigest(), r.doc_id))
+        for at, r in enumerate(rows):
+            j, place = divmod(at, pfair_mix.BLOCK)
+            assert (r.slot, r.place) == (j // len(own[s]) * total + own[s][j % len(own[s])], place)
+
+
+def test_rows_of_one_id_keep_their_order_in_the_mix(spark):
+    docs = spark.createDataFrame([(1, f"text {i}", "en", "src0", 6) for i in range(30)], "doc_id long, text string, lang string, source string, n_chars long")
+    own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
+    want = [own.encode(r.text) for r in P.mixing(spark, docs, DATA).collect()]
+    assert [r.token_ids for r in P.tokens(spark, docs, DATA).orderBy("slot", "place").collect()] == want
