@@ -5,10 +5,13 @@ word ends marked), weighted log(1 + tf) * idf and scaled to unit length. Spheric
 several centroids for each language; a text gets the language of the centroid of highest cosine.
 
 The classifier (idf, centroids, limits) is fitted on at most ``sample`` labelled rows, dealt evenly
-over the languages and drawn by a hash of the id. Each language's limit is ``slack`` times the
-smallest cosine that its own sample texts of at least ``least_letters`` letters have: a text below
-it is farther from its language than anything seen and is rejected (``rejected``). Shorter texts
-say too little; they are rejected only if they share no n-gram with the language.
+over the languages and drawn by a hash of the id. A text is ``rejected`` if its cosine is below its
+language's limit for its number of letters. A limit is ``margin`` times a low quantile of the
+cosines that the language's own sample texts of about that length have; the smallest ones are left
+out, so a few wrongly labelled rows do not lower it, and centroids that hold only such rows do not
+count for it. Where
+the sample has too few texts so short, the limit of the next longer ones is scaled by the root of
+the length, as the cosine of a part of a text is. So texts of any length can be rejected.
 
 Prediction sees whole texts and nothing else, row by row, without a shuffle; a long text is counted
 in pieces cut at word ends, so that memory does not follow its length.
@@ -20,6 +23,7 @@ carried through; ``prefix`` keeps new names from clashing with them.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Iterator
 from dataclasses import dataclass
 from functools import lru_cache
@@ -35,8 +39,14 @@ from finscan.llm.shared import table
 DIMENSIONS = 2048
 SAMPLE = 4000
 CENTROIDS = 4
-SLACK = 0.5
-LEAST_LETTERS = 30
+#: The share of a language's texts whose cosines do not count for its limits, and the part of the next one that a text must reach.
+QUANTILE = 0.01
+MARGIN = 0.75
+#: Texts of about one length that a limit needs; limits are kept for the powers of 2 up to 2 ** LENGTHS letters.
+LEAST_TEXTS = 20
+LENGTHS = 24
+#: Centroids with a smaller share of their language's sample name languages, but do not keep a text from being rejected.
+LEAST_SHARE = 0.01
 PIECE = 1 << 18
 ROWS = 256
 UNDETERMINED = "und"
@@ -112,8 +122,14 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
+    #: centroids that hold enough of their language's sample
+    firm: np.ndarray
+    #: of each language, for texts of 1, 2, 4, ... letters
     limits: np.ndarray
 
+    def limit(self, language: int, letters: int) -> float:
+        return float(np.interp(np.log2(letters), np.arange(LENGTHS + 1), self.limits[language]))
+
     def vectors(self, tallies: np.ndarray) -> np.ndarray:
         v = np.log1p(tallies, dtype=np.float32)
         v *= self.idf
@@ -121,12 +137,13 @@ class Model:
         v /= np.where(norm > 0, norm, 1)
         return v
 
-    def cosines(self, vectors: np.ndarray) -> np.ndarray:
-        """The best cosine of each unit vector with each language's centroids."""
+    def cosines(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The best cosine of each unit vector with each language's centroids, and with its firm ones."""
         if not self.languages:
-            return np.zeros((len(vectors), 0))
+            return np.zeros((len(vectors), 0)), np.zeros((len(vectors), 0))
         c = vectors @ self.centroids.T
-        return np.stack([c[:, self.owner == j].max(1) for j in range(len(self.languages))], 1)
+        own = [self.owner == j for j in range(len(self.languages))]
+        return np.stack([c[:, x].max(1) for x in own], 1), np.stack([c[:, x & self.firm].max(1) for x in own], 1)
 
 
 def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
@@ -151,7 +168,29 @@ def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return c
 
 
-def fit_arrays(labels: list[str], tallies: np.ndarray, letters: np.ndarray, *, centroids: int = CENTROIDS, slack: float = SLACK, least_letters: int = LEAST_LETTERS) -> Model:
+def _limits(cosines: np.ndarray, letters: np.ndarray, margin: float) -> np.ndarray:
+    """The limit for each power of 2 of letters, from the cosines of a language's own texts."""
+    grid = np.arange(LENGTHS + 1)
+    length = np.log2(letters)
+    near = [np.sort(cosines[np.abs(length - g) <= 1]) for g in grid]
+    if max(map(len, near)) < LEAST_TEXTS:  # a small sample is judged as one
+        g = int(round(float(np.median(length))))
+        near[min(g, LENGTHS)] = np.sort(cosines)
+    least = min(LEAST_TEXTS, max(map(len, near)))
+    known = [g for g in grid if len(near[g]) >= least]
+    out = np.zeros(len(grid))
+    for g in known:
+        n = len(near[g])
+        out[g] = margin * near[g][max(1, int(QUANTILE * n)) if n >= LEAST_TEXTS else 0]
+    for g in range(known[-1] + 1, len(grid)):
+        out[g] = out[known[-1]]
+    for g in reversed(range(known[-1])):
+        if g not in known:
+            out[g] = out[g + 1] * math.sqrt(0.5)
+    return out
+
+
+def fit_arrays(labels: list[str], tallies: np.ndarray, letters: np.ndarray, *, centroids: int = CENTROIDS, margin: float = MARGIN) -> Model:
     size = tallies.shape[1] if tallies.ndim == 2 else DIMENSIONS
     kept = letters > 0
     if not kept.all():
@@ -159,19 +198,20 @@ def fit_arrays(labels: list[str], tallies: np.ndarray, letters: np.ndarray, *, c
     languages = tuple(sorted(set(labels)))
     idf = np.log((1 + len(labels)) / (1 + np.count_nonzero(tallies, axis=0))) + 1 if len(labels) else np.ones(size)
     idf = idf.astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(0))
+    model = Model(languages, idf, np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, LENGTHS + 1)))
     if not languages:
         return model
     v, own = model.vectors(tallies), np.array([languages.index(x) for x in labels])
     parts = [_kmeans(v[own == j], centroids) for j in range(len(languages))]
     owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    model = Model(languages, idf, np.concatenate(parts), owner, np.zeros(len(languages)))
-    best = model.cosines(v)
-    limits = []
-    for j in range(len(languages)):
-        seen = best[(own == j) & (letters >= least_letters), j]
-        limits.append(slack * float(seen.min()) if len(seen) else 0.0)
-    return Model(languages, idf, model.centroids, owner, np.array(limits))
+    firm = []
+    for j, part in enumerate(parts):
+        held = np.bincount((v[own == j] @ part.T).argmax(1), minlength=len(part))
+        firm.append((held >= LEAST_SHARE * held.sum()) | (held == held.max()))
+    model = Model(languages, idf, np.concatenate(parts), owner, np.concatenate(firm), np.zeros((len(languages), LENGTHS + 1)))
+    near = model.cosines(v)[1]
+    limits = [_limits(near[own == j, j], letters[own == j], margin) for j in range(len(languages))]
+    return Model(languages, idf, model.centroids, owner, model.firm, np.array(limits))
 
 
 def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dimensions: int = DIMENSIONS, **options) -> Model:
@@ -208,8 +248,8 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
     names, scores, rejected = [], [], []
     for _, tally, letters in counts(texts, len(model.idf)):
-        best = model.cosines(model.vectors(tally))
-        for row, n in zip(best, letters, strict=True):
+        best, near = model.cosines(model.vectors(tally))
+        for row, firm, n in zip(best, near, letters, strict=True):
             if n == 0 or not len(row):
                 names.append(UNDETERMINED)
                 scores.append(0.0)
@@ -219,7 +259,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
             score = float(min(1.0, max(0.0, row[j])))
             names.append(model.languages[j])
             scores.append(score)
-            rejected.append(score <= 0 or n >= LEAST_LETTERS and score < model.limits[j])
+            rejected.append(bool(score <= 0 or firm[j] < model.limit(j, n)))
     return names, scores, rejected
 
 

@@ -1,3 +1,6 @@
+import base64
+import random
+
 import numpy as np
 
 from finscan.llm import language_id as G
@@ -52,3 +55,21 @@ def test_the_sample_is_bounded(spark):
     df = spark.createDataFrame([(i, TEXTS["en" if i % 10 else "de"], "en" if i % 10 else "de") for i in range(400)], "doc_id long, text string, lang string")
     model = G.fit(df, ~G.held_out(), sample=40)
     assert model.languages == ("de", "en") and len(model.centroids) <= 8
+
+
+ITALIAN = "Nel mezzo del cammin di nostra vita mi ritrovai per una selva oscura che la diritta via era smarrita. Quanto a dir qual era è cosa dura questa selva selvaggia e aspra e forte che nel pensier rinova la paura. "
+
+
+def test_rejection_on_the_table(spark):
+    """Other languages and junk go, at any length, even with junk rows among the labelled; clean held-out texts stay."""
+    draw = random.Random(7)
+    base64s = [base64.b64encode(draw.randbytes(n)).decode() for n in (80, 300, 3000)]
+    consonants = [" ".join("".join(draw.choices("bcdfghjklmnpqrstvwxz", k=draw.randrange(3, 9))) for _ in range(n)) for n in (20, 100, 900)]
+    bad = [ITALIAN[:200], ITALIAN * 3, ITALIAN * 30, *base64s, *consonants, "中文文本测试一下这个语言识别模型是否能够拒绝", "Широка страна моя родная", "Litwo ojczyzno"]
+    docs = spark.read.parquet("/root/testdata/sf0.1/documents.parquet").select("doc_id", "text", "lang")
+    junk = spark.createDataFrame([(-1 - i, base64.b64encode(draw.randbytes(900)).decode(), "en") for i in range(3)], docs.schema)
+    for labelled in (docs, docs.unionByName(junk)):
+        model = G.fit(labelled, ~G.held_out())
+        assert G.predict(bad, model)[2] == [True] * len(bad)
+    held = [r.text for r in docs.where(G.held_out()).collect()]
+    assert sum(G.predict(held, model)[2]) <= 0.002 * len(held)
