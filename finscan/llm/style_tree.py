@@ -12,14 +12,16 @@ the base m gives the importance of a node:
 Branches of low importance are cut from every page of the host. Elements whose tag, role or class
 names them as something else than text (nav, footer, form, advert, comments, ...) are cut as well:
 on hosts of few pages there is nothing to compare. Where a page marks its article or main part,
-only that part counts, and paragraphs and headings inside it are never cut for being common.
+only that part counts, and paragraphs and headings inside it, and what encloses them there, are
+never cut for being common. Equal pages of a host count once: copies say nothing about what is
+common to its pages, and a branch is cut only if ``least_pages`` different pages have it.
 
 Counts are pre-aggregated by batch and by task and grouped by (host, node, text), so that a host
 with a third of all pages is dealt over all tasks. The table of low nodes is written out first; it
 is broadcast only if its size lets Spark do so, else joined by host with skew splitting.
 
 Defined results: a null or empty page, or one without text, has the text ''; a null or odd url
-belongs to the host ''; repeated rows count as pages of their own; other columns are dropped.
+belongs to the host ''; repeated rows each get their text; other columns are dropped.
 """
 
 from __future__ import annotations
@@ -62,7 +64,8 @@ NOISE_WORDS = frozenset(
 )
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
 MAIN_TAGS = frozenset(("article", "main"))
-PROSE = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote b strong i em u s a span small sub sup mark code q cite abbr time font tt kbd samp var ins del".split())
+PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
+PROSE = PARAGRAPHS | frozenset("b strong i em u s a span small sub sup mark code q cite abbr time font tt kbd samp var ins del".split())
 
 
 def _signed(n: int) -> int:
@@ -194,15 +197,25 @@ class Page:
                     return
                 return Page._close(stack, tags, until)
 
+    def _holders(self) -> set[_Node]:
+        """The nodes that enclose a paragraph or heading with text."""
+        out: set[_Node] = set()
+        for _, chain in self.blocks:
+            last = max((i for i, x in enumerate(chain) if x.tag in PARAGRAPHS), default=0)
+            if last and not chain[-1].noise:
+                out.update(chain[:last])
+        return out
+
     def text(self, low: frozenset[int] | set[int]) -> str:
         """Blocks that are left after branches of low importance and named noise are cut."""
         has_main = any(c[-1].main and not c[-1].noise for _, c in self.blocks)
+        holders = self._holders() if low and has_main else set()
         out = []
         for text, chain in self.blocks:
             last = chain[-1]
             if last.noise or has_main and not last.main:
                 continue
-            if low and any(_hash(x.path) in low for x in chain[1:] if not (x.tag in ("html", "body") or x.tag in MAIN_TAGS or has_main and (not x.main or x.tag in PROSE))):
+            if low and any(_hash(x.path) in low for x in chain[1:] if not (x.tag in ("html", "body") or x.tag in MAIN_TAGS or has_main and (not x.main or x.tag in PROSE or x in holders))):
                 continue
             out.append(text)
         return "\n".join(out)
@@ -252,8 +265,9 @@ def _hosted(pages: DataFrame, url_col: str, html_col: str):
 
 
 def node_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", decay: float = DECAY) -> DataFrame:
-    """(host, node, pages, styles, presentation, content, importance) of each node of the hosts' style trees."""
+    """(host, node, pages, styles, presentation, content, importance) of each node of the hosts' style trees, from different pages."""
     rows = _hosted(pages.select(F.col(url_col), F.col(html_col)), url_col, html_col).select("host", "html")
+    rows = rows.withColumn("page", F.md5(F.col("html").cast("binary"))).dropDuplicates(["host", "page"]).select("host", "html")
     counts = rows.mapInArrow(_count, COUNTS).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
     n, kind = F.col("n").cast("double"), F.col("kind")
     folded = F.sum(F.when(kind == STYLE, n * F.log(n))), F.sum(F.when(kind == CONTENT, n * F.log(n)))

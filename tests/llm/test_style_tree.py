@@ -62,3 +62,21 @@ def test_article_paragraphs_stay_however_common(spark):
 def test_long_page(spark):
     df = spark.createDataFrame([(1, "http://h/", "<article>" + "<p>word word</p>" * 30_000)], "page_id long, url string, html string")
     assert H.extract(df).first().n_chars == 30_000 * 10 - 1
+
+
+def test_copies_are_no_evidence(spark):
+    """A host of copies keeps its text, marked or not, and so do its few other pages."""
+    body = lambda words: f"<body><div class='x1'>{words}<ul><li>One item</ul></div></body>"
+    marked = lambda words: f"<body><article><div class='x2'><p>{words}</p></div><table><tr><td><p>Cell</p></table></article></body>"
+    rows = [(i, f"http://{h}/{i}", page("Same words" if i % 100 < 9 else "Other words")) for h, page, first in (("a", body, 0), ("b", marked, 100)) for i in range(first, first + 10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    assert [got[i] for i in range(10)] == ["Same words\nOne item"] * 9 + ["Other words\nOne item"]
+    assert [got[i] for i in range(100, 110)] == ["Same words\nCell"] * 9 + ["Other words\nCell"]
+
+
+def test_paragraphs_of_an_article_stay_in_containers(spark):
+    """Different pages with one paragraph in common; a list without paragraphs is still cut."""
+    page = lambda i: f"<body><article><h1>Title {i}</h1><div class='x1'><p>The same on all</p></div><ul class='x2'><li>Next</ul></article></body>"
+    df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
+    assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: f"Title {i}\nThe same on all" for i in range(6)}
