@@ -108,10 +108,11 @@ SYMBOL, OTHER = "NATION_3:", "symbol LIKE 'NATION_3:%'"
 
 
 def _snapshot(name: str, fields: list[str]) -> None:
-    """All symbols of one exchange, so that the query finds rows at any size of the tables."""
+    """All symbols of one exchange, so that the query finds rows at any size of the tables; _whole: all symbols."""
     own = {"name", "description", "type", "exchange", "country", "sector", "close", "change", "change_abs", "high", "low", "open", "volume", "market_cap_basic", "Volatility.D", "total_revenue", "net_income"}
     columns = ", ".join(f'"{f}"' if f in own else f"CAST(NULL AS {'VARCHAR' if f in C.TEXT_FIELDS else 'DOUBLE'}) AS \"{f}\"" for f in fields)
     _add(name, lambda spark, d: (lambda e: e._projected(e.table.where(q("exchange") == "NATION_3"), fields))(ScanEngine(V.issuers(spark, d))), f"SELECT symbol, {columns} FROM issuers WHERE exchange = 'NATION_3'", V.ISSUERS_SQL)
+    _add(f"{name}_whole", _issuers(lambda e: e.snapshots(fields)), f"SELECT symbol, {columns} FROM issuers", V.ISSUERS_SQL)
 
 
 for _view, _fields in C.OVERVIEW_VIEWS.items():
@@ -448,6 +449,7 @@ FROM (SELECT *, {_lag_sql(_C, 1)} AS p FROM b))""",
 # --- feeds -------------------------------------------------------------------------------------
 for _sort, (_key, _down) in feeds.NEWS_SORTS.items():
     _add(f"headlines_{_sort}", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d), sort=s).limit(100), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id LIMIT 100", V.HEADLINES_SQL)
+    _add(f"headlines_{_sort}_whole", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d, whole=True), sort=s), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id", V.WHOLE_HEADLINES_SQL)
 _add("headlines_filtered", lambda spark, d: feeds.headlines(V.headlines(spark, d), provider="src3", language="en", area=2), "SELECT * FROM headlines WHERE provider = 'src3' AND language = 'en' AND area_no = 2", V.HEADLINES_SQL)
 _add("story_extract", lambda spark, d: stories.stories(V.read(spark, d, "pages")).select("page_id", q("story")["title"].alias("title"), F.size(q("story")["body"]).alias("blocks")))
 _add("ideas_pages", lambda spark, d: feeds.ideas(V.posts(spark, d), start=2, end=3), "SELECT * FROM posts ORDER BY total_likes DESC, uid LIMIT 40 OFFSET 20", V.POSTS_SQL)

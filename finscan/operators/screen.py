@@ -103,7 +103,11 @@ class ScanEngine:
 
     def snapshot(self, symbol: str, fields=None) -> DataFrame:
         """One row of the fields of a symbol."""
-        return self._projected(self.table.where(q("symbol") == C.symbol_of(symbol)), fields or C.OVERVIEW_ALL)
+        return self.snapshots(fields).where(q("symbol") == C.symbol_of(symbol))
+
+    def snapshots(self, fields=None) -> DataFrame:
+        """One row of the fields of every symbol."""
+        return self._projected(self.table, fields or C.OVERVIEW_ALL)
 
     def overview(self, symbol: str, view: str) -> DataFrame:
         return self.snapshot(symbol, C.OVERVIEW_VIEWS[C.checked(view, C.OVERVIEW_VIEWS, "view")])

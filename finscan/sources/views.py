@@ -132,13 +132,14 @@ CALENDAR_SQL = """calendar AS (
   FROM orders LEFT JOIN (SELECT l_orderkey, min(l_shipdate) AS ship, max(l_discount) AS discount FROM lineitem GROUP BY 1) ON o_orderkey = l_orderkey)"""
 
 
-def headlines(spark: SparkSession, folder: str) -> DataFrame:
-    """Documents as news: provider, language, urgency by length, a publication time by id."""
+def headlines(spark: SparkSession, folder: str, *, whole: bool = False) -> DataFrame:
+    """Documents as news: provider, language, urgency by length, a publication time by id. Titles are the first 40 characters, or the whole text."""
     d = read(spark, folder, "documents")
-    return d.select(F.col("doc_id").alias("id"), F.substring("text", 1, 40).alias("title"), F.col("source").alias("provider"), F.col("lang").alias("language"), F.pmod("doc_id", F.lit(7)).alias("area_no"), (F.col("doc_id") * 7919 % 100003).alias("published"), (F.col("n_chars") % 5).alias("urgency"))
+    return d.select(F.col("doc_id").alias("id"), (F.col("text") if whole else F.substring("text", 1, 40)).alias("title"), F.col("source").alias("provider"), F.col("lang").alias("language"), F.pmod("doc_id", F.lit(7)).alias("area_no"), (F.col("doc_id") * 7919 % 100003).alias("published"), (F.col("n_chars") % 5).alias("urgency"))
 
 
 HEADLINES_SQL = """headlines AS (SELECT doc_id AS id, substr(text, 1, 40) AS title, source AS provider, lang AS language, doc_id % 7 AS area_no, doc_id * 7919 % 100003 AS published, n_chars % 5 AS urgency FROM documents)"""
+WHOLE_HEADLINES_SQL = HEADLINES_SQL.replace("substr(text, 1, 40)", "text")
 
 
 def posts(spark: SparkSession, folder: str) -> DataFrame:

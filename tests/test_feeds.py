@@ -5,10 +5,13 @@ import pytest
 from hypothesis import given
 from hypothesis import strategies as st
 
+from finscan import catalogue
 from finscan.functions import frames, stories
 from finscan.operators import feeds
 from finscan.sources import export
 
+DATA = "/root/testdata/sf0.001"
+
 
 def test_posts_keep_wall_clock_text(spark):
     raw = [("1", "t", "u", ("bob", "/u/bob", None), c, {"a": "NASDAQ:A"} if i else None, None, 2, None, True) for i, c in enumerate(["2025-01-02T03:04:05Z", "2025-01-02T03:04:05+02:00", "garbage", ""])]
@@ -124,3 +127,18 @@ def test_requests_and_snapshots(spark):
     assert frames.bounded(packets, 5).count() == 5 and frames.bounded(packets, 99).count() == 17
     asked = spark.createDataFrame([("RSI",), ("CCI",)], "indicator string")
     assert [r.indicator for r in frames.missing_studies(asked, asked.where("indicator = 'RSI'")).collect()] == ["CCI"]
+
+
+@pytest.mark.parametrize("sort", ["latest", "oldest", "most_urgent", "least_urgent"])
+def test_whole_headlines(spark, sort):
+    """All rows and whole titles, in the order of the feed."""
+    docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
+    got = catalogue.queries()[f"headlines_{sort}_whole"](spark, DATA).collect()
+    key, down = feeds.NEWS_SORTS[sort]
+    assert len(got) == len(docs) > 100 and all(r.title == docs[r.id].text for r in got)
+    assert [r.id for r in got] == [r.id for r in sorted(got, key=lambda r: (-r[key] if down else r[key], r.id))]
+
+
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if n.startswith(("overview_", "fundamentals_")) and n.endswith("_whole")))
+def test_whole_snapshots(spark, name):
+    assert catalogue.queries()[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
