@@ -4,6 +4,9 @@ import zlib
 
 import numpy as np
 import pytest
+from hypothesis import given, settings
+from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from finscan.llm import tiff as M
 
@@ -96,3 +99,92 @@ def test_damage_is_reported():
             M.read_tiff(bad)
     with pytest.raises(ValueError):
         M.write_tiff(b"abc")
+
+
+def patched(media: bytes, tag: int, value: int, *, count: int | None = None) -> bytes:
+    """media with one field of its first directory replaced."""
+    out = bytearray(media)
+    at, (n,) = 10, struct.unpack_from("<H", media, 8)
+    for i in range(n):
+        if struct.unpack_from("<H", media, at + 12 * i)[0] == tag:
+            if count is not None:
+                struct.pack_into("<I", out, at + 12 * i + 4, count)
+            struct.pack_into("<I", out, at + 12 * i + 8, value)
+    return bytes(out)
+
+
+def test_damaged_files_give_rows(spark):
+    payload = bytes(range(256)) * 40
+    good = M.write_tiff(payload, strip_rows=32)
+    where = struct.unpack_from("<I", good, 10 + 12 * [struct.unpack_from("<H", good, 10 + 12 * i)[0] for i in range(10)].index(279) + 8)[0]
+    bad = [
+        patched(good, 279, where, count=4),  # fewer sizes than places
+        patched(patched(good, 256, 2**32 - 1), 257, 2**32 - 1),
+        patched(good, 257, 10**6),
+        patched(good, 256, 0),
+        patched(good, 258, 8, count=2**32 - 1),
+        patched(good, 278, 2**32 - 1),
+        patched(good, 259, 5),
+        patched(M.write_tiff(payload, tile=32), 322, 2**31),
+    ]
+    for compression in M.ENCODERS:
+        media = M.write_tiff(payload, compression=compression, strip_rows=64, tile=None)
+        bad += [media[: len(media) - 30]]
+    two = M.write_tiff(payload, page_rows=80)
+    df = spark.createDataFrame([(i, b) for i, b in enumerate([*bad, good, two, two[:-20]])], "doc_id long, media binary")
+    got = M.decode_pages(df).orderBy("doc_id", F.col("page").asc_nulls_last()).collect()
+    for i in range(len(bad)):
+        mine = [r for r in got if r.doc_id == i]
+        assert len(mine) == 1 and mine[0].page is None and mine[0].error, (i, mine)
+    n = len(bad)
+    assert [(r.doc_id, r.page, r.error is None) for r in got if r.doc_id >= n] == [(n, 0, True), (n + 1, 0, True), (n + 1, 1, True), (n + 2, None, False)]
+
+
+@settings(max_examples=300, deadline=None)
+@given(st.data())
+def test_any_bytes_are_read_or_refused(data):
+    good = bytearray(M.write_tiff(b"abcd" * 160, compression=data.draw(st.sampled_from(sorted(M.ENCODERS))), tile=data.draw(st.sampled_from([None, 16]))))
+    for _ in range(data.draw(st.integers(1, 6))):
+        good[data.draw(st.integers(0, len(good) - 1))] = data.draw(st.integers(0, 255))
+    try:
+        M.read_tiff(bytes(good))
+    except M.TiffError:
+        pass
+
+
+@pytest.mark.parametrize("compression", sorted(M.ENCODERS))
+def test_tiles_and_pages_round_trip(compression):
+    payload = os.urandom(64 * 100) + b"word " * 1280
+    for tile in (None, 16, 32, 48):
+        got = M.read_tiff(M.write_tiff(payload, compression=compression, predictor=2, tile=tile, page_rows=70))
+        assert [g[1] for g in got] == [70, 70, 60] and b"".join(g[4] for g in got) == payload
+
+
+def test_query_against_plain_code(spark):
+    """All columns of the query, from the payloads alone; long texts have several pages."""
+    import hashlib
+
+    got = {r.doc_id: r for r in M.op5_tiff_pages(spark, "/root/testdata/sf0.001").collect()}
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()
+    assert len(got) == len(docs) and any(r.payload_bytes > M.PAGE_ROWS * 64 for r in got.values())
+    for d in docs:
+        raw = (d.text or "").encode()
+        full = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        media = M.write_tiff(full, page_rows=M.PAGE_ROWS, **({"predictor": 2} | M.style_of(full)))
+        a = np.frombuffer(full, np.uint8).reshape(-1, 64).astype(float)
+        share = np.unique(a, return_counts=True)[1] / a.size
+        step = np.abs(a[1:] - a[:-1]).mean() if len(a) > 1 else 0.0
+        text = f"64x{len(a)} mean={a.mean():.3f} dev={a.std():.3f} entropy={-(share * np.log2(share)).sum() + 0.0:.4f} step={step:.3f}"
+        r = got[d.doc_id]
+        assert (r.n_bytes, r.payload_bytes, r.payload_sha256, r.tail_crc32) == (len(raw), len(full), hashlib.sha256(full).hexdigest(), zlib.crc32(full[-64:]))
+        assert (r.media_bytes, r.media_sha256) == (len(media), hashlib.sha256(media).hexdigest())
+        assert r.feature == text
+
+
+def test_many_large_pages_are_not_held_at_once(monkeypatch):
+    payload = bytes(range(256)) * 64
+    media = M.write_tiff(payload, page_rows=16)
+    monkeypatch.setattr(M, "BATCH_BYTES", 2000)
+    assert b"".join(p[4] for p in M.sound(media)) == payload
+    with pytest.raises(M.TiffError):
+        M.sound(media[:-4])
