@@ -278,7 +278,9 @@ def _page(data: bytes, order: str, f: dict[int, list]) -> tuple[int, int, int, i
         raise TiffError(f"{len(offsets)} places and {len(counts)} sizes for {blocks} strips or tiles")
     growth = GROWTH[f.get(259, [1])[0]]
     needs = [(h if tiled else min(h, height - i // across * h)) * w * samples * kind.itemsize for i in range(blocks)]
-    if any(need > LARGEST or need > growth * min(n, max(0, len(data) - at)) for need, at, n in zip(needs, offsets, counts, strict=False)):
+    if any(at + n > len(data) for at, n in zip(offsets[:blocks], counts[:blocks], strict=True)):
+        raise TiffError("a strip or tile reaches beyond the file")
+    if any(need > min(LARGEST, growth * n) for need, n in zip(needs, counts, strict=False)):
         raise TiffError("a strip or tile is larger than its data can hold")
     image = np.zeros((height, width, samples), kind.newbyteorder("<"))
     for i, (at, n, need) in enumerate(zip(offsets, counts, needs, strict=False)):
