@@ -41,7 +41,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from finscan.llm.shared import partitions, table
+from finscan.llm.shared import partitions, placed, table
 
 LENGTH = 100
 CHUNK = 1 << 17
@@ -183,26 +183,6 @@ def _rows(rows: list[tuple[int, int, bytes]]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array([r[0] for r in rows], pa.int32()), pa.array([r[1] for r in rows], pa.int32()), pa.array([r[2] for r in rows], pa.binary())], ["bucket", "kind", "payload"])
 
 
-def placed(parts: int) -> np.ndarray:
-    """For each of parts partitions the smallest number that Spark's hash (Murmur3, seed 42) deals to it."""
-    out = np.full(parts, -1, np.int64)
-    low, step = 0, 16 * parts
-    u = np.uint32
-    turn = lambda x, r: (x << u(r)) | (x >> u(32 - r))
-    while (out < 0).any():
-        n = np.arange(low, low + step, dtype=np.int64)
-        h = u(42) ^ turn(n.astype(np.uint32) * u(0xCC9E2D51), 15) * u(0x1B873593)
-        h = (turn(h, 13) * u(5) + u(0xE6546B64)) ^ u(4)
-        h = (h ^ (h >> u(16))) * u(0x85EBCA6B)
-        h = (h ^ (h >> u(13))) * u(0xC2B2AE35)
-        h ^= h >> u(16)
-        at, first = np.unique(h.view(np.int32).astype(np.int64) % parts, return_index=True)
-        new = out[at] < 0
-        out[at[new]] = n[first[new]]
-        low += step
-    return out
-
-
 def _bucket(values: np.ndarray, buckets: np.ndarray) -> np.ndarray:
     return buckets[(_mix(values.astype(np.uint64)) % U(len(buckets))).astype(np.int64)]
 

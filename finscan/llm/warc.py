@@ -1,20 +1,22 @@
 """Deterministic sharded WARC writer and its reader.
 
-Writing: records are range-sorted by id into shards, whose cuts are quantiles of a bounded sample
-of ids drawn by hash (so they depend on the rows alone, not on how Spark read them). One task
-writes a shard: records in id order, each its own gzip member, and a new file begins once the
-compressed size passes ``roll_bytes``. Headers and digests are made anew from the payload. A file
-is written under a temporary name and renamed when it is complete; a task that runs again makes
-the same bytes and the same name. Its name, size and digest go into a manifest table, and only
-files that the manifest lists are read back.
+Writing: records are range-sorted by id into shards. Their number follows from the bytes of all
+payloads (one for each ``shard_bytes``, at most one for 16 ids of the sample) and their cuts are
+quantiles of a bounded sample of ids drawn by hash, so names and bytes depend on the rows alone, not
+on how Spark read or dealt them. One task writes a shard: records in id order, each its own gzip
+member, and a new file begins once the compressed size passes ``roll_bytes``. Headers and digests
+are made anew from the payload. A file is written under a temporary name and renamed when it is
+complete; a task that runs again makes the same bytes and the same name, and leaves a complete file
+of that name where it is. Its name, size, number of records and digest go into a manifest table;
+only files that the manifest lists are read back, and each must agree with its line.
 
 Equal payloads of at least ``revisit_bytes`` are stored once: the smallest id is the response, the
 others are revisit records that refer to it.
 
 Defined results: a null payload is an empty one; a null url leaves out the target header; rows of a
 null id are written first, never refer to others; of repeated rows with one id and one payload the
-first is the response and the rest revisit it; an empty table gives no files and no records.
-Further columns are ignored.
+first is the response and the rest revisit it; an empty table gives no files and no records. A file
+that was cut, changed or lost is an error. Further columns are ignored.
 """
 
 from __future__ import annotations
@@ -30,12 +32,13 @@ from pyarrow import fs as pafs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from finscan.llm.shared import partitions, scratch, settled, table
+from finscan.llm.shared import interval_of, partitions, placed, scratch, settled, table
 
-SAMPLE = 8192
+SAMPLE = 1 << 17
+IDS_PER_SHARD = 16
+SHARD_BYTES = 8 << 20
 ROLL_BYTES = 64 << 20
 REVISIT_BYTES = 100
-SHARDS_PER_PARTITION = 4
 DATE = "1970-01-01T00:00:00Z"
 SPACE = uuid.UUID("6ba7b811-9dad-11d1-80b4-00c04fd430c8")
 HTTP = b"HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\n\r\n"
@@ -93,10 +96,13 @@ class _File:
         self.records += 1
 
     def commit(self) -> tuple:
+        """Give the file its name; one of that name and size is the same file, from another run of the task."""
         self.out.close()
-        if self.fs.get_file_info(self.path).type != pafs.FileType.NotFound:
-            self.fs.delete_file(self.path)
-        self.fs.move(self.tmp, self.path)
+        there = self.fs.get_file_info(self.path)
+        if there.type == pafs.FileType.File and there.size == self.size:
+            self.fs.delete_file(self.tmp)
+        else:
+            self.fs.move(self.tmp, self.path)
         return self.name, self.shard, self.part, self.records, self.size, self.sha.hexdigest()
 
     def drop(self) -> None:
@@ -146,6 +152,19 @@ def _writer(folder: str, roll_bytes: int, revisit_bytes: int, level: int):
     return run
 
 
+def cuts_of(rows: DataFrame, *, shards: int | None = None, shard_bytes: int = SHARD_BYTES, sample: int = SAMPLE) -> list[int]:
+    """The smallest ids of all shards but the first, from rows (id, payload); about ``sample`` ids come to the driver."""
+    size = F.sum(F.octet_length("payload").cast("long"))
+    total, n = rows.agg(size, F.count("id")).first()
+    if not n:
+        return []
+    shards = shards or max(1, min(-(-(total or 0) // shard_bytes), sample // IDS_PER_SHARD))
+    drawn = F.pmod(F.xxhash64("id"), F.lit(1 << 40)) < min(1 << 40, sample * (1 << 40) // n)
+    ids = rows.where(F.col("id").isNotNull() & drawn).select("id").toArrow().column("id").to_numpy()
+    ids = sorted(ids.tolist())
+    return sorted({ids[len(ids) * j // shards] for j in range(1, shards)}) if ids else []
+
+
 def write_archives(
     pages: DataFrame,
     folder: str,
@@ -154,6 +173,7 @@ def write_archives(
     url_col: str = "url",
     payload_col: str = "html",
     shards: int | None = None,
+    shard_bytes: int = SHARD_BYTES,
     roll_bytes: int = ROLL_BYTES,
     revisit_bytes: int = REVISIT_BYTES,
     sample: int = SAMPLE,
@@ -161,20 +181,21 @@ def write_archives(
 ) -> DataFrame:
     """Write one record for each row below folder; returns the manifest: a row for each file.
 
-    At most ``sample`` ids come to the driver, to cut the range into shards.
+    About ``sample`` ids come to the driver, to cut the range into shards.
     """
-    spark = pages.sparkSession
     rows = pages.select(F.col(id_col).cast("long").alias("id"), F.col(url_col).cast("string").alias("url"), F.coalesce(F.col(payload_col).cast("binary"), F.lit(b"")).alias("payload"))
-    n = shards or SHARDS_PER_PARTITION * partitions(spark)
-    ids = sorted(r["id"] for r in rows.where("id is not null").select("id").orderBy(F.xxhash64("id"), "id").limit(sample).collect())
-    cuts = sorted({ids[len(ids) * j // n] for j in range(1, n)}) if ids else []
-    shard = F.coalesce(F.size(F.filter(F.array(*[F.lit(c).cast("long") for c in cuts]), lambda c: c <= F.col("id"))), F.lit(0)) if cuts else F.lit(0)
+    cuts = cuts_of(rows, shards=shards, shard_bytes=shard_bytes, sample=sample)
+    n = len(cuts) + 1
+    keys = placed(n)
+    shard = F.coalesce(interval_of(F.col("id"), cuts), F.lit(0))
     digests = rows.where((F.octet_length("payload") >= revisit_bytes) & F.col("id").isNotNull()).select("id", F.unhex(F.sha2("payload", 256)).alias("digest"))
     firsts = digests.groupBy("digest").agg(F.min("id").alias("first"), F.count("*").alias("copies")).where("copies > 1").drop("copies")
     later = digests.join(firsts, "digest").where(F.col("id") > F.col("first"))
     marks = later.select(shard.alias("shard"), "id", F.lit(0).alias("kind"), F.lit(None).cast("string").alias("url"), F.col("digest").alias("payload"), "first")
     bodies = rows.select(shard.alias("shard"), "id", F.lit(1).alias("kind"), "url", "payload", F.lit(None).cast("long").alias("first"))
-    dealt = marks.unionAll(bodies).repartition(partitions(spark), "shard").sortWithinPartitions("shard", "id", "kind", F.xxhash64("payload"), "url")
+    # A partition for each shard: key is the number that Spark's hash deals to it.
+    key = F.get(F.array(*(F.lit(int(k)) for k in keys)), F.col("shard"))
+    dealt = marks.unionAll(bodies).withColumn("key", key).repartition(n, "key").sortWithinPartitions("shard", "id", "kind", F.xxhash64("payload"), "url")
     return settled(dealt.mapInArrow(_writer(folder, roll_bytes, revisit_bytes, level), MANIFEST), "manifest")
 
 
@@ -210,11 +231,17 @@ def parse(raw: bytes) -> tuple[dict[str, str], bytes]:
     return headers, block
 
 
-def _chunks(path: str, size: int = 1 << 20) -> Iterator[bytes]:
+def _chunks(path: str, size: int, sha256: str, step: int = 1 << 20) -> Iterator[bytes]:
+    """The bytes of a file that has the size and digest of the manifest's line."""
     fs, at = pafs.FileSystem.from_uri(path)
+    sha, n = hashlib.sha256(), 0
     with fs.open_input_stream(at, compression=None) as f:
-        while data := f.read(size):
+        while data := f.read(step):
+            sha.update(data)
+            n += len(data)
             yield data
+    if n != size or sha.hexdigest() != sha256:
+        raise ValueError(f"{path} is not the file that the manifest lists: {n} bytes in place of {size}, or other ones")
 
 
 def _reader(want_payload: bool):
@@ -226,9 +253,9 @@ def _reader(want_payload: bool):
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for path in b.column("path").to_pylist():
-                rows, held = [], 0
-                for raw in members(_chunks(path)):
+            for line in b.to_pylist():
+                path, rows, held, seen = line["path"], [], 0, 0
+                for raw in members(_chunks(path, line["bytes"], line["sha256"])):
                     h, block = parse(raw)
                     if h["warc-type"] not in ("response", "revisit"):
                         continue
@@ -239,12 +266,15 @@ def _reader(want_payload: bool):
                         digest, n = hashlib.sha256(payload).hexdigest(), len(payload)
                         if "sha256:" + digest != h["warc-payload-digest"]:
                             raise ValueError(f"record {h['warc-record-id']}: payload digest differs")
+                    seen += 1
                     number = lambda k: int(h[k]) if k in h else None
                     rows.append((number("x-page-id"), h.get("warc-target-uri"), payload if want_payload else None, n, digest, h["warc-type"], number("x-refers-to-page-id"), path))
                     held += len(payload) if want_payload else 0
                     if len(rows) >= 4096 or held >= 8 << 20:
                         yield batch(rows)
                         rows, held = [], 0
+                if seen != line["records"]:
+                    raise ValueError(f"{path} holds {seen} records in place of {line['records']}")
                 if rows:
                     yield batch(rows)
 
@@ -252,8 +282,8 @@ def _reader(want_payload: bool):
 
 
 def read_archives(manifest: DataFrame, *, payload: bool = False) -> DataFrame:
-    """One row for each response or revisit record of the files that a manifest lists."""
-    files = manifest.select("path").repartition(partitions(manifest.sparkSession), "path")
+    """One row for each response or revisit record of the files that a manifest lists, which are verified against it."""
+    files = manifest.repartitionByRange(partitions(manifest.sparkSession), "shard", "part")
     return files.mapInArrow(_reader(payload), RECORD)
 
 

@@ -1,9 +1,11 @@
 import hashlib
 
+import pytest
 from pyarrow import fs as pafs
+from pyspark.sql import functions as F
 
 from finscan.llm import warc as W
-from finscan.llm.shared import scratch
+from finscan.llm.shared import interval_of, scratch
 
 SCHEMA = "page_id long, url string, html string, shard string, first int"
 
@@ -63,3 +65,63 @@ def test_empty_table_and_damage(spark):
         W.parse(raw.replace(b"abc", b"abd"))
     with pytest.raises(ValueError):
         list(W.members(iter([b"\x1f\x8b\x08\x00"])))
+
+
+@pytest.mark.parametrize("shuffle", ["3", "17"])
+def test_layout_does_not_depend_on_the_session(spark, shuffle):
+    """Names, sizes and digests are those of another number of partitions, on the table of pages."""
+    pages = spark.read.parquet("/root/testdata/sf0.001/pages.parquet")
+    lines = lambda m: sorted((r.path.rsplit("/", 1)[1], r.records, r.bytes, r.sha256) for r in m.collect())
+    was = spark.conf.get("spark.sql.shuffle.partitions")
+    first = lines(W.write_archives(pages, scratch(spark, "warc"), shard_bytes=20_000))
+    spark.conf.set("spark.sql.shuffle.partitions", shuffle)
+    try:
+        again = lines(W.write_archives(pages.repartition(5), scratch(spark, "warc"), shard_bytes=20_000))
+    finally:
+        spark.conf.set("spark.sql.shuffle.partitions", was)
+    assert first == again and len(first) > 3
+
+
+def test_shards_are_ranges(spark):
+    rows = [(i * i, f"http://h/{i}", f"page {i} " * 30) for i in range(200)]
+    manifest = archive(spark, rows, shards=6)
+    found = W.read_archives(manifest).join(manifest, "path").groupBy("shard").agg(F.min("page_id").alias("a"), F.max("page_id").alias("b"), F.count("*").alias("n")).orderBy("shard").collect()
+    assert len(found) == 6 and all(x.b < y.a for x, y in zip(found, found[1:], strict=False)) and min(f.n for f in found) > 20
+
+
+def test_files_must_agree_with_the_manifest(spark):
+    rows = [(i, f"http://h/{i}", hashlib.sha256(str(i).encode()).hexdigest() * 5) for i in range(50)]
+    manifest = archive(spark, rows, shards=1)
+    line = manifest.first()
+    fs, path = pafs.FileSystem.from_uri(line.path)
+    with fs.open_input_stream(path, compression=None) as f:
+        raw = f.read()
+    ends = [i for i in range(1, len(raw)) if raw[i : i + 3] == b"\x1f\x8b\x08"]
+    for bad in (raw[: ends[27]], raw[:-1], raw + raw[ends[-1] :], raw[:40] + b"!" + raw[41:]):
+        with fs.open_output_stream(path, compression=None) as f:
+            f.write(bad)
+        with pytest.raises(Exception, match="manifest lists|ends inside|digest differs|decompress|Error"):
+            W.read_archives(manifest).count()
+    fs.delete_file(path)
+    with pytest.raises(Exception):
+        W.read_archives(manifest).count()
+
+
+def test_a_task_that_runs_again_keeps_the_file(tmp_path):
+    def make():
+        file = W._File(f"file://{tmp_path}", 0, 0, 1)
+        file.write(W.page_record(1, "u", b"abc", hashlib.sha256(b"abc").hexdigest(), None))
+        return file
+
+    a, b = make(), make()
+    first = a.commit()
+    inode = (tmp_path / "shard-000000-0000.warc.gz").stat().st_ino
+    assert b.commit() == first and (tmp_path / "shard-000000-0000.warc.gz").stat().st_ino == inode
+    assert len(list(tmp_path.iterdir())) == 1
+
+
+def test_binary_search(spark):
+    cuts = [-5, 0, 3, 9, 200]
+    rows = [(i,) for i in (-9, -5, -1, 0, 2, 3, 8, 9, 10, 200, 10**12)] + [(None,)]
+    df = spark.createDataFrame(rows, "id long").select("id", interval_of(F.col("id"), cuts).alias("at"))
+    assert all(r.at == (0 if r.id is None else W.shard_of(r.id, cuts)) for r in df.collect())
