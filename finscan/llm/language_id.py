@@ -5,13 +5,13 @@ word ends marked), weighted log(1 + tf) * idf and scaled to unit length. Spheric
 several centroids for each language; a text gets the language of the centroid of highest cosine.
 
 The classifier (idf, centroids, limits) is fitted on at most ``sample`` labelled rows, dealt evenly
-over the languages and drawn by a hash of the id. A text is ``rejected`` if its cosine is below its
+over the languages and drawn by a hash of id and text; equal rows count as one. A text is ``rejected`` if its cosine is below its
 language's limit for its number of letters. A limit is ``margin`` times a low quantile of the
 cosines that the language's own sample texts of about that length have; the smallest ones are left
 out, so a few wrongly labelled rows do not lower it, and centroids that hold only such rows do not
-count for it. Where
-the sample has too few texts so short, the limit of the next longer ones is scaled by the root of
-the length, as the cosine of a part of a text is. So texts of any length can be rejected.
+count for it, and
+no limit is above the middle one of its language. Where the sample has too few texts so short, the limit of the
+next longer ones is scaled by the root of the length, as the cosine of a part of a text is. So texts of any length can be rejected.
 
 Prediction sees whole texts and nothing else, row by row, without a shuffle; a long text is counted
 in pieces cut at word ends, so that memory does not follow its length.
@@ -182,11 +182,12 @@ def _limits(cosines: np.ndarray, letters: np.ndarray, margin: float) -> np.ndarr
     for g in known:
         n = len(near[g])
         out[g] = margin * near[g][max(1, int(QUANTILE * n)) if n >= LEAST_TEXTS else 0]
-    for g in range(known[-1] + 1, len(grid)):
-        out[g] = out[known[-1]]
-    for g in reversed(range(known[-1])):
-        if g not in known:
-            out[g] = out[g + 1] * math.sqrt(0.5)
+    # No length is held to more than the middle one of them: a few words said over and over are no other language.
+    out[known] = np.minimum(out[known], np.median(out[known]))
+    for g in range(known[0] + 1, len(grid)):
+        out[g] = out[g] if g in known else out[g - 1]
+    for g in reversed(range(known[0])):
+        out[g] = out[g + 1] * math.sqrt(0.5)
     return out
 
 
@@ -220,19 +221,19 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
     Only the sample's vectors (``sample`` times ``dimensions`` numbers) come to the driver.
     """
     labelled = docs.where(training & F.col(lang_col).isNotNull() & F.col(text_col).isNotNull())
-    rows = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"))
-    languages = rows.select("lang").distinct().limit(sample // 4 + 1).count()
-    if languages > sample // 4:
+    lang, text = F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text")
+    rows = labelled.select(lang, F.xxhash64(F.col(id_col), text).alias("row"), text)
+    # Different rows of each language: repeated ones must not starve the draw.
+    sizes = {r["lang"]: r["rows"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("row", 0.02).alias("rows")).limit(sample // 4 + 1).collect()}
+    if len(sizes) > sample // 4:
         raise ValueError(f"more than {sample // 4} languages")
-    each = max(1, sample // max(1, languages))
+    each = max(1, sample // max(1, len(sizes)))
     # A uniform draw by hash first, so that no language's rows meet in one task to be ranked.
-    sizes = {r["lang"]: r["count"] for r in rows.groupBy("lang").count().collect()}
-    draw = F.pmod(F.xxhash64("id"), F.lit(1 << 30)) / float(1 << 30)
-    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (1.2 * each + 20) / n)))), F.col("lang")) if sizes else F.lit(1.0)
-    order = Window.partitionBy("lang").orderBy(draw, "id")
-    chosen = rows.where(draw <= share).withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("id").distinct()
-    texts = labelled.select(F.col(id_col).alias("id"), F.col(lang_col).cast("string").alias("lang"), F.col(text_col).cast("string").alias("text"))
-    texts = texts.join(F.broadcast(chosen), "id").select("lang", "text")
+    draw = F.pmod(F.xxhash64("row"), F.lit(1 << 30)) / float(1 << 30)
+    share = F.element_at(F.create_map(*(F.lit(x) for lang, n in sizes.items() for x in (lang, min(1.0, (1.3 * each + 60) / max(1, n))))), F.col("lang")) if sizes else F.lit(1.0)
+    drawn = rows.where(draw <= share).groupBy("lang", "row").agg(F.min("text").alias("text"))
+    order = Window.partitionBy("lang").orderBy(draw, "row")
+    texts = drawn.withColumn("place", F.row_number().over(order)).where(F.col("place") <= each).select("lang", "text")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:

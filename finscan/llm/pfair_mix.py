@@ -12,11 +12,13 @@ A source that has run out leaves its slots empty; nothing is dropped or repeated
 
 All work on rows is DataFrame operations. A document's place in its source comes from counts of
 small hash buckets and its place within the bucket, so that a source with a third of all rows is
-spread over all tasks.
+spread over all tasks. So are the rows of a null id, and those of an id that more than a 4,096th of
+all rows (and more than a bucket) bear: their buckets hang on a hash of the row as well, and come
+after the other rows of their hash bucket.
 
 Defined results: null sources and sources without a weight share the stream '*'; rows of a null id
 come first in their stream; equal ids are ordered by a hash of the row, and equal rows are placed
-one after another; an empty table stays empty.
+one after another (by one task); an empty table stays empty.
 """
 
 from __future__ import annotations
@@ -32,6 +34,7 @@ OTHERS = "*"
 BLOCK = 8
 BUCKET_ROWS = 20_000
 LONGEST_PERIOD = 10_000
+MOST_HOT = 4096
 # The production weights, in hundredths.
 WEIGHTS = {"src0": 16} | {f"src{i}": 6 for i in range(1, 5)} | {f"src{i}": 5 for i in range(5, 10)} | {f"src{i}": 3 for i in range(10, 20)} | {OTHERS: 5}
 
@@ -71,7 +74,7 @@ def tie(docs: DataFrame) -> Column:
     return F.xxhash64(*(c for c, t in docs.dtypes if "map<" not in t and "variant" not in t))
 
 
-def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, prefix: str = "", tied_by: Column | None = None) -> DataFrame:
+def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col: str = "doc_id", source_col: str = "source", block: int = BLOCK, prefix: str = "", tied_by: Column | None = None, bucket_rows: int = BUCKET_ROWS) -> DataFrame:
     """docs with stream string, block long, place int (in the block) and slot long.
 
     Rows of equal ids are ordered by tied_by, or else by a hash of the row.
@@ -82,16 +85,23 @@ def schedule(docs: DataFrame, weights: dict[str, int] | None = None, *, id_col:
     named = [s for s in weights if s != OTHERS]
     n = lambda c: f"{prefix}{c}"
     tmp = lambda c: f"__mix_{c}"
-    digits = min(6, max(1, math.ceil(math.log(max(1, docs.count() / BUCKET_ROWS), 16))))
+    count = docs.count()
+    digits = lambda rows: min(6, max(1, math.ceil(math.log(max(1, rows / bucket_rows), 16))))
     source = F.col(source_col).cast("string")
     key = F.coalesce(F.md5(F.col(id_col).cast("string").cast("binary")), F.lit(""))
-    rows = docs.withColumns({n("stream"): F.when(source.isin(named), source).otherwise(F.lit(OTHERS)) if named else F.lit(OTHERS), tmp("key"): key})
-    rows = rows.withColumn(tmp("bucket"), F.substring(tmp("key"), 1, digits))
+    # At most MOST_HOT ids can each have more than that part of all rows.
+    hot = [r["key"] for r in docs.groupBy(key.alias("key")).count().where(F.col("count") > max(bucket_rows, count // MOST_HOT)).select("key").collect()] if count > bucket_rows else []
+    tied = tie(docs) if tied_by is None else tied_by
+    rows = docs.withColumns({n("stream"): F.when(source.isin(named), source).otherwise(F.lit(OTHERS)) if named else F.lit(OTHERS), tmp("key"): key, tmp("tie"): F.lpad(F.hex(tied), 16, "0")})
+    bucket = F.substring(tmp("key"), 1, digits(count))
+    if hot:
+        bucket = F.when(F.col(tmp("key")).isin(hot), F.concat(tmp("key"), F.lit("/"), F.substring(tmp("tie"), 1, digits(count)))).otherwise(bucket)
+    rows = rows.withColumn(tmp("bucket"), bucket)
     group = [n("stream"), tmp("bucket")]
     counts = rows.groupBy(*group).agg(F.count("*").alias(tmp("n")))
     before = Window.partitionBy(n("stream")).orderBy(tmp("bucket")).rowsBetween(Window.unboundedPreceding, -1)
     starts = counts.select(*group, F.coalesce(F.sum(tmp("n")).over(before), F.lit(0)).alias(tmp("start")))
-    inside = Window.partitionBy(*group).orderBy(tmp("key"), id_col, tie(docs) if tied_by is None else tied_by)
+    inside = Window.partitionBy(*group).orderBy(tmp("key"), id_col, tmp("tie"))
     rows = rows.withColumn(tmp("place"), F.row_number().over(inside))
     rows = rows.join(starts, group)
     at = F.col(tmp("start")) + F.col(tmp("place")) - 1

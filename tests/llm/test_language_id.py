@@ -73,3 +73,70 @@ def test_rejection_on_the_table(spark):
         assert G.predict(bad, model)[2] == [True] * len(bad)
     held = [r.text for r in docs.where(G.held_out()).collect()]
     assert sum(G.predict(held, model)[2]) <= 0.002 * len(held)
+
+
+def test_the_sample_counts_rows_not_ids(spark):
+    """Repeated ids and repeated rows neither pass the bound nor starve the draw."""
+    rng = random.Random(1)
+    words = {k: v.split() for k, v in TEXTS.items()}
+    some = lambda lang: " ".join(rng.choices(words[lang], k=12))
+    rows = [(i % 10, some(lang), lang) for i in range(3000) for lang in ("en", "de")]
+    rows += [(3, TEXTS["fr"], "fr")] * 5000
+    df = spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(4)
+    seen = []
+    fit_arrays = G.fit_arrays
+    try:
+        G.fit_arrays = lambda labels, *a, **k: seen.append(labels) or fit_arrays(labels, *a, **k)
+        for sample in (40, 400, 12):
+            G.fit(df, ~G.held_out(), sample=sample)
+            got = seen.pop()
+            assert len(got) <= sample and got.count("fr") == 1 and got.count("en") == got.count("de") == sample // 3
+    finally:
+        G.fit_arrays = fit_arrays
+
+
+def brute_vector(text, model):
+    """n-grams counted one by one, in plain Python."""
+    size = len(model.idf)
+    bits = 32 - (size.bit_length() - 1)
+    words = "".join(c if c.isalpha() else " " for c in text.lower()).split()
+    a, b, c, m = 0x9E3779B1, 0x85EBCA77, 0xC2B2AE3D, 2**32 - 1
+    out = np.zeros(size)
+    codes = [32]
+    for w in words:
+        codes += [*map(ord, w), 32]
+    for i, x in enumerate(codes):
+        if x != 32:
+            out[(((x * a & m) ^ (x >> 3)) * b & m) >> bits] += 1
+        if i + 1 < len(codes) and not (x == 32 and codes[i + 1] == 32):
+            h = ((x * a & m) + codes[i + 1] & m) * b & m
+            out[((h ^ (h >> 15)) * c & m) >> bits] += 1
+        if i + 2 < len(codes) and codes[i + 1] != 32:
+            h = (((x * a & m) + codes[i + 1] & m) * b + codes[i + 2] & m) * c & m
+            out[((h ^ (h >> 15)) * a & m) >> bits] += 1
+    v = np.log1p(out) * model.idf
+    return v / (np.linalg.norm(v) or 1)
+
+
+def test_prediction_equals_plain_nearest_centroid(spark):
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    model = G.fit(docs, ~G.held_out())
+    texts = [r.text for r in docs.collect()] + [None, "", "12 !", "a", "Ünï", TEXTS["fr"] * 50]
+    names, scores, _ = G.predict(texts, model)
+    for text, name, score in zip(texts, names, scores, strict=True):
+        v = brute_vector(text or "", model)
+        if not v.any():
+            assert (name, score) == ("und", 0.0)
+            continue
+        near = model.centroids @ v
+        best = {lang: max(float(x) for x, o in zip(near, model.owner, strict=True) if o == j) for j, lang in enumerate(model.languages)}
+        assert abs(max(best.values()) - score) < 1e-4 and best[name] > max(best.values()) - 1e-4
+
+
+def test_held_out_labels_do_not_matter(spark):
+    from pyspark.sql import functions as F
+
+    docs = spark.read.parquet("/root/testdata/sf0.001/documents.parquet")
+    other = docs.withColumn("lang", F.when(G.held_out(), F.lit("xx")).otherwise(F.col("lang")))
+    a, b = G.fit(docs, ~G.held_out()), G.fit(other, ~G.held_out())
+    assert a.languages == b.languages and np.array_equal(a.centroids, b.centroids) and np.array_equal(a.limits, b.limits) and np.array_equal(a.idf, b.idf)

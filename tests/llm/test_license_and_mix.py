@@ -95,6 +95,22 @@ def test_schedule_against_a_simulation(spark):
         done[s] += 1
 
 
+def test_rows_of_one_id_and_of_none_are_spread(spark):
+    """A hot id and a null id with many rows: places stay a permutation, and no bucket holds them all."""
+    rows = [(None, "a", f"n{i}") for i in range(3000)] + [(7, "a", f"h{i}") for i in range(3000)] + [(i, "a", "x") for i in range(100, 1100)]
+    df = spark.createDataFrame(rows, "doc_id long, source string, text string").repartition(5)
+    weights = {"a": 3, X.OTHERS: 1}
+    plans = [X.schedule(df, weights, bucket_rows=k).collect() for k in (50, 50)]
+    assert sorted(map(str, plans[0])) == sorted(map(str, plans[1]))
+    places = {(r.block, r.place) for r in plans[0]}
+    assert places == {(k // X.BLOCK, k % X.BLOCK) for k in range(len(rows))}
+    assert all(r.block * X.BLOCK + r.place < 3000 for r in plans[0] if r.doc_id is None)
+    # Without hot ids the order is that of the ids' hashes, whatever the size of buckets.
+    few = df.where("doc_id >= 100")
+    same = lambda k: {r.doc_id: (r.block, r.place) for r in X.schedule(few, weights, bucket_rows=k).collect()}
+    assert same(10) == same(20_000)
+
+
 def test_mix_keeps_rows_and_their_order(spark):
     df = spark.createDataFrame([(i, "src0" if i % 3 else "src11", f"t{i}") for i in range(200)], "doc_id long, source string, text string")
     mixed = [tuple(r) for r in X.mix(df).collect()]
