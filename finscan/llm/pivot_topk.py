@@ -10,9 +10,12 @@ so that a candidate's inner product is bounded from above. Candidates are taken
 this bound, and the search in a block ends at the first whose bound lies below the k-th best score
 found so far. The pivots are candidates themselves, so their scores give the first threshold.
 
-Queries are taken in blocks of ``query_block`` ids (keyset pages, never more rows than that on the
-driver); each block goes to all tasks and every task scans its own part of the candidates. Nothing
-but k rows for each query and task is shuffled.
+The pivot table is computed once: candidates, quantised and packed in chunks with their distances to
+the pivots, are written to the shared folder. Queries are dealt by hash into blocks of about
+``query_block``, and one job searches every block in every part (``part_bytes``) of that table: a task
+holds one block, reads its part chunk by chunk, and its bounds grow tighter on the way. Nothing but k
+rows for each query and part is shuffled, and the driver holds no query and no candidate but
+``sample`` rows to choose the pivots from.
 
 Defined results: vectors that are null, empty, or hold null or non-finite components take no part;
 a repeated query id is searched once, by its smallest vector; every repeated candidate row counts;
@@ -23,16 +26,24 @@ ties go to the smaller id; fewer than k candidates give fewer rows. Other column
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs as pafs
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finscan.llm.shared import placed, scratch, settled, table
+
 PIVOTS = 32
 SAMPLE = 512
-QUERY_BLOCK = 4096
+QUERY_BLOCK = 256
+PART_BYTES = 1 << 30
+CHUNK = 8192
 STEP = 256
+MOST_KEYS = 4096
 
 
 def quantised(vectors: DataFrame, id_col: str, vec_col: str, scale: int) -> DataFrame:
@@ -106,34 +117,115 @@ class _Block:
             self.table = np.zeros((len(q), 0))
 
 
-def _searcher(blocks: dict[int, _Block], k: int):
+TABLED = "dim int, ids binary, vectors binary, distances binary"
+PACKED = "block int, dim int, ids binary, vectors binary"
+
+
+def _rows_of(batch: pa.RecordBatch) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """(length, ids, matrix) of a batch (id, v), for each length in it."""
+    all_ids = batch.column("id").to_numpy()
+    lengths, flat = _matrix(batch.column("v"))
+    starts = np.concatenate([[0], np.cumsum(lengths)])
+    for dim in np.unique(lengths).tolist():
+        rows = np.flatnonzero(lengths == dim)
+        yield dim, all_ids[rows], flat[starts[rows][:, None] + np.arange(dim)[None, :]]
+
+
+def _bytes(m: np.ndarray) -> bytes:
+    """Integers in 4 bytes each if they fit."""
+    small = m.size == 0 or (m.min() >= -(2**31) and m.max() < 2**31)
+    return m.astype("<i4" if small else "<i8").tobytes()
+
+
+def _ints(data: bytes, n: int, dim: int) -> np.ndarray:
+    return np.frombuffer(data, "<i4" if len(data) == 4 * n * dim else "<i8").astype(np.int64).reshape(n, dim)
+
+
+def _tabled(chosen: dict[int, tuple[np.ndarray, np.ndarray]], tops: dict[int, float]):
+    """Chunks of candidates with their line of the pivot table."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        best = {d: ([np.zeros(0, np.int64)] * len(b.ids), [np.zeros(0, np.int64)] * len(b.ids), b.first.copy()) for d, b in blocks.items()}
         for batch in batches:
-            all_ids = batch.column(0).to_numpy()
-            lengths, flat = _matrix(batch.column(1))
-            starts = np.concatenate([[0], np.cumsum(lengths)])
-            for dim in np.unique(lengths):
-                block = blocks.get(int(dim))
-                if block is None:
-                    continue
-                rows = np.flatnonzero(lengths == dim)
-                c = flat[starts[rows][:, None] + np.arange(dim)[None, :]]
-                _search(block, all_ids[rows], c, best[int(dim)], k)
-        out = [(b.ids[i], best[d][0][i], best[d][1][i]) for d, b in blocks.items() for i in range(len(b.ids)) if len(best[d][0][i])]
-        q = np.concatenate([np.full(len(i), x) for x, i, _ in out]) if out else np.zeros(0, np.int64)
-        ids = np.concatenate([i for _, i, _ in out]) if out else np.zeros(0, np.int64)
-        scores = np.concatenate([s for _, _, s in out]) if out else np.zeros(0, np.int64)
-        yield pa.RecordBatch.from_arrays([pa.array(q, pa.int64()), pa.array(ids, pa.int64()), pa.array(scores, pa.int64())], ["query_id", "vec_id", "score"])
+            for dim, ids, c in _rows_of(batch):
+                for at in range(0, len(ids), CHUNK):
+                    part = c[at : at + CHUNK]
+                    pivots = _lift(chosen[dim][1], tops[dim])
+                    distances = _distances(pivots, _lift(part, tops[dim]))
+                    columns = [pa.array([dim], pa.int32()), *(pa.array([x], pa.binary()) for x in (ids[at : at + CHUNK].astype("<i8").tobytes(), _bytes(part), distances.astype("<f8").tobytes()))]
+                    yield pa.RecordBatch.from_arrays(columns, ["dim", "ids", "vectors", "distances"])
 
     return run
 
 
-def _search(block: _Block, ids: np.ndarray, c: np.ndarray, best: tuple, k: int) -> None:
-    """Search one block of candidates for all queries; keeps the k best of each in best."""
+def _packed(query_block: int):
+    """Query rows sorted by block and length, packed; a block far above its expected size is cut."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        key, ids, rows = None, [], []
+
+        def out() -> pa.RecordBatch:
+            m = np.array(rows, np.int64).reshape(len(ids), key[1])
+            columns = [pa.array([key[0]], pa.int32()), pa.array([key[1]], pa.int32()), pa.array([np.array(ids, "<i8").tobytes()], pa.binary()), pa.array([_bytes(m)], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, ["block", "dim", "ids", "vectors"])
+
+        for batch in batches:
+            for block, i, v in zip(batch.column("block").to_pylist(), batch.column("id").to_pylist(), batch.column("v").to_pylist(), strict=True):
+                if ids and (key != (block, len(v)) or len(ids) >= 2 * query_block):
+                    yield out()
+                    ids, rows = [], []
+                key = (block, len(v))
+                ids.append(i)
+                rows.append(v)
+        if ids:
+            yield out()
+
+    return run
+
+
+@lru_cache(maxsize=4)
+def _parts(folder: str, part_bytes: int) -> list[list[str]]:
+    """The files of each part of the stored pivot table, the same for all who ask."""
+    fs, at = pafs.FileSystem.from_uri(folder)
+    files = sorted((f.path, f.size) for f in fs.get_file_info(pafs.FileSelector(at, recursive=True)) if f.type == pafs.FileType.File and f.path.endswith(".parquet"))
+    out: list[list[str]] = []
+    held = part_bytes
+    for path, size in files:
+        if held >= part_bytes:
+            out.append([])
+            held = 0
+        out[-1].append(path)
+        held += size
+    return out
+
+
+def _searcher(folder: str, part_bytes: int, chosen: dict[int, tuple[np.ndarray, np.ndarray]], tops: dict[int, float], k: int):
+    """The k best of each query of a block, in one part of the stored candidates."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        fs, _ = pafs.FileSystem.from_uri(folder)
+        for batch in batches:
+            for row in batch.to_pylist():
+                ids = np.frombuffer(row["ids"], "<i8")
+                block = _Block(ids, _ints(row["vectors"], len(ids), row["dim"]), *chosen[row["dim"]], tops[row["dim"]], k)
+                best = ([np.zeros(0, np.int64)] * len(ids), [np.zeros(0, np.int64)] * len(ids), block.first.copy())
+                for path in _parts(folder, part_bytes)[row["part"]]:
+                    with fs.open_input_file(path) as f:
+                        for chunk in pq.ParquetFile(f).iter_batches(batch_size=1):
+                            if chunk.column("dim")[0].as_py() != row["dim"]:
+                                continue
+                            found, vectors, distances = (chunk.column(c)[0].as_py() for c in ("ids", "vectors", "distances"))
+                            found = np.frombuffer(found, "<i8")
+                            lines = np.frombuffer(distances, "<f8").reshape(len(block.pivots), len(found))
+                            _search(block, found, _ints(vectors, len(found), row["dim"]), lines, best, k)
+                sizes = [len(b) for b in best[0]]
+                yield pa.RecordBatch.from_arrays([pa.array(np.repeat(ids, sizes)), pa.array(np.concatenate(best[0])), pa.array(np.concatenate(best[1]))], ["query_id", "vec_id", "score"])
+
+    return run
+
+
+def _search(block: _Block, ids: np.ndarray, c: np.ndarray, table: np.ndarray, best: tuple, k: int) -> None:
+    """Search one chunk of candidates, with their distances to the pivots, for all queries; keeps the k best of each in best."""
     best_ids, best_scores, least = best
-    lifted = _lift(c, block.top)
-    table = np.ascontiguousarray(_distances(lifted, _lift(block.pivots, block.top)).T) if len(block.pivots) else np.zeros((0, len(c)))
     for i in range(len(block.ids)):
         low = np.zeros(len(c))
         for p in range(len(table)):
@@ -168,12 +260,13 @@ def top_k(
     pivots: int = PIVOTS,
     sample: int = SAMPLE,
     query_block: int = QUERY_BLOCK,
+    part_bytes: int = PART_BYTES,
 ) -> DataFrame:
     """The k candidates of highest inner product for each row where is_query holds.
 
     Returns query_id long, rank int (from 1), vec_id long, score long. is_query is written over
-    the columns of vectors. sample (rows that the pivots are chosen from) and query_block (queries
-    on the driver at once) bound what the driver holds, at any size of input.
+    the columns of vectors. sample (rows that the pivots are chosen from) bounds what the driver
+    holds; query_block and part_bytes what a task holds and reads.
     """
     spark = vectors.sparkSession
     all_rows = quantised(vectors, id_col, vec_col, scale)
@@ -190,25 +283,17 @@ def top_k(
         m, ids = m[first], np.array([mine[j]["id"] for j in first], np.int64)
         at = choose_pivots(m, pivots)
         chosen[dim] = (ids[at], m[at])
-    found, last = [], None
-    while True:
-        page = query_rows if last is None else query_rows.where(F.col("id") > last)
-        page = page.groupBy("id").agg(F.min("v").alias("v")).orderBy("id").limit(query_block).collect()
-        if not page:
-            break
-        last = page[-1]["id"]
-        blocks = {}
-        for dim in {len(r["v"]) for r in page}:
-            mine = [r for r in page if len(r["v"]) == dim]
-            blocks[dim] = _Block(np.array([r["id"] for r in mine], np.int64), np.array([r["v"] for r in mine], np.int64), *chosen[dim], tops[dim], k)
-        found.append(all_rows.mapInArrow(_searcher(blocks, k), "query_id long, vec_id long, score long"))
-        if len(page) < query_block:
-            break
-    if not found:
-        return spark.range(0).select(F.lit(0).cast("long").alias("query_id"), F.lit(0).alias("rank"), F.lit(0).cast("long").alias("vec_id"), F.lit(0).cast("long").alias("score"))
-    pairs = found[0]
-    for more in found[1:]:
-        pairs = pairs.unionAll(more)
+    folder = scratch(spark, "pivot-table")
+    all_rows.mapInArrow(_tabled(chosen, tops), TABLED).write.parquet(folder)
+    queries = query_rows.groupBy("id").agg(F.min("v").alias("v"))
+    blocks = max(1, -(-queries.count() // query_block))
+    dealt = queries.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int")).repartition(min(blocks, MOST_KEYS), "block").sortWithinPartitions("block", F.size("v"), "id")
+    packed = settled(dealt.select("block", "id", "v").mapInArrow(_packed(query_block), PACKED), "query-blocks")
+    parts = max(1, len(_parts(folder, part_bytes)))
+    n = min(blocks * parts, MOST_KEYS)
+    key = F.get(F.array(*(F.lit(int(x)) for x in placed(n))), ((F.col("block").cast("long") * parts + F.col("part")) % n).cast("int"))
+    units = packed.select("*", F.explode(F.sequence(F.lit(0), F.lit(parts - 1))).alias("part")).withColumn("key", key).repartition(n, "key")
+    pairs = units.select("dim", "ids", "vectors", "part").mapInArrow(_searcher(folder, part_bytes, chosen, tops, k), "query_id long, vec_id long, score long")
     order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     ranked = pairs.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k)
     return ranked.select("query_id", "rank", "vec_id", "score")
@@ -216,8 +301,6 @@ def top_k(
 
 def op1_pivot_topk(spark, sf_dir: str) -> DataFrame:
     """Five best candidates by integer inner product for each vector whose id 50 divides."""
-    from finscan.llm.shared import table
-
     return top_k(table(spark, sf_dir, "embeddings"), F.col("vec_id") % 50 == 0)
 
 

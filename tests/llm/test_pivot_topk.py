@@ -51,3 +51,36 @@ def test_ties_few_candidates_and_empty(spark):
 def test_large_values_stay_exact(spark):
     rows = [(i, [float(2.0**18 * (i + 1)), float(-(2.0**17) * i)]) for i in range(12)]
     assert run(spark, rows) == brute(rows, 5, 5)
+
+
+def test_parts_and_blocks(spark):
+    """Many blocks by many parts of the stored table give what one of each gives."""
+    rng = random.Random(9)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(8)]) for i in range(400)]
+    want = brute(rows, 5, 5)
+    for block, part in ((3, 1), (50, 4000), (1000, 1 << 30)):
+        assert run(spark, rows, query_block=block, part_bytes=part) == want
+
+
+def test_bounds_spare_candidates():
+    """On clustered vectors most candidates are cut by the pivots, and the result is the exact one."""
+    rng = np.random.default_rng(2)
+    centres = rng.normal(0, 400, (20, 16))
+    c = np.round(centres[rng.integers(0, 20, 4000)] + rng.normal(0, 4, (4000, 16))).astype(np.int64)
+    ids = np.arange(4000)
+    top = float((c.astype(float) ** 2).sum(1).max())
+    at = P.choose_pivots(c[:512], 32)
+    block = P._Block(ids[:10], c[:10], ids[at], c[at], top, 5)
+    best = ([np.zeros(0, np.int64)] * 10, [np.zeros(0, np.int64)] * 10, block.first.copy())
+    looked = []
+    scores = P._scores
+    try:
+        P._scores = lambda q, x: looked.append(len(x)) or scores(q, x)
+        P._search(block, ids, c, P._distances(P._lift(c[at], top), P._lift(c, top)), best, 5)
+    finally:
+        P._scores = scores
+    for i in range(10):
+        s = c @ c[i]
+        order = [j for j in np.lexsort((ids, -s)) if j != i][:5]
+        assert best[0][i].tolist() == order
+    assert sum(looked) < 0.5 * 10 * 4000
