@@ -1,20 +1,25 @@
 """License scan: Dice coefficient of word bigrams against license templates.
 
-A text is scanned as a whole and line by line, so that a notice within a longer text is found as
-well as a text that is a license. Text and templates are normalised alike: lower case, everything
-but letters and digits to one space. With A and B the sets of word bigrams,
+A text is scanned as a whole, line by line, and in windows of as many words as the template has, one
+at every tenth of them and one at the end. So a text that is a license is found as well as a notice on
+a line of its own, a license wrapped over many lines above a program, and a notice within a long line:
+some window is off by at most a twentieth of the template. Text and templates are normalised alike:
+lower case, everything but letters and digits to one space. With A and B the sets of word bigrams,
 
     dice = 2 |A and B| / (|A| + |B|)
 
 and since |A and B| <= min(|A|, |B|), a dice of t needs |A| between |B| t / (2 - t) and
 |B| (2 - t) / t. These bounds prune the candidate templates before any bigram is compared.
+For the same reason a window can reach t only if its text holds |B| t / (2 - t) of the template's
+bigrams; only for such templates are the windows of a text made.
 
 Everything is DataFrame operations on the rows where they are, no shuffle but the final grouping of
 matches by document and license. The templates are literals of the plan; their number is a fixed
 property of this module (or of the caller's list).
 
 Defined results: null and empty texts match nothing, units of fewer than two words have no bigram
-and match nothing; repeated rows of one id are scanned each and reported together.
+and match nothing; a text has windows for a template only if it has more words; repeated rows of
+one id are scanned each and reported together.
 """
 
 from __future__ import annotations
@@ -71,6 +76,20 @@ TEMPLATES = [
         " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with"
         " this program. If not, see <https://www.gnu.org/licenses/>.",
     ),
+    (
+        "GPL-2.0",
+        "This program is free software; you can redistribute it and/or modify it under the terms of the GNU General Public License as published by the Free Software Foundation; either version 2"
+        " of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied warranty of"
+        " MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU General Public License for more details. You should have received a copy of the GNU General Public License along with"
+        " this program; if not, write to the Free Software Foundation, Inc., 51 Franklin Street, Fifth Floor, Boston, MA 02110-1301 USA.",
+    ),
+    (
+        "AGPL-3.0",
+        "This program is free software: you can redistribute it and/or modify it under the terms of the GNU Affero General Public License as published by the Free Software Foundation, either"
+        " version 3 of the License, or (at your option) any later version. This program is distributed in the hope that it will be useful, but WITHOUT ANY WARRANTY; without even the implied"
+        " warranty of MERCHANTABILITY or FITNESS FOR A PARTICULAR PURPOSE. See the GNU Affero General Public License for more details. You should have received a copy of the GNU Affero General"
+        " Public License along with this program. If not, see <https://www.gnu.org/licenses/>.",
+    ),
     (
         "MPL-2.0",
         "This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of the MPL was not distributed with this file, You can obtain one at"
@@ -86,6 +105,28 @@ TEMPLATES = [
         " PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT, STRICT"
         " LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
     ),
+    (
+        "BSD-3-Clause",
+        "Redistribution and use in source and binary forms, with or without modification, are permitted provided that the following conditions are met: 1. Redistributions of source code must"
+        " retain the above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions in binary form must reproduce the above copyright notice, this list of"
+        " conditions and the following disclaimer in the documentation and/or other materials provided with the distribution. 3. Neither the name of the copyright holder nor the names of its"
+        " contributors may be used to endorse or promote products derived from this software without specific prior written permission. THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND"
+        " CONTRIBUTORS \"AS IS\" AND ANY EXPRESS OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS FOR A PARTICULAR PURPOSE ARE"
+        " DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL DAMAGES (INCLUDING, BUT NOT"
+        " LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE, DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER IN CONTRACT,"
+        " STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE.",
+    ),
+    (
+        "BSL-1.0",
+        "Boost Software License - Version 1.0 - August 17th, 2003 Permission is hereby granted, free of charge, to any person or organization obtaining a copy of the software and accompanying"
+        " documentation covered by this license (the \"Software\") to use, reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative works of the Software,"
+        " and to permit third-parties to whom the Software is furnished to do so, all subject to the following: The copyright notices in the Software and this entire statement, including the"
+        " above license grant, this restriction and the following disclaimer, must be included in all copies of the Software, in whole or in part, and all derivative works of the Software,"
+        " unless such copies or derivative works are solely in the form of machine-executable object code generated by a source language processor. THE SOFTWARE IS PROVIDED \"AS IS\", WITHOUT"
+        " WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT"
+        " SHALL THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN"
+        " CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.",
+    ),
     (
         "Zlib",
         "This software is provided 'as-is', without any express or implied warranty. In no event will the authors be held liable for any damages arising from the use of this software. Permission"
@@ -145,20 +186,30 @@ def _bigrams(words: Column) -> Column:
     return F.array_distinct(F.zip_with(first, rest, lambda a, b: F.concat_ws(" ", a, b)))
 
 
+def window_step(words: int) -> int:
+    """Words from the start of a window to that of the next, for a template of so many words."""
+    return max(1, words // 10)
+
+
 def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, unit, license, dice) of each unit and template whose dice reaches the threshold; unit 0 is the whole text, others lines."""
-    made = [(name, bigrams(text)) for name, text in (templates or TEMPLATES)]
-    known = F.array(*(F.struct(F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(bounds(len(b), threshold)[0]).alias("lo"), F.lit(bounds(len(b), threshold)[1]).alias("hi")) for name, b in made))
+    """(id, kind, unit, license, dice) of each unit and template whose dice reaches the threshold.
+
+    kind is text, line or window; unit counts lines from 1, and is the first word (from 1) of a window.
+    """
+    made = [(name, bigrams(text), len(normal(text).split())) for name, text in (templates or TEMPLATES)]
+    fields = lambda name, b, words: (F.lit(name).alias("license"), F.array(*map(F.lit, b)).alias("b"), F.lit(len(b)).alias("n"), F.lit(bounds(len(b), threshold)[0]).alias("lo"), F.lit(bounds(len(b), threshold)[1]).alias("hi"), F.lit(words).alias("words"), F.lit(window_step(words)).alias("step"))
+    known = F.array(*(F.struct(*fields(*t)) for t in made))
     text = F.col(text_col).cast("string")
     lines = F.split(text, "\n")
-    cues = sorted({w for _, b in made for w in cue_words(b, threshold)})
+    cues = sorted({w for _, b, _ in made for w in cue_words(b, threshold)})
     near_any = F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, cues)))
+    told = docs.where(near_any)
     # One-element explodes keep Spark from evaluating what they hold once for each use.
-    units = docs.where(near_any).select(F.col(id_col), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "u"))
+    units = told.select(F.col(id_col), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "u"))
     units = units.select(id_col, "unit", F.explode(F.array(F.split(_normalised(F.col("u")), " "))).alias("w"))
-    fewest = min(max(1, bounds(len(b), threshold)[0]) for _, b in made)
-    units = units.where(F.size("w") > fewest).select(id_col, "unit", F.explode(F.array(_bigrams(F.col("w")))).alias("a"))
-    ranges = sorted({bounds(len(b), threshold) for _, b in made})
+    fewest = min(max(1, bounds(len(b), threshold)[0]) for _, b, _ in made)
+    units = units.where(F.size("w") > fewest).select(id_col, F.when(F.col("unit") == 0, "text").otherwise("line").alias("kind"), "unit", F.explode(F.array(_bigrams(F.col("w")))).alias("a"))
+    ranges = sorted({bounds(len(b), threshold) for _, b, _ in made})
     merged: list[list[int]] = []
     for lo, hi in ranges:
         if merged and lo <= merged[-1][1] + 1:
@@ -170,15 +221,28 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *,
     for lo, hi in merged:
         near = near | m.between(max(1, lo), hi)
     fits = F.filter(known, lambda t: (t["lo"] <= m) & (m <= t["hi"]))
-    pairs = units.where(near).select(id_col, "unit", "a", F.inline(fits))
-    dice = 2.0 * F.size(F.array_intersect("a", "b")) / (F.size("a") + F.col("n"))
-    return pairs.where(dice >= threshold - 1e-12).select(id_col, "unit", "license", dice.alias("dice"))
+    whole = units.where(near).select(id_col, "kind", "unit", "a", F.inline(fits))
+    texts = told.select(F.col(id_col), F.explode(F.array(F.split(_normalised(text), " "))).alias("w")).where(F.size("w") > fewest)
+    texts = texts.select(id_col, "w", F.explode(F.array(_bigrams(F.col("w")))).alias("all"))
+    held = F.filter(known, lambda t: (F.size("w") > t["words"]) & (F.size(F.array_intersect("all", t["b"])) >= t["lo"]))
+    texts = texts.select(id_col, "w", F.inline(held))
+    last = F.size("w") - F.col("words") + 1
+    starts = F.array_union(F.sequence(F.lit(1), last, F.col("step")), F.array(last))
+    # The windows of a text are judged inside its row: a row for each would carry the text along.
+    dice = lambda a, b, n: 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + n)
+    score = lambda at: F.transform(F.array(_bigrams(F.slice("w", at, F.col("words")))), lambda a: F.struct(at.alias("unit"), dice(a, F.col("b"), F.col("n")).alias("dice")))
+    reached = lambda x: x["dice"] >= threshold - 1e-12
+    found = F.filter(F.transform(starts, lambda at: F.get(score(at), F.lit(0))), reached)
+    windows = texts.select(id_col, "license", F.inline(found)).select(id_col, F.lit("window").alias("kind"), "unit", "license", "dice")
+    whole = whole.select(id_col, "kind", "unit", "license", dice(F.col("a"), F.col("b"), F.col("n")).alias("dice")).where(F.col("dice") >= threshold - 1e-12)
+    return whole.unionAll(windows)
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
-    """(id, license, dice, units): the licenses of each document, their best dice and the units that match."""
+    """(id, license, dice, units, windows): the licenses of each document, their best dice, the matching units (text and lines) and windows."""
     hits = matches(docs, templates, id_col=id_col, text_col=text_col, threshold=threshold)
-    return hits.groupBy(id_col, "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count("*").alias("units"))
+    window = F.col("kind") == "window"
+    return hits.groupBy(id_col, "license").agg(F.round(F.max("dice"), 6).alias("dice"), F.count(F.when(~window, 1)).alias("units"), F.count(F.when(window, 1)).alias("windows"))
 
 
 def op7_license_scan(spark, sf_dir: str) -> DataFrame:
@@ -187,23 +251,33 @@ def op7_license_scan(spark, sf_dir: str) -> DataFrame:
 
 
 def _sql(threshold: float) -> str:
-    rows = ", ".join(f"({i}, '{name}', '{normal(text)}')" for i, (name, text) in enumerate(TEMPLATES))
+    rows = ", ".join(f"({i}, '{name}', '{normal(text)}', {bounds(len(bigrams(text)), threshold)[0]}, {window_step(len(normal(text).split()))})" for i, (name, text) in enumerate(TEMPLATES))
     pairs = "list_distinct(list_transform(range(1, len({w})), lambda i: {w}[i] || ' ' || {w}[i + 1]))"
+    words = "string_split(trim(regexp_replace(lower({u}), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ')"
     return f"""
-WITH raw(t, license, words) AS (VALUES {rows}),
-templates AS (SELECT t, license, {pairs.format(w="w")} AS b FROM (SELECT t, license, string_split(words, ' ') AS w FROM raw)),
+WITH raw(t, license, words, need, step) AS (VALUES {rows}),
+templates AS (SELECT t, license, {pairs.format(w="w")} AS b, len(w) AS n_words, need, step FROM (SELECT *, string_split(words, ' ') AS w FROM raw)),
 lines AS (SELECT doc_id, text, string_split(text, chr(10)) AS l FROM documents WHERE text IS NOT NULL AND text <> ''),
 units AS (
   SELECT doc_id, 0 AS unit, text AS u FROM lines
   UNION ALL
   SELECT doc_id, unnest(range(1, len(l) + 1)) AS unit, unnest(l) AS u FROM lines WHERE len(l) > 1),
-words AS (SELECT doc_id, unit, string_split(trim(regexp_replace(lower(u), '[^\\p{{L}}\\p{{N}}]+', ' ', 'g')), ' ') AS w FROM units),
-grams AS (SELECT doc_id, unit, {pairs.format(w="w")} AS a FROM words),
+words AS (SELECT doc_id, unit, {words.format(u="u")} AS w FROM units),
+grams AS (SELECT doc_id, unit, w, {pairs.format(w="w")} AS a FROM words),
 scored AS (
-  SELECT doc_id, unit, license, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
-  FROM grams JOIN templates ON len(a) > 0 AND len(a) * (2 - {threshold}) + 1e-6 >= len(b) * {threshold} AND len(a) * {threshold} <= len(b) * (2 - {threshold}) + 1e-6)
-SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) AS units
-FROM scored WHERE dice >= {threshold} - 1e-12
+  SELECT doc_id, 0 AS is_window, license, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) AS dice
+  FROM grams JOIN templates ON len(a) > 0 AND len(a) * (2 - {threshold}) + 1e-6 >= len(b) * {threshold} AND len(a) * {threshold} <= len(b) * (2 - {threshold}) + 1e-6),
+held AS (
+  SELECT doc_id, w, license, b, n_words, list_distinct(list_append(range(1, len(w) - n_words + 2, step), len(w) - n_words + 1)) AS starts
+  FROM grams JOIN templates ON unit = 0 AND len(w) > n_words AND len(list_intersect(a, b)) >= need),
+windows AS (SELECT doc_id, license, b, w[s : s + n_words - 1] AS x FROM (SELECT *, unnest(starts) AS s FROM held)),
+window_grams AS (SELECT doc_id, license, b, {pairs.format(w="x")} AS a FROM windows),
+everything AS (
+  SELECT * FROM scored
+  UNION ALL
+  SELECT doc_id, 1, license, 2.0::DOUBLE * len(list_intersect(a, b)) / (len(a) + len(b)) FROM window_grams)
+SELECT doc_id, license, round(max(dice), 6) AS dice, count(*) FILTER (is_window = 0) AS units, count(*) FILTER (is_window = 1) AS windows
+FROM everything WHERE dice >= {threshold} - 1e-12
 GROUP BY 1, 2
 """
 

@@ -1,4 +1,5 @@
 import random
+import textwrap
 from collections import defaultdict
 
 import duckdb
@@ -16,17 +17,21 @@ def dice(text, template):
 
 
 def brute(rows, threshold=L.THRESHOLD):
-    out = defaultdict(list)
+    """Every unit and every window against every template, without any bound."""
+    out = defaultdict(lambda: ([], []))
     for i, text in rows:
         if not text:
             continue
-        lines = text.split("\n")
-        for unit in [text, *(lines if len(lines) > 1 else [])]:
-            for name, template in L.TEMPLATES:
-                d = dice(unit, template)
-                if d >= threshold - 1e-12:
-                    out[i, name].append(d)
-    return {k: (round(max(v), 6), len(v)) for k, v in out.items()}
+        lines, words = text.split("\n"), L.normal(text).split()
+        for name, template in L.TEMPLATES:
+            n = len(L.normal(template).split())
+            for unit in [text, *(lines if len(lines) > 1 else [])]:
+                out[i, name][0].append(dice(unit, template))
+            if len(words) > n:
+                for at in sorted({*range(0, len(words) - n + 1, L.window_step(n)), len(words) - n}):
+                    out[i, name][1].append(dice(" ".join(words[at : at + n]), template))
+    good = lambda v: [d for d in v if d >= threshold - 1e-12]
+    return {k: (round(max(good(u + w)), 6), len(good(u)), len(good(w))) for k, (u, w) in out.items() if good(u + w)}
 
 
 def test_scan_equals_brute_force(spark):
@@ -41,11 +46,31 @@ def test_scan_equals_brute_force(spark):
     rows += [(100, None), (101, ""), (102, "one"), (103, "MIT LICENSE"), (104, "Released under the MIT License.\n" * 3), (105, "x " * 100_000 + "\nLicensed under CC BY 4.0"), (106, "Released, under the MIT license")]
     rows.append(rows[-1])
     df = spark.createDataFrame([(i, t, "c", 0) for i, t in rows], "doc_id long, text string, license string, unit int")
-    got = {(r.doc_id, r.license): (r.dice, r.units) for r in L.scan(df).collect()}
+    got = {(r.doc_id, r.license): (r.dice, r.units, r.windows) for r in L.scan(df).collect()}
     assert got == brute(rows)
     assert L.scan(df.limit(0)).count() == 0
 
 
+def test_wrapped_licenses_above_and_inside_other_text(spark):
+    """Bodies of several lines in a longer document, at any width and offset, and a notice in a long line."""
+    rng = random.Random(8)
+    bodies = [(n, t) for n, t in L.TEMPLATES if len(t.split()) > 40]
+    code = [f"x{i} = f({rng.randrange(999)}, y{i % 7})" for i in range(200)]
+    rows, want = [], []
+    for i, (name, body) in enumerate(bodies):
+        width = rng.choice([40, 76, 100])
+        wrapped = textwrap.wrap(body, width, initial_indent="# ", subsequent_indent="# ")
+        before = ["filler " * rng.randrange(12)] * rng.randrange(30)
+        rows.append((i, "\n".join([*before, "Copyright (c) 2020 A. Person", *wrapped, *code])))
+        want.append((i, name))
+    rows.append((90, "several words in front " * 50 + "licensed under the Apache License, Version 2.0, and " + "more words after it " * 50))
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {(r.doc_id, r.license): (r.dice, r.units, r.windows) for r in L.scan(df).collect()}
+    assert got == brute(rows)
+    assert set(want) <= set(got) and (90, "Apache-2.0-notice") in got
+    assert min(got[w][0] for w in want) > 0.88
+
+
 def test_cue_words_and_bounds():
     for _, template in L.TEMPLATES:
         b = L.bigrams(template)
