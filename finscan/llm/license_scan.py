@@ -203,12 +203,11 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *,
     lines = F.split(text, "\n")
     cues = sorted({w for _, b, _ in made for w in cue_words(b, threshold)})
     near_any = F.arrays_overlap(F.split(F.lower(text), r"[^\p{L}\p{N}]+"), F.array(*map(F.lit, cues)))
-    told = docs.where(near_any)
     # One-element explodes keep Spark from evaluating what they hold once for each use.
-    units = told.select(F.col(id_col), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "u"))
+    units = docs.where(near_any).select(F.col(id_col), F.posexplode(F.concat(F.array(text), F.when(F.size(lines) > 1, lines).otherwise(F.array().cast("array<string>")))).alias("unit", "u"))
     units = units.select(id_col, "unit", F.explode(F.array(F.split(_normalised(F.col("u")), " "))).alias("w"))
     fewest = min(max(1, bounds(len(b), threshold)[0]) for _, b, _ in made)
-    units = units.where(F.size("w") > fewest).select(id_col, F.when(F.col("unit") == 0, "text").otherwise("line").alias("kind"), "unit", F.explode(F.array(_bigrams(F.col("w")))).alias("a"))
+    units = units.where(F.size("w") > fewest).select(id_col, "unit", "w", F.explode(F.array(_bigrams(F.col("w")))).alias("a"))
     ranges = sorted({bounds(len(b), threshold) for _, b, _ in made})
     merged: list[list[int]] = []
     for lo, hi in ranges:
@@ -216,26 +215,26 @@ def matches(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *,
             merged[-1][1] = max(hi, merged[-1][1])
         else:
             merged.append([lo, hi])
-    m = F.size("a")
-    near = F.lit(False)
+    m, is_text = F.size("a"), F.col("unit") == 0
+    near = is_text
     for lo, hi in merged:
         near = near | m.between(max(1, lo), hi)
-    fits = F.filter(known, lambda t: (t["lo"] <= m) & (m <= t["hi"]))
-    whole = units.where(near).select(id_col, "kind", "unit", "a", F.inline(fits))
-    texts = told.select(F.col(id_col), F.explode(F.array(F.split(_normalised(text), " "))).alias("w")).where(F.size("w") > fewest)
-    texts = texts.select(id_col, "w", F.explode(F.array(_bigrams(F.col("w")))).alias("all"))
-    held = F.filter(known, lambda t: (F.size("w") > t["words"]) & (F.size(F.array_intersect("all", t["b"])) >= t["lo"]))
-    texts = texts.select(id_col, "w", F.inline(held))
-    last = F.size("w") - F.col("words") + 1
-    starts = F.array_union(F.sequence(F.lit(1), last, F.col("step")), F.array(last))
-    # The windows of a text are judged inside its row: a row for each would carry the text along.
-    dice = lambda a, b, n: 2.0 * F.size(F.array_intersect(a, b)) / (F.size(a) + n)
-    score = lambda at: F.transform(F.array(_bigrams(F.slice("w", at, F.col("words")))), lambda a: F.struct(at.alias("unit"), dice(a, F.col("b"), F.col("n")).alias("dice")))
-    reached = lambda x: x["dice"] >= threshold - 1e-12
-    found = F.filter(F.transform(starts, lambda at: F.get(score(at), F.lit(0))), reached)
-    windows = texts.select(id_col, "license", F.inline(found)).select(id_col, F.lit("window").alias("kind"), "unit", "license", "dice")
-    whole = whole.select(id_col, "kind", "unit", "license", dice(F.col("a"), F.col("b"), F.col("n")).alias("dice")).where(F.col("dice") >= threshold - 1e-12)
-    return whole.unionAll(windows)
+    fits = F.filter(known, lambda t: (t["lo"] <= m) & (m <= t["hi"]) | is_text & (F.size("w") > t["words"]) & (F.size(F.array_intersect("a", t["b"])) >= t["lo"]))
+    pairs = units.where(near).select(id_col, "unit", F.when(is_text, F.col("w")).alias("whole"), "a", F.inline(fits))
+    dice = lambda a: 2.0 * F.size(F.array_intersect(a, "b")) / (F.size(a) + F.col("n"))
+    row = lambda kind, unit, score: F.struct(F.lit(kind).alias("kind"), unit.alias("unit"), score.alias("dice"))
+    whole = F.when(m.between(F.col("lo"), F.col("hi")), F.array(F.when(is_text, row("text", F.col("unit"), dice("a"))).otherwise(row("line", F.col("unit"), dice("a")))))
+    # Windows are judged inside the text's row, which a row for each would carry along; those without a bigram of the template are left out.
+    last = F.size("whole") - F.col("words") + 1
+    hits = F.filter(F.sequence(F.lit(1), F.size("whole") - 1), lambda i: F.array_contains(F.col("b"), F.concat_ws(" ", F.get("whole", i - 1), F.get("whole", i))))
+    from_ = lambda h: (F.ceil(F.greatest(F.lit(0), h + 1 - F.col("words")) / F.col("step")) * F.col("step") + 1).cast("int")
+    around = lambda h: F.when(from_(h) <= F.least(h, last), F.sequence(from_(h), F.least(h, last), F.col("step"))).otherwise(F.array().cast("array<int>"))
+    starts = F.array_distinct(F.concat(F.flatten(F.transform(hits, around)), F.array(last)))
+    window = lambda at: F.get(F.transform(F.array(_bigrams(F.slice("whole", at, F.col("words")))), lambda a: row("window", at, dice(a))), F.lit(0))
+    windows = F.when(is_text & (F.size("whole") > F.col("words")), F.transform(starts, window))
+    none = F.array().cast("array<struct<kind:string,unit:int,dice:double>>")
+    found = F.filter(F.concat(F.coalesce(whole, none), F.coalesce(windows, none)), lambda x: x["dice"] >= threshold - 1e-12)
+    return pairs.select(id_col, "license", F.inline(found)).select(id_col, "kind", "unit", "license", "dice")
 
 
 def scan(docs: DataFrame, templates: list[tuple[str, str]] | None = None, *, id_col: str = "doc_id", text_col: str = "text", threshold: float = THRESHOLD) -> DataFrame:
