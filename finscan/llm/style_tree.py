@@ -9,16 +9,24 @@ the base m gives the importance of a node:
     content       1 - sum (n_f / N) log_m n_f over its texts: 0 if all pages say the same there
     node          (1 - g^l) presentation + g^l content, l styles, g = 0.9; 1 if one page has it
 
-Branches of low importance are cut from every page of the host. Elements whose tag, role or class
-names them as something else than text (nav, footer, form, advert, comments, ...) are cut as well:
-on hosts of few pages there is nothing to compare. Where a page marks its article or main part,
-only that part counts, and paragraphs and headings inside it, and what encloses them there, are
-never cut for being common. Equal pages of a host count once: copies say nothing about what is
-common to its pages, and a branch is cut only if ``least_pages`` different pages have it.
-
-Counts are pre-aggregated by batch and by task and grouped by (host, node, text), so that a host
-with a third of all pages is dealt over all tasks. The table of low nodes is written out first; it
-is broadcast only if its size lets Spark do so, else joined by host with skew splitting.
+A branch that ``least_pages`` different pages of its host have is judged by its importance: below
+``threshold`` it is cut. Names are priors: a branch whose class or id is named like something else
+than text by a word that articles use as well (notice, related, widget, ...) is cut unless both its
+presentation and its content reach ``named_threshold``, that is unless its looks and its words vary
+as an article's do; where fewer pages have it there is nothing to compare, and its name decides. Elements
+that say themselves that they are no text (nav, footer, form, script, adverts, reader comments, ...)
+go on every host: the words of menus and adverts may differ on every page, which no entropy can tell
+from prose. Where a page marks its article or main part, only that part counts, and paragraphs and
+headings inside it, and what encloses them there, are never cut for being common. Equal pages of a
+host count once: copies say nothing about what is common to its pages.
+
+Each page is parsed in time linear in its length, whatever its markup: elements nested deeper than
+``DEPTH`` are taken as siblings at that depth, and a tag that never ends is text.
+
+What the tree needs of a page (hashes of nodes, styles and texts) is written once; equal pages are
+folded by (host, page), and counts are grouped by (host, node, style or text), so that a host with a
+third of all pages is dealt over all tasks. A page then meets the judgements on its own nodes only,
+joined by (host, page), however many its host has.
 
 Defined results: a null or empty page, or one without text, has the text ''; a null or odd url
 belongs to the host ''; repeated rows each get their text; other columns are dropped.
@@ -28,7 +36,7 @@ from __future__ import annotations
 
 import html as htmllib
 import re
-from collections import Counter
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 from functools import lru_cache
 
@@ -40,11 +48,15 @@ from pyspark.sql import functions as F
 from finscan.llm.shared import settled, table
 
 THRESHOLD = 0.2
+NAMED_THRESHOLD = 0.5
 LEAST_PAGES = 3
 DECAY = 0.9
+DEPTH = 256
 
-TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<[!?][^>]*>|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>", re.S)
-ATTRIBUTE = re.compile(r"([^\s=\"'/>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+)))?")
+TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)((?:[^>=]++|=\s*+(?:\"[^\"]*+\"|'[^']*+'|(?![\"'])))*+)>")
+NAME = re.compile(r"<(/?)([a-zA-Z][^\s/>]*+)")
+SPACES = re.compile(r"\s*+")
+ATTRIBUTE = re.compile(r"([^\s=\"'/>]++)(?:\s*+=\s*+(?:\"([^\"]*+)\"|'([^']*+)'|([^\s\"'>]++)))?")
 WORDS = re.compile(r"[A-Z]?[a-z]+|[A-Z]+|\d+")
 
 # Fixed values of HTML.
@@ -59,13 +71,14 @@ NOISE_TAGS = frozenset("nav footer aside form script style noscript iframe templ
 NOISE_ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar toolbar status".split())
 NOISE_WORDS = frozenset(
     "ad ads adbox advert adverts advertisement advertising adsense banner sponsor sponsored promo promotion nav navbar navigation menu submenu breadcrumb breadcrumbs sidebar sidenav"
-    " footer masthead topbar cookie cookies consent gdpr notice notices notification alert popup modal overlay newsletter subscribe subscription signup login share sharing social"
-    " related recommended recommendations comment comments commentlist disqus reply replies respond discussion widget toolbar pagination pager paywall skip hidden".split()
+    " footer masthead topbar cookie cookies consent gdpr modal popup overlay newsletter subscribe subscription signup login comment comments commentlist disqus toolbar pagination pager paywall".split()
 )
+WEAK_WORDS = frozenset("notice notices notification alert share sharing social related recommended recommendations reply replies respond discussion widget skip hidden".split())
 HEADER_WORDS = frozenset("header siteheader pageheader".split())
 MAIN_TAGS = frozenset(("article", "main"))
 PARAGRAPHS = frozenset("p h1 h2 h3 h4 h5 h6 pre blockquote".split())
 PROSE = PARAGRAPHS | frozenset("b strong i em u s a span small sub sup mark code q cite abbr time font tt kbd samp var ins del".split())
+ROOTS = frozenset(("html", "body"))
 
 
 def _signed(n: int) -> int:
@@ -76,214 +89,319 @@ def _hash(text: str) -> int:
     return _signed(xxhash.xxh3_64_intdigest(text.encode("utf-8", "surrogatepass")))
 
 
+LONG_REFERENCE = re.compile(r"&#(?:0*[0-9]{8,}|[xX]0*[0-9a-fA-F]{8,});?")
+
+
+def _decoded(raw: str) -> str:
+    """raw with its character references decoded; numbers beyond any character stand for the replacement character."""
+    return htmllib.unescape(LONG_REFERENCE.sub("\ufffd", raw) if "&#" in raw else raw) if "&" in raw else raw
+
+
 class _Node:
-    __slots__ = ("tag", "path", "noise", "main", "children")
+    """An element: path is the hash of the tags and classes from the root, zone the nearest element that may be cut by name."""
+
+    __slots__ = ("tag", "path", "noise", "weak", "main", "children", "parent", "zone")
 
-    def __init__(self, tag: str, path: str, noise: bool, main: bool):
-        self.tag, self.path, self.noise, self.main = tag, path, noise, main
+    def __init__(self, tag: str, path: int, noise: bool, weak: bool, main: bool, parent: _Node | None):
+        self.tag, self.path, self.noise, self.weak, self.main, self.parent = tag, path, noise, weak, main, parent
+        self.zone = self if parent is None or weak or noise and not parent.noise else parent.zone
         self.children: list[str] = []
 
 
 def _attributes(raw: str) -> dict[str, str]:
-    return {m[1].lower(): htmllib.unescape(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
+    return {m[1].lower(): _decoded(m[2] or m[3] or m[4] or "") for m in ATTRIBUTE.finditer(raw)} if raw else {}
 
 
 TELLING = re.compile(r"class|id|role|hidden", re.I)
 
 
-@lru_cache(maxsize=65536)
-def _kind(tag: str, raw: str, path: str, noise: bool, main: bool) -> tuple[str, bool, bool]:
-    """Path, noise and main of an element, from its attributes and those of its parent."""
+def _kind(tag: str, raw: str, path: int, noise: bool, main: bool) -> tuple[int, bool, bool, bool]:
+    """Path, noise, weak and main of an element, from its attributes and those of its parent."""
     attributes = _attributes(raw)
     named = f"{attributes.get('class', '')} {attributes.get('id', '')}"
     words = {w.lower() for w in WORDS.findall(named)} | set(named.lower().split())
     role = attributes.get("role", "").lower()
     noise = noise or tag in NOISE_TAGS or role in NOISE_ROLES or "hidden" in attributes or attributes.get("aria-hidden") == "true"
-    if tag not in ("html", "body"):
+    weak = False
+    if tag not in ROOTS:
         noise = noise or bool(words & NOISE_WORDS)
         noise = noise or not main and (tag == "header" or bool(words & HEADER_WORDS))
+        weak = not noise and bool(words & WEAK_WORDS)
     main = main or not noise and (tag in MAIN_TAGS or role == "main")
-    return f"{path}/{'.'.join([tag, *sorted(attributes.get('class', '').lower().split())])}", noise, main
+    return _hash(f"{path}/{'.'.join([tag, *sorted(attributes.get('class', '').lower().split())])}"), noise, weak, main
+
+
+_kind_once = lru_cache(maxsize=65536)(_kind)
 
 
 def _opened(tag: str, raw: str, parent: _Node) -> _Node:
-    return _Node(tag, *_kind(tag, raw if raw and TELLING.search(raw) else "", parent.path, parent.noise, parent.main))
+    raw = raw if raw and TELLING.search(raw) else ""
+    kind = (_kind_once if len(raw) <= 512 else _kind)(tag, raw, parent.path, parent.noise, parent.main)
+    return _Node(tag, *kind, parent)
+
+
+class _Ends:
+    """Where tags end, for pages with a tag whose quotes are not closed; no stretch of the page is scanned twice."""
+
+    def __init__(self, html: str):
+        self.html, self.failed = html, set()
+        self.stops = [m.start() for m in re.finditer("[>=]", html)]
+        self.closes = [at for at in self.stops if html[at] == ">"]
+        self.marks = {q: [m.start() for m in re.finditer(q, html)] for q in "\"'"}
+
+    def end(self, start: int) -> int:
+        """Place of the > that ends the tag, -1 if there is none; if it is inside a quote that never ends, the first one."""
+        at, seen = start, []
+        while at not in self.failed:
+            seen.append(at)
+            i = bisect_left(self.stops, at)
+            if i == len(self.stops):
+                break
+            at = self.stops[i]
+            if self.html[at] == ">":
+                return at
+            at = SPACES.match(self.html, at + 1).end()
+            marks = self.marks.get(self.html[at : at + 1])
+            if marks is not None:
+                j = bisect_right(marks, at)
+                at = marks[j] + 1 if j < len(marks) else at + 1
+        self.failed.update(seen)
+        i = bisect_left(self.closes, start)
+        return self.closes[i] if i < len(self.closes) else -1
+
+
+RAW_END = {tag: re.compile(rf"</{tag}(?=[\s/>])", re.I) for tag in RAW}
 
 
 class Page:
-    """The text blocks of a page, and the nodes around them."""
+    """The text of a page in pieces, each with the node around it."""
 
     def __init__(self, html: str):
-        #: text, chain of nodes from the outermost; only for blocks outside scripts and the head
-        self.blocks: list[tuple[str, list[_Node]]] = []
+        #: number of the block, raw text, innermost node; only for text outside scripts and the head
+        self.pieces: list[tuple[int, str, _Node]] = []
         self.nodes: list[_Node] = []
         self._parse(html or "")
 
     def _parse(self, html: str) -> None:
-        root = _Node("", "", False, False)
-        stack, text, at = [root], [], 0
-        chain: list[_Node] = []
+        root = _Node("", 0, False, False, False, None)
+        stack, opened = [root], {}
+        text: list[str] = []
+        held, block = root, 0
+        ends: _Ends | None = None
 
-        def flush() -> None:
+        def piece() -> None:
             if text:
-                words = "".join(text).split()
-                if words:
-                    self.blocks.append((" ".join(words), list(chain)))
+                raw = "".join(text)
+                if not raw.isspace():
+                    self.pieces.append((block, raw, held))
+                elif self.pieces and self.pieces[-1][0] == block:
+                    n, before, node = self.pieces[-1]
+                    self.pieces[-1] = (n, before + " ", node)
                 text.clear()
 
         def add(raw: str) -> None:
+            nonlocal held
             if raw:
-                if not text:
-                    chain[:] = stack
-                elif stack[-1].noise != chain[-1].noise:
-                    flush()
-                    chain[:] = stack
-                text.append(htmllib.unescape(raw) if "&" in raw else raw)
-
-        tokens = TOKEN.finditer(html)
-        while (m := next(tokens, None)) is not None:
-            start = m.start()
-            if start > at:
-                add(html[at:start])
-            at = m.end()
-            tag = m[2]
-            if tag is None:
-                if m[0].startswith("<![CDATA["):
-                    add(m[0][9:].removesuffix("]]>"))
-                continue
-            tag = tag.lower()
-            if m[1]:
-                i = next((j for j in range(len(stack) - 1, 0, -1) if stack[j].tag == tag), 0)
+                if not text or stack[-1].zone is not held.zone:
+                    piece()
+                    held = stack[-1]
+                text.append(_decoded(raw))
+
+        def flush() -> None:
+            nonlocal block
+            piece()
+            block += 1
+
+        def pop(to: int) -> None:
+            for x in stack[to:]:
+                opened[x.tag] -= 1
+            del stack[to:]
+
+        def close(tags: set[str], until: set[str], *, all_: bool) -> None:
+            j = len(stack) - 1
+            while j > 0 and stack[j].tag not in until:
+                if stack[j].tag in tags:
+                    pop(j)
+                    if not all_:
+                        return
+                j -= 1
+
+        at, n = 0, len(html)
+        while at < n:
+            start = html.find("<", at)
+            if start < 0:
+                add(html[at:])
+                break
+            add(html[at:start])
+            found = TAG.match(html, start) if ends is None else None
+            if found:
+                closing, tag, raw = found[1], found[2].lower(), found[3]
+                at = found.end()
+            else:
+                follows = html[start + 1 : start + 2]
+                if follows and follows in "!?":
+                    if html.startswith("<!--", start):
+                        end = html.find("-->", start + 4)
+                        at = n if end < 0 else end + 3
+                    elif html.startswith("<![CDATA[", start):
+                        end = html.find("]]>", start + 9)
+                        add(html[start + 9 : n if end < 0 else end])
+                        at = n if end < 0 else end + 3
+                    else:
+                        end = html.find(">", start)
+                        if end < 0:
+                            add(html[start:])
+                            break
+                        at = end + 1
+                    continue
+                name = NAME.match(html, start)
+                if name is None:
+                    add("<")
+                    at = start + 1
+                    continue
+                ends = ends or _Ends(html)
+                end = ends.end(name.end())
+                if end < 0:
+                    add(html[start:])
+                    break
+                closing, tag, raw = name[1], name[2].lower(), html[name.end() : min(end, name.end() + 2048)]
+                at = end + 1
+            if closing:
+                i = next((j for j in range(len(stack) - 1, 0, -1) if stack[j].tag == tag), 0) if opened.get(tag) else 0
                 if tag in BLOCK:
                     flush()
                 elif i and any(x.tag in BLOCK for x in stack[i + 1 :]):
                     continue
                 if i:
-                    del stack[i:]
+                    pop(i)
                 continue
             if tag in BLOCK:
                 flush()
             if tag == "br" or tag == "img":
                 add(" ")
-            if tag in CLOSES_P:
-                self._close(stack, {"p"}, {"table", "td", "th", "caption", "button", "object"})
-            if tag in SIBLINGS:
-                self._close(stack, SIBLINGS[tag], SCOPE[tag])
+            if tag in CLOSES_P and opened.get("p"):
+                close({"p"}, {"table", "td", "th", "caption", "button", "object"}, all_=False)
+            if tag in SIBLINGS and any(opened.get(x) for x in SIBLINGS[tag]):
+                close(SIBLINGS[tag], SCOPE[tag], all_=True)
+            if len(stack) > DEPTH:
+                pop(DEPTH)
             parent = stack[-1]
             parent.children.append(tag)
-            if tag in VOID or tag in ("html", "body") and any(x.tag == tag for x in stack):
+            if tag in VOID or tag in ROOTS and opened.get(tag):
                 continue
-            node = _opened(tag, m[3], parent)
             if tag in RAW:
-                end = re.compile(rf"</{tag}(?=[\s/>])[^>]*>", re.I).search(html, at)
-                at = end.end() if end else len(html)
-                tokens = TOKEN.finditer(html, at)
+                end = RAW_END[tag].search(html, at)
+                end = html.find(">", end.end()) if end else -1
+                at = n if end < 0 else end + 1
                 continue
+            node = _opened(tag, raw, parent)
             self.nodes.append(node)
-            if not m[3].rstrip().endswith("/") or tag in BLOCK:
+            if not raw.rstrip().endswith("/") or tag in BLOCK:
                 stack.append(node)
-        if at < len(html):
-            add(html[at:])
-        flush()
-
-    @staticmethod
-    def _close(stack: list[_Node], tags: set[str], until: set[str]) -> None:
-        for j in range(len(stack) - 1, 0, -1):
-            if stack[j].tag in until:
-                return
-            if stack[j].tag in tags:
-                del stack[j:]
-                if "p" in tags:
-                    return
-                return Page._close(stack, tags, until)
+                opened[tag] = opened.get(tag, 0) + 1
+        piece()
 
     def _holders(self) -> set[_Node]:
         """The nodes that enclose a paragraph or heading with text."""
         out: set[_Node] = set()
-        for _, chain in self.blocks:
-            last = max((i for i, x in enumerate(chain) if x.tag in PARAGRAPHS), default=0)
-            if last and not chain[-1].noise:
-                out.update(chain[:last])
+        for _, _, node in self.pieces:
+            if node.noise:
+                continue
+            inner, x = None, node
+            while x.parent is not None:
+                if x.tag in PARAGRAPHS:
+                    inner = x
+                    break
+                x = x.parent
+            while inner is not None and inner.parent is not None and inner.parent not in out:
+                inner = inner.parent
+                out.add(inner)
         return out
 
-    def text(self, low: frozenset[int] | set[int]) -> str:
-        """Blocks that are left after branches of low importance and named noise are cut."""
-        has_main = any(c[-1].main and not c[-1].noise for _, c in self.blocks)
-        holders = self._holders() if low and has_main else set()
-        out = []
-        for text, chain in self.blocks:
-            last = chain[-1]
-            if last.noise or has_main and not last.main:
-                continue
-            if low and any(_hash(x.path) in low for x in chain[1:] if not (x.tag in ("html", "body") or x.tag in MAIN_TAGS or has_main and (not x.main or x.tag in PROSE or x in holders))):
+    def text(self, low: frozenset[int] | set[int] = frozenset(), varied: frozenset[int] | set[int] = frozenset()) -> str:
+        """The blocks left after noise, branches of low importance, and named ones that are not varied are cut."""
+        gone: set[_Node] = set()
+        for x in self.nodes:
+            if x.noise or x.parent in gone or x.weak and x.path not in varied:
+                gone.add(x)
+        has_main = any(x.main and x not in gone for _, _, x in self.pieces)
+        if low:
+            holders = self._holders() if has_main else set()
+            for x in self.nodes:
+                if x.parent in gone:
+                    gone.add(x)
+                elif x.path in low and not (x.tag in ROOTS or x.tag in MAIN_TAGS or has_main and (not x.main or x.tag in PROSE or x in holders)):
+                    gone.add(x)
+        out: list[str] = []
+        last = -1
+        for block, raw, node in self.pieces:
+            if node in gone or has_main and not node.main:
                 continue
-            out.append(text)
-        return "\n".join(out)
-
-
-PAGE, STYLE, CONTENT = 0, 1, 2
-COUNTS = "host string, node long, kind int, feature long, n long"
-
-
-def _count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    hashes: dict[str, int] = {}
+            if block == last:
+                out[-1] += " " + raw if out[-1][-1:].isspace() or raw[:1].isspace() else raw
+            else:
+                out.append(raw)
+            last = block
+        return "\n".join(" ".join(x.split()) for x in out)
+
+    def tree(self) -> tuple[list[int], list[int], list[bool], list[int], list[int]]:
+        """Nodes, their styles and whether their names are weak; node and text of each piece below each node."""
+        nodes: dict[int, tuple[int, bool]] = {}
+        for x in self.nodes:
+            if x.tag not in ROOTS and x.tag not in MAIN_TAGS and x.path not in nodes:
+                nodes[x.path] = _hash(" ".join(x.children)), x.weak
+        owners, texts = [], []
+        for _, raw, x in self.pieces:
+            t = _hash(" ".join(raw.split()))
+            while x.parent is not None:
+                if x.path in nodes:
+                    owners.append(x.path)
+                    texts.append(t)
+                x = x.parent
+        return list(nodes), [v[0] for v in nodes.values()], [v[1] for v in nodes.values()], owners, texts
+
+
+TREES = "host string, page binary, nodes array<long>, styles array<long>, weak array<boolean>, owners array<long>, texts array<long>"
+ROWS = 256
+
+
+def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    for batch in batches:
+        for first in range(0, batch.num_rows, ROWS):
+            part = batch.slice(first, ROWS)
+            found = [Page(h).tree() for h in part.column("html").to_pylist()]
+            lists = [pa.array([f[j] for f in found], pa.list_(k)) for j, k in enumerate(kinds)]
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), *lists], ["host", "page", "nodes", "styles", "weak", "owners", "texts"])
 
-    def node(path: str) -> int:
-        h = hashes.get(path)
-        if h is None:
-            if len(hashes) > 100_000:
-                hashes.clear()
-            h = hashes[path] = _hash(path)
-        return h
 
-    for batch in batches:
-        counts: Counter = Counter()
-        for host, html in zip(batch.column("host").to_pylist(), batch.column("html").to_pylist(), strict=True):
-            page = Page(html)
-            seen = set()
-            for x in page.nodes:
-                if x.tag in ("html", "body") or x.tag in MAIN_TAGS:
-                    continue
-                h = node(x.path)
-                if h not in seen:
-                    seen.add(h)
-                    counts[host, h, PAGE, 0] += 1
-                    counts[host, h, STYLE, _hash(" ".join(x.children))] += 1
-            for text, chain in page.blocks:
-                t = _hash(text)
-                for x in chain[1:]:
-                    if x.tag not in ("html", "body") and x.tag not in MAIN_TAGS:
-                        counts[host, node(x.path), CONTENT, t] += 1
-        keys = list(counts)
-        kinds = (pa.string(), pa.int64(), pa.int32(), pa.int64())
-        yield pa.RecordBatch.from_arrays([*(pa.array([k[j] for k in keys], kinds[j]) for j in range(4)), pa.array(list(counts.values()), pa.int64())], ["host", "node", "kind", "feature", "n"])
-
-
-def _hosted(pages: DataFrame, url_col: str, html_col: str):
+def _hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
+    """pages with host, html (never null) and page, which tells different pages of a host apart."""
     host = F.lower(F.regexp_extract(F.coalesce(F.col(url_col).cast("string"), F.lit("")), r"^[a-zA-Z][a-zA-Z0-9+.\-]*://(?:[^/?#@]*@)?([^/:?#]+)", 1))
-    return pages.withColumns({"host": host, "html": F.coalesce(F.col(html_col).cast("string"), F.lit(""))})
-
-
-def node_importance(pages: DataFrame, *, url_col: str = "url", html_col: str = "html", decay: float = DECAY) -> DataFrame:
-    """(host, node, pages, styles, presentation, content, importance) of each node of the hosts' style trees, from different pages."""
-    rows = _hosted(pages.select(F.col(url_col), F.col(html_col)), url_col, html_col).select("host", "html")
-    rows = rows.withColumn("page", F.md5(F.col("html").cast("binary"))).dropDuplicates(["host", "page"]).select("host", "html")
-    counts = rows.mapInArrow(_count, COUNTS).groupBy("host", "node", "kind", "feature").agg(F.sum("n").alias("n"))
-    n, kind = F.col("n").cast("double"), F.col("kind")
-    folded = F.sum(F.when(kind == STYLE, n * F.log(n))), F.sum(F.when(kind == CONTENT, n * F.log(n)))
-    nodes = counts.groupBy("host", "node").agg(
-        F.sum(F.when(kind == PAGE, F.col("n"))).alias("pages"),
-        F.sum(F.when(kind == STYLE, F.lit(1))).alias("styles"),
-        F.coalesce(folded[0], F.lit(0.0)).alias("style_sum"),
-        F.coalesce(folded[1], F.lit(0.0)).alias("content_sum"),
-        F.coalesce(F.sum(F.when(kind == CONTENT, n)), F.lit(0.0)).alias("texts"),
-    )
-    m = F.log(F.col("pages").cast("double"))
-    nodes = nodes.withColumn("presentation", F.when(F.col("pages") > 1, F.greatest(F.lit(0.0), 1 - F.col("style_sum") / (F.col("pages") * m))).otherwise(1.0))
-    nodes = nodes.withColumn("content", F.when((F.col("pages") > 1) & (F.col("texts") > 0), F.greatest(F.lit(0.0), 1 - F.col("content_sum") / (F.col("texts") * m))).otherwise(F.when(F.col("pages") > 1, 0.0).otherwise(1.0)))
+    html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
+    return pages.withColumns({"host": host, "html": html, "page": F.unhex(F.md5(html.cast("binary")))})
+
+
+def site_trees(pages: DataFrame, *, url_col: str = "url", html_col: str = "html") -> DataFrame:
+    """A row for each different page of a host: host, page, and what the tree counts of it."""
+    rows = _hosted(pages.select(F.col(url_col), F.col(html_col)), url_col, html_col).select("host", "page", "html")
+    return settled(rows.mapInArrow(_trees, TREES).dropDuplicates(["host", "page"]), "site-trees")
+
+
+def node_importance(trees: DataFrame, *, decay: float = DECAY) -> DataFrame:
+    """(host, node, weak, pages, styles, presentation, content, importance) of each node of the hosts' style trees."""
+    n = F.col("n").cast("double")
+    own = trees.select("host", F.inline(F.arrays_zip("nodes", "styles", "weak"))).groupBy("host", F.col("nodes").alias("node"), "styles").agg(F.count("*").alias("n"), F.max("weak").alias("weak"))
+    own = own.groupBy("host", "node").agg(F.sum("n").alias("pages"), F.count("*").alias("styles"), F.sum(n * F.log(n)).alias("style_sum"), F.max("weak").alias("weak"))
+    said = trees.select("host", F.inline(F.arrays_zip("owners", "texts"))).groupBy("host", F.col("owners").alias("node"), "texts").agg(F.count("*").alias("n"))
+    said = said.groupBy("host", "node").agg(F.sum("n").alias("said"), F.sum(n * F.log(n)).alias("said_sum"))
+    nodes = own.join(said, ["host", "node"], "left")
+    m, several, zero = F.log(F.col("pages").cast("double")), F.col("pages") > 1, F.lit(0.0)
+    nodes = nodes.withColumn("presentation", F.when(several, F.greatest(zero, 1 - F.col("style_sum") / (F.col("pages") * m))).otherwise(1.0))
+    nodes = nodes.withColumn("content", F.when(several, F.coalesce(F.greatest(zero, 1 - F.col("said_sum") / (F.col("said") * m)), zero)).otherwise(1.0))
     g = F.pow(F.lit(decay), F.col("styles"))
-    nodes = nodes.withColumn("importance", F.when(F.col("pages") > 1, (1 - g) * F.col("presentation") + g * F.col("content")).otherwise(1.0))
-    return nodes.select("host", "node", "pages", "styles", "presentation", "content", "importance")
+    nodes = nodes.withColumn("importance", F.when(several, (1 - g) * F.col("presentation") + g * F.col("content")).otherwise(1.0))
+    return nodes.select("host", "node", "weak", "pages", "styles", "presentation", "content", "importance")
 
 
 def extract(
@@ -293,20 +411,27 @@ def extract(
     url_col: str = "url",
     html_col: str = "html",
     threshold: float = THRESHOLD,
+    named_threshold: float = NAMED_THRESHOLD,
     least_pages: int = LEAST_PAGES,
 ) -> DataFrame:
     """(id, url, text, n_chars) of each page."""
-    importance = node_importance(pages, url_col=url_col, html_col=html_col)
-    low = importance.where((F.col("importance") < threshold) & (F.col("pages") >= least_pages))
-    low = settled(low.groupBy("host").agg(F.collect_set("node").alias("low")), "low-nodes")
-    rows = _hosted(pages.select(id_col, url_col, html_col), url_col, html_col).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "host", "html")
-    rows = rows.join(low, "host", "left").select("id", "url", "html", "low")
+    trees = site_trees(pages, url_col=url_col, html_col=html_col)
+    judged = node_importance(trees).where(F.col("pages") >= least_pages)
+    low, varied = F.col("importance") < threshold, F.col("weak") & (F.least("presentation", "content") >= named_threshold)
+    judged = settled(judged.where(low | varied).select("host", "node", low.alias("cut")), "judged-nodes")
+    mine = trees.select("host", "page", F.explode("nodes").alias("node")).join(judged, ["host", "node"])
+    mine = mine.groupBy("host", "page").agg(F.collect_list(F.when(F.col("cut"), F.col("node"))).alias("low"), F.collect_list(F.when(~F.col("cut"), F.col("node"))).alias("varied"))
+    mine = settled(mine, "judged-pages")
+    rows = _hosted(pages.select(id_col, url_col, html_col), url_col, html_col).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "host", "page", "html")
+    rows = rows.join(mine, ["host", "page"], "left").select("id", "url", "html", "low", "varied")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for b in batches:
-            texts = [Page(h).text(frozenset(s) if s else frozenset()) for h, s in zip(b.column("html").to_pylist(), b.column("low").to_pylist(), strict=True)]
-            out = [b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
-            yield pa.RecordBatch.from_arrays(out, [id_col, url_col, "text", "n_chars"])
+        for whole in batches:
+            for first in range(0, whole.num_rows, ROWS):
+                b = whole.slice(first, ROWS)
+                texts = [Page(h).text(frozenset(x or ()), frozenset(y or ())) for h, x, y in zip(*(b.column(c).to_pylist() for c in ("html", "low", "varied")), strict=True)]
+                out = [b.column("id"), b.column("url"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())]
+                yield pa.RecordBatch.from_arrays(out, [id_col, url_col, "text", "n_chars"])
 
     types = dict(rows.dtypes)
     return rows.mapInArrow(run, f"`{id_col}` {types['id']}, `{url_col}` {types['url']}, text string, n_chars long")

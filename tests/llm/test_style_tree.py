@@ -1,6 +1,11 @@
 import html
+import math
+import random
 import re
+import time
+from collections import Counter
 
+import pytest
 from pyspark.sql import functions as F
 
 from finscan.llm import style_tree as H
@@ -48,7 +53,7 @@ def test_common_branches_are_cut_by_host(spark):
     got = {r.page_id: r.text for r in H.extract(df).collect()}
     assert all(got[i] == f"Own text number {i} of many" for i in range(20))
     assert got[100].startswith("Always") and got[101] == got[102] == ""
-    nodes = H.node_importance(df).where(F.col("host") == "h0.example").collect()
+    nodes = H.node_importance(H.site_trees(df)).where(F.col("host") == "h0.example").collect()
     assert {r.pages for r in nodes} == {10} and min(r.importance for r in nodes) == 0 and max(r.importance for r in nodes) > 0.7
     assert H.extract(df.limit(0)).count() == 0
 
@@ -80,3 +85,109 @@ def test_paragraphs_of_an_article_stay_in_containers(spark):
     page = lambda i: f"<body><article><h1>Title {i}</h1><div class='x1'><p>The same on all</p></div><ul class='x2'><li>Next</ul></article></body>"
     df = spark.createDataFrame([(i, f"http://h/{i}", page(i)) for i in range(6)], "page_id long, url string, html string")
     assert {r.page_id: r.text for r in H.extract(df).collect()} == {i: f"Title {i}\nThe same on all" for i in range(6)}
+
+
+@pytest.mark.parametrize("unit", ["<a ", '<a "', "<b x='", "<div>", "<!", "<![CDATA[", "<p><div>a", "<script></script ", "<a b=", "<li>", "&#", "<i =\"'>", "</", "<table><tr><td>"])
+def test_linear_time(unit):
+    """A megabyte of what never ends takes about five times as long as a fifth of it, and its text is not lost."""
+    took = []
+    for n in (200_000, 1_000_000):
+        page = "<p>first</p>" + unit * (n // len(unit)) + "last"
+        began = time.process_time()
+        got = text(page)
+        took.append(time.process_time() - began)
+        assert got.startswith("first")
+    assert took[1] < 12 * max(took[0], 0.02) and took[1] < 20
+
+
+def test_odd_markup():
+    assert text("<p>a</p><p title=\"x>y\">b</p>") == "a\nb"
+    assert text("<p>a</p><p title=\"x>b</p><p>c</p>") == "a\nb\nc"
+    assert text("<p>a <b x='1' y=\"2'>b</b></p>c") == "a b\nc"
+    assert text("a <b") == "a <b" and text("a <b c='>'") == "a '" and text("1 < 2 <= 3 </4") == "1 < 2 <= 3 </4"
+    assert text("&#" + "9" * 6000 + "; &#x" + "f" * 50 + "; &#65;") == "� � A"
+    assert text("<p>one <button>press</button> two</p>") == "one two" and text("<p>o<button>press</button>ne</p>") == "one"
+    deep = "<div>" * 3000 + "inside" + "</div>" * 3000 + "<p>after</p>"
+    assert text(deep) == "inside\nafter"
+
+
+def slow_importance(pages):
+    """Plain counts over different pages, by paths spelt out."""
+    per = {}
+    for number, page in enumerate(sorted(set(pages))):
+        parsed = H.Page(page)
+        for x in parsed.nodes:
+            if x.tag in H.ROOTS or x.tag in H.MAIN_TAGS:
+                continue
+            node = per.setdefault(x.path, {})
+            node.setdefault(number, (" ".join(x.children), []))
+        for _, raw, x in parsed.pieces:
+            while x.parent is not None:
+                if x.path in per and number in per[x.path]:
+                    per[x.path][number][1].append(" ".join(raw.split()))
+                x = x.parent
+    out = {}
+    for path, seen in per.items():
+        m = len(seen)
+        if m == 1:
+            out[path] = (1, 1.0)
+            continue
+        styles = Counter(style for style, _ in seen.values())
+        looks = -sum(c / m * math.log(c / m, m) for c in styles.values())
+        words = Counter(t for _, texts in seen.values() for t in texts)
+        total = sum(words.values())
+        content = max(0.0, 1 - sum(c / total * math.log(c, m) for c in words.values())) if total else 0.0
+        g = 0.9 ** len(styles)
+        out[path] = (m, (1 - g) * max(0.0, looks) + g * content)
+    return out
+
+
+WORDS = [f"w{i}" for i in range(300)]
+
+
+def unmarked(rng, i):
+    """A page without any telling element or name: a menu, a body of varied looks, a standing note."""
+    words = lambda n: " ".join(rng.choices(WORDS, k=n))
+    body = "".join(rng.choice([f"<p>{words(9)}</p>", f"<ul><li>{words(3)}</li></ul>", f"<h2>{words(2)}</h2>", f"<blockquote>{words(5)}</blockquote>"]) for _ in range(rng.randrange(2, 7)))
+    main = f"<h1>{words(4)} {i}</h1>{body}"
+    widget = f"<div class='widget w9'>{rng.choice(['<p>%s</p><ul><li>%s</li></ul>', '<h2>%s</h2><p>%s</p>', '<p>%s</p><p>%s</p>', '<div>%s<p>%s</p></div>', '<pre>%s</pre><p>%s</p>']) % (words(4), words(4))}<p>{words(3)} {i}</p>{'<p>more %d</p>' % i * rng.randrange(4)}</div>"
+    whole = f"<html><body><div class='a1'><ul><li>Home</li><li>News</li></ul></div><div class='b2'>{main}</div>{widget}<div class='c3'><p>All rights are kept</p></div><div class='notice n1'>Read this</div></body></html>"
+    return whole
+
+
+def test_importance_equals_plain_counts(spark):
+    rng = random.Random(4)
+    pages = [unmarked(rng, i) for i in range(30)]
+    pages += pages[:5] * 3 + ["", "<p>only here</p>"]
+    df = spark.createDataFrame([(i, "http://h.example/", p) for i, p in enumerate(pages)], "page_id long, url string, html string").repartition(3)
+    got = {r.node: (r.pages, r.importance) for r in H.node_importance(H.site_trees(df)).collect()}
+    want = slow_importance(pages)
+    assert got.keys() == want.keys()
+    for node, (m, importance) in want.items():
+        assert got[node][0] == m and abs(got[node][1] - importance) < 1e-9
+
+
+def test_the_tree_decides_on_unmarked_pages(spark):
+    """No telling names: the tree alone cuts menu and standing note; a widget whose looks and words vary stays, a uniform notice goes."""
+    rng = random.Random(6)
+    pages = [unmarked(rng, i) for i in range(40)]
+    lone = [unmarked(rng, 100)]
+    rows = [(i, "http://h.example/", p) for i, p in enumerate(pages)] + [(100, "http://lone.example/", lone[0])]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in H.extract(df).collect()}
+    changed = 0
+    for i, page in enumerate(pages):
+        kept = re.search(r"<div class='b2'>.*(?=<div class='c3'>)", page, re.S)[0]
+        assert got[i] == text(kept.replace("widget", "box")), i
+        changed += got[i] != text(page)
+    assert changed == len(pages)
+    assert got[100] == text(lone[0]) and "Home" in got[100] and "Read this" not in got[100] and "w9" not in got[100]
+
+
+def test_many_nodes_of_a_host_do_not_meet_every_page(spark):
+    """A page's row carries judgements on its own nodes only."""
+    page = lambda i: f"<body><div class='k{i // 4}'><p>same {i // 4}</p></div><div class='t'>own {i} {'x' * (i % 7)}</div></body>"
+    rows = [(i, "http://h.example/", page(i)) for i in range(400)] + [(i, "http://h.example/", page(i)) for i in range(10)]
+    df = spark.createDataFrame(rows, "page_id long, url string, html string")
+    got = H.extract(df).collect()
+    assert len(got) == 410 and all(r.text == f"own {r.page_id} {'x' * (r.page_id % 7)}".strip() for r in got)
