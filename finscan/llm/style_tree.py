@@ -15,7 +15,7 @@ than text by a word that articles use as well (notice, related, widget, ...) is
 presentation and its content reach ``named_threshold``, that is unless its looks and its words vary
 as an article's do; where fewer pages have it there is nothing to compare, and its name decides. Elements
 that say themselves that they are no text (nav, footer, form, script, adverts, reader comments, ...)
-go on every host: the words of menus and adverts may differ on every page, which no entropy can tell
+go on every host and have no place in the tree: the words of menus and adverts may differ on every page, which no entropy can tell
 from prose. Where a page marks its article or main part, only that part counts, and paragraphs and
 headings inside it, and what encloses them there, are never cut for being common. Equal pages of a
 host count once: copies say nothing about what is common to its pages.
@@ -344,35 +344,48 @@ class Page:
             last = block
         return "\n".join(" ".join(x.split()) for x in out)
 
-    def tree(self) -> tuple[list[int], list[int], list[bool], list[int], list[int]]:
-        """Nodes, their styles and whether their names are weak; node and text of each piece below each node."""
-        nodes: dict[int, tuple[int, bool]] = {}
+    def tree(self) -> tuple[list[int], list[int], list[bool], list[bool], list[int], list[int]]:
+        """Nodes, their styles, whether their names are weak and whether the page may cut them; node and text of each piece below each node.
+
+        What is noise on every host has no place in the tree.
+        """
+        named: set[_Node] = set()
+        for x in self.nodes:
+            if x.weak or x.parent in named:
+                named.add(x)
+        has_main = any(x.main and not x.noise and x not in named for _, _, x in self.pieces)
+        holders = self._holders() if has_main else set()
+        nodes: dict[int, list] = {}
         for x in self.nodes:
-            if x.tag not in ROOTS and x.tag not in MAIN_TAGS and x.path not in nodes:
-                nodes[x.path] = _hash(" ".join(x.children)), x.weak
+            if x.noise or x.tag in ROOTS or x.tag in MAIN_TAGS:
+                continue
+            mine = nodes.setdefault(x.path, [" ".join(x.children), x.weak, False])
+            mine[2] = mine[2] or not has_main or x.weak or x.main and x.tag not in PROSE and x not in holders
         owners, texts = [], []
         for _, raw, x in self.pieces:
+            if x.noise:
+                continue
             t = _hash(" ".join(raw.split()))
             while x.parent is not None:
                 if x.path in nodes:
                     owners.append(x.path)
                     texts.append(t)
                 x = x.parent
-        return list(nodes), [v[0] for v in nodes.values()], [v[1] for v in nodes.values()], owners, texts
+        return list(nodes), [_hash(v[0]) for v in nodes.values()], [v[1] for v in nodes.values()], [v[2] for v in nodes.values()], owners, texts
 
 
-TREES = "host string, page binary, nodes array<long>, styles array<long>, weak array<boolean>, owners array<long>, texts array<long>"
+TREES = "host string, page binary, nodes array<long>, styles array<long>, weak array<boolean>, open array<boolean>, owners array<long>, texts array<long>"
 ROWS = 256
 
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64())
+    kinds = (pa.int64(), pa.int64(), pa.bool_(), pa.bool_(), pa.int64(), pa.int64())
     for batch in batches:
         for first in range(0, batch.num_rows, ROWS):
             part = batch.slice(first, ROWS)
             found = [Page(h).tree() for h in part.column("html").to_pylist()]
             lists = [pa.array([f[j] for f in found], pa.list_(k)) for j, k in enumerate(kinds)]
-            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), *lists], ["host", "page", "nodes", "styles", "weak", "owners", "texts"])
+            yield pa.RecordBatch.from_arrays([part.column("host"), part.column("page"), *lists], ["host", "page", "nodes", "styles", "weak", "open", "owners", "texts"])
 
 
 def _hosted(pages: DataFrame, url_col: str, html_col: str) -> DataFrame:
@@ -419,7 +432,7 @@ def extract(
     judged = node_importance(trees).where(F.col("pages") >= least_pages)
     low, varied = F.col("importance") < threshold, F.col("weak") & (F.least("presentation", "content") >= named_threshold)
     judged = settled(judged.where(low | varied).select("host", "node", low.alias("cut")), "judged-nodes")
-    mine = trees.select("host", "page", F.explode("nodes").alias("node")).join(judged, ["host", "node"])
+    mine = trees.select("host", "page", F.inline(F.arrays_zip("nodes", "open"))).where("open").select("host", "page", F.col("nodes").alias("node")).join(judged, ["host", "node"])
     mine = mine.groupBy("host", "page").agg(F.collect_list(F.when(F.col("cut"), F.col("node"))).alias("low"), F.collect_list(F.when(~F.col("cut"), F.col("node"))).alias("varied"))
     mine = settled(mine, "judged-pages")
     rows = _hosted(pages.select(id_col, url_col, html_col), url_col, html_col).select(F.col(id_col).alias("id"), F.col(url_col).alias("url"), "host", "page", "html")
