@@ -58,6 +58,103 @@ def test_repeated_ids_null_ids_and_empty(spark):
     assert S.removed_spans(df.limit(0)).count() == 0
 
 
+def sample(seed):
+    rng = random.Random(seed)
+    words = ["".join(rng.choice("abcdé") for _ in range(rng.randint(1, 6))) for _ in range(40)]
+    some = lambda n: " ".join(rng.choice(words) for _ in range(n))
+    passage = [some(60) for _ in range(4)]
+    rows = []
+    for i in range(30):
+        parts = [rng.choice([*passage, passage[0][rng.randint(0, 60) :], some(rng.randint(1, 60))]) for _ in range(rng.randint(0, 4))]
+        rows.append((i, " ".join(parts)))
+    return [*rows, (50, rows[3][1]), (51, rows[3][1]), (52, "y" * 150)]
+
+
+def test_groups_hold_all_occurrences(spark):
+    """Each group spells one string and has all its places; what they spell but for first places is what is removed."""
+    rows = sample(4)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    raw = {i: t.encode() for i, t in rows}
+    groups = {}
+    for r in S.repeat_groups(df).collect():
+        groups.setdefault((r.first_doc, r.first_start, r.length), set()).add((r.doc, r.start))
+    cover = {i: np.zeros(len(t), int) for i, t in raw.items()}
+    for (doc, at, n), places in groups.items():
+        string = raw[doc][at : at + n]
+        assert n >= 100 and len(string) == n and min(places) == (doc, at) and len(places) > 1
+        assert places == {(i, p) for i, t in raw.items() for p in range(len(t) - n + 1) if t.startswith(string, p)}
+        for i, p in places - {(doc, at)}:
+            cover[i][p : p + n] = 1
+    want = brute(rows, 100)
+    assert {i: (len(c), int(c.sum())) for i, c in cover.items()} == {i: v[:2] for i, v in want.items()}
+    assert any(len({raw[i][p - 1] if p else None for i, p in places}) > 1 for places in groups.values())
+
+
+@pytest.mark.parametrize("hot", [2, 6, 10**6])
+def test_one_anchor_in_every_document(spark, monkeypatch, hot):
+    """A line of 60 bytes that all documents hold, in other surroundings, and passages around it: taken apart or not, the same."""
+    rng = random.Random(11)
+    line = "the line that every one of all these documents holds, word by"
+    some = lambda n: "".join(rng.choice("abcdefgh ") for _ in range(n))
+    near = [some(70) for _ in range(6)]
+    rows = [(i, some(30) + rng.choice([some(70), *near]) + line + rng.choice([some(70), *near]) + some(20)) for i in range(120)]
+    monkeypatch.setattr(S, "LOCAL", 2)
+    monkeypatch.setattr(S, "HOT", hot)
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(6)
+    texts = S._numbered(df, "doc_id", "text", [])
+    found, size = S.hot_anchors(texts)
+    assert (len(found) > 0) == (hot < 10**6) and size == sum(len(t) for _, t in rows)
+    assert run(spark, rows, 100) == brute(rows, 100)
+
+
+def test_windows_of_a_large_anchor_are_taken_in_parts(spark, monkeypatch):
+    monkeypatch.setattr(S, "WINDOWS", 100)
+    rows = sample(5)
+    assert run(spark, rows, 100) == brute(rows, 100)
+
+
+def test_equal_hashes_of_other_bytes(monkeypatch, spark):
+    """With a context hash of two bits the batch tells contexts apart by their bytes, and nothing is removed that is no repeat."""
+    real = S.anchors
+
+    def weak(*args, **options):
+        h, c, low, n = real(*args, **options)
+        return h & S.U(7 << 40), c & S.U(3), low, n
+
+    monkeypatch.setattr(S, "anchors", weak)
+    texts = [t.encode() for _, t in sample(6)]
+    b = S._Batch(texts, 100)
+    spelt = set()
+    for j in range(len(b.h)):
+        s = texts[b.number[j]][b.at[j] : b.at[j] + b.n[j] + 99]
+        assert not b.old[j] or s in spelt
+        spelt.add(s)
+    assert b.old.any()
+
+
+def test_more_buckets_than_partitions(spark):
+    rows = sample(7)
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    found = {r.doc: (r.n_bytes, sum(x.end - x.start for x in r.spans)) for r in S.removed_spans(df, bucket_bytes=1000).collect()}
+    assert found == {i: v[:2] for i, v in brute(rows, 100).items()}
+
+
+def test_rows_of_one_id_and_of_none_lie_in_many_buckets(spark):
+    rng = random.Random(3)
+    some = lambda: "".join(rng.choice("abcdefgh ") for _ in range(150))
+    passage = some()
+    rows = [(None, some() + passage) for _ in range(40)] + [(7, some() + passage) for _ in range(40)] + [(7, passage)] * 3 + [(None, passage)] * 3
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    texts = S._numbered(df, "doc_id", "text", [])
+    buckets = np.arange(16)
+    spread = {(r.doc == 7, int(S._text_bucket(np.array([r.doc]), np.array([r.sub]), buckets)[0])) for r in texts.select("doc", "sub").collect()}
+    assert len(spread) > 20 and texts.select("doc", "sub").distinct().count() == len(rows)
+    found = S.removed_spans(df, carry=["doc_id"]).collect()
+    want = brute([((r.doc, r.sub), bytes(r.text)) for r in texts.orderBy("doc", "sub").collect()], 100)
+    assert {(r.doc, r.sub): (r.n_bytes, sum(x.end - x.start for x in r.spans), len(r.spans), bytes(r.kept).hex()) for r in found} == want
+    assert [r.c0 for r in found if not r.spans] == [None]
+
+
 def test_cleaned_keeps_columns(spark):
     t = "passage that is repeated word for word " * 5
     df = spark.createDataFrame([(1, t + "é one", "en", 9), (2, "è two " + t, None, 9), (3, None, "de", 0)], "doc_id long, text string, lang string, n_chars long")
