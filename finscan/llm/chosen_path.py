@@ -7,19 +7,26 @@ white space parts where there are none; a text of fewer words is one gram). Docu
    below branch / (threshold |x|): sets that share most grams follow mostly the same ones. Sets on
    one path form a bucket. Small buckets are compared by brute force, on sizes and on 64-byte
    sketches, with margins that let a pair of the wanted similarity slip once in ten million. Larger
-   ones are split by another step, whose paths hang on the first; what is still large after the
-   last step is compared block against block in tasks of bounded size, so nothing is capped.
-   The number of runs follows from the target recall: a pair is missed by a run with a chance of
-   at most exp(-branch).
+   ones are split by another step, whose paths hang on the one before, and so on: a bucket is split
+   if that at least halves the pairs to compare, else (its sets are near copies of each other) it is
+   compared block against block in tasks of bounded size, so nothing is capped. Buckets with more
+   than a 4,096th of all rows are named beforehand, and never meet in one task.
+   The number of runs follows from the target recall: q, the chance that a run misses a pair at the
+   threshold however often its buckets are split, is the root of q = exp(-branch (1 - q)).
 2. The pairs found connect classes to clusters; a task reports a spanning forest of its pairs only.
 3. The gram sets of each cluster come together once, and all pairs in it are verified exactly, again
    block against block where a cluster is large. Links are counted in place and not spelled out.
-   This also finds links that the paths have missed within a cluster.
+   This also finds links that the paths have missed within a cluster. A large cluster whose sets hang
+   together by chains, so that paths (of other runs) leave less than half the pairs of all blocks to
+   compare, is verified in the buckets of those paths; a pair counts in the first bucket it shares.
 
-Components are found with joins and minima in rounds, each written to the shared folder.
+Components are found with joins and minima in rounds, each written to the shared folder. Sets are
+told apart by 128-bit hashes; they travel under 64-bit numbers, and a number that two sets share is
+given up by all but one.
 
 Defined results: texts that are null or without words belong to no class but their own and have no
 links; so do rows of a null id; repeated rows are copies of each other; other columns are not read.
+Rows of one id with different texts may belong to several classes, which then bear the same id.
 """
 
 from __future__ import annotations
@@ -43,6 +50,10 @@ BRANCH = 2.0
 SMALL = 512
 SKETCH_BLOCK = 4096
 EXACT_BLOCK = 1024
+#: A cluster of more sets than so many blocks may be verified in buckets; rows of a bucket that is dealt apart; steps of a path.
+LARGE_BLOCKS = 8
+HOT_ROWS, MOST_HOT = 4096, 4096
+STEPS = 8
 BINS = 64
 U = np.uint64
 WORD = re.compile(r"\w+")
@@ -80,54 +91,65 @@ def sketch(tokens: np.ndarray) -> bytes:
     return np.where(at < ends, _mix(low) % U(255) + U(1), U(0)).astype(np.uint8).tobytes()
 
 
-def paths(tokens: np.ndarray, runs: int, threshold: float, branch: float) -> list[tuple[int, list[int]]]:
-    """First steps of all runs, and the second steps that hang on each."""
-    limit = U(min(2**64 - 1, int(branch / (threshold * len(tokens)) * 2**64)))
+def _limit(n: int, threshold: float, branch: float) -> np.uint64:
+    return U(min(2**64 - 1, int(branch / (threshold * n) * 2**64)))
+
+
+def paths(tokens: np.ndarray, runs: range, threshold: float, branch: float) -> np.ndarray:
+    """First steps of the runs."""
+    limit = _limit(len(tokens), threshold, branch)
     out = []
-    for run in range(runs):
+    for run in runs:
         first = _mix(tokens + U((run * 2 + 1) * 0xD1342543DE82EF95 & (2**64 - 1)))
-        for path in _mix(first[first <= limit] + U(run)).tolist():
-            second = _mix(tokens ^ U(path))
-            out.append((path, _mix(second[second <= limit] + U(path)).tolist()))
-    return out
+        out.append(_mix(first[first <= limit] + U(run)))
+    return np.concatenate(out) if out else np.zeros(0, np.uint64)
+
+
+def steps(tokens: np.ndarray, path: int, threshold: float, branch: float) -> np.ndarray:
+    """The next steps of a path."""
+    h = _mix(tokens ^ U(path))
+    return _mix(h[h <= _limit(len(tokens), threshold, branch)] + U(path))
+
+
+def miss(branch: float) -> float:
+    """The chance at most that a run misses a pair at the threshold, after any number of steps: a branching process dies out."""
+    q = 0.0
+    for _ in range(200):
+        q = math.exp(-branch * (1 - q))
+    return q
 
 
 def runs_for(recall: float, branch: float) -> int:
-    return max(1, math.ceil(math.log(1 / (1 - recall)) / branch))
+    return max(1, math.ceil(math.log(1 - recall) / math.log(miss(branch)) - 1e-9))
 
 
 def _long(x) -> np.ndarray:
     return np.asarray(x, np.uint64).view(np.int64)
 
 
-def _describe(words: int, runs: int, threshold: float, branch: float):
-    kind = pa.list_(pa.struct([("key", pa.int64()), ("next", pa.list_(pa.int64()))]))
-
+def _describe(words: int, runs: int, threshold: float, branch: float, node_bits: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             ids, texts = batch.column("id"), batch.column("text")
             for first in range(0, batch.num_rows, 512):
-                sigs, sizes, sketches, keys, offsets, nexts, next_offsets = [], [], [], [], [0], [], [0]
+                sigs, sizes, sketches, keys, offsets = [], [], [], [], [0]
                 for text in texts.slice(first, 512).to_pylist():
                     tokens = grams(text, words)
                     sigs.append(xxhash.xxh3_128_digest(tokens.tobytes()) if len(tokens) else None)
                     sizes.append(len(tokens))
                     sketches.append(sketch(tokens) if len(tokens) else None)
-                    for key, more in paths(tokens, runs, threshold, branch) if len(tokens) else []:
-                        keys.append(key)
-                        nexts += more
-                        next_offsets.append(len(nexts))
-                    offsets.append(len(keys))
-                inner = pa.ListArray.from_arrays(pa.array(next_offsets, pa.int32()), pa.array(_long(nexts)))
-                structs = pa.StructArray.from_arrays([pa.array(_long(keys)), inner], ["key", "next"])
-                node = [None if s is None else int.from_bytes(s[:8], "little", signed=True) for s in sigs]
-                columns = [ids.slice(first, 512), batch.column("text_hash").slice(first, 512), pa.array(sigs, pa.binary()), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), structs).cast(kind)]
-                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "sig", "node", "n", "sketch", "paths"])
+                    if len(tokens):
+                        keys.append(paths(tokens, range(runs), threshold, branch))
+                    offsets.append(offsets[-1] + (len(keys[-1]) if len(tokens) else 0))
+                flat = np.concatenate(keys) if keys else []
+                node = [None if s is None else int.from_bytes(s[:8], "little", signed=True) >> (64 - node_bits) for s in sigs]
+                columns = [ids.slice(first, 512), batch.column("text_hash").slice(first, 512), pa.array(sigs, pa.binary()), pa.array(node, pa.int64()), pa.array(sizes, pa.int32()), pa.array(sketches, pa.binary()), pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), pa.array(_long(flat)))]
+                yield pa.RecordBatch.from_arrays(columns, ["id", "text_hash", "sig", "node", "n", "sketch", "keys"])
 
     return run
 
 
-DESCRIBED = "sig binary, node long, n int, sketch binary, paths array<struct<key:long,next:array<long>>>"
+DESCRIBED = "sig binary, node long, n int, sketch binary, keys array<long>"
 
 
 STRIP = 256
@@ -188,17 +210,14 @@ def _matrix(sketches: pa.Array) -> np.ndarray:
 
 
 def _first_step(threshold: float, small: int):
-    """Buckets of the first step, sorted by key: edges (n null) of small ones, rows of the second step (a: key) of others."""
+    """Buckets of the first step, sorted by key: edges (n null) of small ones, rows (a: key) of others."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: list[pa.RecordBatch] = []
         key, large = None, False
 
         def second(rows: pa.RecordBatch) -> pa.RecordBatch:
-            nexts = rows.column("next")
-            owner = pa.array(np.repeat(np.arange(rows.num_rows), np.diff(nexts.offsets.to_numpy())), pa.int64())
-            more = rows.take(owner)
-            return _found(nexts.flatten(), more.column("node"), more.column("n"), more.column("sketch"))
+            return _found(*(rows.column(c) for c in ("key", "node", "n", "sketch")))
 
         def brute() -> tuple[np.ndarray, np.ndarray]:
             rows = pa.Table.from_batches(held).combine_chunks().to_batches()[0]
@@ -266,17 +285,17 @@ def _groups(batches: Iterator[pa.RecordBatch], by: list[str]) -> Iterator[pa.Rec
 
 
 def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
-    """rows with their block, sent to every pair of blocks (i <= j) of its key that holds it."""
-    sizes = rows.groupBy(key).agg(F.count("*").alias("__rows")).where("__rows > 1")
-    blocks = F.ceil(F.col("__rows") / size).cast("int")
-    rows = rows.join(sizes, key).withColumn("blocks", blocks)
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    """rows with their block, sent to every pair of blocks (i <= j) of its key that holds it; m has the rows of the key."""
+    blocks = F.ceil(F.col("m") / size).cast("int")
+    rows = rows.withColumn("blocks", blocks).withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
     other = F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other")
-    rows = rows.drop("__rows").select("*", other)
+    rows = rows.drop("m").select("*", other)
     return rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
 
 
-def _second_step(threshold: float):
+def _compare(threshold: float):
+    """Edges between the sets of each pair of blocks, by sizes and sketches."""
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["key", "i", "j"]):
             nodes, n, s = g.column("node").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"))
@@ -305,21 +324,98 @@ def components(edges: DataFrame) -> DataFrame:
         labels = new.select("node", "label")
 
 
-def _tokens(words: int):
-    """Gram sets of the rows whose set is the one asked for (rows of one id may differ)."""
+def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
+    """chosen (node, id, text_hash, ...) with text: that of one row for each node, however often the row is repeated."""
+    more = [c for c in chosen.columns if c not in ("node", "id", "text_hash")]
+    found = rows.join(chosen, ["id", "text_hash"]).groupBy("node").agg(F.any_value("text").alias("text"), *(F.any_value(c).alias(c) for c in more))
+    return found
+
+
+def _children(words: int, threshold: float, branch: float):
+    """The next steps of the paths that each set is on."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             for first in range(0, b.num_rows, 512):
                 part = b.slice(first, 512)
-                packed = [grams(t, words).tobytes() for t in part.column("text").to_pylist()]
-                right = [xxhash.xxh3_128_digest(p) == s for p, s in zip(packed, part.column("sig").to_pylist(), strict=True)]
-                out = [*(part.column(c) for c in ("node", "cluster", "size")), pa.array(packed, pa.binary())]
-                yield pa.RecordBatch.from_arrays(out, ["node", "cluster", "size", "tokens"]).filter(pa.array(right))
+                owner, keys, children = [], [], []
+                for i, (text, on) in enumerate(zip(part.column("text").to_pylist(), part.column("keys").to_pylist(), strict=True)):
+                    tokens = grams(text, words)
+                    for key in on:
+                        more = steps(tokens, key & (2**64 - 1), threshold, branch)
+                        owner.append(np.full(len(more), i))
+                        keys.append(np.full(len(more), key, np.int64))
+                        children.append(_long(more))
+                if owner:
+                    at = pa.array(np.concatenate(owner).astype(np.int64))
+                    rest = part.select(["node", "n", "sketch"]).take(at)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.concatenate(keys)), pa.array(np.concatenate(children)), *rest.columns], ["key", "child", "node", "n", "sketch"])
 
     return run
 
 
+def _some(df: DataFrame) -> bool:
+    return df.limit(1).count() > 0
+
+
+def _edges(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: int, threshold: float, branch: float, small: int) -> DataFrame:
+    """Pairs (a, b) of nodes that connect the sets met on common paths."""
+    parts = partitions(sets.sparkSession)
+    first = sets.select("node", "n", "sketch", F.explode("keys").alias("key")).select("key", "node", "n", "sketch")
+    sizes = first.select("key").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS)
+    total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
+    # More than a MOST_HOT-th of all rows: no more than MOST_HOT keys can have that many.
+    hot = [r["key"] for r in sizes.where(F.col("m") > total // MOST_HOT).select("key").collect()]
+    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
+    cold = first.where(~is_hot) if hot else first
+    found = settled(cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_first_step(threshold, small), FOUND), "pairs")
+    edges = found.where("n is null").select("a", "b")
+    open_ = found.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "sketch")
+    if hot:
+        open_ = open_.unionAll(first.where(is_hot))
+    compare = None
+    for step in range(2, STEPS + 1):
+        if not _some(open_):
+            break
+        sizes = settled(open_.groupBy("key").agg(F.count("*").alias("m")), "sizes")
+        nodes = open_.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.collect_list("key").alias("keys"))
+        told = _texts(rows, nodes.join(classes.select("node", "id", "text_hash"), "node"))
+        children = settled(told.mapInArrow(_children(words, threshold, branch), "key long, child long, node long, n int, sketch binary"), "children")
+        below = settled(children.groupBy("key", "child").agg(F.count("*").alias("m")), "child-sizes")
+        cost = below.groupBy("key").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+        last = F.lit(step == STEPS)
+        plan = settled(sizes.join(cost, "key", "left").select("key", "m", (~last & (2 * F.coalesce("cost", F.lit(0.0)) < F.col("m").cast("double") * F.col("m"))).alias("split")), "plan")
+        whole = open_.join(plan.where(~F.col("split")).select("key", "m"), "key").select("key", "node", "n", "sketch", "m")
+        split = settled(below.where("m > 1").join(plan.where("split").select("key"), "key"), "split")
+        kept = settled(children.join(split, ["key", "child"]).select(F.col("child").alias("key"), "node", "n", "sketch", "m"), "kept")
+        whole = settled(whole.unionAll(kept.where(F.col("m") <= small)), "whole")
+        compare = whole if compare is None else compare.unionAll(whole)
+        open_ = kept.where(F.col("m") > small).drop("m")
+    if compare is not None:
+        dealt = _blocked(compare, "key", SKETCH_BLOCK).select("key", "i", "j", "block", "node", "n", "sketch")
+        dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+        edges = edges.unionAll(dealt.mapInArrow(_compare(threshold), FOUND).select("a", "b"))
+    return edges
+
+
+def _tokens(words: int, runs: range | None = None, threshold: float = THRESHOLD, branch: float = BRANCH):
+    """Gram sets of texts, and with runs the first steps of those."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            for first in range(0, b.num_rows, 512):
+                part = b.slice(first, 512)
+                sets = [grams(t, words) for t in part.column("text").to_pylist()]
+                keys = [_long(paths(t, runs, threshold, branch)) if runs else None for t in sets]
+                out = [*(part.column(c) for c in ("node", "cluster", "size")), pa.array([t.tobytes() for t in sets], pa.binary()), pa.array(keys, pa.list_(pa.int64()))]
+                yield pa.RecordBatch.from_arrays(out, ["node", "cluster", "size", "tokens", "keys"])
+
+    return run
+
+
+TOKENS = "node long, cluster long, size long, tokens binary, keys array<long>"
+
+
 def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
     """Sizes of all pairs' intersections; columns of the incidence matrix are taken in slices."""
     n = len(sets)
@@ -345,13 +441,16 @@ def shared_counts(sets: list[np.ndarray]) -> np.ndarray:
 VERIFIED = "node long, links long, label long, blocks int"
 
 
+def _earlier(keys: list[list[int]], key: int) -> np.ndarray:
+    """Which pairs share a key smaller than this one."""
+    return shared_counts([np.array([k for k in mine if k < key], np.int64).view(np.uint64) for mine in keys]) > 0
+
+
 def _verifier(threshold: float):
     """Links of each node of a pair of blocks, and the spanning forest of them (label null: counts only)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["cluster", "i", "j"]):
-            _, once = np.unique(g.column("node").to_numpy(), return_index=True)
-            g = g.take(pa.array(once))
+        for g in _groups(batches, ["part", "i", "j"]):
             nodes, weight, blocks = g.column("node").to_numpy(), g.column("size").to_numpy(), g.column("blocks")[0].as_py()
             sets = [np.frombuffer(t, np.uint64) for t in g.column("tokens").to_pylist()]
             n = np.array([len(s) for s in sets])
@@ -361,13 +460,53 @@ def _verifier(threshold: float):
             if g.column("i")[0].as_py() != g.column("j")[0].as_py():
                 block = g.column("block").to_numpy()
                 linked &= block[:, None] != block[None, :]
-            links = linked @ weight
             label = _forest(linked)
+            keys = g.column("keys").to_pylist()
+            if keys[0] is not None:
+                linked &= ~_earlier(keys, g.column("part")[0].as_py())
+            links = linked @ weight
             yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(nodes[label]), pa.array(np.full(len(nodes), blocks), pa.int32())], ["node", "links", "label", "blocks"])
 
     return run
 
 
+def _verified(members: DataFrame, rows: DataFrame, *, words: int, threshold: float, branch: float, runs: int) -> DataFrame:
+    """Exact links within the clusters of members (node, cluster, size, id, text_hash)."""
+    parts = partitions(members.sparkSession)
+    sizes = settled(members.groupBy("cluster").agg(F.count("*").alias("m")), "cluster-sizes")
+    large = sizes.where(F.col("m") > LARGE_BLOCKS * EXACT_BLOCK)
+    chained = None
+    if _some(large):
+        told = _texts(rows, members.join(large.select("cluster"), "cluster").select("node", "id", "text_hash", "cluster", "size"))
+        own = settled(told.mapInArrow(_tokens(words, range(runs, 2 * runs), threshold, branch), TOKENS), "large-clusters")
+        on = own.select("cluster", F.explode("keys").alias("key"))
+        below = settled(on.groupBy("cluster", "key").agg(F.count("*").alias("m")).where("m > 1"), "cluster-keys")
+        cost = below.groupBy("cluster").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
+        chained = settled(large.join(cost, "cluster").where(2 * F.col("cost") < F.col("m").cast("double") * F.col("m")).select("cluster"), "chained")
+    plain = members if chained is None else members.join(chained, "cluster", "left_anti")
+    told = _texts(rows, plain.select("node", "id", "text_hash", "cluster", "size"))
+    tokens = told.mapInArrow(_tokens(words), TOKENS).join(sizes, "cluster")
+    names = ["part", "i", "j", "block", "blocks", "node", "size", "tokens", "keys"]
+    dealt = _blocked(tokens.withColumnRenamed("cluster", "part"), "part", EXACT_BLOCK).select(*names)
+    if chained is not None:
+        counted = settled(below.join(chained, "cluster"), "chained-keys")
+        met = own.join(chained, "cluster").select("cluster", "node", "size", "tokens", "keys", F.explode("keys").alias("key")).join(counted, ["cluster", "key"])
+        met = _blocked(met.select(F.col("key").alias("part"), "node", "size", "tokens", "keys", "m"), "part", EXACT_BLOCK)
+        dealt = dealt.unionAll(met.withColumn("blocks", F.lit(0)).select(*names))
+    dealt = dealt.repartition(parts, "part", "i", "j").sortWithinPartitions("part", "i", "j")
+    return settled(dealt.mapInArrow(_verifier(threshold), VERIFIED), "links")
+
+
+def _told_apart(base: DataFrame, classes: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """base and classes with nodes that no two sets share."""
+    shared = classes.groupBy("node").agg(F.count("*").alias("__sets"), F.min("sig").alias("__least")).where("__sets > 1")
+    others = settled(classes.join(shared, "node").where("sig <> __least").select("sig", F.xxhash64("sig", F.lit("other")).alias("__node")), "shared-nodes")
+    if not _some(others):
+        return base, classes
+    renamed = lambda df: settled(df.join(others, "sig", "left").withColumn("node", F.coalesce("__node", "node")).select(*df.columns), "told-apart")
+    return renamed(base), renamed(classes)
+
+
 def join(
     docs: DataFrame,
     *,
@@ -378,46 +517,36 @@ def join(
     recall: float = RECALL,
     branch: float = BRANCH,
     small: int = SMALL,
+    node_bits: int = 64,
 ) -> DataFrame:
-    """(id, class_id, copy_of, n_copies, n_links, text_hash) of each row.
+    """(id, class_id, copy_of, n_copies, n_links, component, text_hash) of each row.
 
     class_id is the smallest id of the row's component of links, copy_of the smallest id with the
     same gram set, n_copies the rows with that set, n_links the rows of other sets (any id) whose
-    similarity reaches the threshold, plus the other copies; text_hash is Spark's xxhash64 of the text.
+    similarity reaches the threshold, plus the other copies; component tells components apart (null
+    for rows without words or id), text_hash is Spark's xxhash64 of the text.
     """
-    spark = docs.sparkSession
-    parts = partitions(spark)
+    runs = runs_for(recall, branch)
     rows = docs.select(F.col(id_col).alias("id"), F.xxhash64(F.col(text_col)).alias("text_hash"), F.col(text_col).cast("string").alias("text"))
     kind = dict(rows.dtypes)["id"]
-    base = settled(rows.mapInArrow(_describe(words, runs_for(recall, branch), threshold, branch), f"id {kind}, text_hash long, {DESCRIBED}"), "grams")
-    narrow = base.where("sig is not null and id is not null").groupBy("sig").agg(F.min("id").alias("copy_of"), F.count("*").alias("size"), F.any_value("node").alias("node"))
-    classes = settled(narrow, "classes")
+    base = settled(rows.mapInArrow(_describe(words, runs, threshold, branch, node_bits), f"id {kind}, text_hash long, {DESCRIBED}"), "grams")
+    classes = base.where("sig is not null and id is not null").groupBy("sig").agg(F.min(F.struct("id", "text_hash")).alias("rep"), F.count("*").alias("size"), F.any_value("node").alias("node"))
+    classes = settled(classes.select("sig", "node", "size", "rep.id", "rep.text_hash"), "classes")
+    base, classes = _told_apart(base, classes)
     # One row stands for each set: the first any task meets, without a shuffle of sketches for copies.
-    sets = base.where("sig is not null and id is not null").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("paths").alias("paths"))
-    first = sets.select("node", "n", "sketch", F.inline("paths")).select("key", "next", "node", "n", "sketch")
-    found = settled(first.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_first_step(threshold, small), FOUND), "pairs")
-    edges = found.where("n is null").select("a", "b")
-    larger = found.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "sketch")
-    if larger.limit(1).count():
-        dealt = _blocked(larger, "key", SKETCH_BLOCK).select("key", "i", "j", "block", "node", "n", "sketch")
-        dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        edges = edges.unionAll(dealt.mapInArrow(_second_step(threshold), FOUND).select("a", "b"))
+    sets = settled(base.where("sig is not null and id is not null").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "sets")
+    edges = _edges(sets, classes, rows, words=words, threshold=threshold, branch=branch, small=small)
     clusters = components(edges).select("node", F.col("label").alias("cluster"))
-    members = classes.join(clusters, "node").select("node", "cluster", "size", F.col("copy_of").alias("id"), "sig")
-    # The text of one row for each set in a cluster: the row's id is the class's smallest.
-    chosen = members.select("id", "sig", "node", "cluster", "size")
-    texts = rows.join(chosen, "id").select("node", "cluster", "size", "sig", "text")
-    tokens = texts.mapInArrow(_tokens(words), "node long, cluster long, size long, tokens binary")
-    dealt = _with_blocks(tokens, members, parts)
-    verified = settled(dealt.mapInArrow(_verifier(threshold), VERIFIED), "links")
+    members = settled(classes.join(clusters, "node").select("node", "cluster", "size", "id", "text_hash"), "members")
+    verified = _verified(members, rows, words=words, threshold=threshold, branch=branch, runs=runs)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))
     single = verified.where("blocks = 1").select("node", "label")
-    several = verified.where("blocks > 1 and label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))
-    labels = single.unionAll(components(several)) if several.limit(1).count() else single
-    named = classes.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = verified.where("blocks <> 1 and label <> node").select(F.col("node").alias("a"), F.col("label").alias("b"))
+    labels = single.unionAll(components(several)) if _some(several) else single
+    named = classes.withColumnRenamed("id", "copy_of").drop("text_hash").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
     smallest = named.groupBy("label").agg(F.min("copy_of").alias("class_id"))
     named = named.join(smallest, "label").join(links, "node", "left")
-    named = named.select("sig", "class_id", "copy_of", "size", F.coalesce("links", F.lit(0)).alias("links"))
+    named = named.select("sig", "class_id", "copy_of", "size", "label", F.coalesce("links", F.lit(0)).alias("links"))
     out = base.select("id", "text_hash", F.when(F.col("id").isNotNull(), F.col("sig")).alias("sig")).join(named, "sig", "left")
     return out.select(
         F.col("id").alias(id_col),
@@ -425,33 +554,25 @@ def join(
         F.coalesce("copy_of", "id").alias("copy_of"),
         F.coalesce("size", F.lit(1)).cast("long").alias("n_copies"),
         (F.coalesce("links", F.lit(0)) + F.coalesce("size", F.lit(1)) - 1).cast("long").alias("n_links"),
+        F.col("label").alias("component"),
         "text_hash",
     )
 
 
 def representatives(docs: DataFrame, *, id_col: str = "doc_id", text_col: str = "text", **options) -> DataFrame:
-    """The rows of docs that stay if one row of each class does: that of the smallest id.
+    """The rows of docs that stay if one row of each component does: that of the smallest id.
 
     Rows without words stay all; of rows of one id and one text one stays; rows of a null id stay.
     """
-    found = join(docs, id_col=id_col, text_col=text_col, **options)
-    alone = F.when(F.col("n_links") == 0, F.col("text_hash"))
-    kept = found.where(F.col(id_col) == F.col("class_id")).groupBy(F.col("class_id").alias("__id"), alone.alias("__alone")).agg(F.min("text_hash").alias("__hash"))
-    kept = kept.select("__id", "__hash").distinct()
+    found = join(docs, id_col=id_col, text_col=text_col, **options).select(F.col(id_col).alias("__id"), F.col("text_hash").alias("__hash"), "component")
+    found = found.where("__id is not null")
+    kept = found.where("component is not null").groupBy("component").agg(F.min(F.struct("__id", "__hash")).alias("kept")).select("kept.__id", "kept.__hash")
+    kept = kept.unionAll(found.where("component is null").select("__id", "__hash")).distinct()
     rows = docs.where(F.col(id_col).isNotNull()).withColumns({"__id": F.col(id_col), "__hash": F.xxhash64(F.col(text_col))}).join(kept, ["__id", "__hash"])
     once = rows.withColumn("__place", F.row_number().over(Window.partitionBy("__id", "__hash").orderBy("__hash"))).where("__place = 1")
     return once.select(*docs.columns).unionByName(docs.where(F.col(id_col).isNull()))
 
 
-def _with_blocks(tokens: DataFrame, members: DataFrame, parts: int) -> DataFrame:
-    sizes = members.groupBy("cluster").agg(F.count("*").alias("__rows"))
-    rows = tokens.join(sizes, "cluster").withColumn("blocks", F.ceil(F.col("__rows") / EXACT_BLOCK).cast("int"))
-    rows = rows.withColumn("block", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    rows = rows.select("cluster", "node", "size", "tokens", "blocks", "block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    rows = rows.withColumns({"i": F.least("block", "other"), "j": F.greatest("block", "other")}).drop("other")
-    return rows.repartition(parts, "cluster", "i", "j").sortWithinPartitions("cluster", "i", "j")
-
-
 def op9_chosen_path_join(spark, sf_dir: str) -> DataFrame:
     """Near copies among all documents: the class of each one and its number of links."""
-    return join(table(spark, sf_dir, "documents")).drop("text_hash")
+    return join(table(spark, sf_dir, "documents")).drop("text_hash", "component")

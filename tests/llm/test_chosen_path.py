@@ -87,7 +87,7 @@ def test_parts():
     sets = [np.unique(rng.integers(0, 50, 20).astype(np.uint64)) for _ in range(12)]
     both = J.shared_counts(sets)
     assert all(both[i, j] == len(np.intersect1d(sets[i], sets[j])) for i in range(12) for j in range(12) if i != j)
-    assert len(J.sketch(sets[0])) == J.BINS and J.runs_for(0.9999, 2.0) == 5
+    assert len(J.sketch(sets[0])) == J.BINS and J.runs_for(0.9999, 2.0) == 6
     assert len(J.grams("a b c")) == 1 and len(J.grams("a b c d e f")) == 2 and len(J.grams(None)) == 0
 
 
@@ -99,3 +99,80 @@ def test_recall_on_pairs_at_the_threshold(spark):
         rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[:68]))]  # 64 of 80 grams
     got = run(spark, rows)
     assert sum(1 for i in range(150) if got[2 * i + 1] == (2 * i, 1)) >= 149
+
+
+def test_paths_reach_the_stated_recall_at_any_depth():
+    """Of thousands of pairs at exactly the threshold, paths of one to four steps miss no more than the bound says."""
+    rng = np.random.default_rng(3)
+    pairs = []
+    for i in range(4000):
+        t = np.unique(rng.integers(1, 2**63, 80).astype(np.uint64))
+        pairs.append((t, np.sort(rng.choice(t, 64, replace=False))) if i % 2 else (t[:72], t[8:]))
+    met = lambda x, y: set(x.tolist()) & set(y.tolist())
+    one = J.miss(2.0)
+    missed = {depth: 0 for depth in range(1, 5)}
+    for a, b in pairs:
+        common = met(J.paths(a, range(1), 0.8, 2.0), J.paths(b, range(1), 0.8, 2.0))
+        for depth in missed:
+            missed[depth] += not common
+            common = {c for p in common for c in met(J.steps(a, p, 0.8, 2.0), J.steps(b, p, 0.8, 2.0))}
+    assert abs(one - 0.2032) < 1e-3 and missed[1] < missed[4]
+    assert all(m / len(pairs) < one + 4 * (one / len(pairs)) ** 0.5 for m in missed.values())
+    assert one ** J.runs_for(0.9999, 2.0) <= 1e-4
+
+
+def test_recall_with_split_buckets(spark):
+    """Thousands of pairs at the threshold that all share a frequent passage, so that their buckets are split again."""
+    passage = [f"q{k}" for k in range(44)]
+    rows = []
+    for i in range(1500):
+        a = passage + [f"p{i}x{k}" for k in range(40)]
+        rows += [(2 * i, " ".join(a)), (2 * i + 1, " ".join(a[16:]))]  # 64 of 80 grams
+    got = run(spark, rows, small=2)
+    assert sum(1 for i in range(1500) if got[2 * i + 1][0] == 2 * i and got[2 * i][1] == 1) >= 1499
+
+
+def test_hot_buckets_and_many_steps(spark, monkeypatch):
+    """Buckets dealt apart from the first step on, and split until near copies alone are left."""
+    monkeypatch.setattr(J, "HOT_ROWS", 8)
+    monkeypatch.setattr(J, "MOST_HOT", 10**9)
+    monkeypatch.setattr(J, "SKETCH_BLOCK", 16)
+    rows = corpus(2)
+    assert run(spark, rows, small=3) == brute(rows)
+
+
+def test_chained_clusters_are_verified_in_buckets(spark, monkeypatch):
+    """A long chain of texts, each like the next ones only: one component, links counted once each."""
+    monkeypatch.setattr(J, "EXACT_BLOCK", 8)
+    monkeypatch.setattr(J, "LARGE_BLOCKS", 2)
+    words = [f"w{k}" for k in range(1000)]
+    rows = [(i, " ".join(words[4 * i : 4 * i + 100])) for i in range(200)]
+    dealt = []
+    blocked = J._blocked
+    monkeypatch.setattr(J, "_blocked", lambda rows, key, size: dealt.append(key) or blocked(rows, key, size))
+    got = run(spark, rows)
+    assert dealt.count("part") == 2  # the chain was not compared in blocks of all pairs
+    assert got == brute(rows) and got[100][1] == 4 and len({c for c, _ in got.values()}) == 1
+    sets = [[1, 5, 9], [5, 9], [9], [2, 9]]
+    shared = J._earlier(sets, 9)
+    assert [(i, j) for i in range(4) for j in range(i) if shared[i, j]] == [(1, 0)]
+
+
+def test_sets_that_share_a_number_are_told_apart(spark):
+    rows = corpus(3)
+    assert run(spark, rows, node_bits=5) == brute(rows)
+
+
+def test_rows_of_one_id_in_several_components(spark):
+    """Two groups whose smallest id is the same: one document of each stays."""
+    a, b = (" ".join(f"{x}{i}" for i in range(80)) for x in "ab")
+    rows = [(1, a), (1, b), (2, a.replace("a40", "z")), (3, b.replace("b40", "z"))]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    assert sorted((r.doc_id, r.text) for r in J.representatives(df).collect()) == sorted(rows[:2])
+
+
+def test_recall_on_a_whole_table(spark):
+    """Against the exact similarity of all pairs of the small table's documents."""
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    got = {r.doc_id: (r.class_id, r.n_links) for r in J.op9_chosen_path_join(spark, "/root/testdata/sf0.001").collect()}
+    assert got == brute(rows)
