@@ -9,7 +9,8 @@ white space parts where there are none; a text of fewer words is one gram). Docu
    sketches, with margins that let a pair of the wanted similarity slip once in ten million. Larger
    ones are split by another step, whose paths hang on the one before, and so on: a bucket is split
    if that at least halves the pairs to compare, else (its sets are near copies of each other) it is
-   compared block against block in tasks of bounded size, so nothing is capped. Buckets with more
+   compared block against block in tasks of bounded size, so nothing is capped. (A sample of a bucket
+   tells near copies at once; it steers the work, not the result.) Buckets with more
    than a 4,096th of all rows are named beforehand, and never meet in one task.
    The number of runs follows from the target recall: q, the chance that a run misses a pair at the
    threshold however often its buckets are split, is the root of q = exp(-branch (1 - q)).
@@ -54,6 +55,9 @@ EXACT_BLOCK = 1024
 LARGE_BLOCKS = 8
 HOT_ROWS, MOST_HOT = 4096, 4096
 STEPS = 8
+#: Rows of a bucket that tell whether it is dense, the share of alike pairs that makes it so, and slots of hashes that texts are looked up by.
+LOOK, DENSE = 64, 0.25
+SLOTS = 1 << 19
 BINS = 64
 U = np.uint64
 WORD = re.compile(r"\w+")
@@ -226,7 +230,7 @@ def _first_step(threshold: float, small: int):
 
         out_a, out_b = [], []
         for batch in batches:
-            keys = batch.column("key").to_numpy()
+            keys, hots = batch.column("key").to_numpy(), batch.column("hot").to_numpy(zero_copy_only=False)
             cut = np.flatnonzero(np.concatenate([[True], keys[1:] != keys[:-1]])) if len(keys) else np.zeros(0, np.int64)
             sizes = np.diff(np.append(cut, len(keys)))
             for i, (at, size) in enumerate(zip(cut.tolist(), sizes.tolist(), strict=True)):
@@ -236,9 +240,13 @@ def _first_step(threshold: float, small: int):
                         out_a.append(a)
                         out_b.append(b)
                     held, key, large = [], keys[at], False
+                rows = batch.slice(at, size)
+                if hots[at]:
+                    yield second(rows)
+                    held, large = [], True
+                    continue
                 if size == 1 and i + 1 < len(cut) and not held and not large:
                     continue
-                rows = batch.slice(at, size)
                 if large:
                     yield second(rows)
                     continue
@@ -325,10 +333,35 @@ def components(edges: DataFrame) -> DataFrame:
 
 
 def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
-    """chosen (node, id, text_hash, ...) with text: that of one row for each node, however often the row is repeated."""
-    more = [c for c in chosen.columns if c not in ("node", "id", "text_hash")]
-    found = rows.join(chosen, ["id", "text_hash"]).groupBy("node").agg(F.any_value("text").alias("text"), *(F.any_value(c).alias(c) for c in more))
-    return found
+    """chosen (node, id, text_hash, ...) with the text of each node; rows has no repeated (id, text_hash).
+
+    Rows whose hash falls into no slot of the chosen ones' hashes are left out before the join: a
+    broadcast of at most SLOTS numbers.
+    """
+    slot = F.pmod("text_hash", F.lit(SLOTS)).alias("__slot")
+    near = F.broadcast(chosen.select(slot).distinct())
+    return rows.withColumn("__slot", slot).join(near, "__slot", "left_semi").drop("__slot").join(chosen, ["id", "text_hash"])
+
+
+def _once(rows: DataFrame, base: DataFrame) -> DataFrame:
+    """rows without repeated (id, text_hash); only if there are any are texts grouped."""
+    repeated = base.where("id is not null and sig is not null").groupBy("id", "text_hash").count().where("count > 1")
+    return rows.groupBy("id", "text_hash").agg(F.any_value("text").alias("text")) if _some(repeated) else rows
+
+
+def _dense(threshold: float):
+    """The share of pairs that look alike in a sample of each bucket."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            shares = []
+            for rows in b.column("sample").to_pylist():
+                n, s = np.array([r["n"] for r in rows]), np.frombuffer(b"".join(r["sketch"] for r in rows), np.uint8).reshape(-1, BINS)
+                pairs = len(n) * (len(n) - 1)
+                shares.append((int(_alike(s, n, s, n, threshold).sum()) - len(n)) / pairs if pairs else 0.0)
+            yield pa.RecordBatch.from_arrays([b.column("key"), pa.array(shares, pa.float64())], ["key", "share"])
+
+    return run
 
 
 def _children(words: int, threshold: float, branch: float):
@@ -361,30 +394,35 @@ def _some(df: DataFrame) -> bool:
 def _edges(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: int, threshold: float, branch: float, small: int) -> DataFrame:
     """Pairs (a, b) of nodes that connect the sets met on common paths."""
     parts = partitions(sets.sparkSession)
-    first = sets.select("node", "n", "sketch", F.explode("keys").alias("key")).select("key", "node", "n", "sketch")
-    sizes = first.select("key").groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS)
+    sizes = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS)
     total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
     # More than a MOST_HOT-th of all rows: no more than MOST_HOT keys can have that many.
     hot = [r["key"] for r in sizes.where(F.col("m") > total // MOST_HOT).select("key").collect()]
-    is_hot = F.col("key").isin(hot) if hot else F.lit(False)
-    cold = first.where(~is_hot) if hot else first
-    found = settled(cold.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_first_step(threshold, small), FOUND), "pairs")
+    first = sets.select("node", "n", "sketch", F.explode("keys").alias("key"))
+    first = first.select("key", (F.col("key").isin(hot) if hot else F.lit(False)).alias("hot"), "node", "n", "sketch")
+    first = first.withColumn("salt", F.when(F.col("hot"), F.pmod(F.xxhash64("node"), F.lit(parts))).otherwise(0))
+    found = settled(first.repartition(parts, "key", "salt").sortWithinPartitions("key", "salt").mapInArrow(_first_step(threshold, small), FOUND), "pairs")
     edges = found.where("n is null").select("a", "b")
     open_ = found.where("n is not null").select(F.col("a").alias("key"), F.col("b").alias("node"), "n", "sketch")
-    if hot:
-        open_ = open_.unionAll(first.where(is_hot))
     compare = None
     for step in range(2, STEPS + 1):
         if not _some(open_):
             break
         sizes = settled(open_.groupBy("key").agg(F.count("*").alias("m")), "sizes")
-        nodes = open_.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.collect_list("key").alias("keys"))
-        told = _texts(rows, nodes.join(classes.select("node", "id", "text_hash"), "node"))
+        looked = F.pmod(F.xxhash64("node", F.lit(step)), F.lit(1 << 30)) < LOOK * float(1 << 30) / F.col("m")
+        sample = open_.join(sizes, "key").where(looked).groupBy("key").agg(F.collect_list(F.struct("n", "sketch")).alias("sample"))
+        dense = settled(sample.mapInArrow(_dense(threshold), "key long, share double").where(F.col("share") >= DENSE).select("key"), "dense")
+        sparse = open_.join(dense, "key", "left_anti") if step < STEPS else open_.limit(0)
+        nodes = sparse.groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.collect_list("key").alias("keys"))
+        nodes = settled(nodes.join(classes.select("node", "id", "text_hash"), "node"), "open-nodes")
+        told = _texts(rows, nodes)
         children = settled(told.mapInArrow(_children(words, threshold, branch), "key long, child long, node long, n int, sketch binary"), "children")
         below = settled(children.groupBy("key", "child").agg(F.count("*").alias("m")), "child-sizes")
         cost = below.groupBy("key").agg(F.sum(F.col("m").cast("double") * F.col("m")).alias("cost"))
-        last = F.lit(step == STEPS)
-        plan = settled(sizes.join(cost, "key", "left").select("key", "m", (~last & (2 * F.coalesce("cost", F.lit(0.0)) < F.col("m").cast("double") * F.col("m"))).alias("split")), "plan")
+        # Without children in the table a bucket is dense, or all that met in it meet nowhere below.
+        pays = F.when(F.col("dense"), False).otherwise(2 * F.coalesce("cost", F.lit(0.0)) < F.col("m").cast("double") * F.col("m"))
+        plan = sizes.join(cost, "key", "left").join(dense.withColumn("dense", F.lit(True)), "key", "left").withColumn("dense", F.coalesce("dense", F.lit(step == STEPS)))
+        plan = settled(plan.select("key", "m", pays.alias("split")), "plan")
         whole = open_.join(plan.where(~F.col("split")).select("key", "m"), "key").select("key", "node", "n", "sketch", "m")
         split = settled(below.where("m > 1").join(plan.where("split").select("key"), "key"), "split")
         kept = settled(children.join(split, ["key", "child"]).select(F.col("child").alias("key"), "node", "n", "sketch", "m"), "kept")
@@ -535,6 +573,7 @@ def join(
     base, classes = _told_apart(base, classes)
     # One row stands for each set: the first any task meets, without a shuffle of sketches for copies.
     sets = settled(base.where("sig is not null and id is not null").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "sets")
+    rows = _once(rows, base)
     edges = _edges(sets, classes, rows, words=words, threshold=threshold, branch=branch, small=small)
     clusters = components(edges).select("node", F.col("label").alias("cluster"))
     members = settled(classes.join(clusters, "node").select("node", "cluster", "size", "id", "text_hash"), "members")
