@@ -6,7 +6,9 @@ doubles are rounded on both sides, as sums and recursions differ in their last b
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from datetime import UTC, datetime
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,6 +16,7 @@ from pyspark.sql import functions as F
 from finscan.functions import fields as C
 from finscan.functions import frames, stories
 from finscan.functions.fields import q
+from finscan.functions.predicates import apply_filters
 from finscan.operators import bars as B
 from finscan.operators import events_calendar, feeds
 from finscan.operators import indicators as I
@@ -33,8 +36,12 @@ def _add(name: str, query: Query, sql: str | None = None, *ctes: str) -> None:
         _SQL[name] = f"WITH {', '.join(ctes)} {sql}" if ctes else sql
 
 
+#: Regions of the tables that are scanned as markets of their own.
+REGIONS = ("africa", "asia", "europe", "middle east")
+
+
 def _issuers(fn: Callable[[ScanEngine], DataFrame]) -> Query:
-    return lambda spark, d: fn(ScanEngine(V.issuers(spark, d)))
+    return lambda spark, d: fn(ScanEngine(V.issuers(spark, d), REGIONS))
 
 
 def _quoted(names) -> str:
@@ -104,15 +111,42 @@ _add(
     "SELECT symbol, name, \"close\", exchange, type, currency FROM instruments WHERE contains(upper(name), 'LUE') ORDER BY symbol LIMIT 150",
     V.INSTRUMENTS_SQL,
 )
-SYMBOL, OTHER = "NATION_3:", "symbol LIKE 'NATION_3:%'"
+_add(
+    "screen_has_array",
+    lambda spark, d: apply_filters(V.instruments(spark, d).withColumn("tags", F.split("type", " ")), (Filter("tags", "has", ["STEEL", "BRASS", "LARGE"]), Filter("tags", "has_none_of", ["PROMO", "ANODIZED"]))).select("symbol", "type"),
+    "SELECT symbol, type FROM instruments WHERE list_has_any(string_split(type, ' '), ['STEEL', 'BRASS', 'LARGE']) AND NOT list_has_any(string_split(type, ' '), ['PROMO', 'ANODIZED'])",
+    V.INSTRUMENTS_SQL,
+)
+_add(
+    "screen_default_columns",
+    lambda spark, d: ScanEngine(V.issuers(spark, d)).screen("america", sort_by="volume").rows,
+    'SELECT symbol, name, "close", change, change_abs, volume, CAST(NULL AS DOUBLE) AS "Recommend.All", market_cap_basic, CAST(NULL AS DOUBLE) AS price_earnings_ttm, CAST(NULL AS DOUBLE) AS earnings_per_share_basic_ttm FROM issuers WHERE market = \'america\' ORDER BY volume DESC NULLS LAST, symbol LIMIT 50',
+    V.ISSUERS_SQL,
+)
+_add("exchanges_known", lambda spark, d: ScanEngine(V.instruments(spark, d)).exchanges(), "SELECT DISTINCT exchange FROM instruments", V.INSTRUMENTS_SQL)
+_add(
+    "symbol_parts",
+    lambda spark, d: V.instruments(spark, d).select("symbol", C.symbol_parts("symbol").alias("p")).where(q("p")["exchange"].startswith("BRAND#1")).select("symbol", "p.*"),
+    "SELECT symbol, upper(split_part(symbol, ':', 1)) AS exchange, upper(split_part(symbol, ':', 2)) AS name FROM instruments WHERE starts_with(upper(symbol), 'BRAND#1')",
+    V.INSTRUMENTS_SQL,
+)
+_add(
+    "indicators_unsupported",
+    lambda spark, d: V.instruments(spark, d).select("symbol", F.array_except(F.array(F.lit("RSI"), "exchange", F.lit("SMA20"), "type"), F.array(*map(F.lit, C.INDICATORS))).alias("u")).select("symbol", F.array_join("u", ",").alias("unsupported")),
+    "SELECT symbol, exchange || ',' || type AS unsupported FROM instruments",
+    V.INSTRUMENTS_SQL,
+)
+#: Columns that the accounts have; other known fields are null.
+OWN = {"name", "description", "type", "exchange", "country", "sector", "close", "change", "change_abs", "high", "low", "open", "volume", "market_cap_basic", "Volatility.D", "total_revenue", "net_income", "price_52_week_high", "price_52_week_low", "Perf.YTD", *V.HORIZONS, *V.ACCOUNTS}
+
+
+def _fields_sql(fields: list[str]) -> str:
+    return ", ".join(f'"{f}"' if f in OWN else f"CAST(NULL AS {'VARCHAR' if f in C.TEXT_FIELDS else 'DOUBLE'}) AS \"{f}\"" for f in fields)
 
 
 def _snapshot(name: str, fields: list[str]) -> None:
-    """All symbols of one exchange, so that the query finds rows at any size of the tables; _whole: all symbols."""
-    own = {"name", "description", "type", "exchange", "country", "sector", "close", "change", "change_abs", "high", "low", "open", "volume", "market_cap_basic", "Volatility.D", "total_revenue", "net_income"}
-    columns = ", ".join(f'"{f}"' if f in own else f"CAST(NULL AS {'VARCHAR' if f in C.TEXT_FIELDS else 'DOUBLE'}) AS \"{f}\"" for f in fields)
-    _add(name, lambda spark, d: (lambda e: e._projected(e.table.where(q("exchange") == "NATION_3"), fields))(ScanEngine(V.issuers(spark, d))), f"SELECT symbol, {columns} FROM issuers WHERE exchange = 'NATION_3'", V.ISSUERS_SQL)
-    _add(f"{name}_whole", _issuers(lambda e: e.snapshots(fields)), f"SELECT symbol, {columns} FROM issuers", V.ISSUERS_SQL)
+    """The fields of every symbol."""
+    _add(name, lambda spark, d: ScanEngine(V.accounts(spark, d)).snapshots(fields), f"SELECT symbol, {_fields_sql(fields)} FROM accounts", V.ISSUERS_SQL, V.ACCOUNTS_SQL)
 
 
 for _view, _fields in C.OVERVIEW_VIEWS.items():
@@ -120,6 +154,7 @@ for _view, _fields in C.OVERVIEW_VIEWS.items():
 _snapshot("overview_all", C.OVERVIEW_ALL)
 for _group, _fields in C.FUNDAMENTALS.items():
     _snapshot(f"fundamentals_{_group}", _fields)
+_snapshot("fundamentals_all", C.FUNDAMENTALS_ALL)
 
 
 def _pair(spark: SparkSession, d: str) -> list[str]:
@@ -128,12 +163,15 @@ def _pair(spark: SparkSession, d: str) -> list[str]:
 
 
 PAIR_SQL = "two AS (SELECT n_name || ':' || CAST(c_custkey AS VARCHAR) AS symbol, row_number() OVER (ORDER BY c_custkey) AS i FROM customer JOIN nation ON c_nationkey = n_nationkey ORDER BY c_custkey LIMIT 2)"
+ONE_SQL = "SEMI JOIN (SELECT symbol FROM two WHERE i = 1) USING (symbol)"
+_add("overview_one", lambda spark, d: (lambda p: ScanEngine(V.accounts(spark, d, [p])).overview(p, "statistics"))(_pair(spark, d)[0]), f"SELECT symbol, {_fields_sql(C.OVERVIEW_VIEWS['statistics'])} FROM accounts {ONE_SQL}", V.ISSUERS_SQL, V.ACCOUNTS_SQL, PAIR_SQL)
+_add("fundamentals_one", lambda spark, d: (lambda p: ScanEngine(V.accounts(spark, d, [p])).fundamentals(p.lower(), "leverage"))(_pair(spark, d)[0]), f"SELECT symbol, {_fields_sql(C.FUNDAMENTALS['leverage'])} FROM accounts {ONE_SQL}", V.ISSUERS_SQL, V.ACCOUNTS_SQL, PAIR_SQL)
 COMPARED = ["total_revenue", "net_income", "market_cap_basic", "close"]
 _LONG = "SELECT field, symbol, value FROM (" + " UNION ALL ".join(f"SELECT '{f}' AS field, symbol, CAST(\"{f}\" AS DOUBLE) AS value FROM issuers SEMI JOIN two USING (symbol)" for f in COMPARED) + ")"
-_add("fundamentals_compare_long", lambda spark, d: ScanEngine(V.issuers(spark, d)).compare(_pair(spark, d), COMPARED), _LONG, V.ISSUERS_SQL, PAIR_SQL)
+_add("fundamentals_compare_long", lambda spark, d: (lambda p: ScanEngine(V.issuers(spark, d, p)).compare(p, COMPARED))(_pair(spark, d)), _LONG, V.ISSUERS_SQL, PAIR_SQL)
 _add(
     "fundamentals_compare_pivot",
-    lambda spark, d: (lambda p: ScanEngine(V.issuers(spark, d)).compare_wide(p, COMPARED).select("field", q(p[0]).alias("first"), q(p[1]).alias("second")))(_pair(spark, d)),
+    lambda spark, d: (lambda p: ScanEngine(V.issuers(spark, d, p)).compare_wide(p, COMPARED).select("field", q(p[0]).alias("first"), q(p[1]).alias("second")))(_pair(spark, d)),
     f"SELECT field, max(value) FILTER (i = 1) AS \"first\", max(value) FILTER (i = 2) AS \"second\" FROM ({_LONG}) JOIN two USING (symbol) GROUP BY field",
     V.ISSUERS_SQL,
     PAIR_SQL,
@@ -166,6 +204,15 @@ _add(
     V.CALENDAR_SQL,
 )
 
+_NOW = datetime(1998, 1, 7, 15, 30, tzinfo=UTC)
+_LOW, _HIGH = events_calendar.default_window(_NOW)
+_add(
+    "calendar_default_window",
+    lambda spark, d: events_calendar.calendar(V.calendar_events(spark, d), "dividends", now=_NOW).select("full_symbol", "dividend_ex_date_recent", "dividend_ex_date_upcoming"),
+    "SELECT full_symbol, recent AS dividend_ex_date_recent, upcoming AS dividend_ex_date_upcoming FROM calendar, (SELECT CAST(epoch(TIMESTAMP '1998-01-04') AS BIGINT) AS a, CAST(epoch(TIMESTAMP '1998-01-11') AS BIGINT) - 1 AS b) WHERE recent BETWEEN a AND b OR upcoming BETWEEN a AND b",
+    V.CALENDAR_SQL,
+)
+
 # --- bars --------------------------------------------------------------------------------------
 _STEP = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "2h": "2 hours", "4h": "4 hours", "1d": "1 day"}
 
@@ -295,8 +342,6 @@ _indicator("ind_hullma9", ["HullMA9"], I.hull, f'SELECT symbol, bar_start, {_wma
 
 
 def _crossed(spark: SparkSession, d: str, operation: str) -> DataFrame:
-    from finscan.functions.predicates import apply_filters
-
     rows = I.averages(_bars4(spark, d), (10,))
     return apply_filters(rows, (Filter("close", operation, {"field": "SMA10"}),), order="bar_start").select("symbol", "bar_start", "close")
 
@@ -369,8 +414,8 @@ _add(
 _SQL["ohlc_join_indicator"] = _SQL["ohlc_join_indicator"].replace("WITH ", "WITH RECURSIVE ", 1)
 
 
-def _ratings_sql() -> str:
-    """Votes over the other indicators' statements, joined by bar."""
+def _everything_sql() -> str:
+    """All indicators of every bar: the other indicators' statements joined by bar, with votes and their means."""
     parts = ["ind_sma_all", "ind_stoch", "ind_cci20", "ind_ao", "ind_mom", "ind_wr", "ind_uo", "ind_ichimoku", "ind_vwma", "ind_hullma9", "ind_ema_all", "ind_rsi", "ind_macd", "ind_adx", "ind_bbpower", "ind_stoch_rsi"]
     joined = "b " + " ".join(f"JOIN ({_INNER[n]}) USING (symbol, bar_start)" for n in parts)
 
@@ -387,6 +432,7 @@ def _ratings_sql() -> str:
     above = lambda n: vote(f'"close" > "{n}"', f'"close" < "{n}"')
     turned = lambda n, low, high: vote(f'"{n}" < {low} AND "{n}" > "{n}[1]"', f'"{n}" > {high} AND "{n}" < "{n}[1]"')
     trend = [above(f"{k}{n}") for n in (10, 20, 30, 50, 100, 200) for k in ("EMA", "SMA")] + [above(n) for n in ("Ichimoku.BLine", "VWMA", "HullMA9")]
+    named = {"Rec.Stoch.RSI": around("Stoch.RSI.K", 20, 80), "Rec.WR": around("W.R", -80, -20), "Rec.BBPower": around("BBPower", 0, 0, -1), "Rec.UO": around("UO", 30, 70, -1)}
     other = [
         turned("RSI", 30, 70),
         vote('"Stoch.K" < 20 AND "Stoch.K" > "Stoch.D"', '"Stoch.K" > 80 AND "Stoch.K" < "Stoch.D"'),
@@ -395,16 +441,18 @@ def _ratings_sql() -> str:
         vote('"AO" > 0 AND "AO" > "AO[1]"', '"AO" < 0 AND "AO" < "AO[1]"'),
         vote('"Mom" > "Mom[1]"', '"Mom" < "Mom[1]"'),
         vote('"MACD.macd" > "MACD.signal"', '"MACD.macd" < "MACD.signal"'),
-        around("Stoch.RSI.K", 20, 80),
-        around("W.R", -80, -20),
-        around("BBPower", 0, 0, -1),
-        around("UO", 30, 70, -1),
+        *named.values(),
     ]
-    return f'SELECT symbol, bar_start, o AS "Recommend.Other", (o + m) / 2.0::DOUBLE AS "Recommend.All", m AS "Recommend.MA" FROM (SELECT symbol, bar_start, {mean(trend)} AS m, {mean(other)} AS o FROM {joined})'
+    named |= {"Rec.Ichimoku": above("Ichimoku.BLine"), "Rec.VWMA": above("VWMA"), "Rec.HullMA9": above("HullMA9")}
+    votes = ", ".join(f'{v} AS "{n}"' for n, v in named.items())
+    before = ", ".join(f'{_lag_sql(chr(34) + n + chr(34), 1)} AS "{n}[1]"' for n in ("ADX+DI", "ADX-DI"))
+    return f'SELECT *, m AS "Recommend.MA", o AS "Recommend.Other", (o + m) / 2.0::DOUBLE AS "Recommend.All" FROM (SELECT *, {votes}, {before}, {mean(trend)} AS m, {mean(other)} AS o FROM {joined})'
 
 
-_recursive("ind_recommend", C.RATINGS, _ratings_sql(), I.all_indicators)
-_add("ind_latest_all", lambda spark, d: _rounded(I.latest(I.all_indicators(_bars4(spark, d))), [n for n in C.INDICATORS if not n.startswith("Pivot.")]))
+_EVERYTHING = _everything_sql()
+_LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDER BY bar_start DESC) AS place FROM ({_EVERYTHING})) WHERE place = 1"
+_recursive("ind_recommend", C.RATINGS, f"SELECT symbol, bar_start, {_quoted(C.RATINGS)} FROM ({_EVERYTHING})", I.all_indicators)
+_recursive("ind_latest_all", [n for n in C.INDICATORS if not n.startswith("Pivot.")], _LATEST, lambda b: I.latest(I.all_indicators(b)))
 
 # --- pivots, performance -----------------------------------------------------------------------
 MONTHS = (V.TRADES_SQL, _bars_sql("1M", "trades"), f'm AS (SELECT symbol, bar_start, {_lag_sql(chr(34) + "open" + chr(34), 1)} AS o, {_lag_sql("high", 1)} AS h, {_lag_sql("low", 1)} AS l, {_lag_sql(_C, 1)} AS c FROM b)')
@@ -432,26 +480,132 @@ DAYS = (V.TRADES_SQL, _bars_sql("1d", "trades"))
 _PERF = {"Perf.W": 7, "Perf.1M": 30, "Perf.3M": 91, "Perf.6M": 182, "Perf.Y": 365}
 _PERF_SQL = ", ".join(f'100 * ("close" - a{n}) / a{n} AS "{k}"' for k, n in _PERF.items())
 _ANCHORS = ", ".join(f'last("close") OVER ({_W} RANGE BETWEEN UNBOUNDED PRECEDING AND INTERVAL {n} DAYS PRECEDING) AS a{n}' for n in _PERF.values())
-_PERF_NAMES = ["change", "change_abs", "change_from_open", "price_52_week_high", "price_52_week_low", *_PERF, "Volatility.D", "Volatility.W", "Volatility.M"]
+_PERF_SQL += ', 100 * ("close" - ytd) / ytd AS "Perf.YTD"'
+_YEAR = f"({_W} RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW)"
+_PERF_NAMES = ["change", "change_abs", "change_from_open", "Value.Traded", "price_52_week_high", "price_52_week_low", *_PERF, "Perf.YTD", "Volatility.D", "Volatility.W", "Volatility.M", "beta_1_year"]
 _indicator(
     "performance_daily",
     _PERF_NAMES,
     I.performance,
-    f"""SELECT symbol, bar_start, change, change_abs, change_from_open, price_52_week_high, price_52_week_low, {_PERF_SQL}, "Volatility.D",
-CASE WHEN count(change) OVER {_frame(5)} = 5 THEN stddev_samp(change) OVER {_frame(5)} END AS "Volatility.W", CASE WHEN count(change) OVER {_frame(21)} = 21 THEN stddev_samp(change) OVER {_frame(21)} END AS "Volatility.M"
-FROM (SELECT *, "close" - p AS change_abs, 100 * ("close" - p) / p AS change, 100 * ("close" - "open") / "open" AS change_from_open, 100 * (high - low) / low AS "Volatility.D",
-max(high) OVER ({_W} RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW) AS price_52_week_high, min(low) OVER ({_W} RANGE BETWEEN INTERVAL 364 DAYS PRECEDING AND CURRENT ROW) AS price_52_week_low, {_ANCHORS}
-FROM (SELECT *, {_lag_sql(_C, 1)} AS p FROM b))""",
+    f"""SELECT symbol, bar_start, change, change_abs, change_from_open, "close" * volume AS "Value.Traded", price_52_week_high, price_52_week_low, {_PERF_SQL}, "Volatility.D",
+CASE WHEN count(change) OVER {_frame(5)} = 5 THEN stddev_samp(change) OVER {_frame(5)} END AS "Volatility.W", CASE WHEN count(change) OVER {_frame(21)} = 21 THEN stddev_samp(change) OVER {_frame(21)} END AS "Volatility.M",
+CASE WHEN count(change) OVER {_YEAR} >= 20 THEN covar_samp(change, everyone) OVER {_YEAR} / nullif(var_samp(everyone) OVER {_YEAR}, 0) END AS beta_1_year
+FROM (SELECT *, CASE WHEN change IS NOT NULL THEN avg(change) OVER (PARTITION BY bar_start) END AS everyone FROM (
+SELECT *, "close" - p AS change_abs, 100 * ("close" - p) / p AS change, 100 * ("close" - "open") / "open" AS change_from_open, 100 * (high - low) / low AS "Volatility.D",
+max(high) OVER {_YEAR} AS price_52_week_high, min(low) OVER {_YEAR} AS price_52_week_low, {_ANCHORS},
+arg_max("close", bar_start) OVER (PARTITION BY symbol ORDER BY year(bar_start) RANGE BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS ytd
+FROM (SELECT *, {_lag_sql(_C, 1)} AS p FROM b)))""",
     lambda spark, d: B.bars(V.trades(spark, d), "1d"),
     DAYS,
 )
 
+REQUESTED = ["RSI", "close", "Stoch.RSI.K", "SMA20", "EMA10", "Rec.VWMA", "ADX+DI[1]", "Recommend.All", "Pivot.M.Classic.Middle", "Pivot.M.Demark.R1"]
+
+
+def _request(spark: SparkSession, d: str, wire: bool = False) -> DataFrame:
+    """The indicators of one symbol, EV:VIEW, at 4h."""
+    ticks = V.ticks(spark, d).withColumn("symbol", F.concat(F.lit("EV:"), F.upper("symbol")))
+    found = I.snapshot(ticks, "EV", "view", "4h", REQUESTED, exchanges=["EV"], wire=wire)
+    found = I.stripped(found) if wire else found
+    return found.select("symbol", *((F.round(q(n) + NUDGE, 6) + F.lit(0.0)).alias(n) for n in REQUESTED))
+
+
+_REQUEST_SQL = f"""SELECT 'EV:' || upper(l.symbol) AS symbol, {', '.join(f'round("{n}" + {NUDGE!r}::DOUBLE, 6) + 0.0::DOUBLE AS "{n}"' for n in REQUESTED)}
+FROM ({_LATEST}) l JOIN (SELECT symbol, (h + l + c) / 3.0::DOUBLE AS "Pivot.M.Classic.Middle", CASE WHEN c < o THEN h + 2 * l + c WHEN c > o THEN 2 * h + l + c ELSE h + l + 2 * c END / 2.0::DOUBLE - l AS "Pivot.M.Demark.R1"
+  FROM (SELECT symbol, row_number() OVER (PARTITION BY symbol ORDER BY bar_start DESC) AS place, {_lag_sql('"open"', 1)} AS o, {_lag_sql('high', 1)} AS h, {_lag_sql('low', 1)} AS l, {_lag_sql(_C, 1)} AS c FROM tm) WHERE place = 1) p ON l.symbol = p.symbol
+WHERE l.symbol = 'view'"""
+for _name, _wire in (("ind_request", False), ("ind_request_wire", True)):
+    _add(_name, lambda spark, d, w=_wire: _request(spark, d, w), _REQUEST_SQL, *RECURSION, _bars_sql("1M", "ticks", "tm"))
+    _SQL[_name] = _SQL[_name].replace("WITH ", "WITH RECURSIVE ", 1)
+_add(
+    "ind_wire_keys",
+    lambda spark, d: V.instruments(spark, d).select("symbol", F.explode(I.stripped_keys(F.create_map(F.lit("RSI|240"), F.col("close"), F.lit("SMA20|1W"), F.col("close") / 2, F.lit("EMA10"), F.col("close") / 4))).alias("name", "value")),
+    "SELECT symbol, unnest(['RSI', 'SMA20', 'EMA10']) AS name, unnest([\"close\", \"close\" / 2, \"close\" / 4]) AS value FROM instruments",
+    V.INSTRUMENTS_SQL,
+)
+
 # --- feeds -------------------------------------------------------------------------------------
 for _sort, (_key, _down) in feeds.NEWS_SORTS.items():
-    _add(f"headlines_{_sort}", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d), sort=s).limit(100), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id LIMIT 100", V.HEADLINES_SQL)
-    _add(f"headlines_{_sort}_whole", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d, whole=True), sort=s), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id", V.WHOLE_HEADLINES_SQL)
+    _add(f"headlines_{_sort}", lambda spark, d, s=_sort: feeds.headlines(V.headlines(spark, d), sort=s), f"SELECT * FROM headlines ORDER BY {_key} {'DESC' if _down else 'ASC'}, id", V.HEADLINES_SQL)
 _add("headlines_filtered", lambda spark, d: feeds.headlines(V.headlines(spark, d), provider="src3", language="en", area=2), "SELECT * FROM headlines WHERE provider = 'src3' AND language = 'en' AND area_no = 2", V.HEADLINES_SQL)
-_add("story_extract", lambda spark, d: stories.stories(V.read(spark, d, "pages")).select("page_id", q("story")["title"].alias("title"), F.size(q("story")["body"]).alias("blocks")))
+_add("headlines_of_symbol", lambda spark, d: feeds.headlines(V.headlines(spark, d), symbol="c7", exchange="nasdaq", section="all"), "SELECT * FROM headlines WHERE symbol = 'NASDAQ:C7'", V.HEADLINES_SQL)
+_add("headlines_of_section", lambda spark, d: feeds.headlines(V.headlines(spark, d), exchange="NASDAQ", section="esg", language="de"), "SELECT * FROM headlines WHERE section = 'esg' AND language = 'de' AND starts_with(symbol, 'NASDAQ:')", V.HEADLINES_SQL)
+_add(
+    "story_extract",
+    lambda spark, d: stories.stories(V.read(spark, d, "pages")).select("page_id", q("story")["title"].alias("title"), F.size(q("story")["body"]).alias("blocks"), F.aggregate(q("story")["body"], F.lit(0), lambda n, x: n + F.length(x["content"])).alias("n_chars")),
+    """SELECT page_id, nullif(title, '') AS title, CAST(len(blocks) AS INTEGER) AS blocks, CAST(coalesce(list_sum(list_transform(blocks, lambda x: length(x))), 0) AS INTEGER) AS n_chars FROM (
+SELECT page_id, title, list_filter(list_transform(regexp_split_to_array(body, '</?p>'), lambda x: clean(x)), lambda x: x <> '') AS blocks FROM (
+SELECT page_id, clean(regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)) AS title, regexp_replace(article, '(?s)<h1>.*?</h1>', '<p>') AS body FROM (
+SELECT page_id, regexp_extract(html, '(?s)<article>(.*?)(</article>|<footer|$)', 1) AS article FROM pages)))""",
+)
+_CLEAN = "trim(regexp_replace(replace(replace(replace(replace(replace(regexp_replace(replace({x}, '<br>', ' '), '<[^>]*>', '', 'g'), '&amp;', '&'), '&quot;', chr(34)), '&lt;', '<'), '&gt;', '>'), '&middot;', '·'), '\\s+', ' ', 'g'))"
+_SQL["story_extract"] = _SQL["story_extract"].replace("clean(x)", _CLEAN.format(x="x")).replace("clean(regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1))", _CLEAN.format(x="regexp_extract(article, '(?s)<h1>(.*?)</h1>', 1)"))
+
+
+def _cards(spark: SparkSession, d: str) -> DataFrame:
+    """Each post as the card that the ideas page shows."""
+    p = V.posts(spark, d)
+    html = F.concat(
+        F.lit('<article><a class="title-x1">Idea <b>'), "uid", F.lit('</b></a><a class="paragraph-y">'), "username", F.lit(' says</a><img src="'), "uid", F.lit('.png"><span class="card-author-z"> by '), "username",
+        F.lit('</span><span class="ellipsisContainer-q">'), F.col("total_comments").cast("string"), F.lit('</span><button class="boostButton-a" aria-label="'), F.col("total_likes").cast("string"),
+        F.lit(' boosts"></button><time class="publication-date-b" datetime="'), F.col("created").cast("string"), F.lit('"></time></article>'),
+    )
+    return stories.cards(p.select("uid", html.alias("html"))).select("uid", "card.*")
+
+
+_add(
+    "idea_cards",
+    _cards,
+    "SELECT uid, 'Idea ' || uid AS title, username || ' says' AS paragraph, uid || '.png' AS preview_image, username AS author, CAST(total_comments AS INTEGER) AS comments_count, CAST(total_likes AS INTEGER) AS boosts_count, CAST(created AS VARCHAR) AS published, FALSE AS is_updated, CAST(NULL AS VARCHAR) AS strategy FROM posts",
+    V.POSTS_SQL,
+)
+
+
+def _raw_posts(spark: SparkSession, d: str) -> DataFrame:
+    """Posts in the nested, ragged shape of the feed."""
+    p = V.posts(spark, d)
+    odd = F.col("created") % 2 == 1
+    text = F.date_format(F.timestamp_seconds(F.col("created") * 60), "yyyy-MM-dd'T'HH:mm:ss'Z'")
+    author = F.struct(F.col("username"), F.when(odd, F.concat(F.lit("/u/"), "username")).alias("uri"), F.when(odd, F.lit(True)).alias("is_broker"))
+    symbols = F.when(odd, F.create_map(F.lit("a"), "symbol"))
+    return p.select("uid", "text", F.lit(None).cast("string").alias("url"), author.alias("author"), F.when(F.col("created") % 5 == 0, F.lit("soon")).otherwise(text).alias("created"), symbols.alias("symbols"), F.when(odd, F.col("total_likes")).alias("total_likes"), "total_comments", F.when(odd, F.lit(True)).alias("modified"), F.lit(None).cast("boolean").alias("hidden"))
+
+
+_add(
+    "minds_reshaped",
+    lambda spark, d: feeds.reshaped(_raw_posts(spark, d)).select("uid", "text", "url", "author.*", "created", F.unix_timestamp("created_at").alias("created_at"), F.array_join("symbols", ",").alias("symbols"), "total_likes", "total_comments", "modified", "hidden"),
+    """SELECT uid, text, CAST(NULL AS VARCHAR) AS url, username, 'https://www.example.com' || CASE WHEN created % 2 = 1 THEN '/u/' || username ELSE '' END AS profile_url, created % 2 = 1 AS is_broker,
+CASE WHEN created % 5 = 0 THEN 'soon' ELSE strftime(make_timestamp(created * 60000000), '%Y-%m-%d %H:%M:%S') END AS created, CASE WHEN created % 5 <> 0 THEN created * 60 END AS created_at,
+CASE WHEN created % 2 = 1 THEN symbol ELSE '' END AS symbols, CASE WHEN created % 2 = 1 THEN total_likes ELSE 0 END AS total_likes, total_comments, created % 2 = 1 AS modified, FALSE AS hidden FROM posts""",
+    V.POSTS_SQL,
+)
+_add(
+    "minds_with_symbol_info",
+    lambda spark, d: feeds.with_symbol_info(V.posts(spark, d), V.read(spark, d, "supplier").select(F.concat(F.lit("NASDAQ:C"), (F.col("s_suppkey") * 3).cast("string")).alias("symbol"), F.col("s_name").alias("full_name"))).select("uid", "symbol", "full_name"),
+    "SELECT uid, symbol, s_name AS full_name FROM posts LEFT JOIN supplier ON symbol = 'NASDAQ:C' || CAST(s_suppkey * 3 AS VARCHAR)",
+    V.POSTS_SQL,
+)
+_add(
+    "minds_trending",
+    lambda spark, d: feeds.all_minds(V.posts(spark, d), sort="trending", max_results=200).select("uid", F.round(F.col("sort_key") + NUDGE, 6).alias("score")),
+    f"SELECT uid, round(k + {NUDGE!r}::DOUBLE, 6) AS score FROM (SELECT uid, CAST(total_likes + total_comments AS DOUBLE) AS k FROM posts ORDER BY k DESC, uid LIMIT 200)",
+    V.POSTS_SQL,
+)
+_add(
+    "minds_trending_aged",
+    lambda spark, d: feeds.minds(V.posts(spark, d).where("symbol = 'NASDAQ:C3'"), sort="trending", limit=1_000_000, decay=2.0, now=100_000_000).select("uid", F.round(F.col("sort_key") * 1e9, 3).alias("score")),
+    "SELECT uid, round((total_likes + total_comments) / pow(1 + (100000000 - created) / 3600.0::DOUBLE, 2.0::DOUBLE) * 1e9::DOUBLE, 3) AS score FROM posts WHERE symbol = 'NASDAQ:C3'",
+    V.POSTS_SQL,
+)
+_add("minds_all_pages", lambda spark, d: feeds.all_minds(V.posts(spark, d), sort="recent", max_results=170), "SELECT *, created AS sort_key FROM posts ORDER BY sort_key DESC, uid LIMIT 170", V.POSTS_SQL)
+_add(
+    "minds_cursors",
+    lambda spark, d: V.posts(spark, d).select("uid", F.when(F.col("created") % 3 == 0, F.concat(F.lit("https://x.example/minds?c="), "uid", F.lit("&lang=en"))).when(F.col("created") % 3 == 1, F.lit("https://x.example/minds?lang=en")).alias("next")).select("uid", feeds.cursor_of("next").alias("cursor")),
+    "SELECT uid, CASE WHEN created % 3 = 0 THEN uid END AS cursor FROM posts",
+    V.POSTS_SQL,
+)
+_add("ideas_recent", lambda spark, d: feeds.ideas(V.posts(spark, d), start=1, end=2, sort="recent"), "SELECT * FROM posts ORDER BY created DESC, uid LIMIT 40", V.POSTS_SQL)
+_add("ideas_of_symbols", lambda spark, d: feeds.of_symbols(V.posts(spark, d).withColumn("symbol", F.when(F.col("created") % 4 > 0, F.col("symbol")))), "SELECT * EXCLUDE (symbol) FROM posts WHERE created % 4 > 0", V.POSTS_SQL)
 _add("ideas_pages", lambda spark, d: feeds.ideas(V.posts(spark, d), start=2, end=3), "SELECT * FROM posts ORDER BY total_likes DESC, uid LIMIT 40 OFFSET 20", V.POSTS_SQL)
 _add("minds_recent", lambda spark, d: feeds.minds(V.posts(spark, d)), "SELECT *, created AS sort_key FROM posts ORDER BY sort_key DESC, uid LIMIT 50", V.POSTS_SQL)
 _add("minds_popular", lambda spark, d: feeds.minds(V.posts(spark, d), "nasdaq:c3", sort="popular", limit=200), "SELECT *, total_likes + total_comments AS sort_key FROM posts WHERE symbol = 'NASDAQ:C3' ORDER BY sort_key DESC, uid LIMIT 200", V.POSTS_SQL)
@@ -489,12 +643,72 @@ _add(
 )
 
 
-def _stream_bars(spark: SparkSession, d: str) -> DataFrame:
-    """4h bars through a stream that has taken all files there are."""
-    import uuid
+_add(
+    "frames_encode",
+    lambda spark, d: V.read(spark, d, "events").select(F.col("event_id").alias("seq"), frames.frame(F.col("props")).alias("message")),
+    "SELECT event_id AS seq, '~m~' || CAST(length(props) AS VARCHAR) || '~m~' || props AS message FROM events",
+)
+_add(
+    "quotes_merged",
+    lambda spark, d: frames.merged(frames.quotes(frames.decode(_quote_messages(spark, d)))).select("symbol", F.to_json("fields").alias("fields")),
+    f"""SELECT symbol, '{{' || string_agg('"' || field || '":"' || value || '"', ',' ORDER BY field) || '}}' AS fields FROM (
+SELECT event_type AS symbol, {_FIELD} AS field, CAST(max(event_id) AS VARCHAR) AS value FROM events WHERE event_id % 10 <> 9 GROUP BY 1, 2) GROUP BY symbol""",
+)
+
 
-    name = f"bars_{uuid.uuid4().hex}"
-    return live.run_once(live.live_bars(live.tick_stream(spark, d), "4h"), name).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
+def _chart_messages(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a chart packet: 1 to 4 candles (every seventh a snapshot), and for every fifth a study of 11 points in the same message."""
+    e = V.read(spark, d, "events")
+    number, value = F.col("event_id").cast("string"), F.col("value").cast("string")
+    point = lambda i: F.concat(F.lit('{"i":'), ((F.col("event_id") + i) % 50).cast("string"), F.lit(',"v":['), number, *(x for _ in range(4) for x in (F.lit(","), value)), F.when(F.col("event_id") % 2 == 0, F.lit(",7]}")).otherwise(F.lit("]}")))
+    points = F.array_join(F.transform(F.sequence(F.lit(0), (F.col("event_id") % 4).cast("int")), point), ",")
+    kind = F.when(F.col("event_id") % 7 == 0, "timescale_update").otherwise("du")
+    chart = frames.frame(F.concat(F.lit('{"m":"'), kind, F.lit('","p":["cs_1",{"sds_1":{"s":['), points, F.lit("]}}]}")))
+    plots = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit(',"v":['), number, F.lit(","), value, F.lit("]}"))), ",")
+    study = frames.frame(F.concat(F.lit('{"m":"du","p":["cs_1",{"st9":{"st":['), plots, F.lit("]}}]}")))
+    return e.select(F.col("event_id").alias("seq"), F.concat(chart, F.when(F.col("event_id") % 5 == 0, study).otherwise(F.lit(""))).alias("message"))
+
+
+_POINTS = """points AS (SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'timescale_update' ELSE 'du' END AS m, unnest(range(0, event_id % 4 + 1)) AS k, value, event_id FROM events)"""
+_CANDLE = '(event_id + k) % 50 AS "index", CAST(event_id AS DOUBLE) AS timestamp, value AS "open", value AS high, value AS low, value AS "close", CASE WHEN event_id % 2 = 0 THEN 7.0::DOUBLE END AS volume'
+_CANDLES = ["timestamp", "open", "high", "low", "close", "volume"]
+_add("frames_candles", lambda spark, d: frames.candles(frames.decode(_chart_messages(spark, d))), f"SELECT seq, m, {_CANDLE} FROM points", _POINTS)
+_add(
+    "frames_snapshot",
+    lambda spark, d: frames.snapshot(frames.candles(frames.decode(_chart_messages(spark, d)))),
+    f'SELECT "index", {", ".join(f"{chr(34)}{c}{chr(34)}" for c in _CANDLES)} FROM (SELECT *, row_number() OVER (PARTITION BY "index" ORDER BY seq DESC) AS place FROM (SELECT seq, {_CANDLE} FROM points)) WHERE place = 1',
+    _POINTS,
+)
+_add(
+    "frames_studies",
+    lambda spark, d: frames.studies(frames.decode(_chart_messages(spark, d)), spark.createDataFrame([("st9", "RSI"), ("st10", "CCI")], "study string, indicator string")).select("seq", "indicator", "index", "timestamp", q("plots")[0].alias("plot")),
+    'SELECT event_id AS seq, \'RSI\' AS indicator, unnest(range(0, 11)) AS "index", CAST(event_id AS DOUBLE) AS timestamp, value AS plot FROM events WHERE event_id % 5 = 0',
+)
+_add(
+    "studies_missing",
+    lambda spark, d: frames.missing_studies(V.read(spark, d, "events").select(F.col("event_type").alias("indicator")).distinct(), V.read(spark, d, "events").where("value > 99").select(F.upper("event_type").alias("indicator")).unionByName(spark.createDataFrame([("view",)], "indicator string"))),
+    "SELECT DISTINCT event_type AS indicator FROM events WHERE event_type <> 'view'",
+)
+_add(
+    "frames_bounded",
+    lambda spark, d: frames.bounded(frames.decode(_chart_messages(spark, d)), 4).groupBy("seq", "part", "m").agg(F.count("*").alias("n")),
+    """SELECT seq, CAST(part AS INTEGER) AS part, m, 1 AS n FROM (SELECT *, min(CASE WHEN m = 'timescale_update' AND part = 1 AND seq % 4 = 3 THEN place END) OVER () AS cut FROM (
+SELECT *, row_number() OVER (ORDER BY seq, part) AS place FROM (
+SELECT event_id AS seq, unnest(CASE WHEN event_id % 5 = 0 THEN [1, 2] ELSE [1] END) AS part, CASE WHEN event_id % 7 = 0 THEN 'timescale_update' ELSE 'du' END AS m FROM events) ORDER BY place LIMIT 17)) WHERE cut IS NULL OR place <= cut""",
+)
+_SQL["frames_bounded"] = _SQL["frames_bounded"].replace("SELECT seq, CAST(part AS INTEGER) AS part, m, 1 AS n", "SELECT seq, CAST(part AS INTEGER) AS part, CASE WHEN part = 1 THEN m ELSE 'du' END AS m, 1 AS n")
+_add(
+    "scan_positional",
+    lambda spark, d: frames.positional(V.read(spark, d, "part").select(F.concat_ws(":", "p_brand", F.col("p_partkey").cast("string")).alias("s"), F.when(F.col("p_partkey") % 9 == 0, F.lit("[]")).otherwise(F.concat(F.lit('["'), "p_type", F.lit('",'), F.col("p_size").cast("string"), F.when(F.col("p_partkey") % 2 == 0, F.lit(",1,2]")).otherwise(F.lit("]")))).alias("d")), ["type", "size", "extra"], {"size": "int", "extra": "int"}),
+    "SELECT p_brand || ':' || CAST(p_partkey AS VARCHAR) AS symbol, p_type AS type, p_size AS size, CASE WHEN p_partkey % 2 = 0 THEN 1 END AS extra FROM part WHERE p_partkey % 9 <> 0",
+)
+
+
+def _stream_bars(spark: SparkSession, d: str) -> DataFrame:
+    """4h bars through a stream that has taken all files there are into a table."""
+    folder = f"{live.shared_folder(spark)}/finscan/bars-{uuid.uuid4().hex}"
+    live.run_to_table(live.live_bars(live.tick_stream(spark, d), "4h"), folder)
+    return live.current(spark, folder, ["symbol", "bar_start"]).withColumn("bar_start", F.col("bar_start").cast("timestamp_ntz"))
 
 
 _add("stream_bars_4h", _stream_bars, "SELECT * FROM b", *BARS4)

@@ -7,8 +7,6 @@ from pyspark.sql import functions as F
 
 # Markets, defaults and field groups of the scan model.
 MARKETS = "america australia canada germany india israel italy luxembourg mexico spain turkey uk crypto forex cfd futures bonds global".split()
-#: Regions of the test tables that are scanned as markets of their own.
-TEST_MARKETS = ["africa", "asia", "europe", "middle east"]
 MOVER_MARKETS = {"stocks-usa": "america", "stocks-uk": "uk", "stocks-india": "india", "stocks-australia": "australia", "stocks-canada": "canada", "crypto": None, "forex": None, "bonds": None, "futures": None}
 TOP_MARKETS = "america australia canada germany india uk crypto forex global".split()
 SYMBOL_SCANNERS = "global america crypto forex cfd".split()
@@ -57,11 +55,11 @@ FUNDAMENTALS_ALL = [f for group in FUNDAMENTALS.values() for f in group]
 DIVIDEND_CALENDAR = "dividend_ex_date_recent dividend_ex_date_upcoming logoid name description dividends_yield dividend_payment_date_recent dividend_payment_date_upcoming dividend_amount_recent dividend_amount_upcoming fundamental_currency_code market".split()
 EARNINGS_CALENDAR = "earnings_release_next_date earnings_release_date logoid name description earnings_per_share_fq earnings_per_share_forecast_next_fq eps_surprise_fq eps_surprise_percent_fq revenue_fq revenue_forecast_next_fq market_cap_basic earnings_release_time earnings_release_next_time earnings_per_share_forecast_fq revenue_forecast_fq fundamental_currency_code market earnings_publication_type_fq earnings_publication_type_next_fq revenue_surprise_fq revenue_surprise_percent_fq".split()
 TEXT_FIELDS = frozenset("name description type subtype exchange country sector industry logoid currency fundamental_currency_code market symbol full_symbol".split())
-#: Timeframe to its wire code.
+# Timeframes and their wire codes, areas, providers, languages and quote fields.
 TIMEFRAMES = {"1m": "1", "5m": "5", "15m": "15", "30m": "30", "1h": "60", "2h": "120", "4h": "240", "1d": "", "1w": "1W", "1M": "1M"}
 WIDTHS = {"1m": "1 minute", "5m": "5 minutes", "15m": "15 minutes", "30m": "30 minutes", "1h": "1 hour", "2h": "2 hours", "4h": "4 hours", "1d": "1 day"}
 AREAS = {"world": "WLD", "americas": "AME", "europe": "EUR", "asia": "ASI", "oceania": "OCN", "africa": "AFR"}
-#: The feed's own house provider comes besides, as a parameter (feeds.check_request(house=...)).
+# The feed's own house provider comes besides, as a parameter (feeds.check_request(house=...)).
 PROVIDERS = "the_block cointelegraph beincrypto newsbtc dow-jones cryptonews coindesk cryptoglobe zycrypto todayq cryptopotato u_today cryptobriefing coindar bitcoin_com".split()
 LANGUAGES = "en de fr es it pt ru ja ko ar hi sv tr th vi id fa ch ms el he".split()
 QUOTE_FIELDS = "ch chp current_session description local_description language exchange fractional is_tradable lp lp_time minmov minmove2 original_name pricescale pro_name short_name type update_mode volume currency_code rchp rtc".split()
@@ -77,10 +75,11 @@ def average_names() -> list[str]:
     return [f"{kind}{n}" for n in (10, 20, 30, 50, 100, 200) for kind in ("EMA", "SMA")]
 
 
+# Names of indicators.
 OSCILLATORS = "RSI RSI[1] Stoch.K Stoch.D Stoch.K[1] Stoch.D[1] CCI20 CCI20[1] ADX ADX+DI ADX-DI ADX+DI[1] ADX-DI[1] AO AO[1] AO[2] Mom Mom[1] MACD.macd MACD.signal Rec.Stoch.RSI Stoch.RSI.K Rec.WR W.R Rec.BBPower BBPower Rec.UO UO".split()
 RATINGS = "Recommend.Other Recommend.All Recommend.MA".split()
 MORE_AVERAGES = "Rec.Ichimoku Ichimoku.BLine Rec.VWMA VWMA Rec.HullMA9 HullMA9".split()
-INDICATORS = [*RATINGS, *OSCILLATORS, "close", *average_names(), *MORE_AVERAGES, *pivot_names()]
+INDICATORS = [*RATINGS, *OSCILLATORS, average_names()[0], "close", *average_names()[1:], *MORE_AVERAGES, *pivot_names()]
 
 
 def q(name: str) -> Column:
@@ -105,6 +104,20 @@ def symbol_of(text: str) -> str:
     return symbol
 
 
+def symbol_parts(symbol: str | Column) -> Column:
+    """EXCHANGE:SYMBOL as a struct of exchange and name; nulls where it is not of that form."""
+    c = F.col(symbol) if isinstance(symbol, str) else symbol
+    parts = F.split(F.upper(F.trim(c)), ":")
+    good = F.size(parts) == 2
+    return F.struct(F.when(good, parts[0]).alias("exchange"), F.when(good, F.get(parts, F.lit(1))).alias("name"))
+
+
+def unsupported(names: list[str], allowed) -> list[str]:
+    """The names that are not allowed, in their order."""
+    known = set(allowed)
+    return [n for n in dict.fromkeys(names) if n not in known]
+
+
 def checked(name: str, allowed, what: str) -> str:
     if name not in allowed:
         raise ValueError(f"unsupported {what} {name!r}; one of {', '.join(map(str, allowed))}")

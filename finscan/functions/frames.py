@@ -6,9 +6,12 @@ import json
 import secrets
 import string
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from finscan.functions.fields import QUOTE_FIELDS, TIMEFRAMES, checked, symbol_of
+
+# Fixed values of the protocol.
 HEARTBEAT = r"^~m~\d+~m~~h~\d+$"
 SPLIT = r"~m~\d+~m~"
 
@@ -27,6 +30,34 @@ def session_id(prefix: str) -> str:
     return prefix + "_" + "".join(secrets.choice(string.ascii_lowercase) for _ in range(12))
 
 
+def opening(quote_session: str, chart_session: str, token: str = "unauthorized_user_token", locale: tuple[str, str] = ("en", "US")) -> list[str]:
+    """The framed calls that open a quote session and a chart session."""
+    calls = [("set_auth_token", [token]), ("set_locale", list(locale)), ("chart_create_session", [chart_session, ""]), ("quote_create_session", [quote_session])]
+    calls += [("quote_set_fields", [quote_session, *QUOTE_FIELDS]), ("quote_hibernate_all", [quote_session])]
+    return [message(m, p) for m, p in calls]
+
+
+def subscription(quote_session: str, chart_session: str, symbol: str, timeframe: str = "1m", candles_wanted: int = 10, studies_: tuple[dict, ...] = ()) -> list[str]:
+    """The framed calls that ask for a symbol's quotes, its last candles, and studies (metadata() of each)."""
+    code = TIMEFRAMES[checked(timeframe, TIMEFRAMES, "timeframe")] or "1D"
+    name = symbol_of(symbol)
+    resolved = "=" + json.dumps({"adjustment": "splits", "symbol": name})
+    calls = [("quote_add_symbols", [quote_session, resolved]), ("resolve_symbol", [chart_session, "sds_sym_1", resolved])]
+    calls += [("create_series", [chart_session, "sds_1", "s1", "sds_sym_1", code, candles_wanted, ""]), ("quote_fast_symbols", [quote_session, name])]
+    calls += [(s["m"], s["p"]) for s in studies_]
+    return [message(m, p) for m, p in [*calls, ("quote_hibernate_all", [quote_session])]]
+
+
+def metadata(script: str, info: dict, chart_session: str, study: str = "st9") -> dict:
+    """The call that creates a study, from a script's description: its text, version, and default inputs (ids in_...)."""
+    inputs = info.get("inputs", [])
+    fixed = lambda value, kind: {"v": value, "f": True, "t": kind}
+    body = {"text": inputs[0]["defval"] if inputs else "", "pineId": script, "pineVersion": info.get("pine", {}).get("version", "1.0")}
+    body |= {"pineFeatures": fixed('{"indicator":1,"plot":1,"ta":1}', "text"), "__profile": fixed(False, "bool")}
+    body |= {i["id"]: fixed(i["defval"], i["type"]) for i in inputs if i["id"].startswith("in_")}
+    return {"m": "create_study", "p": [chart_session, study, "st1", "sds_1", "Script@tv-scripting-101!", body]}
+
+
 def decode(messages: DataFrame, text: str = "message", order: str = "seq") -> DataFrame:
     """(seq, part, m, p): the packets of all messages; heartbeats go, damaged packets keep null m.
 
@@ -91,15 +122,19 @@ def positional(replies: DataFrame, columns: list[str], kinds: dict[str, str] | N
 
 
 def bounded(packets: DataFrame, candles_wanted: int, most: int = 17, order: str = "seq") -> DataFrame:
-    """Packets up to the one that completes the wanted number of candles, and at most ``most`` messages.
-
-    The cut is the sequence number of the first chart packet with enough candles, found by a minimum.
-    """
-    enough = candles(packets, order).where(F.col("m") == "timescale_update").groupBy(order).agg(F.count("*").alias("n")).where(F.col("n") >= candles_wanted)
-    cut = enough.agg(F.min(order).alias("__last"))
-    first = packets.agg(F.min(order).alias("__first"))
-    limits = cut.crossJoin(first).select(F.least(F.coalesce("__last", F.col("__first") + most - 1), F.col("__first") + most - 1).alias("__limit"))
-    return packets.crossJoin(F.broadcast(limits)).where(F.col(order) <= F.col("__limit")).drop("__limit")
+    """The first packets up to the one that completes the wanted number of candles, ``most`` packets at most."""
+    head = packets.orderBy(order, "part").limit(most)
+    series = F.from_json(F.get("p", F.lit(1)), "map<string, struct<s: array<struct<i: int>>>>")
+    complete = (F.col("m") == "timescale_update") & (F.size(F.element_at(series, "sds_1")["s"]) >= candles_wanted)
+    place = F.struct(order, "part")
+    # All rows of head, no more than most, share one window.
+    cut = F.min(F.when(complete, place)).over(Window.partitionBy(F.lit(0)))
+    return head.withColumn("__cut", cut).where(F.col("__cut").isNull() | (place <= F.col("__cut"))).drop("__cut")
+
+
+def merged(deltas: DataFrame, order: str = "seq") -> DataFrame:
+    """(symbol, fields): the quote of each symbol as one map, later values over earlier ones."""
+    return quote_state(deltas, order).groupBy("symbol").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("field", "value")))).alias("fields"))
 
 
 def missing_studies(requested: DataFrame, received: DataFrame) -> DataFrame:

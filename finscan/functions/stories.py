@@ -13,68 +13,87 @@ STORY = "title string, published string, breadcrumbs string, body array<struct<t
 
 
 class _Story(HTMLParser):
-    """Title, time, breadcrumbs, body (texts and images in order), tags and related symbols."""
+    """Title, time, breadcrumbs, body (texts and images in order), tags and related symbols.
 
+    A text element collects all its text, that of links and other inline elements too. One that
+    holds another is told in the pieces around it; a link is a piece of its own where no text
+    element is open, and in breadcrumbs, tags and symbols.
+    """
+
+    # Elements that hold text, and parts told by class names.
     TEXT = ("p", "h1", "h2", "h3", "li", "blockquote")
+    EMPTY = ("meta", "link", "input", "hr")
 
     def __init__(self):
         super().__init__(convert_charrefs=True)
         self.found = {"title": None, "published": None, "crumbs": [], "body": [], "tags": [], "related": []}
         self.stack: list[tuple[str, str]] = []
-        self.text: list[str] | None = None
-        self.kind = ""
+        #: open pieces: place in the stack, element, kind, texts
+        self.open: list[tuple[int, str, str, list[str]]] = []
 
     def _inside(self, *names: str) -> bool:
         return any(tag in names or any(n in cls for n in names) for tag, cls in self.stack)
 
     def handle_starttag(self, tag, attrs):
         a = {k: v or "" for k, v in attrs}
-        cls = a.get("class", "")
         if tag == "img":
             if self._inside("article"):
+                self._flush()
                 self.found["body"].append({"type": "image", "content": None, "src": a.get("src"), "alt": a.get("alt")})
             return
-        if tag in ("br", "meta", "link", "input", "hr"):
+        if tag == "br":
+            self.handle_data(" ")
+            return
+        if tag in self.EMPTY:
             return
         if tag == "time":
             self.found["published"] = self.found["published"] or a.get("datetime")
-        if tag in self.TEXT or tag == "a":
-            self._close()
-            self.text = []
-            self.kind = "crumb" if self._inside("breadcrumb") else "related" if self._inside("symbols") else "tag" if self._inside("tags", "rowTags") else "title" if tag == "h1" else "text"
-            if tag == "a" and self.kind == "text":
-                self.kind = "skip" if self._inside("nav") else "text"
-        self.stack.append((tag, cls))
-
-    def _close(self):
-        words = " ".join("".join(self.text or []).split())
-        self.text = None
+        if tag in self.TEXT and self.open and self.open[-1][1] == "p":
+            self._leave(self.open[-1][0])
+        kind = "crumb" if self._inside("breadcrumb") else "related" if self._inside("symbols") else "tag" if self._inside("tags", "rowTags") else "title" if tag == "h1" else "text"
+        if tag in self.TEXT or tag == "a" and (kind != "text" or not self.open):
+            self._flush()
+            self.open.append((len(self.stack), tag, "skip" if tag == "a" and kind == "text" and self._inside("nav") else kind, []))
+        self.stack.append((tag, a.get("class", "")))
+
+    def _flush(self):
+        """Tell the text that the innermost open piece has collected."""
+        if not self.open:
+            return
+        _, _, kind, texts = self.open[-1]
+        words = " ".join("".join(texts).split())
+        texts.clear()
         if not words:
             return
-        if self.kind == "title":
+        if kind == "title":
             self.found["title"] = self.found["title"] or words
-        elif self.kind in ("crumb", "tag", "related"):
-            self.found[{"crumb": "crumbs", "tag": "tags", "related": "related"}[self.kind]].append(words)
-        elif self.kind == "text" and self._inside("article"):
+        elif kind in ("crumb", "tag", "related"):
+            self.found[{"crumb": "crumbs", "tag": "tags", "related": "related"}[kind]].append(words)
+        elif kind == "text" and self._inside("article"):
             self.found["body"].append({"type": "text", "content": words, "src": None, "alt": None})
 
+    def _leave(self, place: int):
+        """Close the elements from a place in the stack on."""
+        while self.open and self.open[-1][0] >= place:
+            self._flush()
+            self.open.pop()
+        del self.stack[place:]
+
     def handle_endtag(self, tag):
-        if tag in self.TEXT or tag in ("a", "article"):
-            self._close()
-        for i in range(len(self.stack) - 1, -1, -1):
-            if self.stack[i][0] == tag:
-                del self.stack[i:]
-                break
+        place = next((i for i in range(len(self.stack) - 1, -1, -1) if self.stack[i][0] == tag), None)
+        if place is not None:
+            self._leave(place)
 
     def handle_data(self, data):
-        if self.text is not None and not self._inside("script", "style"):
-            self.text.append(data)
+        if self.open and not self._inside("script", "style"):
+            self.open[-1][3].append(data)
 
 
 def story(html: str | None) -> dict:
     parser = _Story()
     parser.feed(html or "")
-    parser._close()
+    parser.close()
+    parser._leave(0)
     f = parser.found
     return {"title": f["title"], "published": f["published"], "breadcrumbs": " > ".join(f["crumbs"]) or None, "body": f["body"], "tags": f["tags"], "related": f["related"]}
 

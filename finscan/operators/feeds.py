@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from finscan.functions import fields as C
@@ -31,8 +31,8 @@ def check_request(*, symbol: str | None = None, exchange: str | None = None, pro
     return {"symbol": symbol, "exchange": exchange, "provider": provider, "area": C.AREAS.get(area), "section": section, "sort": sort, "language": language}
 
 
-def headlines(news: DataFrame, *, sort: str = "latest", provider: str | None = None, language: str | None = None, area: int | None = None, ordinal: str = "id") -> DataFrame:
-    """Headlines of a provider, language and area, sorted; ties keep the feed's order."""
+def headlines(news: DataFrame, *, sort: str = "latest", provider: str | None = None, language: str | None = None, area: int | None = None, section: str | None = None, symbol: str | None = None, exchange: str | None = None, ordinal: str = "id") -> DataFrame:
+    """Headlines of a provider, language, area, section, and symbol (EXCHANGE:SYMBOL, or a symbol of an exchange), sorted; ties keep the feed's order."""
     key, down = NEWS_SORTS[C.checked(sort, NEWS_SORTS, "sort")]
     rows = news
     if provider not in (None, "all"):
@@ -41,6 +41,12 @@ def headlines(news: DataFrame, *, sort: str = "latest", provider: str | None = N
         rows = rows.where(F.col("language") == language)
     if area is not None:
         rows = rows.where(F.col("area_no") == area)
+    if section not in (None, "all"):
+        rows = rows.where(F.col("section") == C.checked(section, NEWS_SECTIONS, "section"))
+    if symbol is not None:
+        rows = rows.where(F.col("symbol") == C.symbol_of(symbol if exchange is None else f"{exchange}:{symbol}"))
+    elif exchange is not None:
+        rows = rows.where(F.col("symbol").startswith(exchange.upper() + ":"))
     return rows.orderBy(F.desc(key) if down else F.asc(key), F.asc(ordinal))
 
 
@@ -84,6 +90,22 @@ def pages_of(rows: int, page: int = 50) -> int:
     return -(-rows // page)
 
 
+def page_size(wanted: int, had: int, page: int = 50) -> int:
+    """How many rows the next page asks for."""
+    return max(0, min(page, wanted - had))
+
+
+def cursor_of(url: str | Column) -> Column:
+    """The cursor in the address of the next page; null where there is none."""
+    found = F.regexp_extract(F.col(url) if isinstance(url, str) else url, r"\?c=([^&]*)", 1)
+    return F.nullif(found, F.lit(""))
+
+
+def of_symbols(feed: DataFrame, symbol: str = "symbol") -> DataFrame:
+    """The feed's rows that belong to a symbol, without it."""
+    return feed.where(F.col(symbol).isNotNull()).drop(symbol)
+
+
 def reshaped(raw: DataFrame) -> DataFrame:
     """Posts as the feed sends them (nested, ragged) in the shape of the data model.
 

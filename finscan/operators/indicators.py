@@ -7,6 +7,7 @@ symbol: a symbol's bars are bounded by time, not by trades. Values are null unti
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 from functools import reduce
 from operator import add
@@ -15,7 +16,9 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from finscan.functions.fields import q
+from finscan.functions.fields import INDICATORS, TIMEFRAMES, checked, q, symbol_of, unsupported
+from finscan.operators.bars import bars as bars_of
+
 
 def _by():
     """Each symbol's bars in order. A function: windows need a running session."""
@@ -240,19 +243,74 @@ def latest(rows: DataFrame) -> DataFrame:
     return rows.withColumn("__place", F.row_number().over(order)).where("__place = 1").drop("__place")
 
 
-def performance(days: DataFrame) -> DataFrame:
-    """Change, 52-week range, performance and volatility of daily bars, for each bar."""
-    day = F.unix_date(F.col("bar_start").cast("date"))
-    rows = days.withColumn("__day", day)
-    span = lambda a, b: Window.partitionBy("symbol").orderBy("__day").rangeBetween(a, b)
+#: Days before a bar from whose close its performance is measured.
+HORIZONS = {"Perf.W": 7, "Perf.1M": 30, "Perf.3M": 91, "Perf.6M": 182, "Perf.Y": 365}
+
+
+def performance(days: DataFrame, *, least_beta: int = 20) -> DataFrame:
+    """Change, 52-week range, performance, volatility and beta of daily bars, for each bar.
+
+    Perf.YTD counts from the last close of an earlier year. beta_1_year is the covariance of the
+    changes with the mean change of all symbols on a day, over its variance, within 365 days.
+    """
+    rows = days.withColumns({"__day": F.unix_date(F.col("bar_start").cast("date")), "__year": F.year("bar_start")})
+    span = lambda a, b, by="__day": Window.partitionBy("symbol").orderBy(by).rangeBetween(a, b)
     before = F.lag("close").over(_by())
     rows = rows.withColumns({"change_abs": F.col("close") - before, "change": 100 * (F.col("close") - before) / before, "change_from_open": 100 * (F.col("close") - F.col("open")) / F.col("open"), "Value.Traded": F.col("close") * F.col("volume")})
-    rows = rows.withColumns({"price_52_week_high": F.max("high").over(span(-364, 0)), "price_52_week_low": F.min("low").over(span(-364, 0))})
-    anchor = lambda n: F.max_by("close", "__day").over(span(Window.unboundedPreceding, -n))
-    perf = {name: 100 * (F.col("close") - anchor(n)) / anchor(n) for name, n in (("Perf.W", 7), ("Perf.1M", 30), ("Perf.3M", 91), ("Perf.6M", 182), ("Perf.Y", 365))}
+    rows = rows.withColumn("__all", F.when(F.col("change").isNotNull(), F.avg("change").over(Window.partitionBy("bar_start"))))
+    first = Window.unboundedPreceding
+    anchors = {f"__{name}": F.last("close").over(span(first, -n)) for name, n in HORIZONS.items()}
+    anchors["__Perf.YTD"] = F.max_by("close", "__day").over(span(first, -1, "__year"))
+    rows = rows.withColumns(anchors | {"price_52_week_high": F.max("high").over(span(-364, 0)), "price_52_week_low": F.min("low").over(span(-364, 0))})
+    perf = {name[2:]: 100 * (F.col("close") - q(name)) / q(name) for name in anchors}
     vol = {name: F.when(F.count("change").over(_last(n)) == n, F.stddev_samp("change").over(_last(n))) for name, n in (("Volatility.W", 5), ("Volatility.M", 21))}
+    year = span(-364, 0)
+    beta = F.when(F.count("change").over(year) >= least_beta, F.covar_samp("change", "__all").over(year) / F.nullif(F.var_samp("__all").over(year), F.lit(0.0)))
     spread = 100 * (F.col("high") - F.col("low")) / F.col("low")
-    return rows.withColumns(perf | vol | {"Volatility.D": spread}).drop("__day")
+    return rows.withColumns(perf | vol | {"Volatility.D": spread, "beta_1_year": beta}).drop("__day", "__year", "__all", *anchors)
+
+
+def wire_fields(names: list[str], timeframe: str) -> list[str]:
+    """Names as a request sends them: with the timeframe's code, if it has one."""
+    code = TIMEFRAMES[checked(timeframe, TIMEFRAMES, "timeframe")]
+    return [f"{n}|{code}" if code else n for n in names]
+
+
+def stripped(reply: DataFrame) -> DataFrame:
+    """A reply's columns without the timeframe's code."""
+    return reply.withColumnsRenamed({c: re.sub(r"\|.*", "", c) for c in reply.columns})
+
+
+def stripped_keys(reply: str) -> Column:
+    """A reply that came as a map, its keys without the timeframe's code."""
+    return F.transform_keys(reply, lambda k, _: F.regexp_replace(k, r"\|.*", ""))
+
+
+def snapshot(trades: DataFrame, exchange: str, symbol: str, timeframe: str = "1d", names: list[str] | None = None, *, all_names: bool = False, exchanges=None, wire: bool = False) -> DataFrame:
+    """One row: the indicators of a symbol (EXCHANGE:SYMBOL) at its latest bar of a timeframe; monthly pivots from its 1M bars.
+
+    trades: symbol, ts, seq, price, qty; the symbol is filtered before anything is aggregated. exchanges
+    limits what may be asked for. With wire the columns keep the names of the request (stripped() undoes it).
+    """
+    checked(timeframe, TIMEFRAMES, "timeframe")
+    if exchanges is not None:
+        checked(exchange, exchanges, "exchange")
+    if all_names:
+        names = INDICATORS
+    elif not names:
+        raise ValueError("names of indicators are needed, or all_names")
+    if unknown := unsupported(names, INDICATORS):
+        raise ValueError(f"unsupported indicators: {', '.join(unknown)}")
+    mine = trades.where(F.col("symbol") == symbol_of(f"{exchange}:{symbol}"))
+    asked = list(dict.fromkeys(names))
+    found = latest(all_indicators(bars_of(mine, timeframe)))
+    if any(n.startswith("Pivot.") for n in asked):
+        months = bars_of(mine, "1M")
+        for kind in ("Classic", "Fibonacci", "Camarilla", "Woodie", "Demark"):
+            if any(n.startswith(f"Pivot.M.{kind}.") for n in asked):
+                found = found.join(latest(pivots(months, kind)).drop("bar_start"), "symbol", "left")
+    out = wire_fields(asked, timeframe) if wire else asked
+    return found.select("symbol", *(q(n).alias(o) for n, o in zip(asked, out, strict=True)))
 
 
 #: Indicators by script id and version, with their default inputs.

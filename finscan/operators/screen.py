@@ -42,8 +42,10 @@ class Result:
 
 
 class ScanEngine:
-    def __init__(self, instruments: DataFrame):
-        self.table = instruments
+    """Scans over a table of instruments; markets names those that the table has besides the catalogue's."""
+
+    def __init__(self, instruments: DataFrame, markets: tuple[str, ...] = ()):
+        self.table, self.markets = instruments, tuple(markets)
 
     def _column(self, name: str):
         if name in self.table.columns:
@@ -74,7 +76,7 @@ class ScanEngine:
         return Result(self._projected(rows, query.columns), df)
 
     def screen(self, market: str = "america", filters=(), columns=None, sort_by: str | None = None, sort_order: str = "desc", limit: int = 50, start: int = 0) -> Result:
-        C.checked(market, [*C.MARKETS, *C.TEST_MARKETS], "market")
+        C.checked(market, [*C.MARKETS, *self.markets], "market")
         scope = () if market == "global" else (market,)
         sort = SortKey(sort_by, sort_order) if sort_by else None
         return self.run(ScanQuery(tuple(columns or C.default_columns(market)), tuple(map(filter_of, filters or ())), sort, start, start + limit, scope))
@@ -89,7 +91,7 @@ class ScanEngine:
         return self.run(ScanQuery(tuple(fields or C.MOVERS_DEFAULT), (preset,) if preset else (), by, 0, limit, (scope,) if scope else ()))
 
     def top_stocks(self, market: str = "america", by: str = "market_cap", columns=None, limit: int = 50) -> Result:
-        C.checked(market, [*C.TOP_MARKETS, *C.TEST_MARKETS], "market")
+        C.checked(market, [*C.TOP_MARKETS, *self.markets], "market")
         field = C.SORT_ALIASES.get(by, by)
         C.checked(field, C.SORT_ALIASES.values(), "sort")
         scope = () if market == "global" else (market,)
@@ -128,6 +130,10 @@ class ScanEngine:
         wanted = list(dict.fromkeys(map(C.symbol_of, symbols)))
         return self.compare(symbols, fields).groupBy("field").pivot("symbol", wanted).agg(F.max("value"))
 
+    def exchanges(self) -> DataFrame:
+        """The exchanges that the table has."""
+        return self.table.where(q("exchange").isNotNull()).select("exchange").distinct()
+
     def existing(self, symbols: DataFrame) -> DataFrame:
         """The symbols (column symbol) that the table has."""
         return symbols.withColumn("symbol", F.upper(F.trim("symbol"))).join(self.table.select("symbol"), "symbol", "left_semi")

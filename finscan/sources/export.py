@@ -18,6 +18,19 @@ def export_name(category: str, symbol: str | None = None, timeframe: str | None
     return "_".join(p for p in parts if p)
 
 
+def news_category(*, symbol: str | None = None, provider: str | None = None) -> str:
+    """What an export of news is filed under: the symbol asked for, else the provider, else the area."""
+    return "news_symbol" if symbol else "news_provider" if provider else "news_area"
+
+
+def wrapped(df: DataFrame, key: str = "symbol", limit: int = 1000) -> dict:
+    """A comparison as one object: each symbol with its fields (driver-side, at most ``limit`` rows)."""
+    rows = df.limit(limit + 1).collect()
+    if len(rows) > limit:
+        raise ValueError(f"more than {limit} rows; use export()")
+    return {r[key]: {k: v for k, v in r.asDict(True).items() if k != key} for r in rows}
+
+
 def flat(df: DataFrame) -> DataFrame:
     """Nested columns as JSON text, which CSV can hold."""
     nested = (T.ArrayType, T.MapType, T.StructType)

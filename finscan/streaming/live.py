@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
@@ -48,10 +49,12 @@ def live_quotes(deltas: DataFrame) -> DataFrame:
         names, values, seqs, last = state.get if state.exists else ([], [], [], -1)
         known = {n: (s, v) for n, v, s in zip(names, values, seqs, strict=True)}
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                last = max(last, int(r.seq))
-                if r.value is not None and (r.field not in known or known[r.field][0] <= r.seq):
-                    known[r.field] = (int(r.seq), r.value)
+            last = max(last, int(batch["seq"].max()))
+            # The latest value of each field first; few fields are left to merge.
+            newest = batch[batch["value"].notna()].sort_values("seq", kind="stable").drop_duplicates("field", keep="last")
+            for field, seq, value in zip(newest["field"], newest["seq"], newest["value"], strict=True):
+                if field not in known or known[field][0] <= seq:
+                    known[field] = (int(seq), value)
         names = sorted(known)
         state.update((names, [known[n][1] for n in names], [known[n][0] for n in names], last))
         yield pd.DataFrame({"symbol": [key[0]], "seq": [last], "fields": [{n: known[n][1] for n in names}]})
@@ -67,3 +70,35 @@ def run_once(stream: DataFrame, name: str, mode: str = "complete", checkpoint: s
     query = (writer.option("checkpointLocation", checkpoint) if checkpoint else writer).start()
     query.awaitTermination()
     return stream.sparkSession.table(name)
+
+
+def shared_folder(spark: SparkSession) -> str:
+    """The folder that driver and executors share (spark.checkpoint.dir), or a temporary one where all runs on this machine."""
+    folder = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
+    if not folder:
+        if spark.sparkContext.master.split("[")[0] != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+        folder = "file://" + tempfile.mkdtemp(prefix="finscan-")
+        spark.conf.set("spark.checkpoint.dir", folder)
+    return folder.rstrip("/")
+
+
+def run_to_table(stream: DataFrame, folder: str, mode: str = "update") -> None:
+    """Take all that has arrived into the table below folder, from where the last run ended.
+
+    Each batch is written under its number, over what a failed attempt left there, so a restart
+    neither loses nor repeats one.
+    """
+
+    def put(batch: DataFrame, number: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{folder}/table/batch={number}")
+
+    writer = stream.writeStream.outputMode(mode).option("checkpointLocation", f"{folder}/checkpoint").trigger(availableNow=True)
+    writer.foreachBatch(put).start().awaitTermination()
+
+
+def current(spark: SparkSession, folder: str, keys: list[str]) -> DataFrame:
+    """The newest version of each key in a table of updates."""
+    rows = spark.read.parquet(f"{folder}/table")
+    rest = [c for c in rows.columns if c not in (*keys, "batch")]
+    return rows.groupBy(*keys).agg(F.max_by(F.struct(*rest), "batch").alias("__row")).select(*keys, "__row.*")

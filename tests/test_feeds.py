@@ -1,12 +1,15 @@
 import json
+import re
 from datetime import datetime
 
 import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from finscan import catalogue
-from finscan.functions import frames, stories
+from finscan.functions import fields, frames, stories
+from finscan.functions.fields import q
 from finscan.operators import feeds
 from finscan.sources import export
 
@@ -133,12 +136,77 @@ def test_requests_and_snapshots(spark):
 def test_whole_headlines(spark, sort):
     """All rows and whole titles, in the order of the feed."""
     docs = {r.doc_id: r for r in spark.read.parquet(f"{DATA}/documents.parquet").collect()}
-    got = catalogue.queries()[f"headlines_{sort}_whole"](spark, DATA).collect()
+    got = catalogue.queries()[f"headlines_{sort}"](spark, DATA).collect()
     key, down = feeds.NEWS_SORTS[sort]
     assert len(got) == len(docs) > 100 and all(r.title == docs[r.id].text for r in got)
     assert [r.id for r in got] == [r.id for r in sorted(got, key=lambda r: (-r[key] if down else r[key], r.id))]
 
 
-@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if n.startswith(("overview_", "fundamentals_")) and n.endswith("_whole")))
+@pytest.mark.parametrize("name", sorted(n for n in catalogue.queries() if n.startswith(("overview_", "fundamentals_")) and not n.endswith(("_one", "_long", "_pivot"))))
 def test_whole_snapshots(spark, name):
-    assert catalogue.queries()[name](spark, DATA).count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    """All symbols, and values in the fields that accounts have."""
+    found = catalogue.queries()[name](spark, DATA)
+    assert found.count() == spark.read.parquet(f"{DATA}/customer.parquet").count()
+    own = [c for c in found.columns if c in catalogue.OWN]
+    counts = found.agg(*(F.count(q(c)).alias(c) for c in own)).first()
+    assert len(own) >= 1 and all(counts), counts
+
+
+def test_filters_of_a_request_are_applied(spark):
+    news = spark.createDataFrame([(1, "NASDAQ:A", "esg"), (2, "NASDAQ:B", "esg"), (3, "NYSE:A", "general")], "id int, symbol string, section string").withColumn("published", F.col("id"))
+    ids = lambda **k: [r.id for r in feeds.headlines(news, sort="oldest", **k).collect()]
+    assert ids(symbol="a", exchange="nasdaq") == [1] and ids(symbol="NYSE:A") == [3] and ids(exchange="NASDAQ") == [1, 2]
+    assert ids(section="esg", exchange="NASDAQ") == [1, 2] and ids(section="all") == [1, 2, 3] and ids(section="press_release") == []
+    with pytest.raises(ValueError):
+        ids(section="sports")
+
+
+def test_links_are_part_of_their_paragraph():
+    body = lambda html: [b["content"] for b in stories.story(f"<article>{html}</article>")["body"] if b["type"] == "text"]
+    assert body("<p>see <a>the link</a> now</p>") == ["see the link now"]
+    assert body("<p>one<br>two <b>three <a>four</a></b> five<p>six") == ["one two three four five", "six"]
+    assert body("<ul><li>a <p>b</p> c</li><li><a>d</a></li></ul><a>alone</a>") == ["a", "b", "c", "d", "alone"]
+    assert body("<blockquote><p>x</p><p>y <a>z</a></p></blockquote><nav><a>no</a></nav>") == ["x", "y z"]
+    s = stories.story('<article><nav class="breadcrumb"><a>News</a> <a>More <b>still</b></a></nav><div class="symbolsContainer"><a>AAA</a></div><p>t<img src="i">u</p></article>')
+    assert s["breadcrumbs"] == "News > More still" and s["related"] == ["AAA"]
+    assert [(b["type"], b["content"] or b["src"]) for b in s["body"]] == [("text", "t"), ("image", "i"), ("text", "u")]
+
+
+def test_bounded_counts_packets(spark):
+    """Sparse sequence numbers, and several packets in one message."""
+    points = lambda n: {"sds_1": {"s": [{"i": i, "v": [1.0] * 6} for i in range(n)]}}
+    rows = [(i * 10, packet("du", points(1))) for i in range(30)]
+    assert frames.bounded(frames.decode(spark.createDataFrame(rows, "seq long, message string")), 5).count() == 17
+    rows = [(i, packet("du", points(9)) + packet("timescale_update", points(i))) for i in range(30)]
+    packets = frames.decode(spark.createDataFrame(rows, "seq long, message string"))
+    assert frames.bounded(packets, 3).count() == 8 and frames.bounded(packets, 99).count() == 17 and frames.bounded(packets, 99, 5).count() == 5
+
+
+def test_protocol_messages():
+    calls = [json.loads(re.split(frames.SPLIT, m)[1]) for m in frames.opening("qs_1", "cs_1")]
+    assert [c["m"] for c in calls] == ["set_auth_token", "set_locale", "chart_create_session", "quote_create_session", "quote_set_fields", "quote_hibernate_all"]
+    assert calls[4]["p"] == ["qs_1", *fields.QUOTE_FIELDS]
+    info = {"inputs": [{"id": "text", "defval": "abc", "type": "text"}, {"id": "in_0", "defval": 14, "type": "integer"}], "pine": {"version": "37.0"}}
+    study = frames.metadata("STD;RSI", info, "cs_1")
+    body = study["p"][-1]
+    assert study["m"] == "create_study" and study["p"][:4] == ["cs_1", "st9", "st1", "sds_1"]
+    assert (body["text"], body["pineId"], body["pineVersion"], body["in_0"]) == ("abc", "STD;RSI", "37.0", {"v": 14, "f": True, "t": "integer"})
+    calls = [json.loads(re.split(frames.SPLIT, m)[1]) for m in frames.subscription("qs_1", "cs_1", "nasdaq:a", "1h", 5, (study,))]
+    assert [c["m"] for c in calls] == ["quote_add_symbols", "resolve_symbol", "create_series", "quote_fast_symbols", "create_study", "quote_hibernate_all"]
+    assert calls[2]["p"][4:6] == ["60", 5] and json.loads(calls[0]["p"][1][1:])["symbol"] == "NASDAQ:A"
+    with pytest.raises(ValueError):
+        frames.subscription("q", "c", "A:B", "7h")
+
+
+def test_small_parts(spark):
+    assert export.news_category(symbol="A", provider="p") == "news_symbol" and export.news_category(provider="p") == "news_provider" and export.news_category() == "news_area"
+    df = spark.createDataFrame([("A:A", 1.0), ("B:B", None)], "symbol string, close double")
+    assert export.wrapped(df) == {"A:A": {"close": 1.0}, "B:B": {"close": None}}
+    with pytest.raises(ValueError):
+        export.wrapped(df, limit=1)
+    assert [feeds.page_size(120, n) for n in (0, 50, 100, 120, 130)] == [50, 50, 20, 0, 0]
+    urls = spark.createDataFrame([("https://x/?c=ab1&lang=en",), ("https://x/?lang=en",), ("",), (None,)], "url string")
+    assert [r.c for r in urls.select(feeds.cursor_of("url").alias("c")).collect()] == ["ab1", None, None, None]
+    parts = spark.createDataFrame([(" nasdaq:a ",), ("nasdaq",), (None,), ("a:b:c",)], "s string").select(fields.symbol_parts("s").alias("p")).collect()
+    assert [tuple(r.p) for r in parts] == [("NASDAQ", "A"), (None, None), (None, None), (None, None)]
+    assert fields.unsupported(["RSI", "x", "y", "x"], fields.INDICATORS) == ["x", "y"]

@@ -1,3 +1,4 @@
+import random
 from datetime import UTC, datetime, timedelta
 
 import pytest
@@ -113,3 +114,58 @@ def test_live_quotes_merge_sparse_deltas(spark, tmp_path):
 def test_stream_sessions_and_repeats(spark):
     ticks = live.tick_stream(spark, "/root/testdata/sf0.001")
     assert live.run_once(live.distinct_ticks(ticks).groupBy("symbol").agg(F.count("*").alias("n")), "distinct_test").agg(F.sum("n")).collect()[0][0] == spark.read.parquet("/root/testdata/sf0.001/events.parquet").count()
+
+
+def test_requests_of_indicators(spark):
+    ticks = spark.createDataFrame([("EX:A", T0 + timedelta(hours=i), i, 10.0 + i % 7, 1.0) for i in range(900)], "symbol string, ts timestamp_ntz, seq long, price double, qty double")
+    ask = lambda *names, **k: I.snapshot(ticks, "ex", "a", "1h", list(names), **k)
+    row = ask("RSI", "SMA10", "Pivot.M.Classic.Middle", "RSI").collect()
+    assert len(row) == 1 and row[0].asDict().keys() == {"symbol", "RSI", "SMA10", "Pivot.M.Classic.Middle"} and None not in row[0]
+    wire = ask("RSI", "SMA10", wire=True)
+    assert wire.columns == ["symbol", "RSI|60", "SMA10|60"] and I.stripped(wire).columns == ["symbol", "RSI", "SMA10"]
+    assert I.wire_fields(["RSI"], "1d") == ["RSI"] and I.wire_fields(["RSI", "close"], "1w") == ["RSI|1W", "close|1W"]
+    assert len(ask(all_names=True).columns) == 82 and I.snapshot(ticks, "EX", "none", "1h", ["RSI"]).count() == 0
+    for bad in (lambda: ask(), lambda: ask("RSI", "Nothing"), lambda: I.snapshot(ticks, "EX", "A", "7h", ["RSI"]), lambda: ask("RSI", exchanges=["NYSE"])):
+        with pytest.raises(ValueError):
+            bad()
+
+
+def test_beta_and_year_to_date(spark):
+    rng = random.Random(2)
+    days = [datetime(2023, 11, 1) + timedelta(days=i) for i in range(120)]
+    moves = {s: [rng.gauss(0, 1) for _ in days] for s in "AB"}
+    rows = []
+    for s, ms in moves.items():
+        price = 100.0
+        for day, m in zip(days, ms, strict=True):
+            price *= 1 + m / 100
+            rows.append((s, day, price, price, price, price, 1.0))
+    bars = spark.createDataFrame(rows, "symbol string, bar_start timestamp_ntz, open double, high double, low double, close double, volume double")
+    got = I.performance(bars).where("symbol = 'A'").orderBy("bar_start").collect()
+    market = [(a + b) / 2 for a, b in zip(moves["A"], moves["B"], strict=True)][1:]
+    mean = sum(market) / len(market)
+    own = sum(moves["A"][1:]) / len(market)
+    cov = sum((x - own) * (y - mean) for x, y in zip(moves["A"][1:], market, strict=True))
+    assert got[-1]["beta_1_year"] == pytest.approx(cov / sum((y - mean) ** 2 for y in market)) and got[19]["beta_1_year"] is None and got[20]["beta_1_year"] is not None
+    december = max(i for i, d in enumerate(days) if d.year == 2023)
+    closes = [r["close"] for r in got]
+    assert got[december]["Perf.YTD"] is None and got[-1]["Perf.YTD"] == pytest.approx(100 * (closes[-1] - closes[december]) / closes[december])
+
+
+def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
+    """What a first run has taken is neither lost nor taken again by the next one."""
+    put = lambda n, rows: spark.createDataFrame(rows, "event_type string, ts timestamp, event_id long, value double").coalesce(1).write.parquet(str(tmp_path / f"in/events-{n}.parquet"))
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    put(1, [("A", at(1), 1, 1.0), ("A", at(2), 2, 3.0), ("A", at(20), 3, 2.0)])
+    schema = "event_type string, ts timestamp, event_id long, value double"
+
+    def run():
+        rows = spark.readStream.schema(schema).parquet(str(tmp_path / "in/*.parquet"))
+        ticks = rows.selectExpr("event_type symbol", "ts", "event_id seq", "value price", "1.0D qty")
+        live.run_to_table(live.live_bars(ticks, "15m", late="2 hours"), f"file://{tmp_path}/out")
+        return {(r.symbol, r.bar_start.minute): (r.open, r.high, r["close"], r.n) for r in live.current(spark, f"file://{tmp_path}/out", ["symbol", "bar_start"]).collect()}
+
+    assert run() == {("A", 0): (1.0, 3.0, 3.0, 2), ("A", 15): (2.0, 2.0, 2.0, 1)}
+    assert run() == {("A", 0): (1.0, 3.0, 3.0, 2), ("A", 15): (2.0, 2.0, 2.0, 1)}
+    put(2, [("A", at(3), 4, 9.0), ("B", at(40), 5, 5.0)])
+    assert run() == {("A", 0): (1.0, 9.0, 9.0, 3), ("A", 15): (2.0, 2.0, 2.0, 1), ("B", 30): (5.0, 5.0, 5.0, 1)}
