@@ -58,10 +58,22 @@ def join_indicator(bars_: DataFrame, indicator: DataFrame) -> DataFrame:
     return bars_.join(indicator, ["symbol", "bar_start"])
 
 
-def as_of(left: DataFrame, quotes: DataFrame, *, by: str = "symbol", at: str = "ts", value: str = "price") -> DataFrame:
-    """left with the last quote at or before each row: one shuffle by key and a running last value, no join."""
+def as_of(left: DataFrame, quotes: DataFrame, *, by: str = "symbol", at: str = "ts", value: str = "price", bucket: str = "1 day") -> DataFrame:
+    """left with the last quote at or before each row.
+
+    Rows and quotes are dealt by key and bucket of time, so that one key is spread over many tasks; a
+    running last value is taken inside a bucket, and what a bucket begins with is the last quote of
+    the ones before it: one row a bucket, for all keys together far fewer than quotes.
+    """
     rows = left.withColumns({"__q": F.lit(None).cast(quotes.schema[value].dataType), "__side": F.lit(1)})
     right = quotes.select(*[F.col(c) if c in (by, at) else F.lit(None).cast(left.schema[c].dataType).alias(c) for c in left.columns], F.col(value).alias("__q"), F.lit(0).alias("__side"))
-    order = Window.partitionBy(by).orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
-    both = rows.unionByName(right).withColumn("as_of_" + value, F.last("__q", ignorenulls=True).over(order))
-    return both.where("__side = 1").drop("__q", "__side")
+    start = lambda df: df.withColumn("__bucket", F.window(at, bucket)["start"])
+    both = start(rows.unionByName(right).where(F.col(at).isNotNull()))
+    inside = Window.partitionBy(by, "__bucket").orderBy(at, "__side").rowsBetween(Window.unboundedPreceding, 0)
+    before = Window.partitionBy(by).orderBy("__bucket").rowsBetween(Window.unboundedPreceding, -1)
+    ends = both.groupBy(by, "__bucket").agg(F.max_by("__q", F.when(F.col("__side") == 0, F.col(at))).alias("__end"))
+    carried = ends.select(F.col(by).alias("__by"), F.col("__bucket").alias("__in"), F.last("__end", ignorenulls=True).over(before).alias("__carried"))
+    found = both.withColumn("__own", F.last("__q", ignorenulls=True).over(inside)).where("__side = 1")
+    found = found.join(carried, F.col(by).eqNullSafe(F.col("__by")) & (F.col("__bucket") == F.col("__in")), "left")
+    timeless = rows.where(F.col(at).isNull()).select(*left.columns, F.col("__q").alias("as_of_" + value))
+    return found.select(*left.columns, F.coalesce("__own", "__carried").alias("as_of_" + value)).unionByName(timeless)

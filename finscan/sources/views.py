@@ -148,6 +148,7 @@ def accounts(spark: SparkSession, folder: str, symbols: list[str] | None = None)
     base, orders, lines = issuers(spark, folder, symbols), read(spark, folder, "orders"), read(spark, folder, "lineitem")
     if symbols is not None:
         orders = orders.where(F.col("o_custkey").isin(_keys(symbols)))
+        lines = lines.join(orders.select(F.col("o_orderkey").alias("l_orderkey")), "l_orderkey", "left_semi")
     money = lambda c, kind="decimal(18,2)": F.col(c).cast(kind)
     price = money("l_extendedprice")
     sums = lines.groupBy("l_orderkey").agg(

@@ -169,3 +169,14 @@ def test_a_stream_goes_on_from_its_checkpoint(spark, tmp_path):
     assert run() == {("A", 0): (1.0, 3.0, 3.0, 2), ("A", 15): (2.0, 2.0, 2.0, 1)}
     put(2, [("A", at(3), 4, 9.0), ("B", at(40), 5, 5.0)])
     assert run() == {("A", 0): (1.0, 9.0, 9.0, 3), ("A", 15): (2.0, 2.0, 2.0, 1), ("B", 30): (5.0, 5.0, 5.0, 1)}
+
+
+def test_as_of_over_many_buckets(spark):
+    """A quote may lie many buckets back; rows without a time or a key's quotes have none."""
+    rng = random.Random(5)
+    quotes = sorted((rng.choice("ABC"), T0 + timedelta(minutes=rng.randrange(60 * 24 * 40))) for _ in range(60))
+    quotes = [(s, t, float(i)) for i, (s, t) in enumerate(dict.fromkeys(quotes))]
+    left = [(rng.choice("ABCD"), T0 + timedelta(minutes=rng.randrange(60 * 24 * 45)), i) for i in range(200)] + [("A", None, 999)]
+    got = B.as_of(spark.createDataFrame(left, "symbol string, ts timestamp_ntz, n int"), spark.createDataFrame(quotes, "symbol string, ts timestamp_ntz, price double"))
+    want = {n: max(((t, p) for q, t, p in quotes if at is not None and q == s and t <= at), default=(None, None))[1] for s, at, n in left}
+    assert {r.n: r.as_of_price for r in got.collect()} == want and got.count() == len(left)
