@@ -90,3 +90,18 @@ def test_rows_of_one_id_keep_their_order_in_the_mix(spark):
     own = sentencepiece.SentencePieceProcessor(model_file=sentencepiece_bpe.MODEL)
     want = [own.encode(r.text) for r in P.mixing(spark, docs, DATA).collect()]
     assert [r.token_ids for r in P.tokens(spark, docs, DATA).orderBy("slot", "place").collect()] == want
+
+
+def test_extra_columns_with_clashing_names(spark, tmp_path):
+    """Columns named like the stages' own travel through all that return the columns of documents."""
+    names = ["sub", "bucket", "node", "component", "stream", "slot", "place", "tokens", "c0", "kept", "id", "key", "lang_pred", "rejected", "text_hash"]
+    docs = spark.read.parquet(f"{DATA}/documents.parquet").limit(60)
+    docs = docs.select("*", *(docs.doc_id.cast("string").alias(n) for n in names))
+    docs.write.parquet(str(tmp_path / "documents.parquet"))
+    now = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    for _, stage in P.STAGES[:-1]:
+        now = stage(spark, now, str(tmp_path))
+        assert now.columns == docs.columns
+    rows = now.collect()
+    assert len(rows) > 30 and all(r[n] == str(r.doc_id) for r in rows for n in names)
+    assert P.run(spark, str(tmp_path)).count() == len(rows)
