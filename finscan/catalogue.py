@@ -721,6 +721,42 @@ SELECT *, sum(new) OVER (PARTITION BY symbol ORDER BY ts) AS g FROM (SELECT *, C
 )
 
 
+def _timed(spark: SparkSession, d: str) -> DataFrame:
+    return V.ticks(spark, d).withColumn("ts", F.col("ts").cast("timestamp"))
+
+
+_add(
+    "tick_sliding",
+    lambda spark, d: live.sliding(_timed(spark, d)).withColumn("start", F.col("start").cast("timestamp_ntz")),
+    """SELECT symbol, start, max(price) AS high, min(price) AS low, sum(qty) AS volume FROM (
+SELECT *, unnest([time_bucket(INTERVAL 15 MINUTE, ts) - INTERVAL 15 MINUTE * i FOR i IN range(0, 4)]) AS start FROM ticks) GROUP BY symbol, start""",
+    V.TICKS_SQL,
+)
+_add(
+    "tick_matched",
+    lambda spark, d: live.matched(_timed(spark, d).where("seq % 2 = 0"), _timed(spark, d).where("seq % 2 = 1").select("symbol", F.col("ts").alias("quoted_at"), F.col("price").alias("quote")), "90 minutes").withColumns({c: F.col(c).cast("timestamp_ntz") for c in ("ts", "quoted_at")}),
+    "SELECT t.symbol, t.ts, t.seq, t.price, q.ts AS quoted_at, q.price AS quote FROM ticks t JOIN ticks q ON t.symbol = q.symbol AND t.seq % 2 = 0 AND q.seq % 2 = 1 AND q.ts BETWEEN t.ts - INTERVAL 90 MINUTE AND t.ts",
+    V.TICKS_SQL,
+)
+
+
+def _stream_quotes(spark: SparkSession, d: str) -> DataFrame:
+    """Each event as a delta of one field of its type's quote, merged by a stateful stream into a table."""
+    folder = f"{live.shared_folder(spark)}/finscan/quotes-{uuid.uuid4().hex}"
+    field = F.when(F.col("seq") % 3 == 0, "lp").when(F.col("seq") % 3 == 1, "ch").otherwise("volume")
+    deltas = live.tick_stream(spark, d).select("symbol", "seq", field.alias("field"), F.when(F.col("seq") % 4 > 0, F.col("seq").cast("string")).alias("value"))
+    live.run_to_table(live.live_quotes(deltas), folder)
+    return live.current(spark, folder, ["symbol"]).select("symbol", "seq", F.to_json("fields").alias("fields"))
+
+
+_add(
+    "stream_quotes",
+    _stream_quotes,
+    f"""SELECT symbol, max(last) AS seq, '{{' || string_agg('"' || field || '":"' || value || '"', ',' ORDER BY field) || '}}' AS fields FROM (
+SELECT event_type AS symbol, {_FIELD} AS field, max(event_id) AS last, CAST(max(event_id) FILTER (event_id % 4 > 0) AS VARCHAR) AS value FROM events GROUP BY 1, 2) GROUP BY symbol""",
+)
+
+
 def queries() -> dict[str, Query]:
     return dict(_QUERIES)
 

@@ -34,6 +34,23 @@ def sessions(ticks: DataFrame, gap: str = "30 minutes", late: str = "10 minutes"
     return rows.agg(F.count("*").alias("n")).select("symbol", F.col("session_window.start").alias("start"), F.col("session_window.end").alias("end"), "n")
 
 
+def sliding(ticks: DataFrame, width: str = "1 hour", step: str = "15 minutes", late: str = "10 minutes") -> DataFrame:
+    """Range and volume per symbol in windows that begin at every step."""
+    rows = ticks.withWatermark("ts", late).groupBy("symbol", F.window("ts", width, step))
+    found = rows.agg(F.max("price").alias("high"), F.min("price").alias("low"), F.sum("qty").alias("volume"))
+    return found.select("symbol", F.col("window.start").alias("start"), "high", "low", "volume")
+
+
+def matched(trades: DataFrame, quotes: DataFrame, within: str = "1 minute", late: str = "10 minutes") -> DataFrame:
+    """Each trade with the quotes (symbol, quoted_at, quote) of its symbol in the time before it, ``within`` at most.
+
+    Two streams, or two tables: the bound on time lets old rows leave the state.
+    """
+    left, right = trades.withWatermark("ts", late).alias("t"), quotes.withWatermark("quoted_at", late).alias("q")
+    on = F.expr(f"t.symbol = q.symbol AND q.quoted_at <= t.ts AND q.quoted_at >= t.ts - interval {within}")
+    return left.join(right, on).select("t.symbol", "t.ts", "t.seq", "t.price", "q.quoted_at", "q.quote")
+
+
 def distinct_ticks(ticks: DataFrame, late: str = "10 minutes") -> DataFrame:
     """Ticks without repeats of a sequence number within the watermark."""
     return ticks.withWatermark("ts", late).dropDuplicatesWithinWatermark(["symbol", "seq"])

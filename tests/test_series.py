@@ -180,3 +180,36 @@ def test_as_of_over_many_buckets(spark):
     got = B.as_of(spark.createDataFrame(left, "symbol string, ts timestamp_ntz, n int"), spark.createDataFrame(quotes, "symbol string, ts timestamp_ntz, price double"))
     want = {n: max(((t, p) for q, t, p in quotes if at is not None and q == s and t <= at), default=(None, None))[1] for s, at, n in left}
     assert {r.n: r.as_of_price for r in got.collect()} == want and got.count() == len(left)
+
+
+def test_a_log_of_frames_is_a_stream(spark, tmp_path):
+    """Files are taken once each, by a stream that is restarted, and give the packets that a batch read gives."""
+    from finscan.functions import frames
+    from finscan.streaming import source
+
+    source.register(spark)
+    log = tmp_path / "log"
+    log.mkdir()
+    put = lambda n, *messages: (log / f"{n}.log").write_text("\n".join(messages) + "\n" * (n % 2))
+    put(1, frames.message("a", [1]) + frames.message("b", [2]), "~m~4~m~~h~1")
+    read = lambda: spark.readStream.format("finscan_frames").option("path", f"file://{log}").load()
+
+    def run():
+        live.run_to_table(frames.decode(read()), f"file://{tmp_path}/out", "append")
+        return sorted((r.seq, r.part, r.m) for r in spark.read.parquet(f"file://{tmp_path}/out/table").collect())
+
+    assert run() == [(0, 1, "a"), (0, 2, "b")]
+    put(2, frames.message("c", []), frames.message("é", []))
+    (log / "_hidden").write_text("x")
+    assert run() == [(0, 1, "a"), (0, 2, "b"), (1 << 32, 1, "c"), ((1 << 32) + 1, 1, "é")]
+    assert run() == sorted((r.seq, r.part, r.m) for r in frames.decode(spark.read.format("finscan_frames").option("path", f"file://{log}").load()).collect())
+
+
+def test_two_streams_meet(spark, tmp_path):
+    at = lambda m: datetime(2024, 1, 1, 0, m)
+    spark.createDataFrame([("A", at(5), 1, 1.0), ("A", at(30), 2, 2.0), ("B", at(5), 3, 3.0)], "symbol string, ts timestamp, seq long, price double").write.parquet(str(tmp_path / "t"))
+    spark.createDataFrame([("A", at(4), 9.0), ("A", at(2), 8.0), ("A", at(6), 7.0)], "symbol string, quoted_at timestamp, quote double").write.parquet(str(tmp_path / "q"))
+    stream = lambda name, schema: spark.readStream.schema(schema).parquet(str(tmp_path / name))
+    found = live.matched(stream("t", "symbol string, ts timestamp, seq long, price double"), stream("q", "symbol string, quoted_at timestamp, quote double"), "2 minutes")
+    live.run_to_table(found, f"file://{tmp_path}/out", "append")
+    assert [(r.symbol, r.seq, r.quote) for r in spark.read.parquet(f"file://{tmp_path}/out/table").collect()] == [("A", 1, 9.0)]
