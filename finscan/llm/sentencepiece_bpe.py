@@ -11,7 +11,9 @@ are cut where a marker follows another character; that is exact if no piece hold
 another character (checked on the pieces; otherwise the text is encoded in one go). Decoding joins
 the pieces' bytes, byte pieces among them, and reads them as UTF-8.
 
-``verify`` compares each text's ids with the SentencePiece library's own (column ``parity``).
+``verify`` compares each text's ids with the SentencePiece library's own, and the text that the byte
+table gives with the one that the pipeline's decoder gives (column ``parity``; pieces for unknown
+characters are told differently by the two, so texts that hold one are compared by ids alone).
 
 Defined results: a null text has null ids, tokens and decoded text; an empty text has no ids; a
 lone surrogate cannot occur in Spark's strings. Other columns are carried through; ``prefix`` keeps
@@ -141,6 +143,7 @@ class Codec:
         self.tokenizer.decoder = decoders.Sequence([decoders.Replace(MARK, " "), decoders.ByteFallback(), decoders.Fuse(), *tail])
         self.splittable = model.splittable
         surface = {UNKNOWN: model.unk_surface, CONTROL: b""}
+        self.special = frozenset(i for i, (_, _, t) in enumerate(model.pieces) if t in surface)
         self.bytes = [bytes([int(p[3:5], 16)]) if t == BYTE else surface.get(t, p.replace(MARK, " ").encode()) for p, _, t in model.pieces]
 
     def normalise(self, text: str) -> str:
@@ -169,6 +172,12 @@ class Codec:
         return [(b[1:] if skip and b[:1] == b" " else b).decode("utf-8", "replace") for b in joined]
 
 
+    def decoded_alike(self, ids: list[list[int]], texts: list[str]) -> list[bool]:
+        """Whether the pipeline's own decoder gives the same texts."""
+        own = self.tokenizer.decode_batch(ids, skip_special_tokens=False)
+        return [a == b or not self.special.isdisjoint(x) for a, b, x in zip(own, texts, ids, strict=True)]
+
+
 @lru_cache(maxsize=2)
 def _codec(data: bytes, threads: int) -> Codec:
     return Codec(Model(data), threads)
@@ -217,11 +226,13 @@ def encode(docs: DataFrame, model: str | bytes = MODEL, *, text_col: str = "text
                 found = codec.encode([t or "" for t in texts])
                 ids = [None if t is None else x for t, x in zip(texts, found, strict=True)]
                 out = [pa.array(ids, pa.list_(pa.int32())), pa.array([None if x is None else len(x) for x in ids], pa.int32())]
+                back = codec.decode(found) if decode or verify else []
                 if decode:
-                    out.append(pa.array([None if t is None else x for t, x in zip(texts, codec.decode(found), strict=True)], pa.string()))
+                    out.append(pa.array([None if t is None else x for t, x in zip(texts, back, strict=True)], pa.string()))
                 if verify:
                     own = _own(model).encode([t or "" for t in texts], num_threads=threads)
-                    out.append(pa.array([None if t is None else x == y for t, x, y in zip(texts, found, own, strict=True)], pa.bool_()))
+                    alike = codec.decoded_alike(found, back)
+                    out.append(pa.array([None if t is None else x == y and same for t, x, y, same in zip(texts, found, own, alike, strict=True)], pa.bool_()))
                 yield pa.RecordBatch.from_arrays([*part.columns, *out], schema.names)
 
     return docs.mapInArrow(run, schema)
