@@ -114,6 +114,7 @@ CARD = "title string, paragraph string, preview_image string, author string, com
 class _Card(HTMLParser):
     """An idea card: its parts are told by the beginning of their class names."""
 
+    # Beginnings of class names.
     TEXTS = {"title-": "title", "paragraph-": "paragraph", "card-author-": "author", "ellipsisContainer": "comments", "publication-date-": "shown"}
 
     def __init__(self):

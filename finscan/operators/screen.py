@@ -33,9 +33,11 @@ class Result:
     def total_count(self) -> int:
         return self.unlimited.count()
 
-    def envelope(self, *, empty_fails: bool = False) -> dict:
-        """Driver-side reply for small results."""
-        data = [r.asDict(True) for r in self.rows.collect()]
+    def envelope(self, *, empty_fails: bool = False, limit: int = 10_000) -> dict:
+        """Driver-side reply for small results; more than ``limit`` rows are refused."""
+        data = [r.asDict(True) for r in self.rows.limit(limit + 1).collect()]
+        if len(data) > limit:
+            raise ValueError(f"more than {limit} rows; use rows")
         if not data and empty_fails:
             return {"status": "failed", "error": "no data found"}
         return {"status": "success", "data": data, "total": len(data), "totalCount": self.total_count()}
