@@ -32,7 +32,7 @@ from finscan.llm.shared import partitions, table
 
 OTHERS = "*"
 BLOCK = 8
-BUCKET_ROWS = 20_000
+BUCKET_ROWS = 1000
 LONGEST_PERIOD = 10_000
 MOST_HOT = 4096
 # The production weights, in hundredths.
