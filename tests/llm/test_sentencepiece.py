@@ -76,3 +76,15 @@ def test_unigram_models(spark):
         assert codec.decode(codec.encode([t]))[0] == t
     with pytest.raises(ValueError):
         S.Model(field(1, field(1, b"x")) + field(2, field(3, 3)))
+
+
+def test_decoding_is_that_of_the_pipelines_decoder(spark):
+    """The byte table against the decoder that is built beside the encoder, and against the SentencePiece library."""
+    texts = [r.text or "" for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
+    texts += ["", " ", "  a", "é\U0001f600x", "a\tb\n\nc", "ﬁ", "\x00", "a" * 50_000]
+    with open(S.MODEL, "rb") as f:
+        data = f.read()
+    codec = S._codec(data, 2)
+    ids = codec.encode(texts)
+    back = codec.decode(ids)
+    assert all(codec.decoded_alike(ids, back)) and back == S._own(data).decode(ids)
