@@ -22,6 +22,7 @@ from finscan.operators import events_calendar, feeds
 from finscan.operators import indicators as I
 from finscan.operators.screen import ScanEngine
 from finscan.plans.spec import Filter
+from finscan.sources import export
 from finscan.sources import views as V
 from finscan.streaming import live
 
@@ -454,6 +455,9 @@ _LATEST = f"SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY symbol ORDE
 _recursive("ind_recommend", C.RATINGS, f"SELECT symbol, bar_start, {_quoted(C.RATINGS)} FROM ({_EVERYTHING})", I.all_indicators)
 _recursive("ind_latest_all", [n for n in C.INDICATORS if not n.startswith("Pivot.")], _LATEST, lambda b: I.latest(I.all_indicators(b)))
 
+_recursive("ind_registered", ["RSI"], 'SELECT symbol, bar_start, "RSI" FROM t', lambda b: I.request(b, "STD;RSI", "37.0"))
+_indicator("ind_registered_inputs", ["CCI9"], lambda b: I.request(b, "STD;CCI", n=9), _INNER["ind_cci20"].replace("CCI20", "CCI9").replace("19 PRECEDING", "8 PRECEDING").replace("= 20", "= 9"))
+
 # --- pivots, performance -----------------------------------------------------------------------
 MONTHS = (V.TRADES_SQL, _bars_sql("1M", "trades"), f'm AS (SELECT symbol, bar_start, {_lag_sql(chr(34) + "open" + chr(34), 1)} AS o, {_lag_sql("high", 1)} AS h, {_lag_sql("low", 1)} AS l, {_lag_sql(_C, 1)} AS c FROM b)')
 
@@ -618,6 +622,21 @@ _add(
 _add("minds_engagement", lambda spark, d: V.posts(spark, d).groupBy("symbol").agg(F.sum("total_likes").alias("likes"), F.sum("total_comments").alias("comments")), "SELECT symbol, CAST(sum(total_likes) AS BIGINT) AS likes, CAST(sum(total_comments) AS BIGINT) AS comments FROM posts GROUP BY symbol", V.POSTS_SQL)
 _add("indicator_search", lambda spark, d: feeds.search_indicators(V.read(spark, d, "part").select("p_partkey", F.col("p_name").alias("name"), F.col("p_brand").alias("author")), "BRAND#1"), "SELECT p_partkey, p_name AS name, p_brand AS author FROM part WHERE contains(lower(p_name), 'brand#1') OR contains(lower(p_brand), 'brand#1')")
 
+
+
+def _exported(spark: SparkSession, d: str, kind: str) -> DataFrame:
+    """Instruments, nested columns and all, through a sink and back."""
+    folder = f"{live.shared_folder(spark)}/finscan/export-{uuid.uuid4().hex}"
+    rows = V.instruments(spark, d).withColumns({"words": F.split("type", " "), "nothing": F.lit(None).cast("string")})
+    reader = spark.read.option("header", True)
+    back = reader.csv(export.export(rows, folder, "csv")) if kind == "csv" else spark.read.json(export.export(rows, folder))
+    words = F.from_json("words", "array<string>") if kind == "csv" else F.col("words")
+    return back.select("symbol", "name", F.col("close").cast("double").alias("close"), F.array_join(words, "|").alias("words"), F.col("nothing").cast("string").alias("nothing"))
+
+
+for _kind in ("json", "csv"):
+    _add(f"export_{_kind}", lambda spark, d, k=_kind: _exported(spark, d, k), "SELECT symbol, name, \"close\", replace(type, ' ', '|') AS words, CAST(NULL AS VARCHAR) AS nothing FROM instruments", V.INSTRUMENTS_SQL)
+
 # --- frames and quotes -------------------------------------------------------------------------
 
 
@@ -626,7 +645,9 @@ def _quote_messages(spark: SparkSession, d: str) -> DataFrame:
     e = V.read(spark, d, "events")
     field = F.when(F.col("event_id") % 3 == 0, "lp").when(F.col("event_id") % 3 == 1, "ch").otherwise("volume")
     body = F.concat(F.lit('{"m":"qsd","p":["qs_1",{"n":"'), "event_type", F.lit('","s":"ok","v":{"'), field, F.lit('":"'), F.col("event_id").cast("string"), F.lit('"}}]}'))
-    text = F.when(F.col("event_id") % 10 == 9, F.concat(F.lit("~m~4~m~~h~"), (F.col("event_id") % 10).cast("string"))).otherwise(frames.frame(body))
+    beat = F.concat(F.lit("~m~4~m~~h~"), (F.col("event_id") % 10).cast("string"))
+    # Heartbeats come alone, and with data before or behind them.
+    text = F.when(F.col("event_id") % 10 == 9, beat).when(F.col("event_id") % 10 == 8, F.concat(frames.frame(body), beat)).when(F.col("event_id") % 10 == 7, F.concat(beat, frames.frame(body))).otherwise(frames.frame(body))
     return e.select(F.col("event_id").alias("seq"), text.alias("message"))
 
 
@@ -666,7 +687,11 @@ def _chart_messages(spark: SparkSession, d: str) -> DataFrame:
     chart = frames.frame(F.concat(F.lit('{"m":"'), kind, F.lit('","p":["cs_1",{"sds_1":{"s":['), points, F.lit("]}}]}")))
     plots = F.array_join(F.transform(F.sequence(F.lit(0), F.lit(10)), lambda i: F.concat(F.lit('{"i":'), i.cast("string"), F.lit(',"v":['), number, F.lit(","), value, F.lit("]}"))), ",")
     study = frames.frame(F.concat(F.lit('{"m":"du","p":["cs_1",{"st9":{"st":['), plots, F.lit("]}}]}")))
-    return e.select(F.col("event_id").alias("seq"), F.concat(chart, F.when(F.col("event_id") % 5 == 0, study).otherwise(F.lit(""))).alias("message"))
+    # Too few points, and a study that nobody asked for.
+    short = frames.frame(F.lit('{"m":"du","p":["cs_1",{"st9":{"st":[{"i":0,"v":[1,2]}]}}]}'))
+    strange = F.regexp_replace(study, "st9", "st7")
+    more = F.when(F.col("event_id") % 5 == 0, study).when(F.col("event_id") % 5 == 1, short).when(F.col("event_id") % 5 == 2, strange).otherwise(F.lit(""))
+    return e.select(F.col("event_id").alias("seq"), F.concat(chart, more).alias("message"))
 
 
 _POINTS = """points AS (SELECT event_id AS seq, CASE WHEN event_id % 7 = 0 THEN 'timescale_update' ELSE 'du' END AS m, unnest(range(0, event_id % 4 + 1)) AS k, value, event_id FROM events)"""
@@ -694,7 +719,7 @@ _add(
     lambda spark, d: frames.bounded(frames.decode(_chart_messages(spark, d)), 4).groupBy("seq", "part", "m").agg(F.count("*").alias("n")),
     """SELECT seq, CAST(part AS INTEGER) AS part, m, 1 AS n FROM (SELECT *, min(CASE WHEN m = 'timescale_update' AND part = 1 AND seq % 4 = 3 THEN place END) OVER () AS cut FROM (
 SELECT *, row_number() OVER (ORDER BY seq, part) AS place FROM (
-SELECT event_id AS seq, unnest(CASE WHEN event_id % 5 = 0 THEN [1, 2] ELSE [1] END) AS part, CASE WHEN event_id % 7 = 0 THEN 'timescale_update' ELSE 'du' END AS m FROM events) ORDER BY place LIMIT 17)) WHERE cut IS NULL OR place <= cut""",
+SELECT event_id AS seq, unnest(CASE WHEN event_id % 5 < 3 THEN [1, 2] ELSE [1] END) AS part, CASE WHEN event_id % 7 = 0 THEN 'timescale_update' ELSE 'du' END AS m FROM events) ORDER BY place LIMIT 17)) WHERE cut IS NULL OR place <= cut""",
 )
 _SQL["frames_bounded"] = _SQL["frames_bounded"].replace("SELECT seq, CAST(part AS INTEGER) AS part, m, 1 AS n", "SELECT seq, CAST(part AS INTEGER) AS part, CASE WHEN part = 1 THEN m ELSE 'du' END AS m, 1 AS n")
 _add(

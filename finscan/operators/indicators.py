@@ -15,6 +15,7 @@ from operator import add
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from finscan.functions.fields import INDICATORS, TIMEFRAMES, checked, q, symbol_of, unsupported
 from finscan.operators.bars import bars as bars_of
@@ -128,7 +129,7 @@ def _recursive(pdf: pd.DataFrame) -> pd.DataFrame:
     place = pd.Series(range(1, len(pdf) + 1))
     ema = lambda s, n: s.ewm(span=n, adjust=False).mean()
     wilder = lambda s: s.ewm(alpha=1 / 14, adjust=False, ignore_na=True).mean()
-    out = pdf[["symbol", "bar_start"]].copy()
+    out = pdf.copy()
     for n in (10, 20, 30, 50, 100, 200):
         out[f"EMA{n}"] = ema(close, n)
     move = close.diff()
@@ -152,10 +153,16 @@ def _recursive(pdf: pd.DataFrame) -> pd.DataFrame:
     return out
 
 
+def with_exponential(bars: DataFrame) -> DataFrame:
+    """bars with all recursive indicators: one grouped map, whose result the windows go on with, so bars are made once."""
+    schema = T.StructType([*bars.schema.fields, *(T.StructField(n, T.DoubleType()) for n in EXPONENTIAL)])
+    return bars.groupBy("symbol").applyInPandas(_recursive, schema)
+
+
 def exponential(bars: DataFrame) -> DataFrame:
     """(symbol, bar_start) with all recursive indicators."""
-    schema = "symbol string, bar_start timestamp_ntz, " + ", ".join(f"`{n}` double" for n in EXPONENTIAL)
-    return bars.select("symbol", "bar_start", "high", "low", "close").groupBy("symbol").applyInPandas(_recursive, schema)
+    names = ["symbol", "bar_start"]
+    return with_exponential(bars.select(*names, "high", "low", "close")).select(*names, *map(q, EXPONENTIAL))
 
 
 def stochastic_rsi(recursive: DataFrame) -> DataFrame:
@@ -200,10 +207,9 @@ def mean_vote(votes: list[Column]) -> Column:
 
 def all_indicators(bars: DataFrame) -> DataFrame:
     """Every indicator of the catalogue but the monthly pivots, for every bar."""
-    rows = bars
-    for step in (averages, stochastic, cci, awesome, momentum, williams, ultimate, ichimoku, volume_weighted, hull):
+    rows = with_exponential(bars)
+    for step in (averages, stochastic, cci, awesome, momentum, williams, ultimate, ichimoku, volume_weighted, hull, stochastic_rsi):
         rows = step(rows)
-    rows = rows.join(stochastic_rsi(exponential(bars)), ["symbol", "bar_start"])
     return ratings(rows.withColumns({f"{n}[1]": lagged(n, 1) for n in ("RSI", "ADX+DI", "ADX-DI")}))
 
 
