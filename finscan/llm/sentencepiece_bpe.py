@@ -26,11 +26,11 @@ import hashlib
 import os
 import re
 import struct
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from functools import lru_cache
 
-import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import types as T
 
@@ -190,21 +190,23 @@ def _own(data: bytes):
     return sentencepiece.SentencePieceProcessor(model_proto=data)
 
 
-def _chunks(texts: list[str | None]) -> Iterator[tuple[int, int]]:
+def _chunks(sizes: list[int | None]) -> Iterator[tuple[int, int]]:
+    """First and last rows of chunks of about BATCH_CHARS."""
     start = size = 0
-    for i, t in enumerate(texts):
-        size += len(t or "")
+    for i, n in enumerate(sizes):
+        size += n or 0
         if size >= BATCH_CHARS:
             yield start, i + 1
             start, size = i + 1, 0
-    if start < len(texts):
-        yield start, len(texts)
+    if start < len(sizes):
+        yield start, len(sizes)
 
 
-def encode(docs: DataFrame, model: str | bytes = MODEL, *, text_col: str = "text", prefix: str = "", threads: int = THREADS, decode: bool = False, verify: bool = False) -> DataFrame:
+def encode(docs: DataFrame, model: str | bytes = MODEL, *, text_col: str = "text", prefix: str = "", threads: int = THREADS, decode: bool = False, verify: bool = False, then: Callable[[pa.RecordBatch], pa.RecordBatch] | None = None, then_schema: str | None = None) -> DataFrame:
     """docs with token_ids array<int> and n_tokens int; with decode also decoded string, with verify also parity boolean.
 
-    model is the model file's bytes, or its path on the driver.
+    model is the model file's bytes, or its path on the driver. then makes rows of then_schema of each
+    batch while it is at hand.
     """
     if isinstance(model, str):
         with open(model, "rb") as f:
@@ -220,7 +222,7 @@ def encode(docs: DataFrame, model: str | bytes = MODEL, *, text_col: str = "text
         codec = _codec(model, threads)
         for batch in batches:
             column = batch.column(at)
-            for a, b in _chunks(column.to_pylist()):
+            for a, b in _chunks(pc.utf8_length(column).to_pylist()):
                 part = batch.slice(a, b - a)
                 texts = part.column(at).to_pylist()
                 found = codec.encode([t or "" for t in texts])
@@ -233,9 +235,10 @@ def encode(docs: DataFrame, model: str | bytes = MODEL, *, text_col: str = "text
                     own = _own(model).encode([t or "" for t in texts], num_threads=threads)
                     alike = [a == b for a, b in zip(back, _own(model).decode(found, num_threads=threads), strict=True)]
                     out.append(pa.array([None if t is None else x == y and same for t, x, y, same in zip(texts, found, own, alike, strict=True)], pa.bool_()))
-                yield pa.RecordBatch.from_arrays([*part.columns, *out], schema.names)
+                done = pa.RecordBatch.from_arrays([*part.columns, *out], schema.names)
+                yield then(done) if then else done
 
-    return docs.mapInArrow(run, schema)
+    return docs.mapInArrow(run, then_schema if then else schema)
 
 
 def decode(tokens: DataFrame, model: str | bytes = MODEL, *, ids_col: str = "token_ids", to: str = "decoded", threads: int = THREADS) -> DataFrame:
@@ -259,19 +262,15 @@ def decode(tokens: DataFrame, model: str | bytes = MODEL, *, ids_col: str = "tok
 DIGEST = "doc_id long, n_bytes long, n_tokens int, ids_sha256 string, round_trip boolean, parity boolean"
 
 
-def _digests(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        ids, texts, back = b.column("token_ids"), b.column("text").to_pylist(), b.column("decoded").to_pylist()
-        out = []
-        for i in range(b.num_rows):
-            raw = None if texts[i] is None else np.asarray(ids[i].values.to_numpy() if len(ids[i]) else [], "<u4").tobytes()
-            out.append(None if raw is None else hashlib.sha256(raw).hexdigest())
-        same = [None if t is None else t == d for t, d in zip(texts, back, strict=True)]
-        sizes = [len((t or "").encode()) for t in texts]
-        yield pa.RecordBatch.from_arrays([b.column("doc_id"), pa.array(sizes, pa.int64()), b.column("n_tokens"), pa.array(out, pa.string()), pa.array(same, pa.bool_()), b.column("parity")], [x.split()[0] for x in DIGEST.split(", ")])
+def _digest(b: pa.RecordBatch) -> pa.RecordBatch:
+    ids, text = b.column("token_ids"), b.column("text")
+    flat, ends = ids.flatten().to_numpy().astype("<u4"), ids.offsets.to_numpy() - ids.offsets[0].as_py()
+    sha = [hashlib.sha256(flat[x:y].tobytes()).hexdigest() if ok else None for x, y, ok in zip(ends, ends[1:], ids.is_valid().to_pylist(), strict=False)]
+    sizes = pc.fill_null(pc.binary_length(text.cast(pa.binary())), 0).cast(pa.int64())
+    return pa.RecordBatch.from_arrays([b.column("doc_id"), sizes, b.column("n_tokens"), pa.array(sha, pa.string()), pc.equal(text, b.column("decoded")), b.column("parity")], [x.split()[0] for x in DIGEST.split(", ")])
 
 
 def op3_sentencepiece(spark, sf_dir: str) -> DataFrame:
     """Every whole text encoded and decoded: number and digest of its ids, exact round trip, parity."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
-    return encode(docs, decode=True, verify=True).mapInArrow(_digests, DIGEST)
+    return encode(docs, decode=True, verify=True, then=_digest, then_schema=DIGEST)
