@@ -8,9 +8,10 @@ white space parts where there are none; a text of fewer words is one gram). Docu
    one path form a bucket. Small buckets are compared by brute force, on sizes and on 64-byte
    sketches, with margins that let a pair of the wanted similarity slip once in ten million. Larger
    ones are split by another step, whose paths hang on the one before, and so on: a bucket is split
-   if that at least halves the pairs to compare, else (its sets are near copies of each other) it is
-   compared block against block in tasks of bounded size, so nothing is capped. (A sample of a bucket
-   tells near copies at once; it steers the work, not the result.) Buckets with more
+   if that at least halves the pairs to compare. Else its sets are near copies of each other. (A
+   sample of a bucket tells so at once; it steers the work, not the result.) Then all are compared
+   with one of them, and only sets that are not in one component yet with each other, block against
+   block in tasks of bounded size, so nothing is capped. Buckets with more
    than a 4,096th of all rows are named beforehand, and never meet in one task.
    The number of runs follows from the target recall: q, the chance that a run misses a pair at the
    threshold however often its buckets are split, is the root of q = exp(-branch (1 - q)).
@@ -49,7 +50,7 @@ THRESHOLD = 0.8
 RECALL = 0.9999
 BRANCH = 2.0
 SMALL = 512
-SKETCH_BLOCK = 4096
+SIDE = 512
 EXACT_BLOCK = 1024
 #: A cluster of more sets than so many blocks may be verified in buckets; rows of a bucket that is dealt apart; steps of a path.
 LARGE_BLOCKS = 8
@@ -176,10 +177,13 @@ def _alike_strip(a: np.ndarray, na: np.ndarray, b: np.ndarray, nb: np.ndarray, t
         zx, zy = a[:, j] == 0, b[:, j] == 0
         if zx.any() and zy.any():
             empty += zx[:, None] & zy[None, :]
-    seen = BINS - empty.astype(np.float32)
+    return _enough(equal - empty.astype(np.int16), BINS - empty.astype(np.float32), na[:, None], nb[None, :], threshold)
+
+
+def _enough(equal: np.ndarray, seen: np.ndarray, na: np.ndarray, nb: np.ndarray, threshold: float) -> np.ndarray:
+    """Whether so many equal ones of the seen bins, and the sizes, leave the threshold possible."""
     least = (threshold - 5.2 * math.sqrt(threshold * (1 - threshold)) / np.sqrt(np.maximum(seen, 1))) * seen
-    size = np.minimum(na[:, None], nb[None, :]) >= threshold * np.maximum(na[:, None], nb[None, :]) - 1e-9
-    return ((equal - empty.astype(np.int16)) >= least) & size
+    return (equal >= least) & (np.minimum(na, nb) >= threshold * np.maximum(na, nb) - 1e-9)
 
 
 def _forest(linked: np.ndarray) -> np.ndarray:
@@ -302,16 +306,42 @@ def _blocked(rows: DataFrame, key: str, size: int) -> DataFrame:
 
 
 def _compare(threshold: float):
-    """Edges between the sets of each pair of blocks, by sizes and sketches."""
+    """Edges between the sets of each small bucket, by sizes and sketches."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for g in _groups(batches, ["key", "i", "j"]):
+        for g in _groups(batches, ["key"]):
             nodes, n, s = g.column("node").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch"))
-            linked = _alike(s, n, s, n, threshold)
-            if len(nodes) > 1 and g.column("i")[0].as_py() != g.column("j")[0].as_py():
-                block = g.column("block").to_numpy()
-                linked &= block[:, None] != block[None, :]
-            a, b = _tree(nodes, linked)
+            a, b = _tree(nodes, _alike(s, n, s, n, threshold))
+            if len(a):
+                yield _found(a, b)
+
+    return run
+
+
+def _stars(threshold: float):
+    """Edges between sets and the one that their bucket has chosen."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            if not b.num_rows:
+                continue
+            n, m = b.column("n").to_numpy(), b.column("star_n").to_numpy()
+            x, y = _matrix(b.column("sketch")), _matrix(b.column("star_sketch"))
+            empty = ((x == 0) & (y == 0)).sum(1)
+            linked = _enough((x == y).sum(1) - empty, BINS - empty, n, m, threshold)
+            nodes, stars = b.column("node").to_numpy()[linked], b.column("star").to_numpy()[linked]
+            yield _found(nodes[nodes != stars], stars[nodes != stars])
+
+    return run
+
+
+def _across(threshold: float):
+    """Edges between the few sets outside a bucket's main component (side 1) and a block of all of it (side 0)."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for g in _groups(batches, ["key", "i", "j"]):
+            nodes, n, s, side = g.column("node").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch")), g.column("side").to_numpy()
+            a, b = _tree(nodes, _alike(s, n, s, n, threshold) & ((side[:, None] + side[None, :]) > 0))
             if len(a):
                 yield _found(a, b)
 
@@ -391,8 +421,8 @@ def _some(df: DataFrame) -> bool:
     return df.limit(1).count() > 0
 
 
-def _edges(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: int, threshold: float, branch: float, small: int) -> DataFrame:
-    """Pairs (a, b) of nodes that connect the sets met on common paths."""
+def _clusters(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: int, threshold: float, branch: float, small: int) -> DataFrame:
+    """(node, cluster): the components of the pairs that look alike, of the sets met on common paths."""
     parts = partitions(sets.sparkSession)
     sizes = sets.select(F.explode("keys").alias("key")).groupBy("key").agg(F.count("*").alias("m")).where(F.col("m") > HOT_ROWS)
     total = sets.agg(F.sum(F.size("keys"))).first()[0] or 0
@@ -429,11 +459,37 @@ def _edges(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: int,
         whole = settled(whole.unionAll(kept.where(F.col("m") <= small)), "whole")
         compare = whole if compare is None else compare.unionAll(whole)
         open_ = kept.where(F.col("m") > small).drop("m")
-    if compare is not None:
-        dealt = _blocked(compare, "key", SKETCH_BLOCK).select("key", "i", "j", "block", "node", "n", "sketch")
-        dealt = dealt.repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-        edges = edges.unionAll(dealt.mapInArrow(_compare(threshold), FOUND).select("a", "b"))
-    return edges
+    if compare is None:
+        return _named(components(edges))
+    few = compare.where(F.col("m") <= small).select("key", "node", "n", "sketch")
+    edges = edges.unionAll(few.repartition(parts, "key").sortWithinPartitions("key").mapInArrow(_compare(threshold), FOUND).select("a", "b"))
+    many = compare.where(F.col("m") > small)
+    if not _some(many):
+        return _named(components(edges))
+    star = F.min_by(F.struct("node", "n", "sketch"), F.struct(F.xxhash64("node"), "node")).alias("star")
+    star = settled(many.groupBy("key").agg(star).select("key", F.col("star.node").alias("star"), F.col("star.n").alias("star_n"), F.col("star.sketch").alias("star_sketch")), "stars")
+    edges = edges.unionAll(many.join(star, "key").mapInArrow(_stars(threshold), FOUND).select("a", "b"))
+    labels = components(edges)
+    named = settled(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
+    main = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"))
+    main = settled(main.select("key", F.col("main.label").alias("main"), F.col("main.c").alias("c")), "main")
+    rest = settled(main.join(many.groupBy("key").agg(F.max("m").alias("m")), "key").where("c < m").select("key", "main", (F.col("m") - F.col("c")).alias("others"), "m"), "split-buckets")
+    if not _some(rest):
+        return _named(labels)
+    rows = named.drop("m").join(rest, "key")
+    block = lambda of: F.ceil(F.col(of) / SIDE).cast("int")
+    place = lambda of: F.pmod(F.xxhash64("node"), block(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), block(of) - 1))
+    names = ["key", "i", "j", "side", "node", "n", "sketch"]
+    all_ = rows.withColumns({"side": F.lit(0), "j": place("m")}).select("*", every("others").alias("i")).select(*names)
+    others = rows.where("label <> main").withColumns({"side": F.lit(1), "i": place("others")}).select("*", every("m").alias("j")).select(*names)
+    dealt = all_.unionAll(others).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
+    more = dealt.mapInArrow(_across(threshold), FOUND).select("a", "b")
+    return _named(components(more.unionAll(labels.where("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")))))
+
+
+def _named(labels: DataFrame) -> DataFrame:
+    return labels.select("node", F.col("label").alias("cluster"))
 
 
 def _tokens(words: int, runs: range | None = None, threshold: float = THRESHOLD, branch: float = BRANCH):
@@ -574,8 +630,7 @@ def join(
     # One row stands for each set: the first any task meets, without a shuffle of sketches for copies.
     sets = settled(base.where("sig is not null and id is not null").groupBy("node").agg(F.any_value("n").alias("n"), F.any_value("sketch").alias("sketch"), F.any_value("keys").alias("keys")), "sets")
     rows = _once(rows, base)
-    edges = _edges(sets, classes, rows, words=words, threshold=threshold, branch=branch, small=small)
-    clusters = components(edges).select("node", F.col("label").alias("cluster"))
+    clusters = _clusters(sets, classes, rows, words=words, threshold=threshold, branch=branch, small=small)
     members = settled(classes.join(clusters, "node").select("node", "cluster", "size", "id", "text_hash"), "members")
     verified = _verified(members, rows, words=words, threshold=threshold, branch=branch, runs=runs)
     links = verified.groupBy("node").agg(F.sum("links").alias("links"))

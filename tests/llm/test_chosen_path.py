@@ -64,7 +64,6 @@ def test_equals_brute_force(spark, options, monkeypatch):
 
 def test_large_groups_are_compared_block_by_block(spark, monkeypatch):
     monkeypatch.setattr(J, "EXACT_BLOCK", 16)
-    monkeypatch.setattr(J, "SKETCH_BLOCK", 16)
     rng = random.Random(4)
     base = [f"w{rng.randrange(500)}" for _ in range(150)]
     rows = [(i, " ".join(edited(rng, base, 0.015))) for i in range(120)]
@@ -136,7 +135,6 @@ def test_hot_buckets_and_many_steps(spark, monkeypatch):
     """Buckets dealt apart from the first step on, and split until near copies alone are left."""
     monkeypatch.setattr(J, "HOT_ROWS", 8)
     monkeypatch.setattr(J, "MOST_HOT", 10**9)
-    monkeypatch.setattr(J, "SKETCH_BLOCK", 16)
     rows = corpus(2)
     assert run(spark, rows, small=3) == brute(rows)
 
@@ -176,3 +174,17 @@ def test_recall_on_a_whole_table(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     got = {r.doc_id: (r.class_id, r.n_links) for r in J.op9_chosen_path_join(spark, "/root/testdata/sf0.001").collect()}
     assert got == brute(rows)
+
+
+def test_components_within_a_dense_bucket(spark, monkeypatch):
+    """Chains of near copies that one set alone does not reach: what is outside its component is compared with all."""
+    rng = random.Random(13)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(200)]
+    rows = []
+    for i in range(150):
+        k = i % 3 * 11
+        words = [f"x{k}{j}" for j in range(k)] + base[k:]
+        rows.append((i, " ".join(edited(rng, words, 0.004))))
+    monkeypatch.setattr(J, "DENSE", 0.05)
+    got = run(spark, rows, small=20)
+    assert got == brute(rows)
