@@ -8,9 +8,8 @@ The classifier (idf, centroids, limits) is fitted on at most ``sample`` labelled
 over the languages and drawn by a hash of id and text; equal rows count as one. A text is ``rejected`` if its cosine is below its
 language's limit for its number of letters. A limit is ``margin`` times a low quantile of the
 cosines that the language's own sample texts of about that length have; the smallest ones are left
-out, so a few wrongly labelled rows do not lower it, and centroids that hold only such rows do not
-count for it, and
-no limit is above the middle one of its language. Where the sample has too few texts so short, the limit of the
+out, so a few wrongly labelled rows do not lower it, and clusters of only such rows are left out; no
+limit is above the middle one of its language. Where the sample has too few texts so short, the limit of the
 next longer ones is scaled by the root of the length, as the cosine of a part of a text is. So texts of any length can be rejected.
 
 Prediction sees whole texts and nothing else, row by row, without a shuffle; a long text is counted
@@ -45,8 +44,10 @@ MARGIN = 0.75
 #: Texts of about one length that a limit needs; limits are kept for the powers of 2 up to 2 ** LENGTHS letters.
 LEAST_TEXTS = 20
 LENGTHS = 24
-#: Centroids with a smaller share of their language's sample name languages, but do not keep a text from being rejected.
+#: Clusters with a smaller share of their language's sample are left out: a few odd rows name no language.
 LEAST_SHARE = 0.01
+#: The share of a language's sample, farthest from its mean, that no centroid starts from: odd rows make no clusters of their own.
+OUTER = 0.05
 PIECE = 1 << 18
 ROWS = 256
 UNDETERMINED = "und"
@@ -122,8 +123,6 @@ class Model:
     idf: np.ndarray
     centroids: np.ndarray
     owner: np.ndarray
-    #: centroids that hold enough of their language's sample
-    firm: np.ndarray
     #: of each language, for texts of 1, 2, 4, ... letters
     limits: np.ndarray
 
@@ -137,21 +136,22 @@ class Model:
         v /= np.where(norm > 0, norm, 1)
         return v
 
-    def cosines(self, vectors: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """The best cosine of each unit vector with each language's centroids, and with its firm ones."""
+    def cosines(self, vectors: np.ndarray) -> np.ndarray:
+        """The best cosine of each unit vector with each language's centroids."""
         if not self.languages:
-            return np.zeros((len(vectors), 0)), np.zeros((len(vectors), 0))
+            return np.zeros((len(vectors), 0))
         c = vectors @ self.centroids.T
-        own = [self.owner == j for j in range(len(self.languages))]
-        return np.stack([c[:, x].max(1) for x in own], 1), np.stack([c[:, x & self.firm].max(1) for x in own], 1)
+        return np.stack([c[:, self.owner == j].max(1) for j in range(len(self.languages))], 1)
 
 
 def _kmeans(v: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
-    """Unit centroids of unit vectors; starts from vectors far from each other."""
+    """Unit centroids of unit vectors; starts from vectors far from each other, but not from those farthest from all."""
     mean = v.mean(0)
-    picked = [int((v @ mean).argmax())]
-    near = v @ v[picked[0]]
-    while len(picked) < min(k, len(v)):
+    central = v @ mean
+    inner = central >= np.quantile(central, OUTER) if len(v) >= LEAST_TEXTS else np.ones(len(v), bool)
+    picked = [int(central.argmax())]
+    near = np.where(inner, v @ v[picked[0]], np.inf)
+    while len(picked) < min(k, int(inner.sum())):
         far = int(near.argmin())
         if near[far] >= 1 - 1e-9:
             break
@@ -199,20 +199,19 @@ def fit_arrays(labels: list[str], tallies: np.ndarray, letters: np.ndarray, *, c
     languages = tuple(sorted(set(labels)))
     idf = np.log((1 + len(labels)) / (1 + np.count_nonzero(tallies, axis=0))) + 1 if len(labels) else np.ones(size)
     idf = idf.astype(np.float32)
-    model = Model(languages, idf, np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros(0, bool), np.zeros((0, LENGTHS + 1)))
+    model = Model(languages, idf, np.zeros((0, size), np.float32), np.zeros(0, np.int64), np.zeros((0, LENGTHS + 1)))
     if not languages:
         return model
     v, own = model.vectors(tallies), np.array([languages.index(x) for x in labels])
     parts = [_kmeans(v[own == j], centroids) for j in range(len(languages))]
-    owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
-    firm = []
     for j, part in enumerate(parts):
         held = np.bincount((v[own == j] @ part.T).argmax(1), minlength=len(part))
-        firm.append((held >= LEAST_SHARE * held.sum()) | (held == held.max()))
-    model = Model(languages, idf, np.concatenate(parts), owner, np.concatenate(firm), np.zeros((len(languages), LENGTHS + 1)))
-    near = model.cosines(v)[1]
+        parts[j] = part[(held >= LEAST_SHARE * held.sum()) | (held == held.max())]
+    owner = np.repeat(np.arange(len(languages)), [len(p) for p in parts])
+    model = Model(languages, idf, np.concatenate(parts), owner, np.zeros((len(languages), LENGTHS + 1)))
+    near = model.cosines(v)
     limits = [_limits(near[own == j, j], letters[own == j], margin) for j in range(len(languages))]
-    return Model(languages, idf, model.centroids, owner, model.firm, np.array(limits))
+    return Model(languages, idf, model.centroids, owner, np.array(limits))
 
 
 def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col: str = "text", lang_col: str = "lang", sample: int = SAMPLE, dimensions: int = DIMENSIONS, **options) -> Model:
@@ -249,8 +248,7 @@ def fit(docs: DataFrame, training: Column, *, id_col: str = "doc_id", text_col:
 def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[float], list[bool]]:
     names, scores, rejected = [], [], []
     for _, tally, letters in counts(texts, len(model.idf)):
-        best, near = model.cosines(model.vectors(tally))
-        for row, firm, n in zip(best, near, letters, strict=True):
+        for row, n in zip(model.cosines(model.vectors(tally)), letters, strict=True):
             if n == 0 or not len(row):
                 names.append(UNDETERMINED)
                 scores.append(0.0)
@@ -260,7 +258,7 @@ def predict(texts: list[str | None], model: Model) -> tuple[list[str], list[floa
             score = float(min(1.0, max(0.0, row[j])))
             names.append(model.languages[j])
             scores.append(score)
-            rejected.append(bool(score <= 0 or firm[j] < model.limit(j, n)))
+            rejected.append(bool(score <= 0 or row[j] < model.limit(j, n)))
     return names, scores, rejected
 
 
