@@ -468,8 +468,11 @@ def _clusters(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: in
         return _named(components(edges))
     star = F.min_by(F.struct("node", "n", "sketch"), F.struct(F.xxhash64("node"), "node")).alias("star")
     star = settled(many.groupBy("key").agg(star).select("key", F.col("star.node").alias("star"), F.col("star.n").alias("star_n"), F.col("star.sketch").alias("star_sketch")), "stars")
-    edges = edges.unionAll(many.join(star, "key").mapInArrow(_stars(threshold), FOUND).select("a", "b"))
-    labels = components(edges)
+    near = many.join(star, "key").mapInArrow(_stars(threshold), FOUND).select("a", "b")
+    # A set is tied to the smallest of its stars (one for each bucket at most), and those to each other: few pairs say the same.
+    near = settled(near.groupBy("a").agg(F.collect_set("b").alias("stars")).select("a", "stars", F.array_min("stars").alias("b")), "star-pairs")
+    tied = near.select(F.explode("stars").alias("a"), "b").where("a <> b").distinct()
+    labels = components(edges.unionAll(near.select("a", "b")).unionAll(tied))
     named = settled(many.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")), "named")
     main = named.groupBy("key", "label").agg(F.count("*").alias("c")).groupBy("key").agg(F.max(F.struct("c", "label")).alias("main"))
     main = settled(main.select("key", F.col("main.label").alias("main"), F.col("main.c").alias("c")), "main")
