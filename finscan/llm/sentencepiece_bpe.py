@@ -40,7 +40,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 THREADS = 2
 PART_CHARS = 1 << 16
-BATCH_CHARS = 1 << 20
+BATCH_CHARS = 1 << 18
 CUT = re.compile(rf"[^{MARK}](?={MARK})")
 # Fixed values of the model's protobuf.
 NORMAL, UNKNOWN, CONTROL, USER_DEFINED, UNUSED, BYTE = 1, 2, 3, 4, 5, 6
