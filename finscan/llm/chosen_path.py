@@ -22,7 +22,8 @@ white space parts where there are none; a text of fewer words is one gram). Docu
    together by chains, so that paths (of other runs) leave less than half the pairs of all blocks to
    compare, is verified in the buckets of those paths; a pair counts in the first bucket it shares.
 
-Components are found with joins and minima in rounds, each written to the shared folder. Sets are
+Components are found with joins and minima in rounds, each written to the shared folder and followed
+by the edges between what is left only. Sets are
 told apart by 128-bit hashes; they travel under 64-bit numbers, and a number that two sets share is
 given up by all but one.
 
@@ -199,10 +200,18 @@ def _forest(linked: np.ndarray) -> np.ndarray:
         label = new
 
 
-def _tree(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def _roots(nodes: np.ndarray, linked: np.ndarray) -> np.ndarray:
+    """The smallest node of each row's component: buckets that share sets name the same ones, in whatever order their rows come."""
     label = _forest(linked)
-    own = label != np.arange(len(label))
-    return nodes[own], nodes[label[own]]
+    least = np.full(len(nodes), np.iinfo(np.int64).max)
+    np.minimum.at(least, label, nodes)
+    return least[label]
+
+
+def _tree(nodes: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    roots = _roots(nodes, linked)
+    own = roots != nodes
+    return nodes[own], roots[own]
 
 
 FOUND = "a long, b long, n int, sketch binary"
@@ -336,30 +345,45 @@ def _stars(threshold: float):
 
 
 def _across(threshold: float):
-    """Edges between the few sets outside a bucket's main component (side 1) and a block of all of it (side 0)."""
+    """Edges between the labels of the few sets outside a bucket's main component (side 1) and of a block of all of it (side 0)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for g in _groups(batches, ["key", "i", "j"]):
             nodes, n, s, side = g.column("node").to_numpy(), g.column("n").to_numpy(), _matrix(g.column("sketch")), g.column("side").to_numpy()
-            a, b = _tree(nodes, _alike(s, n, s, n, threshold) & ((side[:, None] + side[None, :]) > 0))
-            if len(a):
-                yield _found(a, b)
+            label = _forest(_alike(s, n, s, n, threshold) & ((side[:, None] + side[None, :]) > 0))
+            known = g.column("label").to_numpy()
+            new = known != known[label]
+            if new.any():
+                yield _found(*np.unique(np.stack([known[new], known[label][new]]), axis=1))
 
     return run
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """(node, label): the smallest node of each node's component, for edges (a, b)."""
-    both = settled(edges.select("a", "b").unionAll(edges.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "edges")
-    labels = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
-    while True:
-        near = both.join(labels.select(F.col("node").alias("b"), "label"), "b").groupBy(F.col("a").alias("node")).agg(F.min("label").alias("m"))
-        new = labels.join(near, "node").select("node", F.col("label").alias("was"), F.least("label", "m").alias("label"))
-        jump = labels.select(F.col("node").alias("label"), F.col("label").alias("to"))
-        new = settled(new.join(jump, "label", "left").select("node", "was", F.least("label", F.coalesce("to", "label")).alias("label")), "labels")
-        if new.where("label < was").limit(1).count() == 0:
-            return new.select("node", "label")
-        labels = new.select("node", "label")
+    """(node, label): the smallest node of each node's component, for edges (a, b).
+
+    In each round nodes give way to a smaller one near them, and only the edges between those that
+    are left go on, so the rounds' edges get fewer.
+    """
+    across = lambda of, a, b: settled(of.select(F.least(a, b).alias("a"), F.greatest(a, b).alias("b")).where("a <> b").distinct(), "edges")
+    left, rounds = across(edges, "a", "b"), []
+    while not rounds or _some(left):
+        both = left.unionAll(left.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        near = settled(both.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m")).select("node", F.least("node", "m").alias("label")), "labels")
+        jump = near.select(F.col("node").alias("label"), F.col("label").alias("to"))
+        rounds.append(settled(near.join(jump, "label").select("node", F.col("to").alias("label")), "labels"))
+        to = lambda c: rounds[-1].select(F.col("node").alias(c), F.col("label").alias(f"{c}_label"))  # noqa: E731, B023
+        left = across(left.join(to("a"), "a").join(to("b"), "b"), "a_label", "b_label")
+    found = rounds.pop()
+    for labels in reversed(rounds):
+        found = _relabelled(labels, found)
+    return settled(found, "labels")
+
+
+def _relabelled(labels: DataFrame, found: DataFrame) -> DataFrame:
+    """labels (node, label) whose labels are replaced by those that found (node, label) has for them."""
+    to = found.select(F.col("node").alias("label"), F.col("label").alias("to"))
+    return labels.join(to, "label", "left").select("node", F.coalesce("to", "label").alias("label"))
 
 
 def _texts(rows: DataFrame, chosen: DataFrame) -> DataFrame:
@@ -483,12 +507,13 @@ def _clusters(sets: DataFrame, classes: DataFrame, rows: DataFrame, *, words: in
     block = lambda of: F.ceil(F.col(of) / SIDE).cast("int")
     place = lambda of: F.pmod(F.xxhash64("node"), block(of)).cast("int")
     every = lambda of: F.explode(F.sequence(F.lit(0), block(of) - 1))
-    names = ["key", "i", "j", "side", "node", "n", "sketch"]
+    names = ["key", "i", "j", "side", "node", "n", "sketch", "label"]
     all_ = rows.withColumns({"side": F.lit(0), "j": place("m")}).select("*", every("others").alias("i")).select(*names)
     others = rows.where("label <> main").withColumns({"side": F.lit(1), "i": place("others")}).select("*", every("m").alias("j")).select(*names)
     dealt = all_.unionAll(others).repartition(parts, "key", "i", "j").sortWithinPartitions("key", "i", "j")
-    more = dealt.mapInArrow(_across(threshold), FOUND).select("a", "b")
-    return _named(components(more.unionAll(labels.where("label <> node").select(F.col("node").alias("a"), F.col("label").alias("b")))))
+    # Sets without a label so far are their own.
+    more = components(dealt.mapInArrow(_across(threshold), FOUND).select("a", "b"))
+    return _named(_relabelled(labels.unionAll(more.select("node", F.col("node").alias("label"))).distinct(), more))
 
 
 def _named(labels: DataFrame) -> DataFrame:
@@ -557,12 +582,12 @@ def _verifier(threshold: float):
             if g.column("i")[0].as_py() != g.column("j")[0].as_py():
                 block = g.column("block").to_numpy()
                 linked &= block[:, None] != block[None, :]
-            label = _forest(linked)
+            label = _roots(nodes, linked)
             keys = g.column("keys").to_pylist()
             if keys[0] is not None:
                 linked &= ~_earlier(keys, g.column("part")[0].as_py())
             links = linked @ weight
-            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(nodes[label]), pa.array(np.full(len(nodes), blocks), pa.int32())], ["node", "links", "label", "blocks"])
+            yield pa.RecordBatch.from_arrays([pa.array(nodes), pa.array(links.astype(np.int64)), pa.array(label), pa.array(np.full(len(nodes), blocks), pa.int32())], ["node", "links", "label", "blocks"])
 
     return run
 

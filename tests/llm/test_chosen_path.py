@@ -188,3 +188,38 @@ def test_components_within_a_dense_bucket(spark, monkeypatch):
     monkeypatch.setattr(J, "DENSE", 0.05)
     got = run(spark, rows, small=20)
     assert got == brute(rows)
+
+
+def test_edges_of_overlapping_buckets_do_not_add_up():
+    """Buckets of one group of near copies tie its sets to the same one, in whatever order rows come: one edge a set, not one a set and bucket."""
+    nodes, rng = np.random.default_rng(1).integers(-(2**62), 2**62, 200), np.random.default_rng(2)
+    found = set()
+    for _ in range(30):
+        order = rng.permutation(len(nodes))
+        a, b = J._tree(nodes[order], np.ones((len(nodes), len(nodes)), bool))
+        found |= set(zip(a.tolist(), b.tolist(), strict=True))
+    assert found == {(x, nodes.min()) for x in nodes.tolist() if x != nodes.min()}
+
+
+def test_rounds_of_components_keep_only_open_edges(spark, monkeypatch):
+    """Components equal those of plain code; an edge whose ends have met is not read again."""
+    rng = random.Random(7)
+    chain = [(i, i + 1) for i in range(1000, 1040)]
+    star = [(5000, i) for i in range(2000, 2100)]
+    edges = [*chain, *star, *((rng.randrange(300), rng.randrange(300)) for _ in range(250)), (9, 9)]
+    parent = {x: x for e in edges for x in e}
+
+    def root(x):
+        while parent[x] != x:
+            x = parent[x]
+        return x
+
+    for a, b in edges:
+        p, q = sorted((root(a), root(b)))
+        parent[q] = p
+    counts, settled = [], J.settled
+    monkeypatch.setattr(J, "settled", lambda df, what: (out := settled(df, what), what == "edges" and counts.append(out.count()))[0])
+    got = {r.node: r.label for r in J.components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    alone = {x for x in parent if all(a == b for a, b in edges if x in (a, b))}
+    assert got == {x: root(x) for x in parent if x not in alone}
+    assert counts[0] <= len(edges) and counts[-1] == 0 and all(y < x for x, y in zip(counts, counts[1:], strict=False))
