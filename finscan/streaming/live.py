@@ -6,7 +6,7 @@ import tempfile
 from collections.abc import Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from finscan.functions.fields import WIDTHS, checked
@@ -41,13 +41,29 @@ def sliding(ticks: DataFrame, width: str = "1 hour", step: str = "15 minutes", l
     return found.select("symbol", F.col("window.start").alias("start"), "high", "low", "volume")
 
 
+#: Buckets that a span of time is cut into.
+SLICES = 4
+
+
+def _wall_seconds(at: Column) -> Column:
+    """Seconds of a time without zone, as the clock shows it."""
+    return F.unix_date(F.to_date(at)) * 86400 + F.hour(at) * 3600 + F.minute(at) * 60 + F.second(at)
+
+
 def matched(trades: DataFrame, quotes: DataFrame, within: str = "1 minute", late: str = "10 minutes") -> DataFrame:
     """Each trade with the quotes (symbol, quoted_at, quote) of its symbol in the time before it, ``within`` at most.
 
-    Two streams, or two tables: the bound on time lets old rows leave the state.
+    Two streams, or two tables: the bound on time lets old rows leave the state. A trade goes to all
+    buckets of time that its quotes can lie in, a quote to its own, so few pairs are met in vain and
+    a symbol's rows are dealt to many tasks.
     """
-    left, right = trades.withWatermark("ts", late).alias("t"), quotes.withWatermark("quoted_at", late).alias("q")
-    on = F.expr(f"t.symbol = q.symbol AND q.quoted_at <= t.ts AND q.quoted_at >= t.ts - interval {within}")
+    wall = {dict(trades.dtypes)["ts"], dict(quotes.dtypes)["quoted_at"]} == {"timestamp_ntz"}
+    width = f"greatest(1, (unix_seconds(timestamp_seconds(0) + interval {within}) - unix_seconds(timestamp_seconds(0))) div {SLICES})"
+    bucket = lambda at: F.floor((_wall_seconds(at) if wall else F.unix_seconds(at.cast("timestamp"))) / F.expr(width))
+    first, last = bucket(F.col("ts") - F.expr(f"interval {within}")), bucket(F.col("ts"))
+    dealt = trades.withColumn("__bucket", F.explode(F.sequence(first, F.greatest(first, last))))
+    left, right = dealt.withWatermark("ts", late).alias("t"), quotes.withColumn("__bucket", bucket(F.col("quoted_at"))).withWatermark("quoted_at", late).alias("q")
+    on = F.expr(f"t.symbol = q.symbol AND t.__bucket = q.__bucket AND q.quoted_at <= t.ts AND q.quoted_at >= t.ts - interval {within}")
     return left.join(right, on).select("t.symbol", "t.ts", "t.seq", "t.price", "q.quoted_at", "q.quote")
 
 

@@ -213,3 +213,19 @@ def test_two_streams_meet(spark, tmp_path):
     found = live.matched(stream("t", "symbol string, ts timestamp, seq long, price double"), stream("q", "symbol string, quoted_at timestamp, quote double"), "2 minutes")
     live.run_to_table(found, f"file://{tmp_path}/out", "append")
     assert [(r.symbol, r.seq, r.quote) for r in spark.read.parquet(f"file://{tmp_path}/out/table").collect()] == [("A", 1, 9.0)]
+
+
+def test_matched_rows_meet_by_time(spark):
+    """The bound on time is part of the join's key: any span, rows on its edges and before 1970, times with and without zone; rows without a time meet none."""
+    rng = random.Random(3)
+    start = datetime(1969, 12, 31, 20)
+    times = [start + timedelta(seconds=rng.randrange(8 * 3600)) for _ in range(150)] + [start + timedelta(minutes=90), start, None]
+    trades = [(rng.choice("AB"), t, i, float(i)) for i, t in enumerate(times)]
+    quotes = [(rng.choice("AB"), t, float(i)) for i, t in enumerate(times)] + [("A", start, -1.0), ("B", start, -2.0)]
+    for kind in ("timestamp", "timestamp_ntz"):
+        left, right = spark.createDataFrame(trades, f"symbol string, ts {kind}, seq long, price double"), spark.createDataFrame(quotes, f"symbol string, quoted_at {kind}, quote double")
+        for within, span in (("90 minutes", timedelta(minutes=90)), ("0 seconds", timedelta()), ("3 seconds", timedelta(seconds=3)), ("2 days", timedelta(days=2))):
+            found = live.matched(left, right, within)
+            want = sorted((n, q) for s, t, n, _ in trades for z, u, q in quotes if s == z and t and u and t - span <= u <= t)
+            assert sorted((r.seq, r.quote) for r in found.collect()) == want
+    assert "__bucket" in found._jdf.queryExecution().optimizedPlan().toString().split("Join Inner", 1)[1].split("\n")[0]
