@@ -419,7 +419,8 @@ class Described:
     def feature(self) -> str:
         """Size, mean, deviation, entropy and mean vertical step."""
         p, levels = self.levels / self.levels.sum(), np.arange(256)
-        mean = float(p @ levels)
+        # Of whole numbers, so that no order of sums shows in the last digit.
+        mean = int(self.levels @ levels) / int(self.levels.sum())
         deviation = float(np.sqrt(max(0.0, p @ (levels - mean) ** 2)))
         entropy = float(-(p[p > 0] * np.log2(p[p > 0])).sum())
         step = self.steps / ((self.rows - 1) * self.width) if self.rows > 1 else 0.0

@@ -188,3 +188,11 @@ def test_many_large_pages_are_not_held_at_once(monkeypatch):
     assert b"".join(p[4] for p in M.sound(media)) == payload
     with pytest.raises(M.TiffError):
         M.sound(media[:-4])
+
+
+def test_mean_of_a_feature_is_that_of_whole_numbers():
+    """A mean half way between two printed values does not depend on the order of sums."""
+    pixels = np.random.default_rng(2).integers(0, 256, 1600).astype(np.uint8)
+    image = M.Described(64)
+    image.add(pixels.tobytes())
+    assert f" mean={int(pixels.sum()) / 1600:.3f} " in image.feature()
